@@ -96,7 +96,8 @@ def finite(c: str | Column) -> Column:
     """NaN and null to 0, infinities to the largest double of their sign."""
     c = F.col(c) if isinstance(c, str) else c
     top = F.lit(1.7976931348623157e308)
-    return F.coalesce(F.least(F.greatest(F.nanvl(c.cast("double"), F.lit(0.0)), -top), top), F.lit(0.0))
+    known = F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0))
+    return F.least(F.greatest(known, -top), top)
 
 
 def log_target(value: str, per: str | None = None) -> Column:
