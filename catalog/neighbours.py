@@ -1 +1,114 @@
+"""Exact neighbours of the test vectors, whole table against whole table."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from catalog.base import query, table
+from timetab.operators.neighbours import (
+    candidate_step, context_misses, distinct_neighbours, nearest, neighbour_mean, with_candidates,
+)
+
+K = 10
+
+
+def _sql(condition: str = "TRUE", k: int = K) -> str:
+    """Neighbours by comparing all pairs."""
+    return f"""
+        v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
+        pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS candidate_id, pow(list_distance(q.e, c.e), 2) AS distance, c.label
+            FROM v q, v c WHERE {condition}
+        ),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, candidate_id) AS rank FROM pairs
+        ),
+        nn AS (SELECT * FROM ranked WHERE rank <= {k})
+    """
+
+
+_COLUMNS = "query_id, candidate_id, round(distance, 8) AS distance, rank::BIGINT AS rank"
+
+
+def _shown(pairs: DataFrame) -> DataFrame:
+    return pairs.select("query_id", "candidate_id", F.round("distance", 8).alias("distance"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings")
+
+
+@query(f"WITH {_sql('q.label < 5 AND c.label >= 5')} SELECT {_COLUMNS} FROM nn")
+def neighbours_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors of the upper labels for every vector of the lower ones: two disjoint tables."""
+    v = _vectors(spark, sf_dir)
+    return _shown(nearest(v.where("label < 5"), v.where("label >= 5"), K))
+
+
+@query(f"WITH {_sql('q.vec_id <> c.vec_id')} SELECT {_COLUMNS} FROM nn")
+def neighbours_without_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest other vectors of every vector."""
+    v = _vectors(spark, sf_dir)
+    return _shown(nearest(v, v, K, exclude_self=True))
+
+
+_CAUSAL = "q.vec_id <> c.vec_id AND c.vec_id <= q.vec_id"
+
+
+def _causal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v = _vectors(spark, sf_dir)
+    return v, nearest(v, v, K, time="vec_id", exclude_self=True)
+
+
+@query(f"WITH {_sql(_CAUSAL)} SELECT {_COLUMNS} FROM nn")
+def neighbours_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors that are not newer than the query, the id taken as time."""
+    return _shown(_causal(spark, sf_dir)[1])
+
+
+@query(f"""
+    WITH {_sql(_CAUSAL)}
+    SELECT vec_id AS query_id, greatest(0, {K} - count(candidate_id))::BIGINT AS misses
+    FROM embeddings LEFT JOIN nn ON vec_id = query_id GROUP BY vec_id
+""")
+def neighbour_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the wanted neighbours the oldest vectors lack."""
+    v, pairs = _causal(spark, sf_dir)
+    return context_misses(v, pairs, K)
+
+
+@query(f"""
+    WITH {_sql('q.vec_id <> c.vec_id')}, w AS (SELECT *, exp(-(distance - min(distance) OVER (PARTITION BY query_id))) AS w FROM nn)
+    SELECT query_id, round(sum(w * label) / sum(w), 6) AS y_mean, max(w) AS top_weight FROM w GROUP BY query_id
+""")
+def neighbour_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label mean over the neighbours, weighted by softmax of the negative squared distance."""
+    v = _vectors(spark, sf_dir)
+    pairs = nearest(v, v, K, exclude_self=True)
+    return neighbour_mean(pairs, v, "label").select("query_id", F.round("y_mean", 6).alias("y_mean"), "top_weight")
+
+
+@query(f"""
+    WITH {_sql('q.vec_id <> c.vec_id')}
+    SELECT candidate_id, any_value(label)::BIGINT AS label, count(*) AS n_queries FROM nn GROUP BY candidate_id
+""")
+def neighbours_reused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stored neighbour table used twice: for the distinct neighbours, and to look up their labels."""
+    v = _vectors(spark, sf_dir)
+    pairs = nearest(v, v, K, exclude_self=True)
+    labels = with_candidates(pairs, v, ["label"]).groupBy("candidate_id").agg(F.any_value("label").cast("bigint").alias("label"))
+    return distinct_neighbours(pairs).join(labels, "candidate_id").select("candidate_id", "label", "n_queries")
+
+
+@query("""
+    WITH n AS (SELECT count(*) AS n, floor(0.3 * count(*))::BIGINT AS size FROM embeddings),
+    seq AS (
+        SELECT turn, vec_id, turn * n + row_number() OVER (PARTITION BY turn ORDER BY substr(md5('0/' || turn || '|' || vec_id), 1, 15), vec_id) - 1 AS place
+        FROM embeddings, n, range(2) r(turn)
+    )
+    SELECT vec_id, turn::BIGINT AS "pass" FROM seq, n WHERE place >= 3 * size AND place < 4 * size
+""")
+def candidates_of_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of the fourth step with three tenths of the rows each: it ends in the second permutation."""
+    return candidate_step(_vectors(spark, sf_dir), "vec_id", 0.3, 3).select("vec_id", F.col("pass").cast("bigint").alias("pass"))

@@ -19,6 +19,7 @@ from timetab.operators.ordering import hash_order, order_cutoffs
 from timetab.session import materialise
 
 MAX_PIVOTS = 1024
+CELL_ROWS = 512
 PACK_CANDIDATES = 2048
 PACK_QUERIES = 1024
 QUERY_PACKS_PER_TASK = 64
@@ -39,15 +40,16 @@ def _sides(df: DataFrame, tag: str, id_: str, vector: str, time: str | None) ->
 
 
 def _pivots(candidates: DataFrame, n: int):
-    """About sqrt(n) candidates picked by hash, at most ``MAX_PIVOTS``: (ids, times, vectors), and the distinct vectors."""
+    """At most ``MAX_PIVOTS`` candidates picked by hash, as (ids, times, vectors), and the cell centres among them.
+
+    All pivots bound the neighbour distances. Cells get ``CELL_ROWS`` rows or more, so small tables have few of them.
+    """
     import numpy as np
 
-    wanted = max(1, min(MAX_PIVOTS, int(n**0.5)))
-    rows = candidates.orderBy(F.xxhash64("c_id"), "c_id").limit(wanted).collect()
+    rows = candidates.orderBy(F.xxhash64("c_id"), "c_id").limit(MAX_PIVOTS).collect()
     vectors = np.array([r["c_v"] for r in rows], dtype="float64")
-    return (
-        np.array([r["c_id"] for r in rows]), np.array([r["c_t"] for r in rows]), vectors, np.unique(vectors, axis=0),
-    )
+    centres = np.unique(vectors[: max(1, n // CELL_ROWS)], axis=0)
+    return np.array([r["c_id"] for r in rows]), np.array([r["c_t"] for r in rows]), vectors, centres
 
 
 def _to_cells(centres):
@@ -148,6 +150,7 @@ def _nearest_in_pair(k: int, causal: bool, exclude_self: bool):
         import pandas as pd
 
         for pdf in batches:
+            parts = [[np.empty(0, kind)] for kind in ("int64", "int64", "int64", "float64")]
             for row in pdf.itertuples(index=False):
                 qi, qt, ci, ct = (np.asarray(v) for v in (row.q_ids, row.q_ts, row.c_ids, row.c_ts))
                 q = np.asarray(row.q_flat, dtype="float64").reshape(len(qi), -1)
@@ -169,9 +172,10 @@ def _nearest_in_pair(k: int, causal: bool, exclude_self: bool):
                 a, b, exact = a[order], b[order], exact[order]
                 first = np.searchsorted(a, a, side="left")
                 top = np.arange(len(a)) - first < k
-                yield pd.DataFrame({
-                    "query_id": qi[a[top]], "candidate_id": ci[b[top]], "candidate_t": ct[b[top]], "distance": exact[top],
-                })
+                for list_, values in zip(parts, (qi[a[top]], ci[b[top]], ct[b[top]], exact[top])):
+                    list_.append(values)
+            names = ("query_id", "candidate_id", "candidate_t", "distance")
+            yield pd.DataFrame({n: np.concatenate(v) for n, v in zip(names, parts)})
 
     return run
 
@@ -218,8 +222,9 @@ def nearest(
     )
 
     part = F.lit(0)
-    if causal:
-        marks = cells.agg(F.percentile_approx("c_t", [i / TIME_SLICES for i in range(1, TIME_SLICES)], 1000)).first()[0]
+    slices = max(1, min(TIME_SLICES, n // (len(centres) * PACK_CANDIDATES)))
+    if causal and slices > 1:
+        marks = cells.agg(F.percentile_approx("c_t", [i / slices for i in range(1, slices)], 1000)).first()[0]
         for m in marks:
             part = part + (F.col("c_t") > m).cast("int")
     sliced = cells.withColumn("slice", part)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def score_table(runs: DataFrame, models: Sequence[str] | None = None, kind: str | None = None) -> DataFrame:
@@ -117,7 +118,7 @@ def pairwise_range(stats: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def studentised_range_tail(q: pd.Series, groups: pd.Series, freedom: pd.Series) -> pd.Series:
     """P(Q > q) for the range of ``groups`` normal means over an independent std with ``freedom`` degrees, by quadrature."""
     import math
