@@ -1 +1,111 @@
+"""MLlib baselines on whole tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from catalog.base import query, table
+from timetab.operators.encoding import encode_vocabulary, fit_vocabulary
+from timetab.operators.scaling import assemble, fit_quantiles, mean_and_std, scale_quantile, scale_standard
+from timetab.plans.leaderboard import ensemble_mean
+from timetab.plans.metrics import regression_metrics
+from timetab.plans.models import evaluate, fit, importances, over_seeds, predict, search
+from timetab.session import materialise
+
+_PART = """CASE WHEN l_shipdate < TIMESTAMP_NTZ '1999-01-01' THEN 'train' WHEN l_shipdate < TIMESTAMP_NTZ '2000-01-01' THEN 'val' ELSE 'test' END"""
+NUMERIC = ["l_quantity", "l_discount", "l_tax", "month"]
+
+
+def _line_data(spark: SparkSession, sf_dir: str, task: str) -> DataFrame:
+    """Lines with numeric features and one-hot flags; the target is the price, or whether the line is finished."""
+    y = F.col("l_extendedprice") / 1000 if task == "regression" else (F.col("l_extendedprice") > 40000).cast("double")
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"), F.expr(_PART).alias("part"),
+        "l_quantity", "l_discount", "l_tax", F.month("l_shipdate").cast("double").alias("month"), "l_returnflag", y.alias("y"),
+    )
+    train = lines.where("part = 'train'")
+    codes = fit_vocabulary(train, ["l_returnflag"])
+    coded = encode_vocabulary(lines, codes)
+    scaled = scale_standard(coded, mean_and_std(train, NUMERIC))
+    return materialise(assemble(scaled, NUMERIC, codes=codes.sizes).select("row_id", "part", "y", "features"), "lines")
+
+
+def _scores(spark: SparkSession, sf_dir: str, model: str, task: str, params: dict) -> DataFrame:
+    data = _line_data(spark, sf_dir, task)
+    return evaluate(predict(fit(model, data, task, params), data, task), task)
+
+
+@query("""
+    WITH d AS (SELECT l_quantity AS x, l_extendedprice AS y, CASE WHEN l_shipdate < TIMESTAMP '1999-01-01' THEN 'train'
+                      WHEN l_shipdate < TIMESTAMP '2000-01-01' THEN 'val' ELSE 'test' END AS part FROM lineitem),
+         f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM d WHERE part = 'train')
+    SELECT part, round(-sqrt(avg(pow(y - a - b * x, 2))), 2) AS score FROM d, f GROUP BY part
+""")
+def linear_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least squares of price on quantity, scored per part; small enough a model to have a closed form."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"), F.expr(_PART).alias("part"),
+        "l_quantity", F.col("l_extendedprice").alias("y"),
+    )
+    data = assemble(lines, ["l_quantity"])
+    out = evaluate(predict(fit("linear", data, "regression", {}), data, "regression"), "regression")
+    return out.select("part", F.round("score", 2).alias("score"))
+
+
+@query()
+def linear_elastic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elastic-net logistic regression, ROC-AUC per part."""
+    return _scores(spark, sf_dir, "linear", "binclass", {"reg": 0.01, "l1_share": 0.5})
+
+
+@query()
+def forest_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random forest on the price, signed RMSE per part."""
+    return _scores(spark, sf_dir, "forest", "regression", {"trees": 10, "depth": 5})
+
+
+@query()
+def boosted_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees that stop on validation, signed RMSE per part."""
+    return _scores(spark, sf_dir, "boosted", "regression", {"rounds": 5, "depth": 4})
+
+
+@query()
+def boosted_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature importances of a boosted model."""
+    model = fit("boosted", _line_data(spark, sf_dir, "regression"), "regression", {"rounds": 3, "depth": 4})
+    return importances(model, [*NUMERIC, "flag_0", "flag_1", "flag_2"])
+
+
+@query()
+def tuned_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random search over the elastic net, one row per trial with its validation score."""
+    space = {"reg": ["loguniform", 1e-4, 1.0], "l1_share": ["?uniform", 0.0, 0.0, 1.0], "max_iter": 50}
+    best, trials = search("linear", _line_data(spark, sf_dir, "regression"), "regression", space, trials=3)
+    rows = [(t["trial"], t["params"]["reg"], float(t["params"]["l1_share"]), t["score"], t["params"] == best) for t in trials]
+    return spark.createDataFrame(rows, "trial int, reg double, l1_share double, score double, chosen boolean")
+
+
+@query()
+def seeds_and_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest refitted over five seeds; RMSE of each seed and of their ensemble on every part."""
+    data = _line_data(spark, sf_dir, "regression")
+    runs = materialise(over_seeds("forest", data, "regression", {"trees": 3, "depth": 4}, range(5), "lines"), "runs")
+    single = regression_metrics(runs, by=["seed", "part"]).select(F.col("seed").cast("string").alias("run"), "part", "rmse")
+    mean = ensemble_mean(runs, ["model", "dataset", "split", "part", "row_id", "y"])
+    both = regression_metrics(mean, by=["part"]).select(F.lit("ensemble").alias("run"), "part", "rmse")
+    return single.unionByName(both)
+
+
+@query()
+def quantile_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear baseline on quantile-normalised features, signed RMSE per part."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"), F.expr(_PART).alias("part"),
+        "l_quantity", "l_discount", "l_tax", F.month("l_shipdate").cast("double").alias("month"),
+        (F.col("l_extendedprice") / 1000).alias("y"),
+    )
+    fitted = fit_quantiles(lines.where("part = 'train'"), NUMERIC, noise="fixed")
+    data = assemble(scale_quantile(lines, fitted), NUMERIC)
+    return evaluate(predict(fit("linear", data, "regression", {"reg": 0.001}), data, "regression"), "regression")

@@ -1,4 +1,4 @@
-"""Logits, probabilities, labels, and the inverse normal distribution as column expressions."""
+"""Logits, probabilities and labels as column expressions, and the inverse normal distribution for Arrow UDFs."""
 
 from __future__ import annotations
 
@@ -32,27 +32,26 @@ FAR_BOTTOM = [
 ]
 
 
-def _polynomial(r: Column, coefficients: list[float]) -> Column:
-    out = F.lit(coefficients[-1])
-    for a in reversed(coefficients[:-1]):
-        out = out * r + F.lit(a)
-    return out
+def inverse_normal():
+    """A NumPy function for the inverse standard normal distribution on 0 < p < 1, to double precision.
 
+    It carries its constants along, so that it can be shipped inside an Arrow UDF.
+    """
+    centre, near, far = (CENTRE_TOP, CENTRE_BOTTOM), (NEAR_TOP, NEAR_BOTTOM), (FAR_TOP, FAR_BOTTOM)
 
-def _ratio(r: Column, top: list[float], bottom: list[float]) -> Column:
-    return _polynomial(r, top) / _polynomial(r, bottom)
+    def run(p):
+        import numpy as np
 
+        def ratio(r, coefficients):
+            top, bottom = coefficients
+            return np.polyval(top[::-1], r) / np.polyval(bottom[::-1], r)
 
-def normal_quantile(p: Column) -> Column:
-    """Inverse of the standard normal distribution for 0 < p < 1, to double precision, inside codegen."""
-    q = p - 0.5
-    tail = F.sqrt(-F.log(F.least(p, 1.0 - p)))
-    outer = F.when(tail <= 5.0, _ratio(tail - 1.6, NEAR_TOP, NEAR_BOTTOM)).otherwise(
-        _ratio(tail - 5.0, FAR_TOP, FAR_BOTTOM)
-    )
-    return F.when(F.abs(q) <= 0.425, q * _ratio(0.180625 - q * q, CENTRE_TOP, CENTRE_BOTTOM)).otherwise(
-        F.signum(q) * outer
-    )
+        q = p - 0.5
+        tail = np.sqrt(-np.log(np.minimum(p, 1.0 - p)))
+        outer = np.where(tail <= 5.0, ratio(tail - 1.6, near), ratio(tail - 5.0, far))
+        return np.where(np.abs(q) <= 0.425, q * ratio(0.180625 - q * q, centre), np.sign(q) * outer)
+
+    return run
 
 
 def sigmoid(logit: str | Column) -> Column:

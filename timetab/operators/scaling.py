@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timetab.functions.columns import finite
-from timetab.functions.probability import normal_quantile
+from timetab.functions.probability import inverse_normal
 from timetab.operators.ordering import hash_order
 from timetab.operators.quantiles import quantile_grid
 
@@ -71,36 +72,32 @@ def fit_quantiles(
     return quantile_grid(train, columns, points, exact)
 
 
-def _rank_in(grid: list[float]):
-    """Arrow UDF: the share of the fitted grid below each value, ties taken at their middle."""
+def _place_in(grid: list[float], normal: bool):
+    """Arrow UDF: the share of the fitted grid below each value, ties taken at their middle; missing values give 0."""
+    edge, to_normal = EDGE, inverse_normal()
 
-    @F.pandas_udf("double")
-    def rank(values: pd.Series) -> pd.Series:
+    @F.pandas_udf(T.DoubleType())
+    def place(values: pd.Series) -> pd.Series:
         import numpy as np
 
         knots = np.asarray(grid)
         share = np.linspace(0.0, 1.0, len(knots))
         x = values.to_numpy(dtype="float64", na_value=np.nan)
-        from_left = np.interp(x, knots, share)
-        from_right = -np.interp(-x, -knots[::-1], -share[::-1])
-        return pd.Series(0.5 * (from_left + from_right))
+        out = 0.5 * (np.interp(x, knots, share) - np.interp(-x, -knots[::-1], -share[::-1]))
+        out = np.where(x - edge < knots[0], 0.0, np.where(x + edge > knots[-1], 1.0, out))
+        if normal:
+            out = to_normal(np.clip(out, edge, 1.0 - edge))
+        return pd.Series(np.where(np.isnan(x), 0.0, out))
 
-    return rank
+    return place
 
 
 def scale_quantile(df: DataFrame, fitted: dict[str, list[float]], output: str = "normal") -> DataFrame:
     """Map each value to its place in the fitted grid, as a share (``uniform``) or on the normal scale; missing is 0."""
-    out = {}
-    for c, grid in fitted.items():
-        if not grid:
-            out[c] = F.lit(0.0)
-            continue
-        x = F.col(c).cast("double")
-        share = F.when(x - EDGE < F.lit(grid[0]), 0.0).when(x + EDGE > F.lit(grid[-1]), 1.0).otherwise(_rank_in(grid)(x))
-        if output == "normal":
-            share = normal_quantile(F.least(F.greatest(share, F.lit(EDGE)), F.lit(1.0 - EDGE)))
-        out[c] = F.when(x.isNull() | F.isnan(x), 0.0).otherwise(share)
-    return df.withColumns(out)
+    normal = output == "normal"
+    return df.withColumns({
+        c: _place_in(grid, normal)(F.col(c).cast("double")) if grid else F.lit(0.0) for c, grid in fitted.items()
+    })
 
 
 @dataclass(frozen=True)
