@@ -73,14 +73,14 @@ _EVENT_WINDOWS = _sliding_sql("events", "event_id", "ts")
 def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three windows over the events in time order, validation and test a tenth of the rows each."""
     events = _events(spark, sf_dir)
-    return split_sliding(events, "event_id", "ts", events.count() // 10)
+    return split_sliding(events, "event_id", "ts", 0.1)
 
 
 @query(f"WITH {_EVENT_WINDOWS} SELECT * FROM twin")
 def random_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same windows with their rows shuffled."""
     events = _events(spark, sf_dir)
-    return split_random(events, "event_id", "ts", events.count() // 10)
+    return split_random(events, "event_id", "ts", 0.1)
 
 
 @query(f"""
@@ -96,7 +96,7 @@ def seven_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All seven splits of the orders, where many rows share a date, summed up per part."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     bounds = [F.lit(d).cast("timestamp_ntz") for d in ("1999-01-01", "2000-01-01")]
-    splits = all_splits(orders, "o_orderkey", "o_orderdate", orders.count() // 10, part_by_bounds("o_orderdate", *bounds))
+    splits = all_splits(orders, "o_orderkey", "o_orderdate", 0.1, part_by_bounds("o_orderdate", *bounds))
     return splits.groupBy("split", "part").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"),
         F.sum("row_id").alias("id_sum"),
@@ -112,7 +112,7 @@ def seven_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def window_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time span and size of every part of every window."""
     events = _events(spark, sf_dir)
-    spans = split_spans(events, split_sliding(events, "event_id", "ts", events.count() // 10), "event_id", "ts")
+    spans = split_spans(events, split_sliding(events, "event_id", "ts", 0.1), "event_id", "ts")
     text = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start", "end")}
     return spans.withColumns(text | {"days": F.col("days").cast("bigint")})
 
@@ -121,7 +121,7 @@ def window_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per part of the random twins."""
     events = _events(spark, sf_dir)
-    return part_sizes(split_random(events, "event_id", "ts", events.count() // 10))
+    return part_sizes(split_random(events, "event_id", "ts", 0.1))
 
 
 @query(f"""
@@ -131,7 +131,7 @@ def part_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def window_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows used by more than one window, found by the overlap check with all windows taken as one split."""
     events = _events(spark, sf_dir)
-    splits = split_sliding(events, "event_id", "ts", events.count() // 10)
+    splits = split_sliding(events, "event_id", "ts", 0.1)
     return overlaps(splits.withColumn("split", F.lit("any window")))
 
 
@@ -143,6 +143,6 @@ def window_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gather_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The validation rows of one window with their values."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "value")
-    splits = split_sliding(events, "event_id", "ts", events.count() // 10).where(F.col("split") == "sliding-window-1")
+    splits = split_sliding(events, "event_id", "ts", 0.1).where(F.col("split") == "sliding-window-1")
     rows = events.select(F.col("event_id").alias("row_id"), F.round("value", 2).alias("value"))
     return gather(rows, splits, "val")

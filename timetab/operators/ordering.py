@@ -7,7 +7,7 @@ also be unique together: append the row id.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -103,6 +103,10 @@ class Cutoff:
     kinds: tuple[T.DataType, ...]
     values: tuple | None
 
+    def renamed(self, names: dict[str, str]) -> Cutoff:
+        """The same key under other column names."""
+        return Cutoff(tuple(names.get(c, c) for c in self.order), self.kinds, self.values)
+
     def reached(self) -> Column:
         """True for rows at or after this key: a comparison with literals, so it pushes down to the scan."""
         if self.values is None:
@@ -145,10 +149,17 @@ class _Bracket:
 
 
 def order_cutoffs(
-    df: DataFrame, order: Sequence[str], positions: Sequence[int], *, leaf_rows: int = 50_000, bins: int = 4096
+    df: DataFrame,
+    order: Sequence[str],
+    positions: Sequence[int] | Callable[[int], Sequence[int]],
+    *,
+    leaf_rows: int = 250_000,
+    bins: int = 4096,
 ) -> list[Cutoff]:
     """Exact order keys at the given 0-based positions, by narrowing scans instead of a sort.
 
+    ``positions`` may be a function of the number of rows, which is counted anyway.
+
     Each round counts the rows of the still-open brackets in ``bins`` equal steps (a map-side aggregate with at most
     ``bins`` rows per bracket) and keeps the step that holds the position. A single hot value is one step, and the
     search goes on in the next key column. What is left, at most ``leaf_rows`` rows, is ranked.
@@ -163,6 +174,8 @@ def order_cutoffs(
     total = first[0]
     if any(n != total for n in first[3:]):
         raise ValueError(f"null in order columns {list(order)}")
+    if callable(positions):
+        positions = positions(total)
     found: dict[int, tuple | None] = {p: None for p in positions if p >= total}
     open_: dict[int, _Bracket] = {
         p: _Bracket((), first[1], first[2], 0, total) for p in set(positions) if p < total
@@ -222,16 +235,18 @@ def order_cutoffs(
 
 def newest_share(df: DataFrame, time: str, parts: int = 5) -> DataFrame:
     """Rows of the newest 1/parts of the table, ties at the border kept."""
-    n = df.count()
-    cut = order_cutoffs(df.select(time), [time], [n // parts * (parts - 1)])[0]
+    cut = order_cutoffs(df.select(time), [time], lambda n: [n // parts * (parts - 1)])[0]
     return df.where(cut.reached())
 
 
 def time_folds(df: DataFrame, time: str, folds: int = 9, name: str = "fold") -> DataFrame:
     """Number the rows 0..folds-1 by time quantile; fold i holds low < t <= high, the oldest rows are in fold 0."""
-    n = df.count()
-    step = -(-n // folds)
-    cuts = order_cutoffs(df.select(time), [time], [min(n - 1, step * (i + 1)) for i in range(folds)])
+
+    def last_rows(n: int) -> list[int]:
+        step = -(-n // folds)
+        return [min(n - 1, step * (i + 1)) for i in range(folds)]
+
+    cuts = order_cutoffs(df.select(time), [time], last_rows)
     kind = df.schema[time].dataType
     fold = F.lit(folds - 1)
     for i in range(folds - 2, -1, -1):

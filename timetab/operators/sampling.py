@@ -17,6 +17,5 @@ def exact_sample(df: DataFrame, fraction: float, key: str, seed: int = 0, also:
     for, so the sample itself is a filter and moves no rows.
     """
     hashed = df.withColumn("_h", hash_order(seed, key, *also))
-    size = int(fraction * df.count())
-    border = order_cutoffs(hashed.select("_h", key), ["_h", key], [size])[0]
+    border = order_cutoffs(hashed.select("_h", key), ["_h", key], lambda n: [int(fraction * n)])[0]
     return hashed.where(~border.reached()).drop("_h")

@@ -53,13 +53,21 @@ def window_sizes(rows: int, size: int, windows: int = 3) -> int:
 
 
 def _window_cutoffs(
-    df: DataFrame, id_: str, time: str, size: int, windows: int
-) -> tuple[int, list[tuple[Cutoff, Cutoff, Cutoff, Cutoff]]]:
-    train = window_sizes(df.count(), size, windows)
-    at = [[i * size, i * size + train, i * size + train + size, i * size + train + 2 * size] for i in range(windows)]
-    flat = sorted({p for row in at for p in row})
-    cuts = dict(zip(flat, order_cutoffs(df.select(time, id_), [time, id_], flat)))
-    return train, [tuple(cuts[p] for p in row) for row in at]
+    df: DataFrame, id_: str, time: str, size: int | float, windows: int
+) -> tuple[int, int, list[tuple[Cutoff, Cutoff, Cutoff, Cutoff]]]:
+    """Rows per train and per val or test part, and each window's start, validation start, test start and end."""
+    fixed: dict[str, int] = {}
+
+    def borders(n: int) -> list[int]:
+        fixed["size"] = int(size * n) if isinstance(size, float) else size
+        fixed["train"] = window_sizes(n, fixed["size"], windows)
+        return [
+            i * fixed["size"] + at for i in range(windows)
+            for at in (0, fixed["train"], fixed["train"] + fixed["size"], fixed["train"] + 2 * fixed["size"])
+        ]
+
+    cuts = order_cutoffs(df.select(time, id_), [time, id_], borders)
+    return fixed["train"], fixed["size"], [tuple(cuts[4 * i : 4 * i + 4]) for i in range(windows)]
 
 
 def _inside(cuts: tuple[Cutoff, Cutoff, Cutoff, Cutoff]) -> Column:
@@ -83,43 +91,52 @@ def _sliding(windows: list[tuple[Cutoff, Cutoff, Cutoff, Cutoff]]) -> list[tuple
     return out
 
 
+_HASH_RANGE = 16**15
+
+
 def _random(
     df: DataFrame, id_: str, train: int, size: int, seed: int,
     windows: list[tuple[Cutoff, Cutoff, Cutoff, Cutoff]],
 ) -> tuple[DataFrame, list[tuple[str, Column]]]:
+    """Window i is cut at two places of its rows' hash order; all windows are searched together, one key range each."""
+    hashes = {f"_h{i}": F.lit(i * _HASH_RANGE) + hash_order(seed, F.lit(i), id_) for i in range(len(windows))}
+    df = df.withColumns(hashes)
+    keys = F.filter(
+        F.array(*[F.when(_inside(cuts), F.col(f"_h{i}")) for i, cuts in enumerate(windows)]), lambda k: k.isNotNull()
+    )
+    rows = df.select(F.explode(keys).alias("key"), id_)
+    total = train + 2 * size
+    found = order_cutoffs(rows, ["key", id_], [i * total + at for i in range(len(windows)) for at in (train, train + size)])
     out = []
     for i, cuts in enumerate(windows):
-        h = f"_h{i}"
-        df = df.withColumn(h, hash_order(seed, F.lit(i), id_))
-        rows = df.where(_inside(cuts)).select(h, id_)
-        val, test = order_cutoffs(rows, [h, id_], [train, train + size])
+        val, test = (c.renamed({"key": f"_h{i}"}) for c in found[2 * i : 2 * i + 2])
         part = F.when(test.reached(), "test").when(val.reached(), "val").otherwise("train")
         out.append((f"random-{i}", F.when(_inside(cuts), part)))
     return df, out
 
 
-def split_sliding(df: DataFrame, id_: str, time: str, size: int, windows: int = 3) -> DataFrame:
-    """Windows over the rows sorted by (time, id), each ``size`` rows later than the one before.
+def split_sliding(df: DataFrame, id_: str, time: str, size: int | float, windows: int = 3) -> DataFrame:
+    """Windows over the rows sorted by (time, id), each ``size`` rows (or share of the rows) later than the one before.
 
     Only the border rows are searched for; every row is then placed by comparison with those literals.
     """
-    _, cuts = _window_cutoffs(df, id_, time, size, windows)
+    _, _, cuts = _window_cutoffs(df, id_, time, size, windows)
     return _emit(df, id_, _sliding(cuts))
 
 
-def split_random(df: DataFrame, id_: str, time: str, size: int, windows: int = 3, seed: int = 0) -> DataFrame:
+def split_random(df: DataFrame, id_: str, time: str, size: int | float, windows: int = 3, seed: int = 0) -> DataFrame:
     """The same windows with their rows shuffled by a seeded hash, cut to the same sizes."""
-    train, cuts = _window_cutoffs(df, id_, time, size, windows)
-    hashed, named = _random(df, id_, train, size, seed, cuts)
+    train, rows, cuts = _window_cutoffs(df, id_, time, size, windows)
+    hashed, named = _random(df, id_, train, rows, seed, cuts)
     return _emit(hashed, id_, named)
 
 
 def all_splits(
-    df: DataFrame, id_: str, time: str, size: int, default: Column, windows: int = 3, seed: int = 0
+    df: DataFrame, id_: str, time: str, size: int | float, default: Column, windows: int = 3, seed: int = 0
 ) -> DataFrame:
     """The default split, the sliding windows and their random twins as one (row_id, split, part) table."""
-    train, cuts = _window_cutoffs(df, id_, time, size, windows)
-    hashed, random = _random(df, id_, train, size, seed, cuts)
+    train, rows, cuts = _window_cutoffs(df, id_, time, size, windows)
+    hashed, random = _random(df, id_, train, rows, seed, cuts)
     return _emit(hashed, id_, [("default", default), *_sliding(cuts), *random])
 
 

@@ -56,19 +56,12 @@ def history_features(
     kept = [anchor_date, *carry]
     steps = flagged.groupBy(id_, "_step").agg(*any_of_group(kept), *per_step)
 
+    measures = [m for n in matches for m in ((f"has_{n}", f"_n_{n}"), (f"has_{n}_q", f"_q_{n}"), (f"has_{n}_a", f"_a_{n}"))]
     out = [*any_of_group(kept), F.coalesce(F.sum("_total"), F.lit(0.0)).alias("total_spend")]
-    for n in matches:
-        out += [
-            F.sum(f"_n_{n}").alias(f"has_{n}"), F.sum(f"_q_{n}").alias(f"has_{n}_q"), F.sum(f"_a_{n}").alias(f"has_{n}_a")
-        ]
-    for i, d in enumerate(horizons):
-        near = F.col("_step") <= i
-        for n in matches:
-            out += [
-                F.coalesce(F.sum(F.when(near, F.col(f"_n_{n}"))), F.lit(0)).alias(f"has_{n}_{d}"),
-                conditional_total(F.col(f"_q_{n}"), near).alias(f"has_{n}_q_{d}"),
-                conditional_total(F.col(f"_a_{n}"), near).alias(f"has_{n}_a_{d}"),
-            ]
+    out += [F.sum(c).alias(name) for name, c in measures]
+    out += [
+        F.expr(f"sum(if(_step <= {i}, `{c}`, 0)) AS `{name}_{d}`") for i, d in enumerate(horizons) for name, c in measures
+    ]
     return steps.groupBy(id_).agg(*out)
 
 

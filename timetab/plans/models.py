@@ -34,26 +34,38 @@ def fit_forest(train: DataFrame, task: str, params: dict, seed: int = 0) -> Mode
     ).fit(train)
 
 
-def fit_boosted(train_and_val: DataFrame, task: str, params: dict, seed: int = 0) -> Model:
-    """Boosted trees that stop when the rows with ``is_val`` no longer improve."""
+def fit_boosted(train: DataFrame, task: str, params: dict, seed: int = 0, val: DataFrame | None = None) -> Model:
+    """Boosted trees, kept up to the round with the lowest validation loss.
+
+    The trees of a shorter run with the same seed are the first trees of a longer one, so the best round is found on the
+    full run and, if it is not the last, the shorter run is fitted.
+    """
     kind = GBTRegressor if task == "regression" else GBTClassifier
-    return kind(
-        featuresCol="features", labelCol="y", maxIter=params.get("rounds", 20), maxDepth=params.get("depth", 5),
-        stepSize=params.get("rate", 0.1), subsamplingRate=params.get("row_share", 1.0), seed=seed,
-        validationIndicatorCol="is_val",
-    ).fit(train_and_val)
+    rounds = params.get("rounds", 20)
 
+    def run(count: int) -> Model:
+        return kind(
+            featuresCol="features", labelCol="y", maxIter=count, maxDepth=params.get("depth", 5),
+            stepSize=params.get("rate", 0.1), subsamplingRate=params.get("row_share", 1.0), seed=seed,
+        ).fit(train)
 
-FITTERS: dict[str, Callable[..., Model]] = {"linear": fit_linear, "forest": fit_forest, "boosted": fit_boosted}
+    model = run(rounds)
+    if val is None:
+        return model
+    loss = model.evaluateEachIteration(val, *(["squared"] if task == "regression" else []))
+    best = min(range(rounds), key=loss.__getitem__) + 1
+    return model if best == rounds else run(best)
+
+
+FITTERS: dict[str, Callable[..., Model]] = {"linear": fit_linear, "forest": fit_forest}
 
 
 def fit(model: str, data: DataFrame, task: str, params: dict, seed: int = 0) -> Model:
     """Fit on the rows of part train; boosted trees also watch part val."""
+    train = data.where(F.col("part") == "train")
     if model == "boosted":
-        rows = data.where(F.col("part").isin("train", "val")).withColumn("is_val", F.col("part") == "val")
-    else:
-        rows = data.where(F.col("part") == "train")
-    return FITTERS[model](rows, task, params, seed)
+        return fit_boosted(train, task, params, seed, data.where(F.col("part") == "val"))
+    return FITTERS[model](train, task, params, seed)
 
 
 def predict(model: Model, data: DataFrame, task: str) -> DataFrame:
