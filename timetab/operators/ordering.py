@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from timetab.session import materialise
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number inside its partition in the low 33 bits
+HASH_DIGITS = 15
+HASH_RANGE = 16**HASH_DIGITS
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -27,7 +29,7 @@ def hash_order(seed: Any, *keys: str | Column) -> Column:
     Sorting by it shuffles the rows the same way on every run, every layout and every engine that has md5.
     """
     text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(text), 1, HASH_DIGITS), 16, 10).cast("long")
 
 
 def _offsets(per_part: list, names: Sequence[str]) -> list[tuple]:
@@ -90,9 +92,14 @@ def _as_number(kind: T.DataType, c: Column) -> Column:
     raise TypeError(f"cannot order by {kind.simpleString()}: hash it or take its code first")
 
 
-def _typed(kind: T.DataType, value: Any) -> Column:
-    text = value.isoformat(sep=" ") if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else value
-    return F.lit(text).cast(kind)
+def _literal(kind: T.DataType, value: Any) -> str:
+    """SQL text of a typed literal; it is folded to a constant, so comparisons with a column push down."""
+    text = value.isoformat(sep=" ") if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else str(value)
+    return f"CAST('{text}' AS {kind.simpleString()})"
+
+
+def _number(value: int | float) -> str:
+    return f"CAST('{value!r}' AS {'BIGINT' if isinstance(value, int) else 'DOUBLE'})"
 
 
 @dataclass(frozen=True)
@@ -107,17 +114,19 @@ class Cutoff:
         """The same key under other column names."""
         return Cutoff(tuple(names.get(c, c) for c in self.order), self.kinds, self.values)
 
-    def reached(self) -> Column:
-        """True for rows at or after this key: a comparison with literals, so it pushes down to the scan."""
+    def condition(self) -> str:
+        """SQL text that is true for rows at or after this key, in column order."""
         if self.values is None:
-            return F.lit(False)
-        out = F.lit(True)
+            return "false"
+        out = ""
         for name, kind, value in reversed(list(zip(self.order, self.kinds, self.values))):
-            c, v = F.col(name), _typed(kind, value)
-            last = name == self.order[-1]
-            out = (c >= v) if last else ((c > v) | ((c == v) & out))
+            v = _literal(kind, value)
+            out = f"(`{name}` > {v} OR (`{name}` = {v} AND {out}))" if out else f"`{name}` >= {v}"
         return out
 
+    def reached(self) -> Column:
+        return F.expr(self.condition())
+
 
 @dataclass(frozen=True)
 class _Bracket:
@@ -129,23 +138,25 @@ class _Bracket:
     before: int
     rows: int = field(compare=False)
 
-    def holds(self, keys: list[Column]) -> Column:
-        same = [k.eqNullSafe(F.lit(v)) for k, v in zip(keys, self.fixed)]
-        here = keys[len(self.fixed)]
-        test = (here >= F.lit(self.low)) & (here <= F.lit(self.high))
-        for s in same:
-            test = s & test
-        return test
+    def holds(self) -> str:
+        same = [f"k{i} = {_number(v)}" for i, v in enumerate(self.fixed)]
+        return " AND ".join([*same, f"k{len(self.fixed)} BETWEEN {_number(self.low)} AND {_number(self.high)}"])
 
-    def bin(self, keys: list[Column], bins: int) -> Column:
-        here = keys[len(self.fixed)]
+    def step(self, steps: int) -> str:
+        """Which of ``steps`` equal steps between low and high a row lies in."""
+        k = f"k{len(self.fixed)}"
         if self.high == self.low:
-            return F.lit(0)
+            return "0"
         if isinstance(self.low, int) and self.high - self.low < 1 << 62:
-            share = (here - F.lit(self.low)).cast("double") / float(self.high - self.low + 1)
+            share = f"double({k} - {_number(self.low)}) / {_number(float(self.high - self.low + 1))}"
         else:
-            share = (here.cast("double") - float(self.low)) / (float(self.high) - float(self.low))
-        return F.least(F.floor(share * bins).cast("int"), F.lit(bins - 1))
+            share = f"(double({k}) - {_number(float(self.low))}) / {_number(float(self.high) - float(self.low))}"
+        return f"least(int(floor({share} * {steps})), {steps - 1})"
+
+
+def _first_that_holds(brackets: list[_Bracket], result: Callable[[int, _Bracket], str]) -> Column:
+    cases = " ".join(f"WHEN {b.holds()} THEN {result(i, b)}" for i, b in enumerate(brackets))
+    return F.expr(f"CASE {cases} END")
 
 
 def order_cutoffs(
@@ -154,32 +165,32 @@ def order_cutoffs(
     positions: Sequence[int] | Callable[[int], Sequence[int]],
     *,
     leaf_rows: int = 250_000,
-    bins: int = 4096,
+    steps: int = 16_384,
+    known: tuple[int, int, int] | None = None,
 ) -> list[Cutoff]:
     """Exact order keys at the given 0-based positions, by narrowing scans instead of a sort.
 
-    ``positions`` may be a function of the number of rows, which is counted anyway.
+    ``positions`` may be a function of the number of rows, which is counted anyway. ``known`` gives bounds of the first
+    key and the number of rows where the caller has them, and saves that first scan.
 
-    Each round counts the rows of the still-open brackets in ``bins`` equal steps (a map-side aggregate with at most
-    ``bins`` rows per bracket) and keeps the step that holds the position. A single hot value is one step, and the
+    Each round counts the rows of the still-open brackets in ``steps`` equal steps (a map-side aggregate with at most
+    ``steps`` rows per bracket) and keeps the step that holds the position. A single hot value is one step, and the
     search goes on in the next key column. What is left, at most ``leaf_rows`` rows, is ranked.
     """
     kinds = tuple(df.schema[c].dataType for c in order)
     named = [f"k{i}" for i in range(len(order))]
-    keyed = df.select(*order).withColumns({n: _as_number(k, F.col(c)) for n, k, c in zip(named, kinds, order)})
-    keys = [F.col(n) for n in named]
-    first = keyed.agg(
-        F.count(F.lit(1)), F.min("k0"), F.max("k0"), *[F.count(k) for k in keys]
-    ).first()
-    total = first[0]
-    if any(n != total for n in first[3:]):
-        raise ValueError(f"null in order columns {list(order)}")
+    keyed = df.select(*order, *[_as_number(k, F.col(c)).alias(n) for n, k, c in zip(named, kinds, order)])
+    if known is None:
+        first = keyed.agg(F.count(F.lit(1)), F.min("k0"), F.max("k0"), *[F.count(k) for k in named]).first()
+        total, low, high = first[0], first[1], first[2]
+        if any(n != total for n in first[3:]):
+            raise ValueError(f"null in order columns {list(order)}")
+    else:
+        low, high, total = known
     if callable(positions):
         positions = positions(total)
     found: dict[int, tuple | None] = {p: None for p in positions if p >= total}
-    open_: dict[int, _Bracket] = {
-        p: _Bracket((), first[1], first[2], 0, total) for p in set(positions) if p < total
-    }
+    open_: dict[int, _Bracket] = {p: _Bracket((), low, high, 0, total) for p in set(positions) if p < total}
     last = len(order) - 1
 
     def settled(b: _Bracket) -> bool:
@@ -187,19 +198,17 @@ def order_cutoffs(
 
     while any(not settled(b) for b in open_.values()):
         wide = list({b for b in open_.values() if not settled(b)})
-        place = F.lit(None).cast("struct<b:int,i:int>")
-        for i, b in enumerate(wide):
-            place = F.when(b.holds(keys), F.struct(F.lit(i).alias("b"), b.bin(keys, bins).alias("i"))).otherwise(place)
-        stats = [f(k).alias(f"{side}{j}") for j, k in enumerate(keys) for side, f in (("lo", F.min), ("hi", F.max))]
-        steps = (
+        place = _first_that_holds(wide, lambda i, b: f"struct({i} AS b, {b.step(steps)} AS i)")
+        stats = [f(k).alias(f"{side}{j}") for j, k in enumerate(named) for side, f in (("lo", F.min), ("hi", F.max))]
+        counted = (
             keyed.withColumn("place", place).where(F.col("place").isNotNull())
             .groupBy("place").agg(F.count(F.lit(1)).alias("n"), *stats).collect()
         )
         for p, b in list(open_.items()):
             if settled(b):
                 continue
-            passed = b.before
-            for s in sorted((s for s in steps if s["place"]["b"] == wide.index(b)), key=lambda s: s["place"]["i"]):
+            passed, at = b.before, wide.index(b)
+            for s in sorted((s for s in counted if s["place"]["b"] == at), key=lambda s: s["place"]["i"]):
                 if passed + s["n"] > p:
                     break
                 passed += s["n"]
@@ -211,22 +220,16 @@ def order_cutoffs(
                 open_[p] = _Bracket(b.fixed, low, high, passed, s["n"])
 
     leaves = list(set(open_.values()))
-    wanted = [(leaves.index(b), p - b.before, p) for p, b in open_.items()]
     if leaves:
-        leaf = F.lit(None).cast("int")
-        for i, b in enumerate(leaves):
-            leaf = F.when(b.holds(keys), F.lit(i)).otherwise(leaf)
         # A leaf larger than leaf_rows is one repeated key: grouping leaves a single row of it.
         inside = (
-            keyed.withColumn("leaf", leaf).where(F.col("leaf").isNotNull())
+            keyed.withColumn("leaf", _first_that_holds(leaves, lambda i, b: str(i))).where(F.col("leaf").isNotNull())
             .groupBy("leaf", *order, *named).agg(F.count(F.lit(1)).alias("n"))
         )
         upto = Window.partitionBy("leaf").orderBy(*named).rowsBetween(Window.unboundedPreceding, 0)
-        ranked = inside.withColumn("upto", F.sum("n").over(upto))
-        hit = F.lit(False)
-        for i, at, _ in wanted:
-            hit = hit | ((F.col("leaf") == i) & (F.col("upto") > at) & (F.col("upto") - F.col("n") <= at))
-        rows = ranked.where(hit).collect()
+        wanted = [(leaves.index(b), p - b.before, p) for p, b in open_.items()]
+        hit = " OR ".join(f"(leaf = {i} AND upto > {at} AND upto - n <= {at})" for i, at, _ in wanted)
+        rows = inside.withColumn("upto", F.sum("n").over(upto)).where(hit).collect()
         for i, at, p in wanted:
             row = next(r for r in rows if r["leaf"] == i and r["upto"] - r["n"] <= at < r["upto"])
             found[p] = tuple(row[c] for c in order)
@@ -248,10 +251,8 @@ def time_folds(df: DataFrame, time: str, folds: int = 9, name: str = "fold") ->
 
     cuts = order_cutoffs(df.select(time), [time], last_rows)
     kind = df.schema[time].dataType
-    fold = F.lit(folds - 1)
-    for i in range(folds - 2, -1, -1):
-        fold = F.when(F.col(time) <= _typed(kind, cuts[i].values[0]), F.lit(i)).otherwise(fold)
-    return df.withColumn(name, fold)
+    cases = " ".join(f"WHEN `{time}` <= {_literal(kind, c.values[0])} THEN {i}" for i, c in enumerate(cuts[:-1]))
+    return df.withColumn(name, F.expr(f"CASE {cases} ELSE {folds - 1} END"))
 
 
 def nth_smallest(df: DataFrame, group: Sequence[str], value: str, n: int, tie: Sequence[str] = ()) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from timetab.functions.columns import finite
 from timetab.functions.probability import inverse_normal
-from timetab.operators.ordering import hash_order
+from timetab.operators.ordering import HASH_RANGE, hash_order
 from timetab.operators.quantiles import quantile_grid
 
 # Quantile scaling clips this close to 0 and 1; fewest and most grid points, rows per point; noise sizes.
@@ -52,7 +52,7 @@ def grid_points(rows: int) -> int:
 
 def normal_noise(seed: int, row_id: str, column: str) -> Column:
     """A standard normal number per row and column that is the same on every run (Box-Muller on two hashes)."""
-    unit = [(hash_order(f"{seed}/{column}/{i}", row_id).cast("double") + 0.5) / float(16**15) for i in (0, 1)]
+    unit = [(hash_order(f"{seed}/{column}/{i}", row_id).cast("double") + 0.5) / float(HASH_RANGE) for i in (0, 1)]
     return F.sqrt(-2.0 * F.log(unit[0])) * F.cos(2.0 * math.pi * unit[1])
 
 

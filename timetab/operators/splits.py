@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timetab.operators.ordering import Cutoff, hash_order, order_cutoffs
+from timetab.operators.ordering import HASH_RANGE, Cutoff, hash_order, order_cutoffs
 
 PARTS = ("train", "val", "test")
 
@@ -70,8 +70,16 @@ def _window_cutoffs(
     return fixed["train"], fixed["size"], [tuple(cuts[4 * i : 4 * i + 4]) for i in range(windows)]
 
 
-def _inside(cuts: tuple[Cutoff, Cutoff, Cutoff, Cutoff]) -> Column:
-    return cuts[0].reached() & ~cuts[3].reached()
+def _inside(cuts: tuple[Cutoff, Cutoff, Cutoff, Cutoff]) -> str:
+    return f"({cuts[0].condition()} AND NOT ({cuts[3].condition()}))"
+
+
+def _part(cuts: tuple[Cutoff, Cutoff, Cutoff, Cutoff], val: Cutoff, test: Cutoff) -> Column:
+    """Part of the rows inside a window, null outside."""
+    return F.expr(f"""
+        CASE WHEN NOT {_inside(cuts)} THEN NULL WHEN {test.condition()} THEN 'test' WHEN {val.condition()} THEN 'val'
+        ELSE 'train' END
+    """)
 
 
 def _emit(df: DataFrame, id_: str, named: list[tuple[str, Column]]) -> DataFrame:
@@ -84,14 +92,7 @@ def _emit(df: DataFrame, id_: str, named: list[tuple[str, Column]]) -> DataFrame
 
 
 def _sliding(windows: list[tuple[Cutoff, Cutoff, Cutoff, Cutoff]]) -> list[tuple[str, Column]]:
-    out = []
-    for i, cuts in enumerate(windows):
-        part = F.when(cuts[2].reached(), "test").when(cuts[1].reached(), "val").otherwise("train")
-        out.append((f"sliding-window-{i}", F.when(_inside(cuts), part)))
-    return out
-
-
-_HASH_RANGE = 16**15
+    return [(f"sliding-window-{i}", _part(cuts, cuts[1], cuts[2])) for i, cuts in enumerate(windows)]
 
 
 def _random(
@@ -99,19 +100,20 @@ def _random(
     windows: list[tuple[Cutoff, Cutoff, Cutoff, Cutoff]],
 ) -> tuple[DataFrame, list[tuple[str, Column]]]:
     """Window i is cut at two places of its rows' hash order; all windows are searched together, one key range each."""
-    hashes = {f"_h{i}": F.lit(i * _HASH_RANGE) + hash_order(seed, F.lit(i), id_) for i in range(len(windows))}
-    df = df.withColumns(hashes)
-    keys = F.filter(
-        F.array(*[F.when(_inside(cuts), F.col(f"_h{i}")) for i, cuts in enumerate(windows)]), lambda k: k.isNotNull()
-    )
-    rows = df.select(F.explode(keys).alias("key"), id_)
+    df = df.withColumns({
+        f"_h{i}": F.lit(i * HASH_RANGE) + hash_order(seed, F.lit(i), id_) for i in range(len(windows))
+    })
+    keys = ", ".join(f"IF({_inside(cuts)}, _h{i}, NULL)" for i, cuts in enumerate(windows))
+    rows = df.select(F.explode(F.expr(f"array_compact(array({keys}))")).alias("key"), id_)
     total = train + 2 * size
-    found = order_cutoffs(rows, ["key", id_], [i * total + at for i in range(len(windows)) for at in (train, train + size)])
+    found = order_cutoffs(
+        rows, ["key", id_], [i * total + at for i in range(len(windows)) for at in (train, train + size)],
+        known=(0, len(windows) * HASH_RANGE - 1, len(windows) * total),
+    )
     out = []
     for i, cuts in enumerate(windows):
         val, test = (c.renamed({"key": f"_h{i}"}) for c in found[2 * i : 2 * i + 2])
-        part = F.when(test.reached(), "test").when(val.reached(), "val").otherwise("train")
-        out.append((f"random-{i}", F.when(_inside(cuts), part)))
+        out.append((f"random-{i}", _part(cuts, val, test)))
     return df, out
 
 
