@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.base import query, table
-from timetab.functions.calendar import add_calendar
+from timetab.functions.calendar import add_calendar, from_epoch_seconds
 from timetab.functions.columns import pick
 from timetab.operators.aggregates import any_of_group, entity_features, histogram, list_mean
 from timetab.operators.drift import covariance, covariance_gap, time_domains
@@ -190,7 +190,7 @@ def calendar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calendar parts of every event time, after a way through epoch seconds."""
     events = table(spark, sf_dir, "events").select("event_id", "ts")
     epoch = events.withColumn("epoch_seconds", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("bigint"))
-    out = add_calendar(epoch.withColumn("ts", F.timestamp_seconds("epoch_seconds")), "ts").drop("ts")
+    out = add_calendar(epoch.withColumn("ts", from_epoch_seconds("epoch_seconds")), "ts").drop("ts")
     return out.select(*[F.col(c).cast("bigint").alias(c) for c in out.columns])
 
 

@@ -57,6 +57,16 @@ def test_brute_force(spark, crowded, monkeypatch, causal, exclude_self):
     same(result(pairs), brute(crowded, crowded, 7, causal, exclude_self))
 
 
+@pytest.mark.parametrize("causal", [False, True])
+def test_widening_rounds(spark, crowded, monkeypatch, causal):
+    """Few pivots and small rounds: the bound comes from shares of the candidates."""
+    for name, value in (("CELL_ROWS", 32), ("MAX_PIVOTS", 12), ("WIDEN", 4), ("PACK_CANDIDATES", 16), ("PACK_QUERIES", 32)):
+        monkeypatch.setattr(nb, name, value)
+    df = frame(spark, crowded)
+    pairs = nb.nearest(df, df, 5, time="t" if causal else None, exclude_self=True)
+    same(result(pairs), brute(crowded, crowded, 5, causal, True))
+
+
 def test_fewer_candidates_than_wanted(spark, crowded):
     df, few = frame(spark, crowded[:20]), crowded[20:23]
     pairs = nb.nearest(df, frame(spark, few), 5)

@@ -48,14 +48,14 @@ def fit_frequent(df: DataFrame, columns: Sequence[str], min_share: float = 0.01)
 
     All columns are counted in one pass, and at most 1/min_share values per column reach the driver.
     """
-    n = df.count()
-    counts = value_counts(df, columns).where(F.col("value").isNotNull())
-    often = F.col("n") >= F.lit(min_share * n)
-    rows = counts.where(often).select("column", "value").collect()
-    rare = {r["column"] for r in counts.where(~often).select("column").distinct().collect()}
+    often = F.col("n") >= F.lit(min_share * df.count())
+    rows = value_counts(df, columns).where(F.col("value").isNotNull()).groupBy("column").agg(
+        F.collect_list(F.when(often, F.col("value"))).alias("frequent"), F.bool_or(~often).alias("has_rare")
+    ).collect()
+    kept = {r["column"]: r for r in rows}
     return FrequentCodes(
-        {c: _ordered(df, c, [r["value"] for r in rows if r["column"] == c]) for c in columns},
-        {c: c in rare for c in columns},
+        {c: _ordered(df, c, list(kept[c]["frequent"])) if c in kept else [] for c in columns},
+        {c: c in kept and kept[c]["has_rare"] for c in columns},
     )
 
 

@@ -20,8 +20,12 @@ def hot_values(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
 
 
 def _salts(key: str, hot: list, spread: Column) -> tuple[Column, Column]:
-    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
-    one = F.when(is_hot, F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    """The salt of a row of the big side, and all salts a row of the small side is repeated for.
+
+    A null key matches nothing, so its rows (which a left join keeps) can go anywhere.
+    """
+    is_hot = F.col(key).isin(hot)
+    one = F.when(is_hot | F.col(key).isNull(), F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     every = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
     return one, every
 
@@ -43,10 +47,7 @@ def lookup_join(
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     on = list(on)
-    hot = hot_values(big, on[0])
-    if not hot:
-        return big.join(small, on, how)
-    one, every = _salts(on[0], hot, F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]))
+    one, every = _salts(on[0], hot_values(big, on[0]), F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]))
     left = big.withColumn("_salt", one)
     right = small.select("*", every.alias("_salt"))
     return left.join(right, [*on, "_salt"], how).drop("_salt")

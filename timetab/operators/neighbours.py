@@ -23,6 +23,7 @@ CELL_ROWS = 512
 PACK_CANDIDATES = 2048
 PACK_QUERIES = 1024
 QUERY_PACKS_PER_TASK = 64
+WIDEN = 64
 TIME_SLICES = 16
 BATCH_BYTES = 64 * 1024 * 1024
 
@@ -97,7 +98,7 @@ def _query_bounds(centres, pivots, k: int, causal: bool, exclude_self: bool):
 
 
 def _targets(centres, cells, causal: bool):
-    """Per pack of queries, the cell slices that can hold a neighbour of any of them.
+    """Per pack of queries, the cell slices that can hold a neighbour of any of them, as ids only.
 
     A member c of the cell around centre p is no nearer than |q,p| - radius, and no nearer than the border plane between
     p and the home centre of q.
@@ -106,15 +107,15 @@ def _targets(centres, cells, causal: bool):
 
     def run(batches):
         import numpy as np
+        import pandas as pd
 
-        gap = np.sqrt(np.maximum(((centres[:, None, :] - centres[None, :, :]) ** 2).sum(2), 0.0)) if len(centres) <= 256 else None
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 times = np.asarray(row.q_ts)
                 x = np.asarray(row.q_flat, dtype="float64").reshape(len(times), -1)
                 reach = np.sqrt(np.asarray(row.bounds, dtype="float64"))[:, None]
                 d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (centres**2).sum(1)[None, :] - 2.0 * x @ centres.T, 0.0))
-                apart = gap[row.home] if gap is not None else np.sqrt(((centres - centres[row.home]) ** 2).sum(1))
+                apart = np.sqrt(((centres - centres[row.home]) ** 2).sum(1))
                 with np.errstate(divide="ignore", invalid="ignore"):
                     plane = (d**2 - d[:, [row.home]] ** 2) / (2.0 * apart[None, :])
                 plane = np.where(apart[None, :] > 0, plane, 0.0)
@@ -123,17 +124,7 @@ def _targets(centres, cells, causal: bool):
                 if causal:
                     near &= oldest[None, :] <= times[:, None]
                 hit = np.flatnonzero(near.any(0))
-                if len(hit):
-                    yield _frame(row, index[hit], slices[hit], packs[hit])
-
-    def _frame(row, cell, part, pack):
-        import pandas as pd
-
-        n = len(cell)
-        return pd.DataFrame({
-            "pack_id": [row.pack_id] * n, "q_ids": [row.q_ids] * n, "q_ts": [row.q_ts] * n, "q_flat": [row.q_flat] * n,
-            "bounds": [row.bounds] * n, "cell": cell, "slice": part, "packs": pack,
-        })
+                yield pd.DataFrame({"pack_id": row.pack_id, "cell": index[hit], "slice": slices[hit], "packs": packs[hit]})
 
     return run
 
@@ -184,48 +175,19 @@ def _pack_count(n: Column, size: int) -> Column:
     return F.ceil(n / F.lit(size)).cast("int")
 
 
-def nearest(
-    queries: DataFrame,
-    candidates: DataFrame,
-    k: int,
-    *,
-    id_: str = "vec_id",
-    vector: str = "embedding",
-    time: str | None = None,
-    exclude_self: bool = False,
-) -> DataFrame:
-    """(query_id, candidate_id, distance, rank) of the k nearest candidates per query, as a stored table.
+_RESULT = "query_id bigint, candidate_id bigint, distance double, rank int"
 
-    With ``time`` only candidates that are not newer than the query take part, tested before the top k is taken.
-    Ties in distance go to the older candidate, then to the smaller id. ``distance`` is squared. A query with fewer than
-    k valid candidates has fewer rows.
-    """
+
+def _search(queries: DataFrame, cells: DataFrame, centres, n: int, k: int, causal: bool, exclude_self: bool) -> DataFrame:
+    """Top k per query among the rows of ``cells``, given queries with home cell and distance bound."""
     import numpy as np
 
     spark = queries.sparkSession
-    causal = time is not None
-    cand, qry = _sides(candidates, "c", id_, vector, time), _sides(queries, "q", id_, vector, time)
-    n = candidates.count()
-    empty = "query_id bigint, candidate_id bigint, distance double, rank int"
-    if n == 0:
-        return spark.createDataFrame([], empty)
-    pivots = _pivots(cand, n)
-    centres = pivots[3]
-
-    # Of equal vectors, no query can need more than the k (and itself) that come first by time and id.
-    keep = k + int(exclude_self)
-    copies = Window.partitionBy(F.xxhash64("c_v"), "c_v").orderBy("c_t", "c_id")
-    useful = cand.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= keep).drop("copy")
-    vector_type = cand.schema["c_v"].dataType.simpleString()
-    cells = materialise(
-        useful.mapInPandas(_to_cells(centres), f"c_id bigint, c_t bigint, c_v {vector_type}, cell int, gap double"), "cells"
-    )
-
     part = F.lit(0)
     slices = max(1, min(TIME_SLICES, n // (len(centres) * PACK_CANDIDATES)))
     if causal and slices > 1:
         marks = cells.agg(F.percentile_approx("c_t", [i / slices for i in range(1, slices)], 1000)).first()[0]
-        for m in marks:
+        for m in marks or []:
             part = part + (F.col("c_t") > m).cast("int")
     sliced = cells.withColumn("slice", part)
     stats = sliced.groupBy("cell", "slice").agg(
@@ -236,9 +198,8 @@ def nearest(
         np.array([r[f] for r in known], dtype=t)
         for f, t in (("cell", "int32"), ("slice", "int32"), ("radius", "float64"), ("oldest", "int64"), ("packs", "int32"))
     )
-    sizes = F.broadcast(stats.select("cell", "slice", "packs"))
     packed = (
-        sliced.join(sizes, ["cell", "slice"])
+        sliced.join(F.broadcast(stats.select("cell", "slice", "packs")), ["cell", "slice"])
         .withColumn("salt", F.pmod(F.xxhash64("c_id"), F.col("packs")).cast("int"))
         .groupBy("cell", "slice", "salt")
         .agg(F.collect_list(F.struct("c_id", "c_t", "c_v")).alias("g"))
@@ -248,42 +209,36 @@ def nearest(
         )
     )
 
-    bounded = materialise(
-        qry.mapInPandas(
-            _query_bounds(centres, pivots, k, causal, exclude_self),
-            f"q_id bigint, q_t bigint, q_v {vector_type}, home int, bound double",
-        ),
-        "queries",
-    )
-    homes = bounded.groupBy("home").agg(F.count(F.lit(1)).alias("n")).withColumn("q_packs", _pack_count(F.col("n"), PACK_QUERIES))
+    homes = queries.groupBy("home").agg(F.count(F.lit(1)).alias("n")).withColumn("q_packs", _pack_count(F.col("n"), PACK_QUERIES))
     total_packs = homes.agg(F.sum("q_packs")).first()[0] or 0
-    if total_packs == 0:
-        return spark.createDataFrame([], empty)
-    groups = -(-total_packs // QUERY_PACKS_PER_TASK)
-    query_packs = (
-        bounded.join(F.broadcast(homes.select("home", "q_packs")), "home")
+    lanes = max(1, -(-total_packs // QUERY_PACKS_PER_TASK))
+    query_packs = materialise(
+        queries.join(F.broadcast(homes.select("home", "q_packs")), "home")
         .withColumn("q_salt", F.pmod(F.xxhash64("q_id"), F.col("q_packs")).cast("int"))
         .groupBy("home", "q_salt")
         .agg(F.collect_list(F.struct("q_id", "q_t", "q_v", "bound")).alias("g"))
         .select(
-            F.xxhash64("home", "q_salt").alias("pack_id"), "home", F.col("g.q_id").alias("q_ids"),
+            F.concat_ws("/", "home", "q_salt").alias("pack_id"), "home", F.col("g.q_id").alias("q_ids"),
             F.col("g.q_t").alias("q_ts"), F.flatten("g.q_v").alias("q_flat"), F.col("g.bound").alias("bounds"),
-        )
+        ),
+        "query-packs",
     )
-    lists = f"pack_id bigint, q_ids array<bigint>, q_ts array<bigint>, q_flat {vector_type}, bounds array<double>"
-    routed = (
-        query_packs.mapInPandas(_targets(centres, table, causal), lists + ", cell int, slice int, packs int")
+    # A pack meets many cells: only ids are routed, and the vectors join in afterwards, on both sides by key.
+    routes = (
+        query_packs.mapInPandas(_targets(centres, table, causal), "pack_id string, cell int, slice int, packs int")
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)))
-        .withColumn("lane", F.pmod("pack_id", F.lit(groups)).cast("int"))
+        .withColumn("lane", F.pmod(F.xxhash64("pack_id"), F.lit(lanes)).cast("int"))
     )
-    lanes = packed.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = routed.join(lanes, ["cell", "slice", "salt", "lane"]).select(
-        "q_ids", "q_ts", "q_flat", "bounds", "c_ids", "c_ts", "c_flat"
+    pairs = (
+        routes.join(query_packs.drop("home"), "pack_id")
+        .join(packed.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))), ["cell", "slice", "salt", "lane"])
+        .select("q_ids", "q_ts", "q_flat", "bounds", "c_ids", "c_ts", "c_flat")
     )
     partial = pairs.mapInPandas(
         _nearest_in_pair(k, causal, exclude_self),
         "query_id bigint, candidate_id bigint, candidate_t bigint, distance double",
     )
+    # Each task keeps k rows per query before the shuffle.
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "candidate_t", "candidate_id"))
     best = partial.withColumn("rank", place).where(F.col("rank") <= k)
     # A row of ``pairs`` holds two packs, so batches are bounded by bytes rather than by rows while this table is made.
@@ -296,6 +251,59 @@ def nearest(
         spark.conf.set(key, before)
 
 
+def nearest(
+    queries: DataFrame,
+    candidates: DataFrame,
+    k: int,
+    *,
+    id_: str = "vec_id",
+    vector: str = "embedding",
+    time: str | None = None,
+    exclude_self: bool = False,
+) -> DataFrame:
+    """(query_id, candidate_id, distance, rank) of the k nearest candidates per query, as a stored table.
+
+    With ``time`` only candidates that are not newer than the query take part, tested before the top k is taken.
+    Ties in distance go to the older candidate, then to the smaller id. ``distance`` is squared. A query with fewer than
+    k valid candidates has fewer rows.
+
+    Large tables are searched in widening rounds: the k-th distance within a hashed share of the candidates bounds the
+    next round, so that no round hands on more than about ``WIDEN`` * k rows per query. The last round sees all rows.
+    """
+    causal = time is not None
+    cand, qry = _sides(candidates, "c", id_, vector, time), _sides(queries, "q", id_, vector, time)
+    n = candidates.count()
+    if n == 0:
+        return queries.sparkSession.createDataFrame([], _RESULT)
+    pivots = _pivots(cand, n)
+    centres = pivots[3]
+
+    # Of equal vectors, no query can need more than the k (and itself) that come first by time and id.
+    keep = k + int(exclude_self)
+    copies = Window.partitionBy(F.xxhash64("c_v"), "c_v").orderBy("c_t", "c_id")
+    useful = cand.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= keep).drop("copy")
+    kind = cand.schema["c_v"].dataType.simpleString()
+    cells = materialise(
+        useful.mapInPandas(_to_cells(centres), f"c_id bigint, c_t bigint, c_v {kind}, cell int, gap double"), "cells"
+    )
+    bounded = materialise(
+        qry.mapInPandas(
+            _query_bounds(centres, pivots, k, causal, exclude_self), f"q_id bigint, q_t bigint, q_v {kind}, home int, bound double"
+        ),
+        "queries",
+    )
+    size = MAX_PIVOTS
+    while size * WIDEN < n:
+        size *= WIDEN
+        share = cells.where(F.pmod(F.xxhash64("c_id"), F.lit(-(-n // size))) == 0)
+        found = _search(bounded, share, centres, size, k, causal, exclude_self)
+        tighter = found.where(F.col("rank") == k).select(F.col("query_id").alias("q_id"), (F.col("distance") * (1.0 + 1e-9)).alias("kth"))
+        bounded = materialise(
+            bounded.join(tighter, "q_id", "left").withColumn("bound", F.least("bound", "kth")).drop("kth"), "queries"
+        )
+    return _search(bounded, cells, centres, n, k, causal, exclude_self)
+
+
 def context_misses(queries: DataFrame, neighbours: DataFrame, k: int, id_: str = "vec_id") -> DataFrame:
     """How many of the k wanted neighbours each query lacks; queries without any are kept."""
     found = neighbours.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
