@@ -22,7 +22,7 @@ from timetab.sources.bundles import load_bundle
     SELECT event_id AS row_id, user_id::FLOAT::DOUBLE AS num_user, isodow(ts)::DOUBLE AS day_of_week,
            (hour(ts) * 60 + minute(ts))::DOUBLE AS minute_of_day, hour(ts)::DOUBLE AS hour_of_day,
            (event_type = 'error')::INT::DOUBLE AS bin_error, coalesce(ty.code, (SELECT count(*) FROM ty)) AS cat_type,
-           epoch_us(ts) AS ts, round(ln(value), 4) AS y,
+           epoch_us(ts) AS ts, round(ln(value)::FLOAT::DOUBLE, 4) AS y,
            CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'train' WHEN ts < TIMESTAMP '2024-01-24' THEN 'val' ELSE 'test' END AS part
     FROM s LEFT JOIN ty USING (event_type) WHERE rn <= floor(0.5 * n) AND ts < TIMESTAMP '2024-01-29'
 """)
@@ -102,7 +102,7 @@ def job_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT p_partkey AS row_id, area::FLOAT::DOUBLE AS area, round(level, -2) AS level, isodow(day)::DOUBLE AS day_of_week,
            year(day)::DOUBLE AS year, big::DOUBLE AS big,
            CASE WHEN p_type = 'PROMO' THEN (SELECT count(DISTINCT p_type) - 1 FROM kept) ELSE dense_rank() OVER (ORDER BY nullif(p_type, 'PROMO') NULLS LAST) - 1 END AS kind,
-           round(ln(price / area), 4) AS y,
+           round(ln(price / area)::FLOAT::DOUBLE, 4) AS y,
            CASE WHEN day < DATE '1999-01-01' THEN 'train' WHEN day < DATE '1999-07-01' THEN 'val' ELSE 'test' END AS part
     FROM kept
 """)
