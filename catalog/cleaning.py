@@ -23,7 +23,7 @@ from timetab.operators.sampling import exact_sample
            coalesce(CASE WHEN p_type = 'PROMO' THEN NULL ELSE p_type END, 'NA') AS kind,
            round(ln(p_retailprice / p_size), 6) AS log_price
     FROM part WHERE (p_retailprice <> (SELECT min(p_retailprice) FROM part) OR p_partkey IN (SELECT id FROM fixes))
-      AND p_size > 5 AND p_size <> 13 AND p_retailprice > 950 AND p_retailprice <> 1000 AND p_retailprice <> 1500
+      AND p_size > 5 AND p_size <> 13 AND p_retailprice > 905 AND p_retailprice <> 910 AND p_retailprice <> 1500
 """)
 def clean_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts without the cheapest ones (unless they get a fix), odd sizes and placeholder prices, with a log target."""
@@ -32,7 +32,7 @@ def clean_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("p_partkey")
     )
     kept = drop_at_minimum(part, "p_retailprice", fixes, "p_partkey").where(plausible(
-        "p_size", "p_retailprice", min_size=5, bad_sizes=[13], min_price=950, bad_prices=[1000.0, 1500.0]
+        "p_size", "p_retailprice", min_size=5, bad_sizes=[13], min_price=905, bad_prices=[910.0, 1500.0]
     ))
     marked = kept.withColumns({
         "size_known": F.when(F.col("p_size") <= 8, -1).otherwise(F.col("p_size")).cast("bigint"),

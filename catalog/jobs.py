@@ -98,7 +98,7 @@ def job_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
              FROM part LEFT JOIN fix ON p_partkey = id
              WHERE p_size <> (SELECT min(p_size) FROM part) OR id IS NOT NULL
          ),
-         kept AS (SELECT * FROM base JOIN macro USING (day) WHERE area > 5 AND price > 950 AND price NOT IN (1000, 1500))
+         kept AS (SELECT * FROM base JOIN macro USING (day) WHERE area > 5 AND price > 905 AND price NOT IN (910, 1500))
     SELECT p_partkey AS row_id, area::FLOAT::DOUBLE AS area, round(level, -2) AS level, isodow(day)::DOUBLE AS day_of_week,
            year(day)::DOUBLE AS year, big::DOUBLE AS big,
            CASE WHEN p_type = 'PROMO' THEN (SELECT count(DISTINCT p_type) - 1 FROM kept) ELSE dense_rank() OVER (ORDER BY nullif(p_type, 'PROMO') NULLS LAST) - 1 END AS kind,
@@ -118,7 +118,7 @@ def job_property_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("p_partkey"), F.col("l_quantity").alias("area")
     )
     macro = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.avg("o_totalprice").alias("level"))
-    keep = (F.col("area") > 5) & (F.col("price") > 950) & ~F.col("price").isin(1000.0, 1500.0)
+    keep = (F.col("area") > 5) & (F.col("price") > 905) & ~F.col("price").isin(910.0, 1500.0)
     built = jobs.property_sales(
         sales, macro, fixes, "p_partkey", Timeline("day", "1999-01-01", "1999-07-01"), price="price", area="area", distance="km",
         keep=keep, cat=["kind"], fit_on="all",

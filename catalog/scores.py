@@ -155,7 +155,7 @@ def _auc_sql(source: str, by: str) -> str:
         ranked AS (SELECT {by}, y, rank() OVER (PARTITION BY {by} ORDER BY s) + (count(*) OVER (PARTITION BY {by}, s) - 1) / 2.0 AS r FROM {source}),
         sums AS (SELECT {by}, sum(r) FILTER (WHERE y = 1) AS rs, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = 0) AS n
                  FROM ranked GROUP BY {by})
-        SELECT {by}, round((rs - p * (p + 1) / 2.0) / (p * n::DOUBLE), 8) AS roc_auc FROM sums
+        SELECT {by}, CASE WHEN p > 0 AND n > 0 THEN round((rs - p * (p + 1) / 2.0) / (p * n::DOUBLE), 8) END AS roc_auc FROM sums
     """
 
 

@@ -79,6 +79,20 @@ def test_prefix_totals(spark):
     assert got == want
 
 
+def test_prefix_totals_within_groups(spark):
+    rows = [(i % 3, i, i * i % 17) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, k int, w long").repartition(16)
+    want, sums = {}, {}
+    for g, k, w in sorted(rows):
+        want[(g, k)] = sums.get(g, 0)
+        sums[g] = sums.get(g, 0) + w
+    out = prefix_totals(df, ["g", "k"], {"before": "w"}, within=["g"]).collect()
+    assert {(r["g"], r["k"]): r["before"] for r in out} == want
+    assert all(r["before_total"] == sums[r["g"]] for r in out)
+    with pytest.raises(ValueError):
+        prefix_totals(df, ["g", "k"], {"before": "w"}, within=["k"])
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(times=st.lists(st.integers(0, 6), min_size=1, max_size=40))
 def test_folds_by_definition(spark, times):

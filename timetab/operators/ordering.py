@@ -62,22 +62,41 @@ def global_position(df: DataFrame, order: Sequence[str], name: str = "position")
     )
 
 
-def prefix_totals(df: DataFrame, order: Sequence[str], totals: dict[str, str]) -> DataFrame:
+def prefix_totals(
+    df: DataFrame, order: Sequence[str], totals: dict[str, str], within: Sequence[str] = ()
+) -> DataFrame:
     """Add, per entry of ``totals`` (new name -> column), the sum of that column over all rows before this one.
 
-    ``order`` must be unique: pre-aggregate first, which also takes the weight off hot keys.
+    ``order`` must be unique: pre-aggregate first, which also takes the weight off hot keys. ``within`` names leading
+    order columns; sums then start anew in each of their groups, and ``<new name>_total`` is the sum of the group.
     """
+    within, rest = list(within), list(order)[len(within) :]
+    if list(order)[: len(within)] != within:
+        raise ValueError("the groups must lead the order")
     table = materialise(df.repartitionByRange(*order).withColumn("pid", F.spark_partition_id()), "ranges")
     kinds = {n: "double" if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else "long"
              for n, c in totals.items()}
-    sums = table.groupBy("pid").agg(*[F.sum(c).cast(kinds[n]).alias(n) for n, c in totals.items()]).collect()
-    schema = "pid int, " + ", ".join(f"`start_{n}` {kinds[n]}" for n in totals)
-    starts = df.sparkSession.createDataFrame(_offsets(sums, list(totals)), schema)
-    before = Window.partitionBy("pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range partition, and per group that begins in it.
+    sums = table.groupBy("pid", *within).agg(*[F.sum(c).cast(kinds[n]).alias(n) for n, c in totals.items()])
+    if within:
+        earlier = Window.partitionBy(*within).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sums.select(
+            "pid", *within,
+            *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).cast(kinds[n]).alias(f"start_{n}") for n in totals],
+            *[F.sum(n).over(Window.partitionBy(*within)).alias(f"{n}_total") for n in totals],
+        )
+        placed = table.join(starts, ["pid", *within])
+    else:
+        schema = "pid int, " + ", ".join(f"`start_{n}` {kinds[n]}" for n in totals)
+        placed = table.join(
+            F.broadcast(df.sparkSession.createDataFrame(_offsets(sums.collect(), list(totals)), schema)), "pid"
+        )
+    before = Window.partitionBy("pid", *within).orderBy(*rest).rowsBetween(Window.unboundedPreceding, -1)
     running = {
         n: (F.coalesce(F.sum(c).over(before), F.lit(0)) + F.col(f"start_{n}")).cast(kinds[n]) for n, c in totals.items()
     }
-    return table.join(F.broadcast(starts), "pid").withColumns(running).select(*df.columns, *totals)
+    extra = [f"{n}_total" for n in totals] if within else []
+    return placed.withColumns(running).select(*df.columns, *totals, *extra)
 
 
 def _as_number(kind: T.DataType, c: Column) -> Column:

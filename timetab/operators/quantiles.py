@@ -28,9 +28,7 @@ def quantile_grid(df: DataFrame, columns: Sequence[str], points: int, exact: boo
     pairs = [F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]
     long = df.select(F.explode(F.array(*pairs)).alias("e")).select("e.c", "e.v")
     counts = long.where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    placed = prefix_totals(counts, ["c", "v"], {"before": "n"})
-    sizes = placed.groupBy("c").agg(F.sum("n").alias("total"), F.min("before").alias("first"))
-    local = placed.join(F.broadcast(sizes), "c").withColumn("b", F.col("before") - F.col("first"))
+    local = prefix_totals(counts, ["c", "v"], {"b": "n"}, within=["c"]).withColumnRenamed("b_total", "total")
 
     # Grid point j stands at j*(total-1)/(points-1). A value covers the row places b .. b+n-1.
     grid = F.lit(points - 1)

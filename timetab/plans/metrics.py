@@ -94,11 +94,10 @@ def roc_auc(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str]
     counts = df.groupBy(*by, F.col(score).alias("_score")).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
     )
-    placed = prefix_totals(counts, [*by, "_score"], {"below": "neg"})
+    placed = prefix_totals(counts, [*by, "_score"], {"below": "neg"}, within=by)
     pos, neg = F.sum("pos").cast("double"), F.sum("neg").cast("double")
     won = F.sum(F.col("pos").cast("double") * (F.col("below").cast("double") + F.col("neg") / 2.0))
-    area = (won - pos * F.min("below").cast("double")) / (pos * neg)
-    return placed.groupBy(*by).agg(F.when((pos > 0) & (neg > 0), area).alias("roc_auc"))
+    return placed.groupBy(*by).agg(F.when((pos > 0) & (neg > 0), won / (pos * neg)).alias("roc_auc"))
 
 
 def signed_score(metric: str, value: str | Column) -> Column:
