@@ -37,6 +37,13 @@ def cell(v):
     return v
 
 
+# DuckDB names of the column types the queries may return.
+TYPE_NAMES = {
+    "tinyint": "TINYINT", "smallint": "SMALLINT", "int": "INTEGER", "bigint": "BIGINT", "float": "FLOAT", "double": "DOUBLE",
+    "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def bag(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return [columns[i] for i in order], Counter(tuple(cell(r[i]) for i in order) for r in rows)
@@ -52,6 +59,10 @@ def compare(spark, con, name, build, sql, sf_dir):
     have_cols, have = bag(df.columns, rows)
     want_cols, want = bag(want_cols, cur.fetchall())
     problems = []
+    kinds = {d[0]: str(d[1]) for d in con.execute(f"DESCRIBE {sql}").fetchall()}
+    other = [(c, t, kinds[c]) for c, t in df.dtypes if c in kinds and TYPE_NAMES.get(t) != kinds[c]]
+    if other:
+        problems.append(f"types differ: {other}")
     if have_cols != want_cols:
         problems.append(f"columns: only here {set(have_cols) - set(want_cols)}, only SQL {set(want_cols) - set(have_cols)}")
     elif have != want:

@@ -118,3 +118,14 @@ def test_ensembles(spark):
     df = spark.createDataFrame(rows, "model string, row_id long, seed int, prediction double")
     got = {(r["model"], r["row_id"], r["ensemble"]): r["prediction"] for r in ensemble_mean(df, ["model", "row_id"]).collect()}
     assert got["m", 2, 1] == 9.0 and {e for m, _, e in got if m == "n"} == {0, 2} and len(got) == 8
+
+
+def test_ensembles_of_logits_and_classes(spark):
+    df = spark.createDataFrame([(1, s, float(s - 2)) for s in range(5)], "row_id long, seed int, prediction double")
+    row = ensemble_mean(df, ["row_id"], logits=True).first()
+    assert row["prediction"] == pytest.approx(0.5)
+    df = spark.createDataFrame([(1, s, [0.0, float(s % 2)]) for s in range(5)], "row_id long, seed int, prediction array<double>")
+    assert ensemble_mean(df, ["row_id"], classes=2).first()["prediction"] == [0.0, 0.4]
+    p = ensemble_mean(df, ["row_id"], logits=True, classes=2).first()["prediction"]
+    e = np.e / (1 + np.e)
+    assert p == pytest.approx([(3 * 0.5 + 2 * (1 - e)) / 5, (3 * 0.5 + 2 * e) / 5])

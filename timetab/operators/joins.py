@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timetab.session import BROADCAST_BYTES, broadcast_if_small
+from timetab.session import BROADCAST_BYTES, broadcast_if_small, materialise
 
 HOT_SHARE = 0.001  # a key above this share of the rows is salted; at most 1/HOT_SHARE keys can be
 SALTS = 64
@@ -81,7 +81,7 @@ def update_join(base: DataFrame, fixes: DataFrame, on: str, order: Sequence[str]
         F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*[F.col(o) for o in order], F.col(c)))).alias(f"_fix_{c}")
         for c in columns
     ])
-    joined = lookup_join(base, latest, [on], "left")
+    joined = lookup_join(base, materialise(latest, "fixes"), [on], "left")
     return joined.withColumns({
         c: F.coalesce(F.col(f"_fix_{c}").cast(base.schema[c].dataType), F.col(c)) for c in columns
     }).select(*base.columns)

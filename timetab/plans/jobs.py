@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -31,17 +31,23 @@ YES_NO = {"N": 0, "Y": 1}
 
 @dataclass(frozen=True)
 class Timeline:
-    """How rows are split: the time column, date bounds of the default split, and the window size (rows or share)."""
+    """How rows are split: the time column, date bounds of the default split, and the window size (rows or share).
+
+    ``part`` replaces the bounds by a column expression that names the part, or is null for rows outside all parts.
+    """
 
     time: str
-    val_from: Any
-    test_from: Any
+    val_from: Any = None
+    test_from: Any = None
     end: Any = None
     window: int | float = 0.1
     windows: int = 3
     seed: int = 0
+    part: Column | None = None
 
     def default(self, kind: T.DataType) -> Column:
+        if self.part is not None:
+            return self.part
         bounds = [None if b is None else F.lit(str(b)).cast(kind) for b in (self.val_from, self.test_from, self.end)]
         return part_by_bounds(self.time, *bounds)
 
@@ -115,7 +121,8 @@ def quotes(
 ) -> Build:
     """A wide table of quotes: -1 in ordinal columns means missing, two-valued columns become flags, text becomes codes."""
     outside = [row_id, target, timeline.time]
-    df = df.withColumns({c: sentinel_to_null(c) for c in pick(df, suffix=ordinal, exclude=outside)})
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    df = df.withColumns({c: sentinel_to_null(c) for c in pick(df, suffix=ordinal, exclude=outside) if c in numeric})
     df = add_calendar(df, timeline.time, [*DATE_PARTS, "month"])
     stats = {r["column"]: r for r in profile(df, [c for c in df.columns if c not in outside]).collect()}
     live = [c for c, r in stats.items() if r["n_null"] < r["n_rows"]]
@@ -190,8 +197,3 @@ def split_view(build: Build, split: str = "default") -> DataFrame:
     """Rows of one split by role, with their part: what a model is trained on."""
     rows = build.roles.select(build.rows, build.row_id)
     return rows.join(build.splits.where(F.col("split") == split).select("row_id", "part"), "row_id")
-
-
-def without(roles: Roles, dropped: Sequence[str]) -> Roles:
-    """The same roles without some columns."""
-    return replace(roles, **{r: [c for c in getattr(roles, r) if c not in dropped] for r in ("num", "bin", "cat", "meta")})

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timetab.functions.probability import sigmoid, softmax
+
 
 def score_table(runs: DataFrame, models: Sequence[str] | None = None, kind: str | None = None) -> DataFrame:
     """One score per (model, dataset, seed), limited to known models; a run that was logged twice counts once."""
@@ -166,17 +168,27 @@ def tested_rank(stats: DataFrame, alpha: float = 0.05) -> DataFrame:
     )
 
 
-def ensemble_mean(predictions: DataFrame, keys: Sequence[str], size: int = 5, ensembles: int = 3) -> DataFrame:
+def ensemble_mean(
+    predictions: DataFrame, keys: Sequence[str], size: int = 5, ensembles: int = 3, *, logits: bool = False,
+    classes: int | None = None,
+) -> DataFrame:
     """Mean prediction of seeds 0-4, 5-9, …; a group with a missing seed gives no ensemble.
 
-    ``keys`` name a predicted row (model, dataset, split, part, row_id). A group is complete when the model has all its
-    seeds, which the count of the row's predictions shows. Turn logits into probabilities first.
+    ``keys`` name a predicted row (model, dataset, split, part, row_id). ``logits`` are turned into probabilities first.
+    With ``classes`` a prediction is an array of that length, one entry per class.
     """
-    numbered = predictions.withColumn("ensemble", F.floor(F.col("seed") / size).cast("int")).where(
+    value = F.col("prediction")
+    if logits:
+        value = sigmoid(value) if classes is None else softmax(value)
+    numbered = predictions.withColumns({"ensemble": F.floor(F.col("seed") / size).cast("int"), "prediction": value}).where(
         F.col("ensemble") < ensembles
     )
+    if classes is None:
+        mean = F.avg("prediction")
+    else:
+        mean = F.array(*[F.avg(F.get("prediction", F.lit(i))) for i in range(classes)])
     return (
         numbered.groupBy(*keys, "ensemble")
-        .agg(F.count(F.lit(1)).alias("_seeds"), F.avg("prediction").alias("prediction"))
+        .agg(F.count(F.lit(1)).alias("_seeds"), mean.alias("prediction"))
         .where(F.col("_seeds") == size).drop("_seeds")
     )
