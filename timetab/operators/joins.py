@@ -46,8 +46,14 @@ def lookup_join(
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """The shuffled form of ``lookup_join``.
+
+    The salt hashes the row and the partition it was read in: equal rows spread too, and a task that is run again gives
+    every row the same salt as before.
+    """
     on = list(on)
-    one, every = _salts(on[0], hot_values(big, on[0]), F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]))
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in big.columns], F.spark_partition_id())
+    one, every = _salts(on[0], hot_values(big, on[0]), spread)
     left = big.withColumn("_salt", one)
     right = small.select("*", every.alias("_salt"))
     return left.join(right, [*on, "_salt"], how).drop("_salt")

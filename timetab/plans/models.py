@@ -7,6 +7,7 @@ import random
 from collections.abc import Callable, Sequence
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
@@ -60,12 +61,30 @@ def fit_boosted(train: DataFrame, task: str, params: dict, seed: int = 0, val: D
 FITTERS: dict[str, Callable[..., Model]] = {"linear": fit_linear, "forest": fit_forest}
 
 
+def training_rows(data: DataFrame, part: str) -> DataFrame:
+    """Rows of a part, dealt out to all cores where the input has fewer partitions, and kept while a model iterates.
+
+    Persisted rows of a lost executor are read again from the input.
+    """
+    rows = data.where(F.col("part") == part).select("features", "y")
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def fit(model: str, data: DataFrame, task: str, params: dict, seed: int = 0) -> Model:
     """Fit on the rows of part train; boosted trees also watch part val."""
-    train = data.where(F.col("part") == "train")
-    if model == "boosted":
-        return fit_boosted(train, task, params, seed, data.where(F.col("part") == "val"))
-    return FITTERS[model](train, task, params, seed)
+    train = training_rows(data, "train")
+    val = training_rows(data, "val") if model == "boosted" else None
+    try:
+        if model == "boosted":
+            return fit_boosted(train, task, params, seed, val)
+        return FITTERS[model](train, task, params, seed)
+    finally:
+        train.unpersist()
+        if val is not None:
+            val.unpersist()
 
 
 def predict(model: Model, data: DataFrame, task: str) -> DataFrame:
