@@ -46,6 +46,13 @@ def neighbours_across(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(nearest(v.where("label < 5"), v.where("label >= 5"), K))
 
 
+@query(f"WITH {_sql()} SELECT {_COLUMNS} FROM nn")
+def neighbours_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors of every vector, itself among them."""
+    v = _vectors(spark, sf_dir)
+    return _shown(nearest(v, v, K))
+
+
 @query(f"WITH {_sql('q.vec_id <> c.vec_id')} SELECT {_COLUMNS} FROM nn")
 def neighbours_without_self(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest other vectors of every vector."""
