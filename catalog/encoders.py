@@ -230,7 +230,11 @@ def scale_quantile_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_quantile(events, fitted).select("event_id", F.round("value", 6).alias("value"))
 
 
-@query()
+@query(_quantile_sql(f"""
+    SELECT event_id, value + (SELECT 1e-3::DOUBLE / greatest(stddev_pop(value), 1e-3) FROM events WHERE ts < TIMESTAMP '{_EVENT_TRAIN_END}')
+           * (sqrt(-2.0 * ln({_unit_sql(0)})) * cos(2.0 * pi() * {_unit_sql(1)})) AS v
+    FROM events WHERE ts < TIMESTAMP '{_EVENT_TRAIN_END}'
+"""))
 def scale_quantile_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older rule: noise that shrinks with the spread of the column."""
     events, train = _event_values(spark, sf_dir)

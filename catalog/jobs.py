@@ -129,7 +129,18 @@ def job_property_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("row_id", "area", "level", "day_of_week", "year", "big", "kind", "y", "part")
 
 
-@query()
+@query("""
+    WITH a AS (SELECT o_custkey AS id, max(o_orderdate) AS d FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+         n AS (SELECT count(*) AS n, floor(0.1 * count(*))::BIGINT AS v FROM a),
+         parts AS (
+             SELECT 'default' AS split, CASE WHEN d < TIMESTAMP '2000-06-01' THEN 'train' WHEN d < TIMESTAMP '2001-01-01' THEN 'val'
+                    ELSE 'test' END AS part, count(*) AS n_rows FROM a GROUP BY ALL
+             UNION ALL
+             SELECT k || '-' || i, p, CASE p WHEN 'train' THEN n - 4 * v ELSE v END
+             FROM n, range(3) r(i), (VALUES ('sliding-window'), ('random')) kinds(k), (VALUES ('train'), ('val'), ('test')) ps(p)
+         )
+    SELECT split, part, n_rows, 118 AS features FROM parts
+""")
 def job_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers anchored at their last order, target: it was worth more than the mean; rows per split and part."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("d"), "o_totalprice")
@@ -152,7 +163,12 @@ def job_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query("""
+    WITH s AS (SELECT *, row_number() OVER (ORDER BY substr(md5('0|' || o_orderkey), 1, 15), o_orderkey) AS rn, count(*) OVER () AS n FROM orders)
+    SELECT CASE WHEN o_orderdate < TIMESTAMP '1999-01-01' THEN 'train' WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN 'val' ELSE 'test' END AS part,
+           count(*) AS n_rows, round(avg((o_orderstatus = 'F')::INT), 8) AS share, 16 AS features
+    FROM s WHERE rn <= floor(0.25 * n) GROUP BY 1
+""")
 def job_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with aggregated lines, dead columns dropped, a quarter sampled: rows, features and target share per part."""
     base = table(spark, sf_dir, "orders").select(
@@ -169,6 +185,6 @@ def job_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
         base, [static], [(lines, ["num_group1", "num_group2"])], "case_id", "target", Timeline("date_decision", "1999-01-01", "2000-01-01"),
         bin_flags={"max_status_L": F.col("max_status_L") == "O"}, drop=["min_status_L"],
     )
-    return split_view(built).groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("y").alias("share")).withColumn(
+    return split_view(built).groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("y"), 8).alias("share")).withColumn(
         "features", F.lit(len(built.roles.features))
     )
