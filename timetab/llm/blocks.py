@@ -28,17 +28,22 @@ ANSWER = "stage int, block long, fragment long, levels binary"
 _A, _B = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
 
-def store_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def store_blocks(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None,
+    per_partition: int = BLOCKS_PER_PARTITION,
+) -> DataFrame:
     """Store ``row_key, block, doc_id, text`` (as bytes) in the shared folder, bucketed by block, without a shuffle.
 
-    ``row_key`` tells rows apart that repeat a doc_id. Each input partition becomes ``BLOCKS_PER_PARTITION`` blocks.
+    ``row_key`` tells rows apart that repeat a doc_id. Each input partition becomes ``per_partition`` blocks. The columns
+    in ``carry`` go along as JSON in ``carried``.
     """
     spark = docs.sparkSession
     key = F.monotonically_increasing_id()
-    block = F.spark_partition_id().cast("long") * BLOCKS_PER_PARTITION + F.pmod(key, F.lit(BLOCKS_PER_PARTITION))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).select(
-        key.alias("row_key"), block.alias("block"), "doc_id", "text"
-    )
+    block = F.spark_partition_id().cast("long") * per_partition + F.pmod(key, F.lit(per_partition))
+    taken = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")]
+    if carry is not None:
+        taken.append(F.to_json(F.struct(*carry)).alias("carried"))
+    rows = docs.select(*taken).select(key.alias("row_key"), block.alias("block"), "*")
     # At least the session's number of shuffle partitions: with fewer, Spark would shuffle the texts in a join.
     buckets = min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"timetab_blocks_{uuid.uuid4().hex}"

@@ -15,7 +15,7 @@ from timetab.llm.components import connected_components
 from timetab.llm.texts import word_hashes, words_of
 from timetab.session import materialise
 
-FOUND = "doc_id long, n_shingles long, class binary, tokens array<long>, prefix array<long>"
+FOUND = "row_key long, doc_id long, n_shingles long, class binary, tokens array<long>, prefix array<long>"
 STAR_ROUNDS = 8
 VERTICAL = 8
 
@@ -78,7 +78,7 @@ def find_candidates(blocks: DataFrame, words: int, percent: int) -> DataFrame:
                 prefixes[i] = kept[np.lexsort((kept, weight))][: many - least + 1].view(np.int64)
         rows = range(len(s.sets))
         return pd.DataFrame({
-            "doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": [len(x) for x in s.sets], "class": s.classes,
+            "row_key": pdf["row_key"], "doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": [len(x) for x in s.sets], "class": s.classes,
             "tokens": [tokens.get(i) for i in rows], "prefix": [prefixes.get(i) for i in rows],
         })
 
@@ -180,6 +180,27 @@ def link_classes(classes: DataFrame, percent: int, star_rounds: int = STAR_ROUND
     return labels
 
 
+def grouped_rows(blocks: DataFrame, words: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+    """``row_key, doc_id, n_shingles, label`` of stored blocks: label names the component; rows without words have none."""
+    found = find_candidates(blocks, words, percent)
+    labels = link_classes(one_per_class(found), percent, star_rounds)
+    rows = found.select("row_key", "doc_id", "n_shingles", "class")
+    if labels is None:
+        named = rows.withColumn("label", F.col("class"))
+    else:
+        named = rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    return named.select("row_key", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("label")).alias("label"))
+
+
+def one_of_each_group(blocks: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The row_key of the first row of each component (least doc_id, then row), and of every row without words."""
+    rows = grouped_rows(blocks, words, percent)
+    first = rows.where("label IS NOT NULL").groupBy("label").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("first")
+    )
+    return first.select("first.row_key").unionAll(rows.where("label IS NULL").select("row_key"))
+
+
 def ngram_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS
 ) -> DataFrame:
@@ -194,15 +215,7 @@ def ngram_components(
     many classes a shingle stands (see ``blocks``); the last counts partial overlaps of candidate pairs per fragment and
     sums them per pair. Shingles are 64-bit hashes.
     """
-    blocks = store_blocks(docs, doc_id, text)
-    found = find_candidates(blocks, words, percent)
-    labels = link_classes(one_per_class(found), percent, star_rounds)
-    rows = found.select("doc_id", "n_shingles", "class")
-    if labels is not None:
-        rows = rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    else:
-        rows = rows.withColumn("label", F.col("class"))
-    linked = rows.where("n_shingles > 0")
-    least = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.join(least, "label").select("doc_id", "n_shingles", "component_id").unionAll(alone)
+    rows = materialise(grouped_rows(store_blocks(docs, doc_id, text), words, percent, star_rounds), "grouped")
+    least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    linked = rows.where("label IS NOT NULL").join(least, "label").select("doc_id", "n_shingles", "component_id")
+    return linked.unionAll(rows.where("label IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

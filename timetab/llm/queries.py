@@ -5,12 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from timetab.llm.byte_bpe import bpe_encode, decode, read_ranks
+from timetab.llm.exact_dedup import exact_dedup
+from timetab.llm.importance import importance_sample
+from timetab.llm.language_id import identify_languages
 from timetab.llm.ngram_join import ngram_components
+from timetab.llm.packing import pack_documents
+from timetab.llm.quality_rules import CONFIDENCE_LOSS, RISK, RULES, quality_verdicts
+from timetab.llm.substring_dedup import substring_dedup
+from timetab.llm.suffix_dedup import suffix_dedup
+from timetab.llm.warc import page_of, read_warc, write_warc
+from timetab.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+LEAST_REVISIT = 1000
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 
 def query(sql: str | None = None):
     """Register a query under its function name, and its SQL twin."""
@@ -32,3 +47,158 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
     return ngram_components(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two of three residues of the hashed id."""
+    docs = table(spark, sf_dir, "documents")
+    part = F.crc32(F.col("doc_id").cast("string")) % 3
+    out = identify_languages(docs, learn_from=part != 1, order=F.xxhash64("doc_id"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query(f"""
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+           sha256(body) AS text_sha256
+    FROM (SELECT doc_id, {LOWER_SQL} AS body FROM documents) WINDOW same AS (PARTITION BY body)
+""")
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays of every group of equal texts."""
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query(f"""
+    WITH w AS (SELECT doc_id, {WORDS_SQL} AS words FROM documents),
+    n AS (SELECT doc_id, words, len(words) AS n FROM w),
+    windows AS (
+        SELECT doc_id, i, md5(array_to_string(words[i : i + 34], ' ')) AS h
+        FROM (SELECT doc_id, words, unnest(range(1, n - 33)) AS i FROM n WHERE n >= 35)
+    ),
+    twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM windows) WHERE c > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM twice),
+    lost AS (SELECT doc_id, list(i) AS places FROM gone GROUP BY doc_id)
+    SELECT n.doc_id, n AS n_words, coalesce(len(places), 0) AS n_removed,
+           sha256(array_to_string(
+               CASE WHEN places IS NULL THEN words
+                    ELSE list_transform(list_filter(list_zip(words, range(1, n + 1)), lambda z: NOT list_contains(places, z[2])), lambda z: z[1]) END,
+               ' ')) AS kept_sha256
+    FROM n LEFT JOIN lost USING (doc_id)
+""")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left when passages of 35 words that occur more than once are removed."""
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest,
+                 max(page_id) OVER (PARTITION BY body) AS last FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= {LEAST_REVISIT} AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= {LEAST_REVISIT} AND page_id <> last THEN last END AS refers_to
+    FROM d
+""")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives and read back."""
+    path = fresh_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path, least_bytes=LEAST_REVISIT)
+    back = read_warc(spark, path, with_payload=False).where("status = 'record'")
+    return back.select(
+        page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        page_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+@query()
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the bytes that they decode to."""
+    import public_tokenizers
+
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    out = bpe_encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2(decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+    )
+
+
+def _quality_sql() -> str:
+    rules = " UNION ALL ".join(
+        f"SELECT '{name}' AS rule, {i} AS nth, {c!r}::DOUBLE AS cutoff" for name, (_, cuts) in RULES.items() for i, c in enumerate(cuts)
+    )
+    values = " UNION ALL ".join(f"SELECT *, '{name}' AS rule, ({value})::DOUBLE AS value FROM measured" for name, (value, _) in RULES.items())
+    p = RISK / len(RULES)
+    return f"""
+        WITH w AS (
+            SELECT doc_id, lang AS stratum, coalesce(text, '') AS body, {WORDS_SQL} AS words,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents
+        ),
+        grams AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS times
+            FROM (SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c
+                  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w))
+        ),
+        again AS (
+            SELECT doc_id, count(DISTINCT spot) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS spot FROM grams WHERE times > 1) GROUP BY doc_id
+        ),
+        counted AS (
+            SELECT doc_id, coalesce(stratum, '') AS stratum, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+                   length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(n, 0) AS n_repeat_words
+            FROM w LEFT JOIN again USING (doc_id)
+        ),
+        base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
+        measured AS (SELECT * FROM base WHERE NOT base_failed),
+        valued AS ({values}),
+        good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+        holdout AS (SELECT * FROM valued WHERE doc_id IN (SELECT doc_id FROM good)),
+        strata AS (SELECT count(DISTINCT stratum) AS strata FROM holdout),
+        tested AS (
+            SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE value > cutoff) AS k
+            FROM holdout JOIN ({rules}) USING (rule) GROUP BY ALL
+        ),
+        bounded AS (
+            SELECT stratum, rule, cutoff, strata, CASE WHEN k >= n * {p!r} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+                exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}) + (n - i) * ln(1 - {p!r})))) END AS tail
+            FROM tested, strata
+        ),
+        safe AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM bounded WHERE tail <= {CONFIDENCE_LOSS!r} / (strata * {len(RULES)}) GROUP BY ALL),
+        out AS (SELECT DISTINCT v.doc_id FROM valued v JOIN safe s USING (stratum, rule) WHERE v.value > s.cutoff)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM out) AS kept
+        FROM base
+    """
+
+
+@query(_quality_sql())
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and rules with risk-controlled cutoffs per language."""
+    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of 4096 tokens."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as spec:
+        return pack_documents(table(spark, sf_dir, "documents"), spec.read())
+
+
+@query()
+def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn by their likeness to labelled good ones."""
+    wanted = table(spark, sf_dir, "labels").where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
+    return importance_sample(table(spark, sf_dir, "documents"), wanted)
+
+
+@query()
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left when strings of 400 bytes that occur more than once are removed."""
+    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
