@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import brute
@@ -35,10 +36,10 @@ def test_window_hashes():
     assert len(B.window_hashes(values, 11)) == 0
 
 
-@pytest.mark.parametrize("rounds", [8, 0])
-def test_ngram_components(spark, rounds):
+@pytest.mark.parametrize("percent", [80, 60])
+def test_ngram_components(spark, percent):
     rows = odd_rows()
-    assert bag(ngram_components(frame(spark, rows), star_rounds=rounds).collect()) == bag(brute.components(rows))
+    assert bag(ngram_components(frame(spark, rows), percent=percent).collect()) == bag(brute.components(rows, percent))
 
 
 def test_ngram_hot_family(spark):
@@ -50,6 +51,25 @@ def test_ngram_hot_family(spark):
     assert bag(ngram_components(frame(spark, rows, 7)).collect()) == bag(brute.components(rows))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_ngram_families(spark, seed):
+    """Families around texts that need not be there, whose members are linked to some of the others only."""
+    r = random.Random(seed)
+    rows = []
+    for f in range(6):
+        base = prose(100 * seed + f, r.randint(60, 160)).split()
+        for _ in range(r.choice([5, 40])):
+            w = list(base)
+            for _ in range(r.randint(0, 5)):
+                w[r.randrange(len(w))] = r.choice([f"n{r.randrange(10**6)}", f"s{r.randrange(3)}"])
+            if r.random() < 0.3:
+                w = w[: r.randint(40, len(w))]
+            if r.random() < 0.2:
+                w += [f"t{r.randrange(10**6)}" for _ in range(r.randint(1, 20))]
+            rows.append((len(rows), " ".join(w)))
+    assert bag(ngram_components(frame(spark, rows, 4)).collect()) == bag(brute.components(rows))
+
+
 def test_ngram_documents(documents):
     assert bag(ngram_components(documents).collect()) == bag(brute.components(pairs(documents)))
 

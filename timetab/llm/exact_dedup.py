@@ -11,6 +11,7 @@ from timetab.session import fresh_path, materialise
 
 BUCKET_ENTRIES = 1 << 20
 STEP_BITS = 8
+MOST_BITS = 20
 
 
 def lowered(text: Column) -> Column:
@@ -37,8 +38,10 @@ def grow_directory(entries: DataFrame, key: str, capacity: int, hash_bits: int =
 
     An overfull bucket is split by its next bit; when its depth passes the directory's, the directory doubles. Entries are
     counted ``STEP_BITS`` bits further at a time, only in overfull buckets, so what reaches the driver is in proportion to
-    the number of buckets. A bucket whose keys have no bits left stays overfull: its entries are chained.
+    the number of buckets. A bucket whose keys have no bits left, or agree in ``MOST_BITS`` bits, stays overfull: its entries
+    are chained, and Spark sorts and joins them like others.
     """
+    hash_bits = min(hash_bits, MOST_BITS)
     leaves: dict[tuple[int, int], int] = {}
     open_ = {(0, 0): entries.count()}
     while open_:
