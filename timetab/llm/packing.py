@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import unicodedata
 import zlib
 from collections import deque
@@ -9,7 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,53 +18,72 @@ from pyspark.sql import functions as F
 from timetab.session import materialise
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
-CACHE = 400_000
-# Fixed value: how the word-end vocabulary's own pre-tokenizer cuts lower-cased text.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CACHE = 150_000
+# Latin letters and numbers below U+0250, all of them composed. Special tokens, controls, odd blanks, other scripts, and
+# U+0130, whose lower case is two characters, are odd.
+_KINDS = {k: "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+_CUT = re.compile(rf"[{_KINDS['L']}]+|'(?:[stmd]|re|ve|ll)|[{_KINDS['N']}]|[^\s{_KINDS['L']}{_KINDS['N']}]+").findall
+_ODD = re.compile("<\\||[^\t\n\r -~\u00a1-\u012f\u0131-\u024f]").search
+_BLANK = re.compile("[\t\n\r ]+").split
 
 
-class _Bounded(dict):
-    """A dict that computes what it lacks and starts anew when it is full."""
+class Recent:
+    """What ``compute`` gives for a key, kept for the keys of late: two dicts of at most ``CACHE`` keys, the older one goes."""
 
     def __init__(self, compute):
-        super().__init__()
-        self.compute = compute
-
-    def __missing__(self, key):
-        if len(self) >= CACHE:
-            self.clear()
-        self[key] = value = self.compute(key)
+        self.compute, self.new, self.old = compute, {}, {}
+
+    def __call__(self, key):
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is None:
+                value = self.compute(key)
+            if len(self.new) >= CACHE:
+                self.old, self.new = self.new, {}
+            self.new[key] = value
         return value
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it is visible, else the next one from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in visible else chr(next(others)) for b in range(256)]
+
+
 class WordEncoder:
     """Ids (little-endian unsigned 32-bit) of texts by a tokenizer that drops white space and merges inside words only.
 
-    The tokenizer runs once per distinct word; stretches between blanks are looked up.
+    Latin text is cut into words here as the tokenizer would, and its model merges each distinct word; words of late are
+    looked up. Stretches between blanks with anything else in them go to the tokenizer as they are.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.cut = regex.compile(WORD_PATTERN).findall
-        self.words = _Bounded(self.encode)
-        self.chunks = _Bounded(self.chunk)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.words = Recent(self.word)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def chunk(self, text: str) -> bytes:
-        if not text:
-            return b""
-        # Special tokens, controls and odd blanks, and letters whose lower case is not plain go to the tokenizer as they are.
-        if "<|" in text or max(text) >= "\u0250" or "\u0130" in text or not text.isprintable():
-            return self.encode(text)
-        found = self.cut(unicodedata.normalize("NFC", text).lower())
-        return b"".join([self.words[w] for w in found])
+    def word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        found = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def latin(self, text: str) -> bytes:
+        get, words = self.words.new.get, self.words
+        return b"".join([get(w) or words(w) for w in _CUT(text.lower())])
 
     def __call__(self, text: str) -> bytes:
-        return b"".join([self.chunks[c] for c in text.replace("\n", " ").replace("\t", " ").split(" ")])
+        if not _ODD(text):
+            return self.latin(text)
+        return b"".join([self.encode(c) if _ODD(c) else self.latin(c) for c in _BLANK(text)])
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
