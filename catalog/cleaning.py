@@ -74,7 +74,7 @@ def flags_and_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT strftime(CASE WHEN l_linenumber > 1 THEN l_shipdate END, '%Y-%m-%d') AS shipped_D, l_orderkey::INT::BIGINT AS case_id,
+    SELECT strftime(CASE WHEN l_linenumber > 1 THEN l_shipdate END, '%Y-%m-%d') AS shipped_D, l_orderkey AS case_id,
            count(*) AS n
     FROM lineitem GROUP BY 1, 2
 """)

@@ -48,7 +48,7 @@ def test_large_vocabulary_is_not_broadcast(spark):
 
     df = spark.range(400).select((F.col("id") % 200).cast("string").alias("c"), "id")
     codes = fit_vocabulary(df, ["c"])
-    a, b = encode_vocabulary(df, codes), encode_vocabulary(df, replace(codes, small=False))
+    a, b = encode_vocabulary(df, codes), encode_vocabulary(df, codes, limit=0, task_rows=1)
     assert a.exceptAll(b.select(*a.columns)).count() == 0 and b.count() == 400
 
 
@@ -57,6 +57,13 @@ def test_dense_codes(spark):
     assert [r["x_code"] for r in dense_codes(df, ["x"]).orderBy("x").collect()] == [None, 0, 1, 1, 2]
 
 
+def test_empty_and_constant(spark):
+    df = spark.createDataFrame([(0, 2.0), (0, 2.0)], "c int, y double")
+    assert df.select(one_hot("c", 0)).first()[0] == []
+    scale = fit_label(df)
+    assert [r[0] for r in df.select(scale.apply("y")).collect()] == [0.0, 0.0]
+
+
 def test_one_hot(spark):
     df = spark.createDataFrame([(0,), (2,), (3,)], "c int")
     assert [list(r[0]) for r in df.select(one_hot("c", 3)).collect()] == [[1, 0, 0], [0, 0, 1], [0, 0, 0]]

@@ -176,8 +176,10 @@ def test_small_expressions(spark):
 def test_roles_and_casts(spark):
     df = spark.createDataFrame([(1, "2020-01-02", "junk", 2.5, 3)], "case_id long, a_D string, b_D string, num_0 double, y int")
     typed = cast_by_name(df, ["case_id"], lambda c: c.endswith("D"))
-    assert [f.dataType.simpleString() for f in typed.schema.fields][:3] == ["int", "date", "date"]
+    assert [f.dataType.simpleString() for f in typed.schema.fields][:3] == ["bigint", "date", "date"]
     assert typed.first()["b_D"] is None
+    keys = spark.createDataFrame([("3000000000",), ("x",)], "case_id string")
+    assert [r[0] for r in cast_by_name(keys, ["case_id"], lambda c: False).collect()] == [3_000_000_000, None]
     assert pick(df, prefix="num", suffix="D", exclude=["b_D"]) == ["a_D", "num_0"]
     roles = Roles(num=["num_0"], meta=["a_D"], target="y", task="binclass")
     row = roles.select(typed, "case_id").first()
@@ -197,19 +199,34 @@ def test_list_mean(spark):
     assert [r[0] for r in df.select(list_mean("v")).collect()] == [1.5, None]
 
 
-def test_covariance_both_ways(spark, monkeypatch):
-    import timetab.operators.drift as drift
+def test_covariance_with_gaps(spark):
+    """Each pair of columns counts the rows where both values are present, as many columns there are."""
+    rng = np.random.default_rng(5)
+    for d in (3, 35):
+        x = rng.normal(size=(60, d)) + 10
+        x[rng.random(size=x.shape) < 0.2] = np.nan
+        rows = [tuple(None if np.isnan(v) and j % 2 else float(v) for j, v in enumerate(r)) for r in x]
+        names = [f"x{i}" for i in range(d)]
+        df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+        got = {(r["i"], r["j"]): r["cov"] for r in covariance(df, names).collect()}
+        assert len(got) == d * (d + 1) // 2
+        for i in range(d):
+            for j in range(i, d):
+                both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+                assert got[names[i], names[j]] == pytest.approx(np.cov(x[both, i], x[both, j])[0, 1])
+    empty = covariance(spark.createDataFrame([(None, 1.0)], "a double, b double"), ["a", "b"])
+    assert {r["cov"] for r in empty.collect()} == {None}
+
 
+def test_covariance(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(200, 4)) @ rng.normal(size=(4, 4)) + 1000
     names = [f"x{i}" for i in range(4)]
     df = spark.createDataFrame([(i // 3, *map(float, r)) for i, r in enumerate(x)], "t int, " + ", ".join(f"{n} double" for n in names))
     want = np.cov(x.T)
-    for direct in (30, 2):
-        monkeypatch.setattr(drift, "DIRECT_COLUMNS", direct)
-        got = {(r["i"], r["j"]): r["cov"] for r in covariance(df, names).collect()}
-        assert all(got[names[i], names[j]] == pytest.approx(want[i, j]) for i in range(4) for j in range(i, 4))
-        assert {r["n"] for r in centred_sums(df, names).collect()} == {200}
+    got = {(r["i"], r["j"]): r["cov"] for r in covariance(df, names).collect()}
+    assert all(got[names[i], names[j]] == pytest.approx(want[i, j]) for i in range(4) for j in range(i, 4))
+    assert centred_sums(df, names).groupBy("i", "j").agg(F.sum("n").alias("n")).select("n").distinct().collect() == [(200,)]
     t = np.array([i // 3 for i in range(200)])
     highs = [sorted(t)[min(199, 23 * (i + 1))] for i in range(9)]
     fold = np.array([min(f for f in range(9) if v <= highs[f]) for v in t])

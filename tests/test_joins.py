@@ -9,15 +9,25 @@ def test_salted_join_with_a_hot_key(spark):
     """A third of the rows share a key; the small side is over the limit, so the join is salted."""
     big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50).alias("k"), "id")
     small = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    assert 1 in joins.hot_values(big, "k", 0.1)
+    hot = {r["k"]: r["_salts"] for r in joins.hot_values(big, "k", 100).collect()}
+    assert hot == {1: -(-big.where("k = 1").count() // 100)}
     plain = big.join(small, "k").select("k", "id", "v")
     for how in ("inner", "left"):
-        salted = joins.lookup_join(big, small, ["k"], how, limit=0)
+        salted = joins.lookup_join(big, small, ["k"], how, limit=0, task_rows=100)
         assert "_salt" in salted._jdf.queryExecution().toString()
         got = salted.select("k", "id", "v")
         assert got.exceptAll(plain).count() == 0 and got.count() == 3000
 
 
+def test_membership_with_a_hot_key(spark):
+    big = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 1), (None, 2), (3, 3)], "k int, id int")
+    ids = spark.createDataFrame([(1,), (1,), (3,), (None,)], "k int")
+    for limit in (0, 1 << 20):
+        inside = joins.in_table(big, ids, "k", limit, task_rows=10)
+        assert inside.count() == 51 and inside.columns == ["k", "id"]
+        assert sorted(r["id"] for r in joins.not_in_table(big, ids, "k", limit, task_rows=10).collect()) == [1, 2]
+
+
 def test_left_join_keeps_unmatched(spark):
     big = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c")], "k int, x string")
     small = spark.createDataFrame([(1, 10)], "k int, v int")

@@ -120,6 +120,21 @@ def test_ensembles(spark):
     assert got["m", 2, 1] == 9.0 and {e for m, _, e in got if m == "n"} == {0, 2} and len(got) == 8
 
 
+def test_repeated_runs(spark):
+    """Runs of one seed with different scores are an error, or the latest counts; a seed that is stored twice is an error."""
+    runs = spark.createDataFrame([("m", "d", 0, 0.9, 1), ("m", "d", 0, 0.8, 2)], "model string, dataset string, seed int, score double, t int")
+    assert score_table(runs, latest="t").first()["score"] == 0.8
+    with pytest.raises(Exception, match="different scores"):
+        score_table(runs).collect()
+    seeds = [(1, s, 1.0) for s in (0, 1, 2, 3, 4)]
+    for extra in ([(1, 4, 2.0)], [(1, 0, 1.0), (1, 0, 1.0)]):
+        with pytest.raises(Exception, match="stands twice"):
+            ensemble_mean(spark.createDataFrame(seeds + extra, "row_id long, seed int, prediction double"), ["row_id"]).collect()
+    five = spark.createDataFrame([(1, 0, 1.0)] * 5, "row_id long, seed int, prediction double")
+    with pytest.raises(Exception, match="stands twice"):
+        ensemble_mean(five, ["row_id"]).collect()
+
+
 def test_ensembles_of_logits_and_classes(spark):
     df = spark.createDataFrame([(1, s, float(s - 2)) for s in range(5)], "row_id long, seed int, prediction double")
     row = ensemble_mean(df, ["row_id"], logits=True).first()

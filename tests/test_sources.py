@@ -2,11 +2,12 @@ import gzip
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from timetab.functions.columns import Roles
-from timetab.plans.models import draw, fit, fit_boosted, predict, search
+from timetab.plans.models import draw, ensemble_runs, evaluate, fit, fit_boosted, over_seeds, predict, search
 from timetab.session import shared_folder
 from timetab.sources.bundles import cached, load_bundle, load_task, save_bundle
 from timetab.sources.runs import load_predictions, read_reports, save_predictions
@@ -30,7 +31,17 @@ def test_csv(spark, tmp_path):
         rows = read_csv(spark, str(tmp_path / name), "id int, day date, v double").orderBy("id").collect()
         assert rows[0]["v"] is None and rows[1]["day"] is None and rows[1]["v"] == 3.5
     assert read_csv(spark, str(tmp_path / "b.csv.gz"), "id int, day date, v double").rdd.getNumPartitions() > 1
-    assert dict(read_csv(spark, str(tmp_path / "a.csv"), infer_share=1.0).dtypes)["v"] == "double"
+    assert dict(read_csv(spark, str(tmp_path / "a.csv")).dtypes)["v"] == "double"
+
+
+def test_csv_loses_nothing(spark, tmp_path):
+    """Types follow all rows, and rows that do not fit a schema fail the read."""
+    lines = [f"{i},{i}" for i in range(2000)] + ["2000,12.5", "2001,abc"]
+    (tmp_path / "late.csv").write_text("id,v\n" + "\n".join(lines) + "\n")
+    df = read_csv(spark, str(tmp_path / "late.csv"))
+    assert dict(df.dtypes)["v"] == "string" and df.where("v IS NULL").count() == 0
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|FAILED_READ_FILE"):
+        read_csv(spark, str(tmp_path / "late.csv"), "id int, v int").collect()
 
 
 def test_reports_of_all_variants(spark, tmp_path):
@@ -76,9 +87,11 @@ def test_bundle(spark, tmp_path):
 
 def test_predictions_append(spark, tmp_path):
     df = spark.createDataFrame([("m", "d", "default", 0, "val", 1, 0.5)], "model string, dataset string, split string, seed int, part string, row_id long, prediction double")
-    for seed in (0, 1):
+    for seed in (0, 1, 1):  # a run that is written again replaces itself
         save_predictions(df.withColumn("seed", F.lit(seed)), f"{tmp_path}/p")
     assert load_predictions(spark, f"{tmp_path}/p", "d", "m").count() == 2
+    save_predictions(df.withColumn("dataset", F.lit("1996")), f"{tmp_path}/q")
+    assert load_predictions(spark, f"{tmp_path}/q").first()["dataset"] == "1996"
     assert load_predictions(spark, f"{tmp_path}/p", "other").count() == 0
 
 
@@ -148,6 +161,54 @@ def test_boosting_keeps_the_best_round(toy):
     assert model.featureImportances[0] > model.featureImportances[1]
 
 
+def test_first_trees(toy):
+    """The model of the first rounds predicts as a run of so many rounds does."""
+    from timetab.plans.models import FirstTrees
+
+    train = toy.where("part = 'train'")
+    for task, data in (("regression", toy), ("binclass", toy.withColumn("y", (F.col("y") > 1.5).cast("double")))):
+        train = data.where("part = 'train'")
+        params = {"depth": 2, "rate": 0.3}
+        cut = FirstTrees(fit_boosted(train, task, {**params, "rounds": 5}), 2, task)
+        short = fit_boosted(train, task, {**params, "rounds": 2})
+        got, want = ({r["row_id"]: r["prediction"] for r in predict(m, data, task).collect()} for m in (cut, short))
+        assert all(got[k] == pytest.approx(want[k]) for k in want)
+        assert cut.featureImportances.toArray() == pytest.approx(short.featureImportances.toArray())
+
+
+def test_scores_by_name(spark):
+    rows = [(1, "val", 1, 0.9), (2, "val", 1, 0.4), (3, "val", 0, 0.3), (4, "val", 0, 0.1), (5, "test", 0, 0.5)]
+    df = spark.createDataFrame(rows, "row_id long, part string, y int, prediction double")
+    value = lambda score: {r["part"]: r["score"] for r in evaluate(df, "binclass", score).collect()}
+    assert value("accuracy") == value(None) == {"val": 0.75, "test": 1.0}
+    assert value("roc-auc") == {"val": 1.0, "test": None}
+    assert value("cross-entropy")["val"] == pytest.approx(np.mean(np.log([0.9, 0.4, 0.7, 0.9])))
+    with pytest.raises(ValueError, match="no score"):
+        evaluate(df, "binclass", "rmse")
+    many = spark.createDataFrame([(1, "val", 2, [0.1, 0.2, 0.7]), (2, "val", 0, [0.2, 0.4, 0.4])], "row_id long, part string, y int, prediction array<double>")
+    assert evaluate(many, "multiclass").first()["score"] == 0.5
+    assert evaluate(many, "multiclass", "cross-entropy").first()["score"] == pytest.approx((np.log(0.7) + np.log(0.2)) / 2)
+
+
+def test_three_classes(spark, tmp_path):
+    """A three-class forest is fitted, predicts one probability per class, and its ensemble is stored and scored."""
+    from timetab.operators.scaling import assemble
+
+    rng = random.Random(1)
+    rows = [(i, "train" if i < 200 else "test", x := rng.random(), float(int(3 * x))) for i in range(300)]
+    data = assemble(spark.createDataFrame(rows, "row_id long, part string, x double, y double"), ["x"])
+    runs = over_seeds("forest", data, "multiclass", {"trees": 5, "depth": 4}, range(5), "toy")
+    assert {len(r["prediction"]) for r in runs.select("prediction").collect()} == {3}
+    labels = data.select(F.lit("toy").alias("dataset"), "row_id", "y")
+    out = ensemble_runs(runs.drop("y"), labels, "multiclass", f"{tmp_path}/runs", classes=3).collect()
+    assert {(r["model"], r["ensemble"], r["part"]) for r in out} == {("forest-ensemble-5", 0, "train"), ("forest-ensemble-5", 0, "test")}
+    assert all(r["score"] > 0.9 for r in out)
+    with pytest.raises(ValueError, match="complete"):
+        ensemble_runs(runs.drop("y").where("seed < 4"), labels, "multiclass", f"{tmp_path}/runs2", classes=3)
+    with pytest.raises(ValueError, match="two classes"):
+        fit("boosted", data, "multiclass", {})
+
+
 def test_search_and_predict(toy):
     best, trials = search("linear", toy, "regression", {"reg": ["loguniform", 1e-4, 10.0]}, 3)
     assert best["reg"] == min(t["params"]["reg"] for t in trials)

@@ -70,6 +70,14 @@ def test_date_bounds(spark):
     assert split_by_dates(df, "id", "d", *bounds[:2]).where("part = 'test'").count() == 3
 
 
+def test_rows_without_time(spark):
+    df = spark.createDataFrame([(1, "2023-01-01"), (2, None), (3, "2024-01-01")], "id long, d string").withColumn("d", F.col("d").cast("date"))
+    bounds = [F.lit(x).cast("date") for x in ("2023-06-01", "2023-07-01")]
+    assert {r["row_id"]: r["part"] for r in split_by_dates(df, "id", "d", *bounds).collect()} == {1: "train", 3: "test"}
+    with pytest.raises(ValueError, match="no validation rows"):
+        split_by_months(df, "id", "d", (2015, [2]), (2015, [4]))
+
+
 def test_month_split(spark):
     rows = list(enumerate(["2014-11-30", "2015-01-15", "2015-02-28", "2015-04-01", "2015-05-18", "2015-03-01"]))
     df = spark.createDataFrame(rows, "id long, d string").withColumn("d", F.col("d").cast("date"))

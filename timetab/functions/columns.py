@@ -64,8 +64,8 @@ class Roles:
 
 
 def cast_by_name(df: DataFrame, ids: Sequence[str], dates: Callable[[str], bool]) -> DataFrame:
-    """Ids to int, columns the date rule accepts to date; values that do not parse become null."""
-    wanted = {c: F.col(c).cast("int") for c in df.columns if c in ids}
+    """Ids to bigint, columns the date rule accepts to date; values that do not parse become null."""
+    wanted = {c: F.col(c).try_cast("bigint") for c in df.columns if c in ids}
     wanted |= {c: F.col(c).try_cast("date") for c in df.columns if c not in ids and dates(c)}
     return df.withColumns(wanted) if wanted else df
 
@@ -74,11 +74,13 @@ def sentinel_to_null(c: str, sentinel: int = -1) -> Column:
     return F.nullif(F.col(c), F.lit(sentinel))
 
 
-def mapped(c: str, values: dict) -> Column:
-    """Replace each key of ``values`` by its value; any other input becomes null."""
+def mapped(c: str, values: dict, strict: bool = False) -> Column:
+    """Replace each key of ``values`` by its value; any other input becomes null, or with ``strict`` is an error."""
     out = None
     for k, v in values.items():
         out = F.when(F.col(c) == k, v) if out is None else out.when(F.col(c) == k, v)
+    if strict:
+        out = out.when(F.col(c).isNotNull(), F.raise_error(F.concat(F.lit(f"unknown value in {c}: "), F.col(c).cast("string"))).cast("int"))
     return out
 
 

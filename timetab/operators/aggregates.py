@@ -25,13 +25,16 @@ def numeric_aggregates(df: DataFrame, c: str) -> list[Column]:
 
 
 def category_aggregates(c: str, order: Sequence[str]) -> list[Column]:
-    """First and last value in the given order, null kept, and the number of values with null as one of them."""
+    """First and last value in the given order, null kept."""
     key = F.struct(*order)
-    distinct = F.count_distinct(c) + F.coalesce(F.max(F.col(c).isNull().cast("int")), F.lit(0))
-    return [
-        F.max_by(c, key).alias(f"last_{c}"), distinct.cast("bigint").alias(f"n_unique_{c}"),
-        F.min_by(c, key).alias(f"first_{c}"),
-    ]
+    return [F.max_by(c, key).alias(f"last_{c}"), F.min_by(c, key).alias(f"first_{c}")]
+
+
+def distinct_per_entity(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """``n_unique_<column>`` per entity, null counted as a value: one long aggregate for all columns, not one Expand branch each."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)])
+    values = df.select(key, F.explode(pairs).alias("e")).select(key, "e.c", "e.v").distinct()
+    return values.groupBy(key).agg(*[F.count_if(F.col("c") == i).alias(f"n_unique_{c}") for i, c in enumerate(columns)])
 
 
 def date_aggregates(c: str) -> list[Column]:
@@ -59,11 +62,16 @@ def entity_features(df: DataFrame, key: str, order: Sequence[str], group_index:
             plain += date_aggregates(c)
     if group_index is not None:
         plain.append(F.max(group_index).alias(f"max_{group_index}"))
-    categories = [a for c in rest if c.endswith(CATEGORY_SUFFIX) for a in category_aggregates(c, order)]
-    if not categories:
+    named = [c for c in rest if c.endswith(CATEGORY_SUFFIX)]
+    if not named:
         return df.groupBy(key).agg(*plain)
-    out = df.groupBy(key).agg(*categories)
-    return df.groupBy(key).agg(*plain).join(out, key) if plain else out
+    ends = df.groupBy(key).agg(*[a for c in named for a in category_aggregates(c, order)])
+    # Null keys match in neither join below; they are one entity in all parts.
+    out = ends.join(distinct_per_entity(df, key, named).withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    if not plain:
+        return out
+    wide = df.groupBy(key).agg(*plain)
+    return wide.join(out.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def histogram(df: DataFrame, c: str, bins: int = 100, keep: Callable[[Column], Column] | None = None) -> DataFrame:

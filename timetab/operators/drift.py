@@ -9,42 +9,35 @@ from pyspark.sql import functions as F
 
 from timetab.operators.ordering import time_folds
 
-DIRECT_COLUMNS = 30
-
-
 def centred_sums(df: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:
     """(group, i, j, n, sum_i, sum_j, sum_ij) for i <= j over columns centred at their overall mean.
 
-    Groups can be merged by adding the sums. Up to ``DIRECT_COLUMNS`` columns this is one generated aggregate; wider
-    tables sum outer products per Arrow batch, and only the sums are shuffled.
+    Each pair counts the rows where both of its values are present; null and NaN are missing. Groups can be merged by
+    adding the sums. Each task adds up the outer products of its rows, and only these sums are shuffled.
     """
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns]).first()
+    known = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns]
+    means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(known)]).first()
     group = F.col(by).cast("int") if by else F.lit(0)
-    x = df.select(group.alias("grp"), *[(F.col(c).cast("double") - (means[c] or 0.0)).alias(f"x{i}") for i, c in enumerate(columns)])
+    x = df.select(group.alias("grp"), *[(v - (means[i] or 0.0)).alias(f"x{i}") for i, v in enumerate(known)])
     d = len(columns)
-    if d <= DIRECT_COLUMNS:
-        sums = [F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(d)]]
-        sums += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]
-        wide = x.groupBy("grp").agg(*sums)
-        cells = [
-            F.struct(
-                F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"s{i}").alias("sum_i"), F.col(f"s{j}").alias("sum_j"),
-                F.col(f"p{i}_{j}").alias("sum_ij"),
-            )
-            for i in range(d) for j in range(i, d)
-        ]
-        return wide.select("grp", "n", F.explode(F.array(*cells)).alias("e")).select("grp", "n", "e.*")
 
     def outer(batches):
         import numpy as np
         import pandas as pd
 
         a, b = np.triu_indices(d)
+        total = {}
         for pdf in batches:
             for g, rows in pdf.groupby("grp"):
-                m = rows.drop(columns="grp").to_numpy(dtype="float64")
-                s, p = m.sum(0), m.T @ m
-                yield pd.DataFrame({"grp": g, "n": len(m), "i": a, "j": b, "sum_i": s[a], "sum_j": s[b], "sum_ij": p[a, b]})
+                m = rows.drop(columns="grp").to_numpy(dtype="float64", na_value=np.nan)
+                there = (~np.isnan(m)).astype("float64")
+                m = np.nan_to_num(m, nan=0.0, posinf=np.inf, neginf=-np.inf)
+                sums = (there.T @ there, m.T @ there, m.T @ m)
+                total[g] = tuple(p + q for p, q in zip(total[g], sums)) if g in total else sums
+        for g, (n, s, p) in total.items():
+            yield pd.DataFrame({
+                "grp": g, "n": n[a, b].astype("int64"), "i": a, "j": b, "sum_i": s[a, b], "sum_j": s[b, a], "sum_ij": p[a, b],
+            })
 
     parts = x.mapInPandas(outer, "grp int, n bigint, i int, j int, sum_i double, sum_j double, sum_ij double")
     return parts.groupBy("grp", "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sum_i", "sum_j", "sum_ij")])
@@ -55,11 +48,14 @@ def _covariance(n: str = "n"):
 
 
 def covariance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Sample covariance as (i, j, cov) with column names, i before or equal to j."""
+    """Sample covariance as (i, j, cov) with column names, i before or equal to j, over the rows where both are present.
+
+    It is null for pairs with fewer than two such rows.
+    """
     names = F.array(*[F.lit(c) for c in columns])
     return centred_sums(df, columns).select(
         F.element_at(names, F.col("i") + 1).alias("i"), F.element_at(names, F.col("j") + 1).alias("j"),
-        _covariance().alias("cov"),
+        F.when(F.col("n") > 1, _covariance()).alias("cov"),
     )
 
 
@@ -81,7 +77,7 @@ def covariance_gap(df: DataFrame, time: str, columns: Sequence[str], folds: int
     domains = F.sequence(F.greatest(F.lit(0), F.col("grp") - (width - 1)), F.least(F.col("grp"), F.lit(width - 1)))
     inside = sums.withColumn("domain", F.explode(domains)).groupBy("domain", "i", "j").agg(*added).where(F.col("n") > 1)
     overall = sums.groupBy("i", "j").agg(*added).select("i", "j", _covariance().alias("cov_all"))
-    gaps = inside.withColumn("cov", _covariance()).join(F.broadcast(overall), ["i", "j"])
+    gaps = inside.withColumn("cov", _covariance()).join(overall, ["i", "j"])
     square = F.pow(F.col("cov_all") - F.col("cov"), 2) * F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
     return gaps.agg(
         F.count_distinct("domain").alias("domains"),

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timetab.operators.joins import salted_join
+from timetab.operators.joins import TASK_ROWS, salted_join
 from timetab.operators.ordering import global_position
 from timetab.operators.profiling import value_counts
-from timetab.session import BROADCAST_BYTES, measured_bytes
+from timetab.session import BROADCAST_BYTES
 
 
 @dataclass(frozen=True)
@@ -65,42 +65,52 @@ def encode_frequent(df: DataFrame, codes: FrequentCodes, missing: str = "null")
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """All categories seen in training as a (column, value, code) table, and their number per column."""
+    """All categories seen in training as a (column, value, code, n) table, their number and their bytes per column."""
 
     table: DataFrame
     sizes: dict[str, int]
-    small: bool
+    bytes: dict[str, int]
 
 
 def fit_vocabulary(train: DataFrame, columns: Sequence[str]) -> Vocabulary:
     """Codes 0.. per column in sorted order of its distinct training values, however many there are.
 
-    The places come from one range shuffle over the distinct values; only one number per column reaches the driver.
+    The places come from one range shuffle over the distinct values; only two numbers per column reach the driver.
     """
     numeric = [c for c in columns if isinstance(train.schema[c].dataType, T.NumericType)]
     distinct = value_counts(train, columns).where(F.col("value").isNotNull()).select(
         "column", F.when(F.col("column").isin(numeric), F.col("value").try_cast("double")).otherwise(F.lit(0.0)).alias("number"),
-        "value",
+        "value", "n",
     )
     placed = global_position(distinct, ["column", "number", "value"], "place")
-    firsts = {r["column"]: (r["first"], r["n"]) for r in placed.groupBy("column").agg(
-        F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).collect()}
+    firsts = {r["column"]: (r["first"], r["size"], r["bytes"]) for r in placed.groupBy("column").agg(
+        F.min("place").alias("first"), F.count(F.lit(1)).alias("size"), F.sum(F.octet_length("value") + 16).alias("bytes")
+    ).collect()}
     first = F.lit(0)
-    for c, (start, _) in firsts.items():
+    for c, (start, _, _) in firsts.items():
         first = F.when(F.col("column") == c, F.lit(start)).otherwise(first)
-    table = placed.select("column", "value", (F.col("place") - first).cast("bigint").alias("code"))
-    return Vocabulary(table, {c: firsts.get(c, (0, 0))[1] for c in columns}, measured_bytes(table) <= BROADCAST_BYTES)
+    table = placed.select("column", "value", (F.col("place") - first).cast("bigint").alias("code"), "n")
+    sizes, widths = ({c: firsts.get(c, (0, 0, 0))[i] for c in columns} for i in (1, 2))
+    return Vocabulary(table, sizes, widths)
 
 
-def encode_vocabulary(df: DataFrame, vocabulary: Vocabulary, suffix: str = "") -> DataFrame:
-    """Replace categories by their code (or add ``<column><suffix>``); unseen and missing ones get the next free code."""
+def encode_vocabulary(
+    df: DataFrame, vocabulary: Vocabulary, suffix: str = "", limit: int = BROADCAST_BYTES, task_rows: int = TASK_ROWS
+) -> DataFrame:
+    """Replace categories by their code (or add ``<column><suffix>``); unseen and missing ones get the next free code.
+
+    Each column's codes are broadcast if they fit ``limit``, else joined with salts. Which values are hot is known from
+    the counts of the training rows, so the rows are not read again to find out.
+    """
     for c, size in vocabulary.sizes.items():
-        codes = vocabulary.table.where(F.col("column") == c).select(F.col("value").alias("_text"), F.col("code").alias("_code"))
+        known = vocabulary.table.where(F.col("column") == c).select(F.col("value").alias("_text"), F.col("code").alias("_code"), "n")
+        codes = known.drop("n")
         keyed = df.withColumn("_text", F.col(c).cast("string"))
-        if vocabulary.small:
+        if vocabulary.bytes[c] <= limit:
             joined = keyed.join(F.broadcast(codes), "_text", "left")
         else:
-            joined = salted_join(keyed, codes, ["_text"], "left")
+            hot = known.where(F.col("n") > task_rows).select("_text", F.ceil(F.col("n") / F.lit(task_rows)).cast("int").alias("_salts"))
+            joined = salted_join(keyed, codes, ["_text"], "left", hot=hot)
         df = joined.withColumn(c + suffix, F.coalesce("_code", F.lit(size))).drop("_text", "_code")
     return df
 
@@ -112,6 +122,8 @@ def dense_codes(df: DataFrame, columns: Sequence[str], suffix: str = "_code") ->
 
 
 def one_hot(code: str | Column, size: int) -> Column:
-    """Array of ``size`` zeros with a one at the code; a code past the end (unseen) gives zeros only."""
+    """Array of ``size`` zeros with a one at the code; a code past the end (unseen) gives zeros only, size 0 no entries."""
     c = F.col(code) if isinstance(code, str) else code
+    if size == 0:
+        return F.array().cast("array<float>")
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (i == c).cast("float"))

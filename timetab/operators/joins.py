@@ -4,58 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timetab.session import BROADCAST_BYTES, broadcast_if_small, materialise
 
-HOT_SHARE = 0.001  # a key above this share of the rows is salted; at most 1/HOT_SHARE keys can be
-SALTS = 64
+TASK_ROWS = 5_000_000  # a key with more rows than this is dealt out to as many tasks as it takes
 
 
-def hot_values(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """Every value that holds more than ``share`` of the rows (and maybe some more): one pass, at most 1/share values."""
-    row = df.select(key).stat.freqItems([key], share).first()
-    return [v for v in row[0] if v is not None]
+def hot_values(df: DataFrame, key: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``(key, salts)`` of every value with more than ``task_rows`` rows: how many tasks such a value needs.
 
-
-def _salts(key: str, hot: list, spread: Column) -> tuple[Column, Column]:
-    """The salt of a row of the big side, and all salts a row of the small side is repeated for.
-
-    A null key matches nothing, so its rows (which a left join keeps) can go anywhere.
+    Rows are counted map-side, on the key alone. The table has less than ``rows / task_rows`` rows.
     """
-    is_hot = F.col(key).isin(hot)
-    one = F.when(is_hot | F.col(key).isNull(), F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    every = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    return one, every
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > task_rows) & F.col(key).isNotNull())
+    return materialise(counts.select(key, F.ceil(F.col("n") / F.lit(task_rows)).cast("int").alias("_salts")), "hot")
 
 
 def lookup_join(
-    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", limit: int = BROADCAST_BYTES
+    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", limit: int = BROADCAST_BYTES, task_rows: int = TASK_ROWS
 ) -> DataFrame:
     """``big`` joined to ``small`` (unique on ``on``).
 
-    ``small`` is broadcast when its measured size fits ``limit``. Otherwise both sides shuffle on the key plus a salt:
-    rows of ``big`` with a hot key are spread over ``SALTS`` tasks and the matching row of ``small`` is repeated.
+    ``small`` is stored, so that it is made once, and broadcast when its measured size fits ``limit``. Otherwise both sides
+    shuffle on the key plus a salt (see ``salted_join``).
     """
     on = list(on)
-    hinted, fits = broadcast_if_small(small, limit)
+    hinted, fits = broadcast_if_small(materialise(small, "small"), limit)
     if fits:
         return big.join(hinted, on, how)
-    return salted_join(big, small, on, how)
+    return salted_join(big, hinted, on, how, task_rows=task_rows)
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """The shuffled form of ``lookup_join``.
+def salted_join(
+    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", hot: DataFrame | None = None, task_rows: int = TASK_ROWS
+) -> DataFrame:
+    """The shuffled form of ``lookup_join``: a hot key of ``big`` gets as many salts as its counted rows need.
 
-    The salt hashes the row and the partition it was read in: equal rows spread too, and a task that is run again gives
-    every row the same salt as before.
+    The matching row of ``small`` is repeated once per salt. Rows with a null key match nothing and go anywhere. The salt
+    hashes the row and the partition it was read in: equal rows spread too, and a task that is run again gives every row the
+    same salt as before. ``hot`` is the table of ``hot_values`` where the caller has it.
     """
     on = list(on)
     spread = F.xxhash64(*[F.col(f"`{c}`") for c in big.columns], F.spark_partition_id())
-    one, every = _salts(on[0], hot_values(big, on[0]), spread)
-    left = big.withColumn("_salt", one)
-    right = small.select("*", every.alias("_salt"))
+    hot = hot_values(big, on[0], task_rows) if hot is None else hot
+    # Bounded by rows / task_rows; Spark checks its size before it broadcasts the stored table.
+    left = big.join(hot, on[0], "left").withColumn(
+        "_salt", F.when(F.col(f"`{on[0]}`").isNull(), F.pmod(spread, F.lit(1 << 16))).otherwise(
+            F.coalesce(F.pmod(spread, F.col("_salts")), F.lit(0))).cast("int")
+    ).drop("_salts")
+    right = small.join(hot, on[0], "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
+    ).drop("_salts")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
@@ -77,7 +77,9 @@ def with_suffix(df: DataFrame, keep: Sequence[str], suffix: str = "_right") -> D
     return df.withColumnsRenamed({c: c + suffix for c in df.columns if c not in keep})
 
 
-def update_join(base: DataFrame, fixes: DataFrame, on: str, order: Sequence[str] = ()) -> DataFrame:
+def update_join(
+    base: DataFrame, fixes: DataFrame, on: str, order: Sequence[str] = (), limit: int = BROADCAST_BYTES
+) -> DataFrame:
     """Overwrite columns of ``base`` with the non-null values of ``fixes``; rows without a fix stay as they are.
 
     Of several fixes for one id, each column takes its last non-null value in ``order`` (largest value by default).
@@ -87,18 +89,20 @@ def update_join(base: DataFrame, fixes: DataFrame, on: str, order: Sequence[str]
         F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*[F.col(o) for o in order], F.col(c)))).alias(f"_fix_{c}")
         for c in columns
     ])
-    joined = lookup_join(base, materialise(latest, "fixes"), [on], "left")
+    joined = lookup_join(base, latest, [on], "left", limit)
     return joined.withColumns({
         c: F.coalesce(F.col(f"_fix_{c}").cast(base.schema[c].dataType), F.col(c)) for c in columns
     }).select(*base.columns)
 
 
-def in_table(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    return df.join(ids.select(on).distinct(), on, "left_semi")
+def in_table(df: DataFrame, ids: DataFrame, on: str, limit: int = BROADCAST_BYTES, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Rows whose id is in ``ids``; hot ids are dealt out as in ``lookup_join``."""
+    return lookup_join(df, ids.select(on).distinct(), [on], "left_semi", limit, task_rows).select(*df.columns)
 
 
-def not_in_table(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    return df.join(ids.select(on).distinct(), on, "left_anti")
+def not_in_table(df: DataFrame, ids: DataFrame, on: str, limit: int = BROADCAST_BYTES, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Rows whose id is not in ``ids``, rows without an id among them."""
+    return lookup_join(df, ids.select(on).distinct(), [on], "left_anti", limit, task_rows).select(*df.columns)
 
 
 def gather(df: DataFrame, split: DataFrame, part: str | None = None, on: str = "row_id") -> DataFrame:

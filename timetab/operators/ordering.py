@@ -200,10 +200,13 @@ def order_cutoffs(
     named = [f"k{i}" for i in range(len(order))]
     keyed = df.select(*order, *[_as_number(k, F.col(c)).alias(n) for n, k, c in zip(named, kinds, order)])
     if known is None:
-        first = keyed.agg(F.count(F.lit(1)), F.min("k0"), F.max("k0"), *[F.count(k) for k in named]).first()
+        real = [F.isnan(k) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.lit(False) for k, kind in zip(named, kinds)]
+        first = keyed.agg(
+            F.count(F.lit(1)), F.min("k0"), F.max("k0"), *[F.count(F.when(~nan, F.col(k))) for k, nan in zip(named, real)]
+        ).first()
         total, low, high = first[0], first[1], first[2]
         if any(n != total for n in first[3:]):
-            raise ValueError(f"null in order columns {list(order)}")
+            raise ValueError(f"null or NaN in order columns {list(order)}")
     else:
         low, high, total = known
     if callable(positions):

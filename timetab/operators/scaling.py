@@ -113,7 +113,9 @@ class LabelScale:
 
 
 def fit_label(train: DataFrame, y: str = "y") -> LabelScale:
-    return LabelScale(*mean_and_std(train, [y])[y])
+    """Mean and std of the label; a constant one is only centred."""
+    mean, std = mean_and_std(train, [y])[y]
+    return LabelScale(mean, std if std > 0 else 1.0)
 
 
 def fit_bins(train: DataFrame, columns: Sequence[str], bins: int, exact: bool = True) -> dict[str, list[float]]:

@@ -14,10 +14,10 @@ PARTS = ("train", "val", "test")
 
 
 def part_by_bounds(time: str, val_from: Any, test_from: Any, end: Any = None) -> Column:
-    """Part name by date bounds; rows at or after ``end``, if given, get null."""
+    """Part name by date bounds; rows without a time, and rows at or after ``end``, if given, get null."""
     t = F.col(time)
     out = F.when(t < F.lit(val_from), "train").when(t < F.lit(test_from), "val")
-    return out.otherwise("test") if end is None else out.when(t < F.lit(end), "test")
+    return out.when(t.isNotNull() if end is None else t < F.lit(end), "test")
 
 
 def split_by_dates(df: DataFrame, id_: str, time: str, val_from: Any, test_from: Any, end: Any = None) -> DataFrame:
@@ -36,6 +36,8 @@ def split_by_months(
     in_val = (F.year(t) == val[0]) & F.month(t).isin(list(val[1]))
     in_test = (F.year(t) == test[0]) & F.month(t).isin(list(test[1]))
     first = df.where(in_val).agg(F.min(t).cast("string")).first()[0]
+    if first is None:
+        raise ValueError(f"no validation rows in {val}, so the train part has no end")
     before = t < F.lit(first).cast(df.schema[time].dataType)
     part = F.when(in_val, "val").when(in_test, "test").when(before, "train")
     return (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from timetab.functions.columns import Roles
 from timetab.operators.encoding import encode_vocabulary, fit_vocabulary, one_hot
+from timetab.operators.profiling import value_counts
 from timetab.operators.scaling import (
     LabelScale, fit_label, fit_quantiles, mean_and_std, scale_identity, scale_quantile, scale_standard,
 )
@@ -68,9 +69,9 @@ def build_dataset(
 def cardinalities(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct training values per categorical column, and of the label if it is among them."""
     train = df.where(F.col("part") == "train")
-    row = train.agg(*[F.count_distinct(c).alias(c) for c in columns])
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in columns]
-    return row.select(F.explode(F.array(*pairs)).alias("e")).select("e.*")
+    seen = value_counts(train, columns).where(F.col("value").isNotNull()).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return every.join(seen, "column", "left").select("column", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def part_sizes(splits: DataFrame) -> DataFrame:

@@ -34,9 +34,11 @@ def entity_table(
 ) -> DataFrame:
     """``static`` tables have one row per entity, ``grouped`` ones many, with the columns that order them.
 
+    The largest value of the first order column is a feature too.
+
     The joined table is written once, since both the profile and the result read it.
     """
-    tables = [*static, *[entity_features(t, key, order) for t, order in grouped]]
+    tables = [*static, *[entity_features(t, key, order, order[0] if order else None) for t, order in grouped]]
     joined = dates_to_days(chain_left_joins(base, tables, key), anchor)
     if not drop_dead:
         return joined

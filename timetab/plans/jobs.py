@@ -129,7 +129,7 @@ def quotes(
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     flags = [c for c in live if stats[c]["n_distinct_with_null"] == 2]
     as_flag = {
-        c: presence(c) if stats[c]["n_null"] else mapped(c, YES_NO).cast("float") if c in text else F.col(c).cast("float")
+        c: presence(c) if stats[c]["n_null"] else mapped(c, YES_NO, strict=True).cast("float") if c in text else F.col(c).cast("float")
         for c in flags
     }
     cat = [c for c in df.columns if c in live and c in text and c not in flags]

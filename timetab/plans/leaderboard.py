@@ -12,13 +12,23 @@ from pyspark.sql import types as T
 from timetab.functions.probability import sigmoid, softmax
 
 
-def score_table(runs: DataFrame, models: Sequence[str] | None = None, kind: str | None = None) -> DataFrame:
-    """One score per (model, dataset, seed), limited to known models; a run that was logged twice counts once."""
+def score_table(
+    runs: DataFrame, models: Sequence[str] | None = None, kind: str | None = None, latest: str | None = None
+) -> DataFrame:
+    """One score per (model, dataset, seed), limited to known models; a run that was logged twice counts once.
+
+    Of runs with different scores the one with the largest ``latest`` counts; without such a column they are an error.
+    """
     if models is not None:
         runs = runs.where(F.col("model").isin(list(models)))
     if kind is not None:
         runs = runs.where(F.col("kind") == kind)
-    return runs.groupBy("model", "dataset", "seed").agg(F.max("score").alias("score"))
+    if latest is not None:
+        score = F.max_by("score", latest)
+    else:
+        differ = F.raise_error(F.concat_ws(" ", F.lit("different scores for"), "model", "dataset", F.lit("seed"), F.col("seed").cast("string")))
+        score = F.when(F.min("score").eqNullSafe(F.max("score")), F.max("score")).otherwise(differ.cast("double"))
+    return runs.groupBy("model", "dataset", "seed").agg(score.alias("score"))
 
 
 def group_stats(scores: DataFrame) -> DataFrame:
@@ -172,7 +182,7 @@ def ensemble_mean(
     predictions: DataFrame, keys: Sequence[str], size: int = 5, ensembles: int = 3, *, logits: bool = False,
     classes: int | None = None,
 ) -> DataFrame:
-    """Mean prediction of seeds 0-4, 5-9, …; a group with a missing seed gives no ensemble.
+    """Mean prediction of seeds 0-4, 5-9, …; a group with a missing seed gives no ensemble, a seed that is there twice is an error.
 
     ``keys`` name a predicted row (model, dataset, split, part, row_id). ``logits`` are turned into probabilities first.
     With ``classes`` a prediction is an array of that length, one entry per class.
@@ -189,6 +199,8 @@ def ensemble_mean(
         mean = F.array(*[F.avg(F.get("prediction", F.lit(i))) for i in range(classes)])
     return (
         numbered.groupBy(*keys, "ensemble")
-        .agg(F.count(F.lit(1)).alias("_seeds"), mean.alias("prediction"))
-        .where(F.col("_seeds") == size).drop("_seeds")
+        .agg(F.count(F.lit(1)).alias("_rows"), F.size(F.collect_set("seed")).alias("_seeds"), mean.alias("prediction"))
+        .withColumn("_seeds", F.when(F.col("_rows") == F.col("_seeds"), F.col("_seeds")).otherwise(
+            F.raise_error(F.lit("a seed stands twice in an ensemble")).cast("int")))
+        .where(F.col("_seeds") == size).drop("_seeds", "_rows")
     )

@@ -100,6 +100,41 @@ def roc_auc(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str]
     return placed.groupBy(*by).agg(F.when((pos > 0) & (neg > 0), won / (pos * neg)).alias("roc_auc"))
 
 
+# The scores of each task.
+SCORES = {
+    "regression": ("rmse", "mae", "r2"),
+    "binclass": ("accuracy", "cross-entropy", "roc-auc"),
+    "multiclass": ("accuracy", "cross-entropy"),
+}
+
+
+def all_scores(df: DataFrame, task: str, by: Sequence[str] = (), y: str = "y", prediction: str = "prediction") -> DataFrame:
+    """All scores of the task per group, named as in ``SCORES``.
+
+    Predictions are values, the probability of class 1, or arrays of one probability per class; of equal probabilities the
+    lower class is guessed, and a probability of one half is class 0.
+    """
+    if task == "regression":
+        return regression_metrics(df, y, prediction, by)
+    if not by:
+        return all_scores(df.withColumn("_all", F.lit(0)), task, ["_all"], y, prediction).drop("_all")
+    by = list(by)
+    t = F.col(y).cast("bigint")
+    if task == "binclass":
+        guess = F.rint(F.col(prediction).cast("double")).cast("bigint")
+        loss = binary_cross_entropy(df, y, prediction, by)
+    else:
+        guess = F.array_position(F.col(prediction), F.array_max(prediction)) - 1
+        loss = multiclass_cross_entropy(df, y, prediction, by)
+    right = df.groupBy(*by).agg(F.avg((t == guess).cast("double")).alias("accuracy"))
+    loss = loss.withColumnRenamed("cross_entropy", "cross-entropy")
+    parts = [right, loss] if task == "multiclass" else [right, loss, roc_auc(df, y, prediction, by).withColumnRenamed("roc_auc", "roc-auc")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, by)
+    return out
+
+
 def signed_score(metric: str, value: str | Column) -> Column:
     """The metric turned so that higher is better."""
     v = F.col(value) if isinstance(value, str) else value

@@ -5,17 +5,20 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timetab.plans.metrics import HIGHER_IS_BETTER, regression_metrics, roc_auc
+from timetab.plans.leaderboard import ensemble_mean
+from timetab.plans.metrics import DEFAULT_SCORE, SCORES, all_scores, signed_score
+from timetab.sources.runs import load_predictions, save_predictions
 
 
 def fit_linear(train: DataFrame, task: str, params: dict, seed: int = 0) -> Model:
@@ -36,73 +39,119 @@ def fit_forest(train: DataFrame, task: str, params: dict, seed: int = 0) -> Mode
 
 
 def fit_boosted(train: DataFrame, task: str, params: dict, seed: int = 0, val: DataFrame | None = None) -> Model:
-    """Boosted trees, kept up to the round with the lowest validation loss.
+    """Boosted trees, cut after the round with the lowest loss on ``val``.
 
-    The trees of a shorter run with the same seed are the first trees of a longer one, so the best round is found on the
-    full run and, if it is not the last, the shorter run is fitted.
+    All rounds are fitted once. The first trees of a run are those of a shorter run, so the model of the best round is made
+    of the first trees and their weights.
     """
+    if task == "multiclass":
+        raise ValueError("MLlib's boosted trees tell two classes apart; take a forest or a linear model")
     kind = GBTRegressor if task == "regression" else GBTClassifier
-    rounds = params.get("rounds", 20)
-
-    def run(count: int) -> Model:
-        return kind(
-            featuresCol="features", labelCol="y", maxIter=count, maxDepth=params.get("depth", 5),
-            stepSize=params.get("rate", 0.1), subsamplingRate=params.get("row_share", 1.0), seed=seed,
-        ).fit(train)
-
-    model = run(rounds)
+    model = kind(
+        featuresCol="features", labelCol="y", maxIter=params.get("rounds", 20), maxDepth=params.get("depth", 5),
+        stepSize=params.get("rate", 0.1), subsamplingRate=params.get("row_share", 1.0), seed=seed,
+    ).fit(train)
     if val is None:
         return model
     loss = model.evaluateEachIteration(val, *(["squared"] if task == "regression" else []))
-    best = min(range(rounds), key=loss.__getitem__) + 1
-    return model if best == rounds else run(best)
+    return FirstTrees(model, min(range(len(loss)), key=loss.__getitem__) + 1, task)
+
+
+class FirstTrees:
+    """The first ``rounds`` trees of a boosted model."""
+
+    def __init__(self, model: Model, rounds: int, task: str):
+        self.model, self.rounds, self.task = model, rounds, task
+        self.trees, self.weights = model.trees[:rounds], model.treeWeights[:rounds]
+
+    @property
+    def getNumTrees(self) -> int:  # noqa: N802  as MLlib's models call it
+        return self.rounds
+
+    @property
+    def featureImportances(self):  # noqa: N802
+        """As MLlib does for ensembles: each tree's importances sum to one, their mean is normalised."""
+        from pyspark.ml.linalg import Vectors
+
+        total = sum(t.featureImportances.toArray() for t in self.trees)
+        return Vectors.dense(total / total.sum() if total.sum() > 0 else total)
+
+    def transform(self, data: DataFrame) -> DataFrame:
+        """Adds ``prediction``, and for classes ``probability``, from the weighted sum of the trees."""
+        out = data
+        for i, tree in enumerate(self.trees):
+            own = tree.copy({tree.predictionCol: f"_tree_{i}"})
+            out = own.transform(out)
+        total = sum((F.col(f"_tree_{i}") * w for i, w in enumerate(self.weights)), F.lit(0.0))
+        out = out.withColumn("_total", total).drop(*[f"_tree_{i}" for i in range(self.rounds)])
+        if self.task == "regression":
+            return out.withColumnRenamed("_total", "prediction")
+        # The margin of the two-class loss: the probability of class 1 is the logistic function of twice the sum.
+        one = 1.0 / (1.0 + F.exp(-2.0 * F.col("_total")))
+        return out.withColumns({
+            "probability": array_to_vector(F.array(1.0 - one, one)), "prediction": (F.col("_total") > 0).cast("double"),
+        }).drop("_total")
 
 
 FITTERS: dict[str, Callable[..., Model]] = {"linear": fit_linear, "forest": fit_forest}
 
 
 def training_rows(data: DataFrame, part: str) -> DataFrame:
-    """Rows of a part, dealt out to all cores where the input has fewer partitions, and kept while a model iterates.
+    """Rows of a part, dealt out to all cores and kept while models are fitted.
 
     Persisted rows of a lost executor are read again from the input.
     """
     rows = data.where(F.col("part") == part).select("features", "y")
-    cores = data.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores)
-    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+    return rows.repartition(data.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def fit(model: str, data: DataFrame, task: str, params: dict, seed: int = 0) -> Model:
-    """Fit on the rows of part train; boosted trees also watch part val."""
+@contextmanager
+def kept_rows(data: DataFrame, model: str):
+    """``(train, val)`` for any number of fits; boosted trees also watch part val."""
     train = training_rows(data, "train")
     val = training_rows(data, "val") if model == "boosted" else None
     try:
-        if model == "boosted":
-            return fit_boosted(train, task, params, seed, val)
-        return FITTERS[model](train, task, params, seed)
+        yield train, val
     finally:
         train.unpersist()
         if val is not None:
             val.unpersist()
 
 
+def _fit_on(model: str, rows: tuple[DataFrame, DataFrame | None], task: str, params: dict, seed: int) -> Model:
+    if model == "boosted":
+        return fit_boosted(rows[0], task, params, seed, rows[1])
+    return FITTERS[model](rows[0], task, params, seed)
+
+
+def fit(model: str, data: DataFrame, task: str, params: dict, seed: int = 0) -> Model:
+    """Fit on the rows of part train."""
+    with kept_rows(data, model) as rows:
+        return _fit_on(model, rows, task, params, seed)
+
+
 def predict(model: Model, data: DataFrame, task: str) -> DataFrame:
-    """(row_id, part, y, prediction): the value for regression, the probability of class 1 for two classes."""
+    """(row_id, part, y, prediction): the value for regression, the probability of class 1 for two classes, the array of
+    probabilities for more."""
     out = model.transform(data)
-    value = F.col("prediction") if task == "regression" else vector_to_array("probability")[1]
+    value = {
+        "regression": lambda: F.col("prediction"),
+        "binclass": lambda: vector_to_array("probability")[1],
+        "multiclass": lambda: vector_to_array("probability"),
+    }[task]()
     return out.select("row_id", "part", "y", value.alias("prediction"))
 
 
 def evaluate(predictions: DataFrame, task: str, score: str | None = None) -> DataFrame:
-    """Signed score per part."""
-    score = score or ("rmse" if task == "regression" else "roc-auc")
-    if task == "regression":
-        table = regression_metrics(predictions, by=["part"]).select("part", F.col(score).alias("value"))
-    else:
-        table = roc_auc(predictions, score="prediction", by=["part"]).select("part", F.col("roc_auc").alias("value"))
-    sign = 1.0 if HIGHER_IS_BETTER[score] else -1.0
-    return table.select("part", (F.col("value") * sign).alias("score"))
+    """Signed score per part: the one named, or the task's own."""
+    return _scored(predictions, task, score, ["part"])
+
+
+def _scored(predictions: DataFrame, task: str, score: str | None, by: Sequence[str]) -> DataFrame:
+    score = score or DEFAULT_SCORE[task]
+    if score not in SCORES[task]:
+        raise ValueError(f"{task} has no score {score}; it has {', '.join(SCORES[task])}")
+    return all_scores(predictions, task, by).select(*by, signed_score(score, F.col(f"`{score}`")).alias("score"))
 
 
 def importances(model: Model, names: Sequence[str]) -> DataFrame:
@@ -150,14 +199,16 @@ def draw(space: dict[str, Any], rng: random.Random) -> dict:
     return out
 
 
-def search(model: str, data: DataFrame, task: str, space: dict, trials: int, seed: int = 0) -> tuple[dict, list[dict]]:
+def search(
+    model: str, data: DataFrame, task: str, space: dict, trials: int, seed: int = 0, score: str | None = None
+) -> tuple[dict, list[dict]]:
     """Random search: the configuration with the best validation score, and all trials."""
     rng, done = random.Random(seed), []
-    for number in range(trials):
-        params = draw(space, rng)
-        fitted = fit(model, data, task, params, seed)
-        held_out = predict(fitted, data.where(F.col("part") == "val"), task)
-        done.append({"trial": number, "params": params, "score": evaluate(held_out, task).first()["score"]})
+    with kept_rows(data, model) as rows:
+        for number in range(trials):
+            params = draw(space, rng)
+            held_out = predict(_fit_on(model, rows, task, params, seed), data.where(F.col("part") == "val"), task)
+            done.append({"trial": number, "params": params, "score": evaluate(held_out, task, score).first()["score"]})
     return max(done, key=lambda t: t["score"])["params"], done
 
 
@@ -166,10 +217,32 @@ def over_seeds(
 ) -> DataFrame:
     """Predictions of the configuration refitted per seed, in the layout of the predictions table."""
     out = None
-    for s in seeds:
-        rows = predict(fit(model, data, task, params, s), data, task).select(
-            F.lit(model).alias("model"), F.lit(dataset).alias("dataset"), F.lit(split).alias("split"),
-            F.lit(s).alias("seed"), "part", "row_id", "y", "prediction",
-        )
-        out = rows if out is None else out.unionByName(rows)
+    with kept_rows(data, model) as kept:
+        for s in seeds:
+            rows = predict(_fit_on(model, kept, task, params, s), data, task).select(
+                F.lit(model).alias("model"), F.lit(dataset).alias("dataset"), F.lit(split).alias("split"),
+                F.lit(s).alias("seed"), "part", "row_id", "y", "prediction",
+            )
+            out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def ensemble_runs(
+    predictions: DataFrame, labels: DataFrame, task: str, path: str, *, size: int = 5, ensembles: int = 3, classes: int | None = None,
+    score: str | None = None,
+) -> DataFrame:
+    """Average complete groups of ``size`` seeds, store them in the predictions table at ``path`` and score what was stored.
+
+    ``labels`` has (dataset, row_id, y). Returns (model, dataset, split, ensemble, part, score). The stored seed is the
+    number of the ensemble, the model's name ends in ``-ensemble-<size>``.
+    """
+    keys = ["model", "dataset", "split", "part", "row_id"]
+    mean = ensemble_mean(predictions, keys, size, ensembles, classes=classes)
+    named = mean.withColumns({"model": F.concat("model", F.lit(f"-ensemble-{size}")), "seed": F.col("ensemble")})
+    names = [r["model"] for r in named.select("model").distinct().collect()]
+    if not names:
+        raise ValueError(f"no group of {size} seeds is complete")
+    save_predictions(named, path)
+    stored = load_predictions(labels.sparkSession, path).where(F.col("model").isin(names)).join(labels, ["dataset", "row_id"])
+    by = ["model", "dataset", "split", "seed", "part"]
+    return _scored(stored, task, score, by).withColumnRenamed("seed", "ensemble")

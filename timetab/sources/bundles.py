@@ -7,6 +7,7 @@ import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,19 +35,19 @@ def save_bundle(
 ) -> None:
     """Write features (roles cast), a short CSV preview, splits (one folder per split) and metadata.
 
-    Labels must not be missing or NaN and no row may stand in two parts of one split.
+    Labels must not be missing or NaN and no row may stand in two parts of one split; both are checked before anything
+    is written.
     """
     rows = roles.select(df, row_id)
     spark = df.sparkSession
-    rows.write.parquet(f"{path}/features")
-    stored = spark.read.parquet(f"{path}/features")
-    bad = stored.where(F.col("y").isNull() | F.isnan(F.col("y").cast("double"))).limit(1).count()
-    if bad:
+    if rows.where(F.col("y").isNull() | F.isnan(F.col("y").cast("double"))).limit(1).count():
         raise ValueError("missing labels")
-    splits.select("row_id", "split", "part").write.partitionBy("split").parquet(f"{path}/splits")
-    clash = overlaps(spark.read.parquet(f"{path}/splits")).limit(1).collect()
+    clash = overlaps(splits).limit(1).collect()
     if clash:
         raise ValueError(f"overlapping parts: {clash[0]}")
+    rows.write.parquet(f"{path}/features")
+    splits.select("row_id", "split", "part").write.partitionBy("split").parquet(f"{path}/splits")
+    stored = spark.read.parquet(f"{path}/features")
     stored.orderBy("row_id").limit(preview_rows).write.option("header", True).csv(f"{path}/preview")
     if score is None and roles.task == "binclass":
         score = "roc-auc"
@@ -75,9 +76,14 @@ def cached(spark: SparkSession, arguments: dict, build: Callable[[], DataFrame])
     """
     text = json.dumps(arguments, sort_keys=True, default=str)
     path = f"{shared_folder(spark)}/timetab/cached-{hashlib.md5(text.encode()).hexdigest()}"
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/arguments/_SUCCESS")
-    if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        if spark.read.text(f"{path}/arguments").first()[0] != text:
+    try:  # the arguments are written last, so where they are, the data is whole
+        stored = spark.read.text(f"{path}/arguments").first()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = None
+    if stored is not None:
+        if stored[0] != text:
             raise ValueError(f"different arguments share {path}")
         return spark.read.parquet(f"{path}/data")
     build().write.mode("overwrite").parquet(f"{path}/data")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The report fields that are read; the three logged variants have different subsets of them.
 REPORT_SCHEMA = """
@@ -41,13 +42,19 @@ def read_reports(spark: SparkSession, glob: str, layout: str = REPORT_LAYOUT) ->
 PREDICTION_COLUMNS = ["model", "dataset", "split", "seed", "part", "row_id", "prediction"]
 
 
+_RUN = {"dataset": "string", "model": "string", "split": "string", "seed": "int"}
+
+
 def save_predictions(df: DataFrame, path: str) -> None:
-    """Append runs to the predictions table, one folder per dataset and model."""
-    df.select(*PREDICTION_COLUMNS).write.mode("append").partitionBy("dataset", "model").parquet(path)
+    """Write runs to the predictions table, one folder per dataset, model, split and seed; a run that is there is replaced."""
+    out = df.select(*PREDICTION_COLUMNS).repartition(*_RUN, F.pmod(F.xxhash64("row_id"), F.lit(64)))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_RUN).parquet(path)
 
 
 def load_predictions(spark: SparkSession, path: str, dataset: str | None = None, model: str | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
+    found = spark.read.parquet(path).schema
+    # Folder names keep the type of the columns, also where all of them look like numbers.
+    df = spark.read.schema(T.StructType([T.StructField(f.name, T.StringType() if _RUN.get(f.name) == "string" else f.dataType) for f in found])).parquet(path)
     if dataset is not None:
         df = df.where(F.col("dataset") == dataset)
     if model is not None:
