@@ -173,10 +173,10 @@ def _normal_sql(p: str) -> str:
     return f"CASE WHEN abs({q}) <= 0.425 THEN {centre} ELSE sign({q}) * {outer} END"
 
 
-def _quantile_sql(train: str) -> str:
-    """``train`` selects (event_id, v); the result maps value of every event to the normal scale."""
+def _shares_sql(train: str) -> str:
+    """``train`` selects (event_id, v); the table ``share`` has the place p of every event's value in its quantile grid."""
     return f"""
-        WITH fit AS ({train}), size AS (SELECT greatest(least(count(*) // 30, 1000), 10) AS m, count(*) AS n FROM fit),
+        fit AS ({train}), size AS (SELECT greatest(least(count(*) // 30, 1000), 10) AS m, count(*) AS n FROM fit),
         sorted AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS p FROM fit),
         grid AS (
             SELECT j, lo.v + (hi.v - lo.v) * ((j * (n - 1)) % (m - 1))::DOUBLE / (m - 1) AS q
@@ -190,17 +190,25 @@ def _quantile_sql(train: str) -> str:
             FROM events e ASOF LEFT JOIN up u ON e.value >= u.q ASOF LEFT JOIN down d ON e.value <= d.q, size
         ),
         share AS (
-            SELECT event_id, CASE WHEN value - 1e-7 < lo THEN 1e-7 WHEN value + 1e-7 > hi THEN 1 - 1e-7 ELSE 0.5 * (
+            SELECT event_id, CASE WHEN value - 1e-7 < lo THEN 0 WHEN value + 1e-7 > hi THEN 1 ELSE 0.5 * (
                 CASE WHEN n.uj = m - 1 THEN 1 ELSE (n.uj + (value - uq) / (g.q - uq)) / (m - 1) END +
                 CASE WHEN n.dj = 0 THEN 0 ELSE (n.dj - (dq - value) / (dq - h.q)) / (m - 1) END
             ) END AS p
             FROM near n LEFT JOIN grid g ON g.j = n.uj + 1 LEFT JOIN grid h ON h.j = n.dj - 1
-        ), clipped AS (SELECT event_id, greatest(least(p, 1 - 1e-7), 1e-7)::DOUBLE AS p FROM share)
+        )
+    """
+
+
+def _quantile_sql(train: str) -> str:
+    """``train`` selects (event_id, v); the result maps value of every event to the normal scale."""
+    return f"""
+        WITH {_shares_sql(train)}, clipped AS (SELECT event_id, greatest(least(p, 1 - 1e-7), 1e-7)::DOUBLE AS p FROM share)
         SELECT event_id, round({_normal_sql("p")}, 6) AS value FROM clipped
     """
 
 
 _EVENT_TRAIN_END = "2024-01-20"
+EVENT_SHARES_SQL = _shares_sql(f"SELECT event_id, value AS v FROM events WHERE ts < TIMESTAMP '{_EVENT_TRAIN_END}'")
 
 
 def _event_values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

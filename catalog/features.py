@@ -150,13 +150,13 @@ _LINE_SQL = """
 def order_line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order, the aggregates of its lines by column suffix, joined to the order; dates as days from the order date."""
     base, lines = _line_tables(spark, sf_dir)
-    index = lines.groupBy("case_id").agg(F.max("num_group1").cast("bigint").alias("max_num_group1"))
     wide = entity_table(
-        base, [index], [(lines, ["num_group1", "num_group2", "num_group3"])], "case_id", "date_decision", drop_dead=False
+        base, [], [(lines, ["num_group1", "num_group2", "num_group3"])], "case_id", "date_decision", drop_dead=False
     )
     rounded = {f"mean_{c}": F.round(f"mean_{c}", 6) for c in _NUMERIC} | {f"std_{c}": F.round(f"std_{c}", 4) for c in _NUMERIC}
     days = {c: F.col(c).cast("double") for c in ("max_shipped_D", "min_shipped_D", "mean_shipped_D")}
     text = {"date_decision": F.col("date_decision").cast("string"), "std_shipped_D": F.round("std_shipped_D", 4)}
+    text["max_num_group1"] = F.col("max_num_group1").cast("bigint")
     return wide.withColumns(rounded | days | text).drop("mean_status_L", "std_status_L")
 
 

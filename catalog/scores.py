@@ -114,24 +114,34 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(classification_report(rows, "quality", "label"))
 
 
+_LOGITS_SQL = """
+    v AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    means AS (SELECT label AS c, i, avg(x) AS m FROM v GROUP BY ALL),
+    gap AS (SELECT vec_id, label, c, sum(pow(x - m, 2)) AS d FROM v JOIN means USING (i) GROUP BY ALL),
+    e AS (SELECT label, list(-d ORDER BY c) AS z FROM gap GROUP BY vec_id, label)
+"""
+
+
 @query("""
-    WITH e AS (SELECT label, list_transform(embedding[1:10], lambda x: 8.0 * x::DOUBLE) AS z FROM embeddings),
+    WITH """ + _LOGITS_SQL + """,
          s AS (SELECT label::BIGINT AS t, (list_position(z, list_max(z)) - 1)::BIGINT AS p FROM e),
 """ + _report_sql("s"))
 def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classification report over ten classes, with the first ten vector entries as logits."""
+    """Classification report over ten classes, with the nearness to the mean vector of each class as logits."""
     return _rounded(classification_report(_logits(spark, sf_dir).withColumn("guess", class_label("probabilities")), "label", "guess"))
 
 
 def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select(
-        "label", F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 8.0).alias("z")
-    )
-    return rows.withColumn("probabilities", softmax("z"))
+    """Ten logits per vector: minus the squared distance to the mean vector of each label."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
+    means = v.groupBy(F.col("label").alias("c"), "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    gap = v.join(means, "i").groupBy("vec_id", "label", "c").agg(F.sum(F.pow(F.col("x").cast("double") - F.col("m"), 2)).alias("d"))
+    rows = gap.groupBy("vec_id", "label").agg(F.array_sort(F.collect_list(F.struct("c", (-F.col("d")).alias("z")))).alias("a"))
+    return rows.select("label", F.transform("a", lambda e: e["z"]).alias("z")).withColumn("probabilities", softmax("z"))
 
 
-@query("""
-    WITH e AS (SELECT label, list_transform(embedding[1:10], lambda x: 8.0 * x::DOUBLE) AS z FROM embeddings)
+@query(f"""
+    WITH {_LOGITS_SQL}
     SELECT round(avg(-(z[label + 1] - list_max(z) - ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))))), 8) AS cross_entropy FROM e
 """)
 def class_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:

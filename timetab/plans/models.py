@@ -34,7 +34,7 @@ def fit_forest(train: DataFrame, task: str, params: dict, seed: int = 0) -> Mode
     kind = RandomForestRegressor if task == "regression" else RandomForestClassifier
     return kind(
         featuresCol="features", labelCol="y", numTrees=params.get("trees", 20), maxDepth=params.get("depth", 5),
-        minInstancesPerNode=params.get("leaf_rows", 1), maxBins=params.get("bins", 32), seed=seed,
+        minInstancesPerNode=params.get("leaf_rows", 1), maxBins=params.get("bins", 32), bootstrap=params.get("bootstrap", True), seed=seed,
     ).fit(train)
 
 
