@@ -37,17 +37,22 @@ def store_blocks(
     ``row_key`` tells rows apart that repeat a doc_id. Each input partition becomes ``per_partition`` blocks. The columns
     in ``carry`` go along as JSON in ``carried``.
     """
-    spark = docs.sparkSession
     key = F.monotonically_increasing_id()
     block = F.spark_partition_id().cast("long") * per_partition + F.pmod(key, F.lit(per_partition))
     taken = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")]
     if carry is not None:
         taken.append(F.to_json(F.struct(*carry)).alias("carried"))
     rows = docs.select(*taken).select(key.alias("row_key"), block.alias("block"), "*")
-    # At least the session's number of shuffle partitions: with fewer, Spark would shuffle the texts in a join.
+    return store_bucketed(rows, "block")
+
+
+def store_bucketed(rows: DataFrame, key: str) -> DataFrame:
+    """Store a table in the shared folder, bucketed by ``key``: grouping it by the key, or joining on it, moves none of its rows."""
+    spark = rows.sparkSession
+    # At least the session's number of shuffle partitions: with fewer, Spark would shuffle the table in a join.
     buckets = min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    name = f"timetab_blocks_{uuid.uuid4().hex}"
-    rows.write.bucketBy(buckets, "block").option("path", fresh_path(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
+    name = f"timetab_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, key).option("path", fresh_path(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
     table = spark.table(name)
     table.schema  # noqa: B018  resolves the files before the name goes
     spark.sql(f"DROP TABLE {name}")  # only the name: the files are external

@@ -5,28 +5,31 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import math
 import re
+import unicodedata
 import zlib
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import regex
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timetab.llm.blocks import _borders, ask_blocks, fragments_for, store_blocks
-from timetab.session import materialise
+from timetab.llm.blocks import FRAGMENT_BYTES, store_bucketed
 
 BUCKETS = 8192
 FOLD_BYTES = 1024  # longer words are merged with a heap: the fold's work grows with the square of a word's bytes
-WORDS = "fragment long, block long, lengths binary, words binary"
-CODES = "block long, fragment long, counts binary, codes binary"
-ENCODED = "row_key long, doc_id long, ids array<int>"
-# Single spaces between other characters; no word of the pattern spans one, and every word after one begins with it.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+PARSED = "block long, kind int, doc_id long, numbers binary, fragment long, lengths binary, words binary"
+DICTIONARY = "fragment long, lengths binary, words binary, sizes binary, ids binary"
+ANSWERED = "block long, fragment long, sizes binary, ids binary"
+# Latin letters and numbers below U+0250; anything else but plain blanks goes the general way.
+LATIN = {k: "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+ODD = re.compile("[^\t\n\r -~\u00a1-\u024f]").search
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -128,73 +131,120 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""))
 
 
-class _Chunks:
-    """The distinct stretches between single spaces of one block's texts, and the distinct words in them."""
-
-    def __init__(self, pdf: pd.DataFrame, pattern: str):
-        self.texts = [_CUT.split(t.decode("utf-8", "replace")) if t else [] for t in pdf["text"]]
-        find = regex.compile(pattern).findall
-        heads, tails = set(), set()
-        for parts in self.texts:
-            heads.update(parts[:1])
-            tails.update(parts[1:])
-        self.heads = {c: [w.encode() for w in find(c)] for c in heads}
-        self.tails = {c: [w.encode() for w in find(" " + c)] for c in tails}
-        words = list(set(chain.from_iterable(self.heads.values())) | set(chain.from_iterable(self.tails.values())))
-        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-        order = np.argsort(keys, kind="stable")
-        # Equal hashes are settled by the bytes, so that each round has the same order.
-        self.keys = keys[order]
-        self.words = [words[i] for i in order.tolist()]
-        for i in np.flatnonzero(self.keys[1:] == self.keys[:-1]).tolist() if len(words) > 1 else ():
-            self.words[i : i + 2] = sorted(self.words[i : i + 2])
-
-
-def _dealt(block: int, c: _Chunks, fragments: int) -> pd.DataFrame:
-    ids, at = _borders(c.keys, fragments)
-    ends = np.append(at[1:], len(c.words))
-    groups = [c.words[a:b] for a, b in zip(at.tolist(), ends.tolist())]
-    return pd.DataFrame({
-        "fragment": ids, "block": np.full(len(ids), block, dtype=np.int64),
-        "lengths": [np.array([len(w) for w in g], dtype=np.uint32).tobytes() for g in groups], "words": [b"".join(g) for g in groups],
-    })
+class _Numbers(dict):
+    """Numbers words in the order they come, so frequent words mostly have small numbers."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def latin_pattern(pattern: str) -> str | None:
+    """The same pattern for Python's own, faster engine, for texts of Latin letters; None if it asks for more than L and N."""
+    out, inside = [], False
+    for token in re.findall(r"\\p\{[^}]*\}|\\.|.", pattern, re.DOTALL):
+        inside = token == "[" or (inside and token != "]")
+        kind = LATIN.get(token[3:-1]) if token.startswith("\\p{") else None
+        if token.startswith("\\p{") and kind is None or token.startswith("\\P"):
+            return None
+        out.append(token if kind is None else kind if inside else f"[{kind}]")
+    return "".join(out)
+
+
+def _pack(parts: list[bytes]) -> tuple[bytes, bytes]:
+    lengths = np.array([len(x) for x in parts], dtype=np.uint32)
+    return zlib.compress(lengths.tobytes(), 1), zlib.compress(b"".join(parts), 1)
 
 
-def _unpacked(lengths: bytes, words: bytes) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(lengths, dtype=np.uint32), dtype=np.int64).tolist()
-    return [words[a:b] for a, b in zip([0, *ends], ends)]
+def _unpack(lengths: bytes, joined: bytes) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(zlib.decompress(lengths), dtype=np.uint32), dtype=np.int64).tolist()
+    joined = zlib.decompress(joined)
+    return [joined[a:b] for a, b in zip([0, *ends], ends)]
+
+
+TEXT, QUESTION, ORDER = 0, 1, 2
+
+
+def _rows(block: int, kind: int, doc_ids=None, numbers=None, fragments=None, lengths=None, words=None) -> pd.DataFrame:
+    n = len(next(x for x in (numbers, fragments) if x is not None))
+    none = [None] * n
+    return pd.DataFrame({
+        "block": np.full(n, block, dtype=np.int64), "kind": np.full(n, kind, dtype=np.int32),
+        "doc_id": pd.array(none if doc_ids is None else doc_ids, dtype="Int64"), "numbers": none if numbers is None else numbers,
+        "fragment": pd.array(none if fragments is None else fragments, dtype="Int64"),
+        "lengths": none if lengths is None else lengths, "words": none if words is None else words,
+    })
 
 
-def _distinct(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _split(pattern: str, fragments: int):
+    """Each batch of texts becomes a block: per text the numbers of its words, per fragment the block's distinct words, and
+    the order that the words have by fragment and number."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find, latin = regex.compile(pattern).findall, latin_pattern(pattern)
+        plain = re.compile(latin).findall if latin else None
+        part = TaskContext.get().partitionId()
+        for i, pdf in enumerate(batches):
+            block = (part << 32) + i
+            numbers, coded = _Numbers(), []
+            for text in pdf["text"]:
+                words = [] if not text else plain(text) if plain and not ODD(text) else find(text)
+                coded.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words)).tobytes())
+            yield _rows(block, TEXT, list(pdf["doc_id"]), coded)
+            own = [w.encode() for w in numbers]
+            dealt = np.fromiter((xxhash.xxh3_64_intdigest(w) % fragments for w in own), dtype=np.int64, count=len(own))
+            order = np.argsort(dealt, kind="stable")
+            yield _rows(block, ORDER, numbers=[zlib.compress(order.astype(np.uint32).tobytes(), 1)])
+            ids, at = np.unique(dealt[order], return_index=True)
+            packed = [_pack([own[k] for k in x.tolist()]) for x in np.split(order, at[1:])] if len(own) else []
+            yield _rows(block, QUESTION, fragments=ids, lengths=[p[0] for p in packed], words=[p[1] for p in packed])
+
+    return run
+
+
+def _distinct(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     words = set()
-    for lengths, data in zip(pdf["lengths"], pdf["words"]):
-        words.update(_unpacked(lengths, data))
+    for lengths, joined in zip(pdf["lengths"], pdf["words"]):
+        words.update(_unpack(lengths, joined))
     return pd.DataFrame({"fragment": np.full(len(words), key[0], dtype=np.int64), "word": list(words)})
 
 
-def _answers(key, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    code = {w: np.asarray(i, dtype=np.int32) for w, i in zip(known["word"], known["ids"])}
-    rows = []
-    for block, lengths, data in zip(asked["block"], asked["lengths"], asked["words"]):
-        got = [code[w] for w in _unpacked(lengths, data)]
-        counts = np.array([len(g) for g in got], dtype=np.int32)
-        rows.append((block, key[0], counts.tobytes(), np.concatenate(got).astype(np.int32).tobytes()))
-    return pd.DataFrame(rows, columns=["block", "fragment", "counts", "codes"])
-
-
-def _encoded(pdf: pd.DataFrame, answers: pd.DataFrame, pattern: str) -> pd.DataFrame:
-    c = _Chunks(pdf, pattern)
-    got = answers.sort_values("fragment")
-    counts = np.frombuffer(b"".join(got["counts"]), dtype=np.int32)
-    codes = np.frombuffer(b"".join(got["codes"]), dtype=np.int32)
-    ends = np.cumsum(counts, dtype=np.int64)
-    of = {w: codes[e - n : e] for w, e, n in zip(c.words, ends.tolist(), counts.tolist())}
-    none = np.empty(0, dtype=np.int32)
-    heads, tails = ({k: np.concatenate([of[w] for w in ws]) if len(ws) != 1 else of[ws[0]] for k, ws in x.items()} for x in (c.heads, c.tails))
+def _dictionary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words and their ids, a row per fragment of a batch."""
+    for pdf in batches:
+        rows = []
+        for fragment, own in pdf.groupby("fragment"):
+            rows.append((fragment, *_pack(list(own["word"])), *_pack([np.asarray(i, dtype=np.uint32).tobytes() for i in own["ids"]])))
+        yield pd.DataFrame(rows, columns=["fragment", "lengths", "words", "sizes", "ids"])
+
+
+def _answers(key: tuple, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    ids = {}
+    for lengths, words, sizes, codes in zip(known["lengths"], known["words"], known["sizes"], known["ids"]):
+        ids.update(zip(_unpack(lengths, words), _unpack(sizes, codes)))
+    rows = [
+        (block, key[0], *_pack([ids[w] for w in _unpack(lengths, words)]))
+        for block, lengths, words in zip(asked["block"], asked["lengths"], asked["words"])
+    ]
+    return pd.DataFrame(rows, columns=["block", "fragment", "sizes", "ids"])
+
+
+def _encoded(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """The ids of a block's texts from those of its words, which come by fragment and number."""
+    order = np.frombuffer(zlib.decompress(pdf["numbers"][pdf["kind"] == ORDER].iloc[0]), dtype=np.uint32)
+    texts, got = pdf[pdf["kind"] == TEXT], answers.sort_values("fragment")
+    lengths = [np.frombuffer(zlib.decompress(x), dtype=np.uint32) // 4 for x in got["sizes"]]
+    codes = [np.frombuffer(zlib.decompress(x), dtype=np.uint32) for x in got["ids"]]
+    none = [np.empty(0, dtype=np.uint32)]
+    by_order, codes = np.concatenate(lengths or none).astype(np.int64), np.concatenate(codes or none).astype(np.int32)
+    size, start = np.empty(len(order), dtype=np.int64), np.empty(len(order), dtype=np.int64)
+    size[order], start[order] = by_order, np.cumsum(by_order) - by_order
     ids = []
-    for parts in c.texts:
-        ids.append(np.concatenate([heads[parts[0]], *map(tails.__getitem__, parts[1:])]) if parts else none)
-    return pd.DataFrame({"row_key": pdf["row_key"], "doc_id": pdf["doc_id"].astype("Int64"), "ids": ids})
+    for data in texts["numbers"]:
+        words = np.frombuffer(data, dtype=np.uint32)
+        n = size[words]
+        ids.append(codes[np.repeat(start[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+    return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "ids": ids})
 
 
 def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,15 +253,18 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: s
     Null and empty texts have no ids. Every row is encoded, also rows that repeat a doc_id or have none; other columns are
     not read. ``ranks`` must hold all 256 single bytes.
 
-    Each distinct word of the corpus is encoded once, by a fold of Spark's array functions over its bytes. Blocks of texts
-    ask for the words they hold and get their ids; no table of words is broadcast, since it grows with the corpus.
+    Each distinct word of the corpus is encoded once, by a fold of Spark's array functions over its bytes. A batch of texts is a
+    block: it keeps the texts as numbers of its words, asks for the words and gets their ids. No table of words is
+    broadcast, since it grows with the corpus.
     """
     if any(bytes([i]) not in ranks for i in range(256)):
         raise ValueError("the ranks must hold every single byte")
-    blocks = store_blocks(docs, doc_id, text, per_partition=2)
-    fragments = fragments_for(blocks)
-    asked = materialise(ask_blocks(blocks, lambda block, pdf: _dealt(block, _Chunks(pdf, pattern), fragments), schema=WORDS), "words")
+    body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    fragments = max(1, math.ceil((body.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / FRAGMENT_BYTES))
+    parsed = store_bucketed(body.mapInPandas(_split(pattern, fragments), PARSED), "block")
+    asked = parsed.where(F.col("kind") == QUESTION).select("fragment", "block", "lengths", "words")
     words = asked.groupBy("fragment").applyInPandas(_distinct, "fragment long, word binary")
-    known = materialise(word_ids(words, ranks), "ids")
-    answers = asked.groupBy("fragment").cogroup(known.groupBy("fragment")).applyInPandas(_answers, CODES)
-    return ask_blocks(blocks, lambda block, pdf, got: _encoded(pdf, got, pattern), answers, ENCODED).drop("row_key")
+    known = word_ids(words, ranks).mapInPandas(_dictionary, DICTIONARY)
+    answers = asked.groupBy("fragment").cogroup(known.groupBy("fragment")).applyInPandas(_answers, ANSWERED)
+    texts = parsed.where(F.col("kind") != QUESTION).select("block", "kind", "doc_id", "numbers")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_encoded, "doc_id long, ids array<int>")
