@@ -180,6 +180,27 @@ def entity_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+    WITH l AS (
+        SELECT l_partkey AS part, l_orderkey, l_linenumber, l_suppkey, l_returnflag AS a_M, nullif(l_linestatus, 'O') AS b_M, l_quantity::INT::VARCHAR AS c_M FROM lineitem
+    ), o AS (
+        SELECT *, row_number() OVER (PARTITION BY part ORDER BY l_orderkey, l_linenumber, l_suppkey, a_M, c_M) AS up,
+               row_number() OVER (PARTITION BY part ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, a_M DESC, c_M DESC) AS down FROM l
+    )
+    SELECT part, count(DISTINCT a_M) AS n_unique_a_M, count(DISTINCT b_M) + max((b_M IS NULL)::INT) AS n_unique_b_M, count(DISTINCT c_M) AS n_unique_c_M,
+           max(a_M) FILTER (WHERE up = 1) AS first_a_M, max(c_M) FILTER (WHERE up = 1) AS first_c_M, max(a_M) FILTER (WHERE down = 1) AS last_a_M,
+           max(c_M) FILTER (WHERE down = 1) AS last_c_M FROM o GROUP BY part
+""")
+def entity_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three category columns per part: distinct values, null counted as one, and the first and last."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("part"), "l_orderkey", "l_linenumber", "l_suppkey", F.col("l_returnflag").alias("a_M"),
+        F.nullif(F.col("l_linestatus"), F.lit("O")).alias("b_M"), F.col("l_quantity").cast("int").cast("string").alias("c_M"),
+    )
+    out = entity_features(lines, "part", ["l_orderkey", "l_linenumber", "l_suppkey", "a_M", "c_M"])
+    return out.select("part", *[f"n_unique_{c}_M" for c in "abc"], *[f"{e}_{c}_M" for e in ("first", "last") for c in "ac"])
+
+
 @query("""
     SELECT event_id, isodow(ts)::BIGINT AS day_of_week, day(ts)::BIGINT AS day_of_month, dayofyear(ts)::BIGINT AS day_of_year,
            month(ts)::BIGINT AS month, year(ts)::BIGINT AS year, (hour(ts) * 60 + minute(ts))::BIGINT AS minute_of_day,
@@ -318,6 +339,36 @@ def feature_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covariance(_drift_table(spark, sf_dir), list(_DRIFT)).withColumn("cov", F.round("cov", 8))
 
 
+_GAPS = {f"c{i}": f"nullif({c}, {v})" for i, (c, v) in enumerate(
+    [(c, v) for v in range(1, 13) for c in ("l_quantity", "l_linenumber", "l_suppkey % 13")])}
+
+
+def _gaps_sql(columns: list[str]) -> str:
+    cells = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    return f"""
+        WITH x AS (SELECT {", ".join(f"({_GAPS[c]})::DOUBLE AS {c}" for c in columns)} FROM lineitem), m AS (SELECT {", ".join(
+            f"round(covar_samp({a}, {b}), 7) AS {a}_{b}" for a, b in cells)} FROM x)
+        SELECT split_part(k, '_', 1) AS i, split_part(k, '_', 2) AS j, cov FROM (UNPIVOT m ON COLUMNS(*) INTO NAME k VALUE cov)
+    """
+
+
+def _gaps(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(*[F.expr(_GAPS[c]).cast("double").alias(c) for c in columns])
+    return covariance(rows, columns).withColumn("cov", F.round("cov", 7))
+
+
+@query(_gaps_sql(list(_GAPS)[:4]))
+def feature_covariance_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covariance of four columns with nulls: each pair counts the rows where both are present."""
+    return _gaps(spark, sf_dir, list(_GAPS)[:4])
+
+
+@query(_gaps_sql(list(_GAPS)))
+def feature_covariance_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of 36 columns."""
+    return _gaps(spark, sf_dir, list(_GAPS))
+
+
 _FOLDS_SQL = """
     s AS (SELECT {time} AS t, row_number() OVER (ORDER BY {time}) - 1 AS pos, count(*) OVER () AS n FROM {table}),
     cut AS (

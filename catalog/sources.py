@@ -36,6 +36,23 @@ def decimal_comma(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+    SELECT o_orderkey AS key, CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 'late' ELSE o_custkey::VARCHAR END AS value,
+           CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 12.5 ELSE o_custkey::DOUBLE END AS number FROM orders
+""")
+def csv_late_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV whose last row has a word and a fraction where all others have whole numbers, read without a schema."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    top = orders.agg(F.max("o_orderkey")).first()[0]
+    late = F.col("o_orderkey") == top
+    path = fresh_path(spark, "late")
+    orders.select(
+        F.col("o_orderkey").alias("key"), F.when(late, "late").otherwise(F.col("o_custkey").cast("string")).alias("value"),
+        F.when(late, "12.5").otherwise(F.col("o_custkey").cast("string")).alias("number"),
+    ).write.option("header", True).csv(path)
+    return read_csv(spark, path).withColumn("key", F.col("key").cast("bigint"))
+
+
 @query("""
     SELECT o_custkey AS customer, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, count(note) AS notes FROM (
         SELECT *, CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END AS note FROM orders

@@ -146,3 +146,15 @@ def gather_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     splits = split_sliding(events, "event_id", "ts", 0.1).where(F.col("split") == "sliding-window-1")
     rows = events.select(F.col("event_id").alias("row_id"), F.round("value", 2).alias("value"))
     return gather(rows, splits, "val")
+
+
+@query("""
+    SELECT o_orderkey AS row_id, 'default' AS split,
+           CASE WHEN d < TIMESTAMP '1999-01-01' THEN 'train' WHEN d < TIMESTAMP '2000-01-01' THEN 'val' ELSE 'test' END AS part
+    FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS d FROM orders) WHERE d IS NOT NULL
+""")
+def split_without_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders without a date, made for the purpose, belong to no part."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("d"))
+    bounds = [F.lit(d).cast("timestamp_ntz") for d in ("1999-01-01", "2000-01-01")]
+    return split_by_dates(orders, "o_orderkey", "d", *bounds)

@@ -50,20 +50,20 @@ def crowded():
 @pytest.mark.parametrize("causal, exclude_self", [(False, False), (False, True), (True, True), (True, False)])
 def test_brute_force(spark, crowded, monkeypatch, causal, exclude_self):
     """Small cells and packs, so that pruning, packing and merging all happen."""
-    for name, value in (("CELL_ROWS", 16), ("PACK_CANDIDATES", 8), ("PACK_QUERIES", 8), ("QUERY_PACKS_PER_TASK", 2)):
+    for name, value in (("PACK_CANDIDATES", 8), ("PACK_QUERIES", 8), ("QUERY_PACKS_PER_TASK", 2)):
         monkeypatch.setattr(nb, name, value)
     df = frame(spark, crowded)
-    pairs = nb.nearest(df, df, 7, time="t" if causal else None, exclude_self=exclude_self)
+    pairs = nb.nearest(df, df, 7, time="t" if causal else None, exclude_self=exclude_self, cell_rows=16)
     same(result(pairs), brute(crowded, crowded, 7, causal, exclude_self))
 
 
 @pytest.mark.parametrize("causal", [False, True])
 def test_widening_rounds(spark, crowded, monkeypatch, causal):
     """Few pivots and small rounds: the bound comes from shares of the candidates."""
-    for name, value in (("CELL_ROWS", 32), ("MAX_PIVOTS", 12), ("WIDEN", 4), ("PACK_CANDIDATES", 16), ("PACK_QUERIES", 32)):
+    for name, value in (("PACK_CANDIDATES", 16), ("PACK_QUERIES", 32)):
         monkeypatch.setattr(nb, name, value)
     df = frame(spark, crowded)
-    pairs = nb.nearest(df, df, 5, time="t" if causal else None, exclude_self=True)
+    pairs = nb.nearest(df, df, 5, time="t" if causal else None, exclude_self=True, cell_rows=32, pivots=12, widen=4)
     same(result(pairs), brute(crowded, crowded, 5, causal, True))
 
 

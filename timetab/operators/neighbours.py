@@ -20,12 +20,13 @@ from timetab.session import materialise
 
 MAX_PIVOTS = 1024
 CELL_ROWS = 512
+CELLS_PER_ROOT = 4
+MAX_CELLS = 1 << 16
 PACK_CANDIDATES = 2048
 PACK_QUERIES = 1024
 QUERY_PACKS_PER_TASK = 64
 WIDEN = 64
 TIME_SLICES = 16
-BATCH_BYTES = 64 * 1024 * 1024
 
 
 def _sides(df: DataFrame, tag: str, id_: str, vector: str, time: str | None) -> DataFrame:
@@ -40,17 +41,23 @@ def _sides(df: DataFrame, tag: str, id_: str, vector: str, time: str | None) ->
     return df.select(F.col(id_).cast("bigint").alias(f"{tag}_id"), when.alias(f"{tag}_t"), F.col(vector).alias(f"{tag}_v"))
 
 
-def _pivots(candidates: DataFrame, n: int):
-    """At most ``MAX_PIVOTS`` candidates picked by hash, as (ids, times, vectors), and the cell centres among them.
+def _pivots(candidates: DataFrame, n: int, most: int, cell_rows: int):
+    """Candidates picked by hash: at most ``most`` pivots as (ids, times, vectors), and the cell centres.
 
-    All pivots bound the neighbour distances. Cells get ``CELL_ROWS`` rows or more, so small tables have few of them.
+    The pivots bound the neighbour distances. Cells get ``cell_rows`` rows or more, so small tables have few of them, and
+    their number grows with the root of the table: ``CELLS_PER_ROOT`` times it, up to ``MAX_CELLS``, which is what the
+    driver holds.
     """
+    import math
+
     import numpy as np
 
-    rows = candidates.orderBy(F.xxhash64("c_id"), "c_id").limit(MAX_PIVOTS).collect()
+    cells = max(1, min(n // cell_rows, int(CELLS_PER_ROOT * math.sqrt(n)), MAX_CELLS))
+    rows = candidates.orderBy(F.xxhash64("c_id"), "c_id").limit(max(most, cells)).collect()
     vectors = np.array([r["c_v"] for r in rows], dtype="float64")
-    centres = np.unique(vectors[: max(1, n // CELL_ROWS)], axis=0)
-    return np.array([r["c_id"] for r in rows]), np.array([r["c_t"] for r in rows]), vectors, centres
+    centres = np.unique(vectors[:cells], axis=0)
+    first = rows[:most]
+    return np.array([r["c_id"] for r in first]), np.array([r["c_t"] for r in first]), vectors[:most], centres
 
 
 def _to_cells(centres):
@@ -193,7 +200,7 @@ def _search(queries: DataFrame, cells: DataFrame, centres, n: int, k: int, causa
     stats = sliced.groupBy("cell", "slice").agg(
         F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius"), F.min("c_t").alias("oldest")
     ).withColumn("packs", _pack_count(F.col("n"), PACK_CANDIDATES))
-    known = stats.collect()  # at most MAX_PIVOTS * TIME_SLICES rows
+    known = stats.collect()  # at most MAX_CELLS * TIME_SLICES rows
     table = tuple(
         np.array([r[f] for r in known], dtype=t)
         for f, t in (("cell", "int32"), ("slice", "int32"), ("radius", "float64"), ("oldest", "int64"), ("packs", "int32"))
@@ -241,14 +248,7 @@ def _search(queries: DataFrame, cells: DataFrame, centres, n: int, k: int, causa
     # Each task keeps k rows per query before the shuffle.
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "candidate_t", "candidate_id"))
     best = partial.withColumn("rank", place).where(F.col("rank") <= k)
-    # A row of ``pairs`` holds two packs, so batches are bounded by bytes rather than by rows while this table is made.
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(BATCH_BYTES))
-    try:
-        return materialise(best.select("query_id", "candidate_id", "distance", "rank"), "neighbours")
-    finally:
-        spark.conf.set(key, before)
+    return materialise(best.select("query_id", "candidate_id", "distance", "rank"), "neighbours")
 
 
 def nearest(
@@ -260,6 +260,9 @@ def nearest(
     vector: str = "embedding",
     time: str | None = None,
     exclude_self: bool = False,
+    pivots: int = MAX_PIVOTS,
+    cell_rows: int = CELL_ROWS,
+    widen: int = WIDEN,
 ) -> DataFrame:
     """(query_id, candidate_id, distance, rank) of the k nearest candidates per query, as a stored table.
 
@@ -268,15 +271,15 @@ def nearest(
     k valid candidates has fewer rows.
 
     Large tables are searched in widening rounds: the k-th distance within a hashed share of the candidates bounds the
-    next round, so that no round hands on more than about ``WIDEN`` * k rows per query. The last round sees all rows.
+    next round, so that no round hands on more than about ``widen`` * k rows per query. The last round sees all rows.
     """
     causal = time is not None
     cand, qry = _sides(candidates, "c", id_, vector, time), _sides(queries, "q", id_, vector, time)
     n = candidates.count()
     if n == 0:
         return queries.sparkSession.createDataFrame([], _RESULT)
-    pivots = _pivots(cand, n)
-    centres = pivots[3]
+    found_pivots = _pivots(cand, n, pivots, cell_rows)
+    centres = found_pivots[3]
 
     # Of equal vectors, no query can need more than the k (and itself) that come first by time and id.
     keep = k + int(exclude_self)
@@ -288,13 +291,13 @@ def nearest(
     )
     bounded = materialise(
         qry.mapInPandas(
-            _query_bounds(centres, pivots, k, causal, exclude_self), f"q_id bigint, q_t bigint, q_v {kind}, home int, bound double"
+            _query_bounds(centres, found_pivots, k, causal, exclude_self), f"q_id bigint, q_t bigint, q_v {kind}, home int, bound double"
         ),
         "queries",
     )
-    size = MAX_PIVOTS
-    while size * WIDEN < n:
-        size *= WIDEN
+    size = pivots
+    while size * widen < n:
+        size *= widen
         share = cells.where(F.pmod(F.xxhash64("c_id"), F.lit(-(-n // size))) == 0)
         found = _search(bounded, share, centres, size, k, causal, exclude_self)
         tighter = found.where(F.col("rank") == k).select(F.col("query_id").alias("q_id"), (F.col("distance") * (1.0 + 1e-9)).alias("kth"))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from timetab.session import materialise
 
+LEAF_ROWS = 250_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number inside its partition in the low 33 bits
 HASH_DIGITS = 15
 HASH_RANGE = 16**HASH_DIGITS
@@ -183,7 +184,7 @@ def order_cutoffs(
     order: Sequence[str],
     positions: Sequence[int] | Callable[[int], Sequence[int]],
     *,
-    leaf_rows: int = 250_000,
+    leaf_rows: int = LEAF_ROWS,
     steps: int = 16_384,
     known: tuple[int, int, int] | None = None,
 ) -> list[Cutoff]:
@@ -258,20 +259,20 @@ def order_cutoffs(
     return [Cutoff(tuple(order), kinds, found[p]) for p in positions]
 
 
-def newest_share(df: DataFrame, time: str, parts: int = 5) -> DataFrame:
+def newest_share(df: DataFrame, time: str, parts: int = 5, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Rows of the newest 1/parts of the table, ties at the border kept."""
-    cut = order_cutoffs(df.select(time), [time], lambda n: [n // parts * (parts - 1)])[0]
+    cut = order_cutoffs(df.select(time), [time], lambda n: [n // parts * (parts - 1)], leaf_rows=leaf_rows)[0]
     return df.where(cut.reached())
 
 
-def time_folds(df: DataFrame, time: str, folds: int = 9, name: str = "fold") -> DataFrame:
+def time_folds(df: DataFrame, time: str, folds: int = 9, name: str = "fold", leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Number the rows 0..folds-1 by time quantile; fold i holds low < t <= high, the oldest rows are in fold 0."""
 
     def last_rows(n: int) -> list[int]:
         step = -(-n // folds)
         return [min(n - 1, step * (i + 1)) for i in range(folds)]
 
-    cuts = order_cutoffs(df.select(time), [time], last_rows)
+    cuts = order_cutoffs(df.select(time), [time], last_rows, leaf_rows=leaf_rows)
     kind = df.schema[time].dataType
     cases = " ".join(f"WHEN `{time}` <= {_literal(kind, c.values[0])} THEN {i}" for i, c in enumerate(cuts[:-1]))
     return df.withColumn(name, F.expr(f"CASE {cases} ELSE {folds - 1} END"))

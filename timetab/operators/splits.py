@@ -8,7 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timetab.operators.ordering import HASH_RANGE, Cutoff, hash_order, order_cutoffs
+from timetab.operators.ordering import HASH_RANGE, LEAF_ROWS, Cutoff, hash_order, order_cutoffs
+from timetab.session import materialise
 
 PARTS = ("train", "val", "test")
 
@@ -55,7 +56,7 @@ def window_sizes(rows: int, size: int, windows: int = 3) -> int:
 
 
 def _window_cutoffs(
-    df: DataFrame, id_: str, time: str, size: int | float, windows: int
+    df: DataFrame, id_: str, time: str, size: int | float, windows: int, leaf_rows: int = LEAF_ROWS
 ) -> tuple[int, int, list[tuple[Cutoff, Cutoff, Cutoff, Cutoff]]]:
     """Rows per train and per val or test part, and each window's start, validation start, test start and end."""
     fixed: dict[str, int] = {}
@@ -68,7 +69,7 @@ def _window_cutoffs(
             for at in (0, fixed["train"], fixed["train"] + fixed["size"], fixed["train"] + 2 * fixed["size"])
         ]
 
-    cuts = order_cutoffs(df.select(time, id_), [time, id_], borders)
+    cuts = order_cutoffs(df.select(time, id_), [time, id_], borders, leaf_rows=leaf_rows)
     return fixed["train"], fixed["size"], [tuple(cuts[4 * i : 4 * i + 4]) for i in range(windows)]
 
 
@@ -99,7 +100,7 @@ def _sliding(windows: list[tuple[Cutoff, Cutoff, Cutoff, Cutoff]]) -> list[tuple
 
 def _random(
     df: DataFrame, id_: str, train: int, size: int, seed: int,
-    windows: list[tuple[Cutoff, Cutoff, Cutoff, Cutoff]],
+    windows: list[tuple[Cutoff, Cutoff, Cutoff, Cutoff]], leaf_rows: int = LEAF_ROWS,
 ) -> tuple[DataFrame, list[tuple[str, Column]]]:
     """Window i is cut at two places of its rows' hash order; all windows are searched together, one key range each."""
     df = df.withColumns({
@@ -110,7 +111,7 @@ def _random(
     total = train + 2 * size
     found = order_cutoffs(
         rows, ["key", id_], [i * total + at for i in range(len(windows)) for at in (train, train + size)],
-        known=(0, len(windows) * HASH_RANGE - 1, len(windows) * total),
+        known=(0, len(windows) * HASH_RANGE - 1, len(windows) * total), leaf_rows=leaf_rows,
     )
     out = []
     for i, cuts in enumerate(windows):
@@ -119,29 +120,33 @@ def _random(
     return df, out
 
 
-def split_sliding(df: DataFrame, id_: str, time: str, size: int | float, windows: int = 3) -> DataFrame:
+def split_sliding(
+    df: DataFrame, id_: str, time: str, size: int | float, windows: int = 3, leaf_rows: int = LEAF_ROWS
+) -> DataFrame:
     """Windows over the rows sorted by (time, id), each ``size`` rows (or share of the rows) later than the one before.
 
     Only the border rows are searched for; every row is then placed by comparison with those literals.
     """
-    _, _, cuts = _window_cutoffs(df, id_, time, size, windows)
+    _, _, cuts = _window_cutoffs(df, id_, time, size, windows, leaf_rows)
     return _emit(df, id_, _sliding(cuts))
 
 
-def split_random(df: DataFrame, id_: str, time: str, size: int | float, windows: int = 3, seed: int = 0) -> DataFrame:
+def split_random(df: DataFrame, id_: str, time: str, size: int | float, windows: int = 3, seed: int = 0, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """The same windows with their rows shuffled by a seeded hash, cut to the same sizes."""
-    train, rows, cuts = _window_cutoffs(df, id_, time, size, windows)
-    hashed, named = _random(df, id_, train, rows, seed, cuts)
+    train, rows, cuts = _window_cutoffs(df, id_, time, size, windows, leaf_rows)
+    hashed, named = _random(df, id_, train, rows, seed, cuts, leaf_rows)
     return _emit(hashed, id_, named)
 
 
 def all_splits(
-    df: DataFrame, id_: str, time: str, size: int | float, default: Column, windows: int = 3, seed: int = 0
+    df: DataFrame, id_: str, time: str, size: int | float, default: Column, windows: int = 3, seed: int = 0,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """The default split, the sliding windows and their random twins as one (row_id, split, part) table."""
-    train, rows, cuts = _window_cutoffs(df, id_, time, size, windows)
-    hashed, random = _random(df, id_, train, rows, seed, cuts)
-    return _emit(hashed, id_, [("default", default), *_sliding(cuts), *random])
+    df = materialise(df.select(time, id_, default.alias("_default")), "timed")
+    train, rows, cuts = _window_cutoffs(df, id_, time, size, windows, leaf_rows)
+    hashed, random = _random(df, id_, train, rows, seed, cuts, leaf_rows)
+    return _emit(hashed, id_, [("default", F.col("_default")), *_sliding(cuts), *random])
 
 
 def overlaps(splits: DataFrame) -> DataFrame:

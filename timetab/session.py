@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 _LOCAL_FOLDERS: dict[str, str] = {}
+_MADE: list[str] = []
 
 _FIXED_WIDTH = {
     T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4,
@@ -36,7 +38,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/timetab/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/timetab/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that operators store inside this scope are emptied at its end: use their results, or store them, before.
+
+    Without it they stay in the shared folder until they are removed there.
+    """
+    before, _MADE[:] = list(_MADE), []
+    try:
+        yield
+    finally:
+        made, _MADE[:] = list(_MADE), before
+        nothing = spark.createDataFrame([], "nothing int")
+        for path in made:
+            nothing.coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
