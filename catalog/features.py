@@ -27,7 +27,8 @@ COMBINATIONS = [
 ]
 
 
-def _history_sql() -> str:
+def history_sql(*more: str) -> str:
+    """The features of every customer's history; ``more`` aggregates can use the anchor's columns."""
     flags = {"bought_brand": "same_brand", "bought_type": "same_type", "bought_supplier": "same_supplier"}
     out = [
         "id", "strftime(any_value(anchor_date), '%Y-%m-%d') AS anchor_date",
@@ -45,22 +46,23 @@ def _history_sql() -> str:
     for names in COMBINATIONS:
         every = " AND ".join(f"count(*) FILTER (WHERE {flags[n]}) > 0" for n in names)
         out.append(f"({every})::INT::DOUBLE AS has_{'_and_'.join(names)}")
+    out += more
     return f"""
         WITH tx AS (
-            SELECT o_custkey AS id, o_orderdate::DATE AS d, p_brand, p_type, l_suppkey, l_quantity, l_extendedprice,
+            SELECT o_totalprice > 250000 AS large, o_custkey AS id, o_orderdate::DATE AS d, p_brand, p_type, l_suppkey, l_quantity, l_extendedprice,
                    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC,
                                       l_linenumber, l_partkey, l_suppkey) AS rn
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
         ), j AS (
             SELECT tx.*, a.d AS anchor_date, date_diff('day', tx.d, a.d) AS days, tx.p_brand = a.p_brand AS same_brand,
-                   tx.p_type = a.p_type AS same_type, tx.l_suppkey = a.l_suppkey AS same_supplier
+                   tx.p_type = a.p_type AS same_type, tx.l_suppkey = a.l_suppkey AS same_supplier, a.large::INT::BIGINT AS anchor_large
             FROM tx JOIN (SELECT * FROM tx WHERE rn = 1) a ON tx.id = a.id
         )
         SELECT {", ".join(out)} FROM j WHERE days >= 0 GROUP BY id
     """
 
 
-@query(_history_sql())
+@query(history_sql())
 def history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases of each customer up to the day of the last order, matched with the first line of that order."""
     lines = table(spark, sf_dir, "lineitem").join(
@@ -85,12 +87,17 @@ def history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         materialise(anchors, "anchors"), id_="id", date="d", anchor_date="anchor_date", matches=MATCHES,
         quantity="l_quantity", amount="l_extendedprice",
     )
-    flagged = purchase_flags(add_calendar(features, "anchor_date", ["day_of_week", "day_of_month", "day_of_year"]),
-                             list(MATCHES), COMBINATIONS)
-    money = {c: F.round(c, 2) for c in pick(flagged, prefix=tuple(f"has_{n}_a" for n in MATCHES), also=["total_spend"],
-                                           exclude=["has_" + "_and_".join(c) for c in COMBINATIONS])}
+    return rounded_history(purchase_flags(
+        add_calendar(features, "anchor_date", ["day_of_week", "day_of_month", "day_of_year"]), list(MATCHES), COMBINATIONS
+    ))
+
+
+def rounded_history(flagged: DataFrame) -> DataFrame:
+    """Money in cents, whole numbers and flags in the types of the SQL twin."""
+    combined = ["has_" + "_and_".join(c) for c in COMBINATIONS]
+    money = {c: F.round(c, 2) for c in pick(flagged, prefix=tuple(f"has_{n}_a" for n in MATCHES), also=["total_spend"], exclude=combined)}
     whole = {c: F.col(c).cast("bigint") for c in ("day_of_week", "day_of_month", "day_of_year")}
-    single = {c: F.col(c).cast("double") for c in pick(flagged, prefix="never_", also=["has_" + "_and_".join(c) for c in COMBINATIONS])}
+    single = {c: F.col(c).cast("double") for c in pick(flagged, prefix="never_", also=combined)}
     return flagged.withColumns(money | whole | single | {"anchor_date": F.col("anchor_date").cast("string")})
 
 

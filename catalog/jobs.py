@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.base import query, table
-from catalog.features import COMBINATIONS, MATCHES
+from catalog.features import COMBINATIONS, MATCHES, history_sql, rounded_history
 from timetab.plans import jobs
 from timetab.plans.jobs import Timeline, split_view
 from timetab.session import fresh_path
@@ -50,11 +50,7 @@ def job_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def job_sensor_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements with epoch seconds and availability flags, summed up per part of the default split."""
-    raw = table(spark, sf_dir, "events").select(
-        "event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("bigint").alias("fact_time"), "value",
-        F.col("user_id").alias("users"), (F.col("event_type") == "view").cast("int").alias("view_available"),
-    )
-    built = jobs.sensor_log(raw, "event_id", "fact_time", "value", Timeline("when", "2024-01-20", "2024-01-25"), fraction=0.4)
+    built = _sensor_build(spark, sf_dir)
     total = {"weekdays": "day_of_week", "minutes": "minute_of_day", "available": "view_available", "users": "users"}
     return split_view(built).groupBy("part").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("double")).alias(n) for n, c in total.items()],
@@ -62,6 +58,29 @@ def job_sensor_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+    WITH s AS (SELECT *, row_number() OVER (ORDER BY substr(md5('0|' || event_id), 1, 15), event_id) AS rn, count(*) OVER () AS n FROM events),
+         t AS (SELECT *, make_timestamp(epoch_us(ts) // 1000000 * 1000000) AS t FROM s WHERE rn <= floor(0.4 * n))
+    SELECT event_id AS row_id, user_id::FLOAT::DOUBLE AS users, isodow(t)::DOUBLE AS day_of_week, day(t)::DOUBLE AS day_of_month,
+           (hour(t) * 60 + minute(t))::DOUBLE AS minute_of_day, hour(t)::DOUBLE AS hour_of_day, month(t)::DOUBLE AS month,
+           (event_type = 'view')::INT::DOUBLE AS view_available, epoch_us(t) AS "when", value::FLOAT::DOUBLE AS y,
+           CASE WHEN t < TIMESTAMP '2024-01-20' THEN 'train' WHEN t < TIMESTAMP '2024-01-25' THEN 'val' ELSE 'test' END AS part
+    FROM t
+""")
+def job_sensor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same build, row by row with every feature."""
+    rows = split_view(_sensor_build(spark, sf_dir))
+    return rows.withColumns({c: F.col(c).cast("double") for c, t in rows.dtypes if t == "float"})
+
+
+def _sensor_build(spark: SparkSession, sf_dir: str) -> jobs.Build:
+    raw = table(spark, sf_dir, "events").select(
+        "event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("bigint").alias("fact_time"), "value",
+        F.col("user_id").alias("users"), (F.col("event_type") == "view").cast("int").alias("view_available"),
+    )
+    return jobs.sensor_log(raw, "event_id", "fact_time", "value", Timeline("when", "2024-01-20", "2024-01-25"), fraction=0.4)
+
+
 @query("""
     WITH q AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, o_orderpriority,
                       CASE WHEN o_totalprice > 300000 THEN NULL ELSE o_custkey END AS rank_A,
@@ -99,7 +118,7 @@ def job_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
              WHERE p_size <> (SELECT min(p_size) FROM part) OR id IS NOT NULL
          ),
          kept AS (SELECT * FROM base JOIN macro USING (day) WHERE area > 5 AND price > 905 AND price NOT IN (910, 1500))
-    SELECT p_partkey AS row_id, area::FLOAT::DOUBLE AS area, round(level, -2) AS level, isodow(day)::DOUBLE AS day_of_week,
+    SELECT p_partkey AS row_id, area::FLOAT::DOUBLE AS area, level::FLOAT::DOUBLE AS level, isodow(day)::DOUBLE AS day_of_week,
            year(day)::DOUBLE AS year, big::DOUBLE AS big,
            CASE WHEN p_type = 'PROMO' THEN (SELECT count(DISTINCT p_type) - 1 FROM kept) ELSE dense_rank() OVER (ORDER BY nullif(p_type, 'PROMO') NULLS LAST) - 1 END AS kind,
            round(ln(price / area)::FLOAT::DOUBLE, 4) AS y,
@@ -125,7 +144,7 @@ def job_property_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     wide = split_view(built)
     single = {c: F.col(c).cast("double") for c in ("area", "day_of_week", "year", "big")}
-    shown = wide.withColumns(single | {"level": F.round(F.col("level").cast("double"), -2), "y": F.round(F.col("y").cast("double"), 4)})
+    shown = wide.withColumns(single | {"level": F.col("level").cast("double"), "y": F.round(F.col("y").cast("double"), 4)})
     return shown.select("row_id", "area", "level", "day_of_week", "year", "big", "kind", "y", "part")
 
 
@@ -143,24 +162,39 @@ def job_property_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def job_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers anchored at their last order, target: it was worth more than the mean; rows per split and part."""
+    built = _offers_build(spark, sf_dir)
+    return built.splits.groupBy("split", "part").agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
+        "features", F.lit(len(built.roles.features))
+    )
+
+
+@query(f"""
+    WITH f AS ({history_sql("any_value(anchor_large) AS large")})
+    SELECT f.*, CASE WHEN anchor_date < '2000-06-01' THEN 'train' WHEN anchor_date < '2001-01-01' THEN 'val' ELSE 'test' END AS part FROM f
+""")
+def job_offers_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same build, row by row: the default split, the target and all 118 features."""
+    built = _offers_build(spark, sf_dir)
+    rows = built.rows.join(built.splits.where("split = 'default'").select(F.col("row_id").alias("id"), "part"), "id")
+    return rounded_history(rows).withColumn("large", F.col("large").cast("bigint"))
+
+
+def _offers_build(spark: SparkSession, sf_dir: str) -> jobs.Build:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("d"), "o_totalprice")
     lines = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
         table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type"), "l_partkey"
     )
     last = lines.groupBy(F.col("o_custkey").alias("id")).agg(F.max_by(
-        F.struct("d", "p_brand", "p_type", "l_suppkey", "o_totalprice"), F.struct("d", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        F.struct("d", "p_brand", "p_type", "l_suppkey", "o_totalprice"), F.struct("d", "o_orderkey", -F.col("l_linenumber"), -F.col("l_partkey"), -F.col("l_suppkey"))
     ).alias("a")).select(
         "id", F.col("a.d").alias("anchor_date"), F.col("a.p_brand").alias("anchor_brand"), F.col("a.p_type").alias("anchor_type"),
         F.col("a.l_suppkey").alias("anchor_supplier"), (F.col("a.o_totalprice") > 250000).cast("int").alias("large"),
     )
     events = lines.select(F.col("o_custkey").alias("id"), "d", "p_brand", "p_type", "l_suppkey", "l_quantity", "l_extendedprice")
-    built = jobs.offers(
+    return jobs.offers(
         events, last, "id", "large", Timeline("anchor_date", "2000-06-01", "2001-01-01"), date="d", quantity="l_quantity",
         amount="l_extendedprice", matches=MATCHES, combinations=COMBINATIONS,
     )
-    return built.splits.groupBy("split", "part").agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
-        "features", F.lit(len(built.roles.features))
-    )
 
 
 @query("""
@@ -171,6 +205,45 @@ def job_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def job_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with aggregated lines, dead columns dropped, a quarter sampled: rows, features and target share per part."""
+    built = _credit_build(spark, sf_dir)
+    return split_view(built).groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("y"), 8).alias("share")).withColumn(
+        "features", F.lit(len(built.roles.features))
+    )
+
+
+@query("""
+    WITH s AS (SELECT *, row_number() OVER (ORDER BY substr(md5('0|' || o_orderkey), 1, 15), o_orderkey) AS rn, count(*) OVER () AS n FROM orders),
+    l AS (SELECT *, (l_shipdate::DATE - DATE '1970-01-01')::DOUBLE AS days,
+                 row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS up,
+                 row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS down FROM lineitem),
+    g AS (
+        SELECT l_orderkey, max(l_extendedprice) AS max_price_A, min(l_extendedprice) AS min_price_A, avg(l_extendedprice) AS mean_price_A,
+               stddev_samp(l_extendedprice) AS std_price_A, max(days) AS hi, min(days) AS lo, avg(days) AS mid, stddev_samp(days) AS std_shipped_D,
+               count(DISTINCT l_returnflag) AS n_unique_flag_M, max(l_linestatus) AS status,
+               max(l_returnflag) FILTER (WHERE up = 1) AS f, max(l_returnflag) FILTER (WHERE down = 1) AS t
+        FROM l GROUP BY l_orderkey
+    )
+    SELECT o_orderkey AS case_id, o_totalprice, max_price_A, min_price_A, round(mean_price_A, 6) AS mean_price_A, round(std_price_A, 3) AS std_price_A,
+           hi - (o_orderdate::DATE - DATE '1970-01-01') AS max_shipped_D, lo - (o_orderdate::DATE - DATE '1970-01-01') AS min_shipped_D,
+           trunc(mid - (o_orderdate::DATE - DATE '1970-01-01')) AS mean_shipped_D, round(std_shipped_D, 4) AS std_shipped_D, n_unique_flag_M,
+           isodow(o_orderdate)::BIGINT AS day_of_week, day(o_orderdate)::BIGINT AS day_of_month, dayofyear(o_orderdate)::BIGINT AS day_of_year,
+           (status = 'O')::INT::DOUBLE AS max_status_L, CASE f WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END::BIGINT AS first_flag_M,
+           CASE t WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END::BIGINT AS last_flag_M, (o_orderstatus = 'F')::INT::BIGINT AS target,
+           CASE WHEN o_orderdate < TIMESTAMP '1999-01-01' THEN 'train' WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN 'val' ELSE 'test' END AS part
+    FROM s LEFT JOIN g ON o_orderkey = l_orderkey WHERE rn <= floor(0.25 * n)
+""")
+def job_credit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same build, row by row with every feature."""
+    built = _credit_build(spark, sf_dir)
+    rows = built.rows.join(built.splits.where("split = 'default'").select(F.col("row_id").alias("case_id"), "part"), "case_id")
+    whole = {"target", "day_of_week", "day_of_month", "day_of_year", "n_unique_flag_M", "first_flag_M", "last_flag_M"}
+    shown = {c: F.col(c).cast("bigint") for c in whole} | {
+        c: F.col(c).cast("double") for c in ("max_status_L", "max_shipped_D", "min_shipped_D", "mean_shipped_D")
+    } | {"mean_price_A": F.round("mean_price_A", 6), "std_price_A": F.round("std_price_A", 3), "std_shipped_D": F.round("std_shipped_D", 4)}
+    return rows.withColumns(shown).select("case_id", *built.roles.features, "target", "part")
+
+
+def _credit_build(spark: SparkSession, sf_dir: str) -> jobs.Build:
     base = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("case_id"), F.col("o_orderdate").cast("date").alias("date_decision"),
         (F.col("o_orderstatus") == "F").cast("int").alias("target"),
@@ -178,13 +251,11 @@ def job_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     static = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), "o_totalprice", F.lit(1).alias("dead"))
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("num_group1"), F.col("l_partkey").alias("num_group2"),
+        F.col("l_suppkey").alias("num_group3"),
         F.col("l_extendedprice").alias("price_A"), F.col("l_returnflag").alias("flag_M"), F.col("l_shipdate").alias("shipped_D"),
         F.col("l_linestatus").alias("status_L"),
     )
-    built = jobs.credit(
-        base, [static], [(lines, ["num_group1", "num_group2"])], "case_id", "target", Timeline("date_decision", "1999-01-01", "2000-01-01"),
+    return jobs.credit(
+        base, [static], [(lines, ["num_group1", "num_group2", "num_group3"])], "case_id", "target", Timeline("date_decision", "1999-01-01", "2000-01-01"),
         bin_flags={"max_status_L": F.col("max_status_L") == "O"}, drop=["min_status_L"],
     )
-    return split_view(built).groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("y"), 8).alias("share")).withColumn(
-        "features", F.lit(len(built.roles.features))
-    )

@@ -180,7 +180,10 @@ def credit(
     timeline: Timeline, *, bin_flags: dict[str, Column] | None = None, drop: Sequence[str] = (), fraction: float = 0.25,
     fit_on: str = "train",
 ) -> Build:
-    """Entity tables joined to the base, dead columns dropped, text as codes, an exact sample, calendar parts."""
+    """Entity tables joined to the base, dead columns dropped, text as codes, an exact sample, calendar parts.
+
+    Fractions, truth values and counts are numeric features; other whole numbers and dates that are left over are none.
+    """
     wide = entity_table(base, static, grouped, row_id, timeline.time).drop(*drop)
     outside = [row_id, target, timeline.time]
     wide = wide.withColumns({c: e.cast("float") for c, e in (bin_flags or {}).items()})
@@ -188,7 +191,11 @@ def credit(
     cat = [f.name for f in wide.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in [*outside, *flags]]
     coded = _merge_rare(wide, cat, timeline, fit_on)
     sampled = add_calendar(exact_sample(coded, fraction, row_id, timeline.seed), timeline.time, DATE_PARTS)
-    num = [c for c in sampled.columns if c not in [*outside, *flags, *cat]]
+    fractions = {f.name for f in sampled.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType, T.BooleanType))}
+    num = [
+        c for c in sampled.columns
+        if c not in [*outside, *flags, *cat] and (c in fractions or c.startswith("n_unique_") or c in DATE_PARTS)
+    ]
     roles = Roles(num=num, bin=flags, cat=cat, meta=[timeline.time], target=target, task="binclass")
     return _finish(sampled, roles, timeline, row_id)
 
