@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from timetab.llm.blocks import FRAGMENT_BYTES, store_bucketed
 
-BUCKETS = 8192
+FACTOR = 40503
+BLOCK_CHARS = 10_000_000
 FOLD_BYTES = 1024  # longer words are merged with a heap: the fold's work grows with the square of a word's bytes
 PARSED = "block long, kind int, doc_id long, numbers binary, fragment long, lengths binary, words binary"
 DICTIONARY = "fragment long, lengths binary, words binary, sizes binary, ids binary"
@@ -38,59 +39,78 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal: an array of small maps from hex piece to rank, a piece's place being its CRC-32."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+def _json(value, kind: T.DataType) -> Column:
+    """A large literal; Spark folds it once, when the query is planned."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _hex_pieces(ranks: dict[bytes, int]) -> list[str]:
+    pieces = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
-        key = piece.hex().upper()
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), T.ArrayType(T.MapType(T.StringType(), T.IntegerType())))
+        pieces[rank] = piece.hex()
+    return pieces
+
+
+class RankMap:
+    """The ranks of merged pairs as a literal map, by the ids of the two parts."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pieces = _hex_pieces(ranks)
+        self.size = 1 << (len(pieces) - 1).bit_length()
+        # An odd factor makes the left part follow from the bucket and the right part, so the right part is key enough.
+        buckets: list[dict[str, int] | None] = [None] * self.size
+        for piece, rank in ranks.items():
+            for cut in range(1, len(piece)):
+                a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+                if a is not None and b is not None:
+                    at = (a * FACTOR + b) % self.size
+                    buckets[at] = buckets[at] or {}
+                    buckets[at][pieces[b]] = rank
+        self.buckets = _json(buckets, T.ArrayType(T.MapType(T.StringType(), T.IntegerType())))
+        self.pieces = _json(pieces, T.ArrayType(T.StringType()))
+        self.bytes = _json([ranks[bytes([i])] for i in range(256)], T.ArrayType(T.IntegerType()))
+
+    def rank(self, a: Column, b: Column) -> Column:
+        """The rank, which is the id, of what the parts make together; null if they do not merge."""
+        return F.element_at(F.get(self.buckets, F.pmod(a * FACTOR + b, F.lit(self.size))), F.get(self.pieces, b))
 
 
 def folded_ids(word: Column, ranks: dict[bytes, int]) -> Column:
     """Ids of a word of bytes: its single bytes, folded by merging the adjacent pair of least rank, the first of equals, until none has one."""
-    literal = rank_map(ranks)
-
-    def rank(piece: Column) -> Column:
-        return F.element_at(F.get(literal, F.pmod(F.crc32(piece), F.lit(BUCKETS)).cast("int")), piece)
+    known = RankMap(ranks)
+    letters, n = F.decode(word, "ISO-8859-1"), F.octet_length(word)
+    none = F.array().cast("array<int>")
 
     def let(value: Column, body) -> Column:
         return F.get(F.transform(F.array(value), body), 0)
 
-    digits, n = F.hex(word), F.octet_length(word)
-    single = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(digits, 2 * i - 1, F.lit(2)))).otherwise(
-        F.array().cast("array<string>")
-    )
-    state = "struct<parts:array<string>,ranks:array<int>>"
+    single = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(known.bytes, F.ascii(F.substring(letters, i, F.lit(1)))))
 
-    def pairs(parts: Column) -> Column:
-        return F.when(
-            F.size(parts) > 1,
-            F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: rank(F.concat(F.get(parts, i - 1), F.get(parts, i)))),
-        ).otherwise(F.array().cast("array<int>"))
+    def pairs(ids: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(ids) - 1)
+        return F.when(F.size(ids) > 1, F.transform(places, lambda i: known.rank(F.get(ids, i - 1), F.get(ids, i)))).otherwise(none)
 
-    start = let(single, lambda parts: F.struct(parts.alias("parts"), pairs(parts).alias("ranks")).cast(state))
+    state = "struct<ids:array<int>,ranks:array<int>>"
+    start = let(F.when(n > 0, single).otherwise(none), lambda ids: F.struct(ids.alias("ids"), pairs(ids).alias("ranks")).cast(state))
 
     def merged(acc: Column, p: Column) -> Column:
-        parts, old = acc["parts"], acc["ranks"]
-        end = F.size(parts)
-
-        def joined(piece: Column) -> Column:
-            left = F.when(p > 1, F.array(rank(F.concat(F.get(parts, p - 2), piece)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(p + 1 < end, F.array(rank(F.concat(piece, F.get(parts, p + 1))))).otherwise(F.array().cast("array<int>"))
-            return F.struct(
-                F.concat(F.slice(parts, 1, p - 1), F.array(piece), F.slice(parts, p + 2, end)).alias("parts"),
-                F.concat(F.slice(old, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(old, p + 2, end)).alias("ranks"),
-            ).cast(state)
-
-        return let(F.concat(F.get(parts, p - 1), F.get(parts, p)), joined)
+        ids, old = acc["ids"], acc["ranks"]
+        end, new = F.size(ids), F.get(old, p - 1)
+        left = F.when(p > 1, F.array(known.rank(F.get(ids, p - 2), new))).otherwise(none)
+        right = F.when(p + 1 < end, F.array(known.rank(new, F.get(ids, p + 1)))).otherwise(none)
+        return F.struct(
+            F.flatten(F.array(F.slice(ids, 1, p - 1), F.array(new), F.slice(ids, p + 2, end))).alias("ids"),
+            F.flatten(F.array(F.slice(old, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(old, p + 2, end))).alias("ranks"),
+        ).cast(state)
 
     def step(acc: Column, _: Column) -> Column:
-        place = F.array_position(acc["ranks"], F.array_min(acc["ranks"])).cast("int")
+        # Rank and place in one number: its minimum is the first of the least pairs.
+        least = F.array_min(F.transform(acc["ranks"], lambda r, i: r.cast("long") * FOLD_BYTES + i))
+        place = (F.pmod(least, F.lit(FOLD_BYTES)) + 1).cast("int")
         return let(place, lambda p: F.when(p.isNull(), acc).otherwise(merged(acc, p)))
 
-    steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step, lambda acc: F.transform(acc["parts"], rank))
+    steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(none)
+    return F.aggregate(steps, start, step, lambda acc: acc["ids"])
 
 
 def heaped_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -124,10 +144,7 @@ def word_ids(words: DataFrame, ranks: dict[bytes, int], word: str = "word") -> D
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     """The bytes (binary) of an array of ids: the pieces of a literal array, joined. Null gives null, no ids give no bytes."""
-    pieces = [""] * (max(ranks.values()) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece.hex()
-    literal = F.from_json(F.lit(json.dumps(pieces)), T.ArrayType(T.StringType()))
+    literal = _json(_hex_pieces(ranks), T.ArrayType(T.StringType()))
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""))
 
 
@@ -177,27 +194,37 @@ def _rows(block: int, kind: int, doc_ids=None, numbers=None, fragments=None, len
 
 
 def _split(pattern: str, fragments: int):
-    """Each batch of texts becomes a block: per text the numbers of its words, per fragment the block's distinct words, and
-    the order that the words have by fragment and number."""
+    """Texts of about ``BLOCK_CHARS`` in all become a block: per text the numbers of its words, per fragment the block's
+    distinct words, and the order that the words have by fragment and number."""
+
+    def block_rows(block: int, doc_ids: list, coded: list[bytes], numbers: _Numbers) -> Iterator[pd.DataFrame]:
+        yield _rows(block, TEXT, doc_ids, coded)
+        own = [w.encode() for w in numbers]
+        dealt = np.fromiter((xxhash.xxh3_64_intdigest(w) % fragments for w in own), dtype=np.int64, count=len(own))
+        order = np.argsort(dealt, kind="stable")
+        yield _rows(block, ORDER, numbers=[zlib.compress(order.astype(np.uint32).tobytes(), 1)])
+        ids, at = np.unique(dealt[order], return_index=True)
+        packed = [_pack([own[k] for k in x.tolist()]) for x in np.split(order, at[1:])] if len(own) else []
+        yield _rows(block, QUESTION, fragments=ids, lengths=[p[0] for p in packed], words=[p[1] for p in packed])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find, latin = regex.compile(pattern).findall, latin_pattern(pattern)
         plain = re.compile(latin).findall if latin else None
-        part = TaskContext.get().partitionId()
-        for i, pdf in enumerate(batches):
-            block = (part << 32) + i
-            numbers, coded = _Numbers(), []
-            for text in pdf["text"]:
+        block = TaskContext.get().partitionId() << 32
+        for pdf in batches:
+            numbers, doc_ids, coded, size = _Numbers(), [], [], 0
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 words = [] if not text else plain(text) if plain and not ODD(text) else find(text)
                 coded.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words)).tobytes())
-            yield _rows(block, TEXT, list(pdf["doc_id"]), coded)
-            own = [w.encode() for w in numbers]
-            dealt = np.fromiter((xxhash.xxh3_64_intdigest(w) % fragments for w in own), dtype=np.int64, count=len(own))
-            order = np.argsort(dealt, kind="stable")
-            yield _rows(block, ORDER, numbers=[zlib.compress(order.astype(np.uint32).tobytes(), 1)])
-            ids, at = np.unique(dealt[order], return_index=True)
-            packed = [_pack([own[k] for k in x.tolist()]) for x in np.split(order, at[1:])] if len(own) else []
-            yield _rows(block, QUESTION, fragments=ids, lengths=[p[0] for p in packed], words=[p[1] for p in packed])
+                doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
+                size += len(text or "")
+                if size >= BLOCK_CHARS:
+                    yield from block_rows(block, doc_ids, coded, numbers)
+                    block += 1
+                    numbers, doc_ids, coded, size = _Numbers(), [], [], 0
+            if doc_ids:
+                yield from block_rows(block, doc_ids, coded, numbers)
+                block += 1
 
     return run
 
