@@ -68,13 +68,13 @@ def history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").join(
         table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
     )
-    bought = lookup_join(
+    bought = materialise(lookup_join(
         lines.withColumnRenamed("l_partkey", "p_partkey"),
         table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), ["p_partkey"],
     ).select(
         F.col("o_custkey").alias("id"), F.col("o_orderdate").cast("date").alias("d"), "o_orderkey", "l_linenumber",
         "p_partkey", "p_brand", "p_type", "l_suppkey", "l_quantity", "l_extendedprice",
-    )
+    ), "bought")
     last = F.struct("d", "o_orderkey", -F.col("l_linenumber"), -F.col("p_partkey"), -F.col("l_suppkey"))
     anchors = bought.groupBy("id").agg(
         F.max_by(F.struct("d", "p_brand", "p_type", "l_suppkey"), last).alias("a")

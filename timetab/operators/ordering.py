@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timetab.session import materialise
+from timetab.session import materialise, store_bucketed
 
 LEAF_ROWS = 250_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number inside its partition in the low 33 bits
@@ -74,7 +74,8 @@ def prefix_totals(
     within, rest = list(within), list(order)[len(within) :]
     if list(order)[: len(within)] != within:
         raise ValueError("the groups must lead the order")
-    table = materialise(df.repartitionByRange(*order).withColumn("pid", F.spark_partition_id()), "ranges")
+    # Bucketed by range, so that the running sums below need no further shuffle.
+    table = store_bucketed(df.repartitionByRange(*order).withColumn("pid", F.spark_partition_id()), "pid")
     kinds = {n: "double" if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else "long"
              for n, c in totals.items()}
     # One row per range partition, and per group that begins in it.

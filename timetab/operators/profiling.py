@@ -20,48 +20,49 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return unpivot_text(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _typed_groups(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, list[str]]]:
-    """Columns by the type their values are counted in: numbers and times keep a fixed width, the rest is text."""
-    groups: dict[str, list[str]] = {}
-    for c in columns:
-        kind = df.schema[c].dataType
-        if isinstance(kind, (T.IntegralType, T.BooleanType)):
-            groups.setdefault("bigint", []).append(c)
-        elif isinstance(kind, (T.FloatType, T.DoubleType)):
-            groups.setdefault("double", []).append(c)
-        elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            groups.setdefault("timestamp_ntz", []).append(c)
-        else:
-            groups.setdefault("string", []).append(c)
-    return list(groups.items())
+def _typed(df: DataFrame, c: str) -> dict[str, str]:
+    """The slot that a column's values are counted in: numbers and times keep a fixed width, the rest is text."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return {"whole": "bigint"}
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return {"real": "double"}
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return {"time": "timestamp_ntz"}
+    return {"text": "string"}
+
+
+_SLOTS = {"whole": "bigint", "real": "double", "time": "timestamp_ntz", "text": "string"}
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Per column: rows, nulls, null share, distinct values without and with null.
 
-    Exact distinct counts come from one long aggregate per value type over all its columns, rather than one Expand
-    branch of the full row per column. The scan of each aggregate reads its own columns only.
+    Exact distinct counts come from one scan and one long aggregate over all columns, rather than one Expand branch of the
+    full row per column: each value takes the slot of its type, and the other slots are null.
     """
     columns = list(columns or df.columns)
-    out = None
-    for kind, names in _typed_groups(df, columns):
-        pairs = [F.struct(F.lit(i).alias("c"), F.col(c).cast(kind).alias("v")) for i, c in enumerate(names)]
-        long = df.select(F.explode(F.array(*pairs)).alias("e")).select("e.c", "e.v")
-        if exact:
-            counts = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-            base = counts.groupBy("c").agg(
-                F.sum("n").alias("n_rows"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("n_null"),
-                F.count("v").alias("n_distinct"),
-            )
-        else:
-            base = long.groupBy("c").agg(
-                F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("v").isNull()).alias("n_null"),
-                F.approx_count_distinct("v").alias("n_distinct"),
-            )
-        label = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("c") + 1)
-        part = base.select(label.alias("column"), "n_rows", "n_null", "n_distinct")
-        out = part if out is None else out.unionByName(part)
-    return out.withColumns({
+    pairs = []
+    for i, c in enumerate(columns):
+        own = _typed(df, c)
+        pairs.append(F.struct(F.lit(i).alias("c"), *[
+            (F.col(c) if name in own else F.lit(None)).cast(kind).alias(name) for name, kind in _SLOTS.items()
+        ]))
+    long = df.select(F.explode(F.array(*pairs)).alias("e")).select("e.*")
+    used = [s for s in _SLOTS if any(s in _typed(df, c) for c in columns)]
+    known = F.coalesce(*[F.when(F.col(s).isNotNull(), True) for s in used], F.lit(False))
+    if exact:
+        counts = long.groupBy("c", *used).agg(F.count(F.lit(1)).alias("n"))
+        base = counts.groupBy("c").agg(
+            F.sum("n").alias("n_rows"), F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("n_null"), F.count_if(known).alias("n_distinct"),
+        )
+    else:
+        base = long.groupBy("c").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count_if(~known).alias("n_null"),
+            F.approx_count_distinct(F.when(known, F.xxhash64(*used))).alias("n_distinct"),
+        )
+    label = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("c") + 1)
+    return base.select(label.alias("column"), "n_rows", "n_null", "n_distinct").withColumns({
         "null_share": F.col("n_null") / F.col("n_rows"),
         "n_distinct_with_null": F.col("n_distinct") + (F.col("n_null") > 0).cast("bigint"),
     })
