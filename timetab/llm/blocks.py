@@ -10,19 +10,17 @@ rounds meet their answers without moving the texts again.
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timetab.session import fresh_path
+from timetab.session import store_bucketed
 
 U = np.uint64
 BLOCKS_PER_PARTITION = 4
 FRAGMENT_BYTES = 16 << 20
-MAX_BUCKETS = 100_000  # Spark's own limit
 QUESTION = "fragment long, block long, keys binary, extra binary"
 ANSWER = "stage int, block long, fragment long, levels binary"
 _A, _B = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
@@ -46,19 +44,6 @@ def store_blocks(
     return store_bucketed(rows, "block")
 
 
-def store_bucketed(rows: DataFrame, key: str) -> DataFrame:
-    """Store a table in the shared folder, bucketed by ``key``: grouping it by the key, or joining on it, moves none of its rows."""
-    spark = rows.sparkSession
-    # At least the session's number of shuffle partitions: with fewer, Spark would shuffle the table in a join.
-    buckets = min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    name = f"timetab_{uuid.uuid4().hex}"
-    rows.write.bucketBy(buckets, key).option("path", fresh_path(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
-    table = spark.table(name)
-    table.schema  # noqa: B018  resolves the files before the name goes
-    spark.sql(f"DROP TABLE {name}")  # only the name: the files are external
-    return table
-
-
 def fragments_for(blocks: DataFrame, share: float = 1.0) -> int:
     """Fragments such that each gets about ``FRAGMENT_BYTES`` of text; ``share``: keys per byte against op1's."""
     total = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timetab.llm.blocks import FRAGMENT_BYTES, store_bucketed
+from timetab.llm.blocks import FRAGMENT_BYTES
+from timetab.session import store_bucketed
 
 FACTOR = 40503
 BLOCK_CHARS = 10_000_000

@@ -158,10 +158,9 @@ def difference_candidates(stars: DataFrame, labels: DataFrame, percent: int) ->
     needs more than |D(x)| - f * (n(pivot) - n(x)) shingles in common between their differences, f being the share of the
     summed sizes that a link's overlap must reach. So only a prefix of x's differences, rare ones first, looks for z.
     """
-    share = F.lit(percent / (100 + percent))
+    whole = 100 + percent
     d, e = F.col("nb") - F.col("overlap"), F.col("na") - F.col("overlap")
-    # A little is taken off for rounding; a shorter bound only makes more candidates.
-    least = F.greatest(F.lit(1), F.floor(d - share * (F.col("nb") - F.col("na")) - 1e-6) + 1)
+    least = F.greatest(F.lit(1), F.floor((whole * d - percent * (F.col("nb") - F.col("na"))) / F.lit(whole)) + 1)
     lone_extra, lone_pivot = e - F.size("beyond"), F.col("nb") - F.col("many_b")
     known = stars.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a")).withColumns({
         # What the prefix holds after the shingles that no other class has.
