@@ -68,6 +68,23 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = T
     })
 
 
+FEW_VALUES = 1000
+
+
+def profile_of_few(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The profile for decisions about columns with few values: exact where there are few, estimated where there are many.
+
+    One scan estimates all columns. Only those estimated at no more than ``FEW_VALUES`` are counted exactly, so values of
+    near-unique columns are never shuffled. The estimate of a column with fewer than a hundred values is far below the border.
+    """
+    rough = profile(df, columns, exact=False).collect()
+    few = [r["column"] for r in rough if r["n_distinct"] <= FEW_VALUES]
+    many = [r for r in rough if r["n_distinct"] > FEW_VALUES]
+    schema = "column string, n_rows long, n_null long, n_distinct long, null_share double, n_distinct_with_null long"
+    rest = df.sparkSession.createDataFrame([tuple(r) for r in many], schema)
+    return profile(df, few).unionByName(rest) if few else rest
+
+
 def ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
     """Smallest and largest value per column from a single aggregate."""
     row = df.agg(*[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns]).first()
@@ -94,7 +111,9 @@ def uninformative(stats: DataFrame, text: Sequence[str], null_share: float = 0.9
 
 def drop_uninformative(df: DataFrame, null_share: float = 0.95, text_values: int = 50) -> DataFrame:
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    verdict = uninformative(profile(df), text, null_share, text_values)
+    if text_values * 2 > FEW_VALUES:
+        raise ValueError(f"text_values must not be above {FEW_VALUES // 2}")
+    verdict = uninformative(profile_of_few(df), text, null_share, text_values)
     return df.drop(*[r["column"] for r in verdict.where("drop").select("column").collect()])
 
 

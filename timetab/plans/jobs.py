@@ -15,7 +15,7 @@ from timetab.functions.columns import Roles, log_target, mapped, pick, presence,
 from timetab.operators.cleaning import at_least, drop_at_minimum
 from timetab.operators.encoding import dense_codes, encode_frequent, fit_frequent
 from timetab.operators.joins import lookup_join, update_join
-from timetab.operators.profiling import profile
+from timetab.operators.profiling import profile_of_few
 from timetab.operators.sampling import exact_sample
 from timetab.operators.splits import all_splits, part_by_bounds
 from timetab.plans.entity import entity_table
@@ -124,7 +124,7 @@ def quotes(
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
     df = df.withColumns({c: sentinel_to_null(c) for c in pick(df, suffix=ordinal, exclude=outside) if c in numeric})
     df = add_calendar(df, timeline.time, [*DATE_PARTS, "month"])
-    stats = {r["column"]: r for r in profile(df, [c for c in df.columns if c not in outside]).collect()}
+    stats = {r["column"]: r for r in profile_of_few(df, [c for c in df.columns if c not in outside]).collect()}
     live = [c for c, r in stats.items() if r["n_null"] < r["n_rows"]]
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     flags = [c for c in live if stats[c]["n_distinct_with_null"] == 2]
@@ -148,7 +148,7 @@ def property_sales(
     joined = add_calendar(lookup_join(fixed.where(keep), macro, [timeline.time]), timeline.time, [*DATE_PARTS, "month", "year"])
     joined = materialise(joined.withColumn("_y", log_target(price, per=area)), "sales")
     outside = [row_id, timeline.time, price, "_y", *cat]
-    stats = profile(joined, [c for c in joined.columns if c not in outside])
+    stats = profile_of_few(joined, [c for c in joined.columns if c not in outside])
     flags = [r["column"] for r in stats.where(F.col("n_distinct_with_null") == 2).collect()]
     coded = _merge_rare(joined, cat, timeline, fit_on, missing="own")
     if flags:
