@@ -10,7 +10,9 @@ from timetab.functions.columns import (
 )
 from timetab.operators.aggregates import entity_features, histogram, list_mean
 from timetab.operators.drift import centred_sums, covariance, covariance_gap
-from timetab.operators.profiling import drop_uninformative, narrowed_types, profile, two_valued_columns, value_counts
+from timetab.operators.profiling import (
+    drop_uninformative, narrowed_types, profile, profile_of_few, two_valued_columns, value_counts,
+)
 from timetab.plans.entity import dates_to_days, entity_table, sex_flag
 from timetab.plans.history import HORIZONS, history_features, purchase_flags
 
@@ -236,3 +238,18 @@ def test_covariance(spark):
         gaps.append(((want - np.cov(inside.T)) ** 2).sum() / 4 / 16)
     row = covariance_gap(df, "t", names).first()
     assert row["domains"] == 5 and row["gap"] == pytest.approx(np.mean(gaps))
+
+
+def test_profile_of_few(spark):
+    """Few values are counted exactly, many are estimated, and nulls count as before."""
+    df = spark.range(5000).select(
+        F.col("id"), (F.col("id") % 51).cast("string").alias("text"), F.when(F.col("id") % 2 == 0, 1.5).alias("half"),
+        F.lit(None).cast("int").alias("none"), (F.col("id") % 50).cast("double").alias("fifty"),
+    )
+    got = {r["column"]: r for r in profile_of_few(df).collect()}
+    want = {r["column"]: r for r in profile(df).collect()}
+    assert {c: (r["n_rows"], r["n_null"]) for c, r in got.items()} == {c: (r["n_rows"], r["n_null"]) for c, r in want.items()}
+    for c in ("text", "half", "none", "fifty"):
+        assert got[c] == want[c]
+    assert abs(got["id"]["n_distinct"] - 5000) < 500
+    assert drop_uninformative(df).columns == ["id", "fifty"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from timetab.functions.columns import Roles
 from timetab.plans.models import draw, ensemble_runs, evaluate, fit, fit_boosted, over_seeds, predict, search
-from timetab.session import shared_folder
+from timetab.session import materialise, scratch, shared_folder
 from timetab.sources.bundles import cached, load_bundle, load_task, save_bundle
 from timetab.sources.runs import load_predictions, read_reports, save_predictions
 from timetab.sources.tables import read_csv, read_tables
@@ -128,6 +128,17 @@ def test_shared_folder_follows_the_session():
     assert shared_folder(local) == shared_folder(local)
 
 
+def test_scratch(spark):
+    """Tables made inside the scope are emptied at its end, others stay."""
+    outer = materialise(spark.range(3), "outer")
+    with scratch(spark):
+        inner = materialise(spark.range(5), "inner")
+        assert inner.count() == 5
+        path = inner.inputFiles()[0].rsplit("/", 1)[0]
+    assert outer.count() == 3
+    assert spark.read.parquet(path).count() == 0
+
+
 def test_draw():
     space = {"a": ["uniform", 0, 1], "b": ["loguniform", 1e-3, 1e3], "c": ["int", 2, 4], "d": ["int-power-of-two", 3, 5],
              "e": ["categorical", ["x", "y"]], "f": ["?uniform", 0.0, 1, 2], "g": 5, "h": {"z": ["int", 1, 1]}}

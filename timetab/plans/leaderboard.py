@@ -130,6 +130,9 @@ def pairwise_range(stats: DataFrame) -> DataFrame:
     )
 
 
+ROWS_AT_ONCE = 32
+
+
 @F.pandas_udf(T.DoubleType())
 def studentised_range_tail(q: pd.Series, groups: pd.Series, freedom: pd.Series) -> pd.Series:
     """P(Q > q) for the range of ``groups`` normal means over an independent std with ``freedom`` degrees, by quadrature."""
@@ -143,17 +146,20 @@ def studentised_range_tail(q: pd.Series, groups: pd.Series, freedom: pd.Series)
     density = np.exp(-0.5 * z * z) / math.sqrt(2.0 * math.pi)
     at_z = np.interp(z, wide, below)
     node, weight = np.polynomial.legendre.leggauss(80)
-    out = []
-    for x, k, v in zip(q, groups, freedom):
+    out = np.empty(len(q))
+    kinds = pd.DataFrame({"k": groups.to_numpy(), "v": freedom.to_numpy()}).groupby(["k", "v"]).indices
+    for (k, v), rows in kinds.items():
         # s is the std estimate over the true one; its density is that of sqrt(chi2_v / v).
         half = 10.0 / math.sqrt(2.0 * v)
         lo, hi = max(1e-9, 1.0 - half), 1.0 + half
         s = 0.5 * (hi - lo) * node + 0.5 * (hi + lo)
         log_f = (v / 2.0) * math.log(v) - math.lgamma(v / 2.0) - (v / 2.0 - 1.0) * math.log(2.0)
         f = np.exp(log_f + (v - 1.0) * np.log(s) - v * s * s / 2.0) * 0.5 * (hi - lo) * weight
-        gap = at_z[None, :] - np.interp(z[None, :] - x * s[:, None], wide, below)
-        inner = k * (density[None, :] * np.maximum(gap, 0.0) ** (k - 1)).sum(1) * dz
-        out.append(float(min(1.0, max(0.0, 1.0 - (f * inner).sum() / f.sum()))))
+        for part in np.array_split(rows, -(-len(rows) // ROWS_AT_ONCE)):
+            x = q.to_numpy()[part][:, None, None]
+            gap = at_z - np.interp(z - x * s[:, None], wide, below)
+            inner = k * (density * np.maximum(gap, 0.0) ** (k - 1)).sum(-1) * dz
+            out[part] = np.clip(1.0 - (f * inner).sum(-1) / f.sum(), 0.0, 1.0)
     return pd.Series(out)
 
 
