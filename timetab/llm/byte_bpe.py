@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timetab.llm.blocks import FRAGMENT_BYTES
-from timetab.session import store_bucketed
+from timetab.session import materialise, store_bucketed
 
 FACTOR = 40503
 BLOCK_CHARS = 10_000_000
@@ -134,15 +134,6 @@ def heaped_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in part if p is not None]
 
 
-def word_ids(words: DataFrame, ranks: dict[bytes, int], word: str = "word") -> DataFrame:
-    """Add ``ids array<int>`` to a table of distinct words (binary)."""
-    long_ids = F.udf(lambda w: heaped_ids(bytes(w), ranks), "array<int>")
-    long_word = F.octet_length(word) > FOLD_BYTES
-    return words.where(~long_word).withColumn("ids", folded_ids(F.col(word), ranks)).unionAll(
-        words.where(long_word).withColumn("ids", long_ids(word))
-    )
-
-
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     """The bytes (binary) of an array of ids: the pieces of a literal array, joined. Null gives null, no ids give no bytes."""
     literal = _json(_hex_pieces(ranks), T.ArrayType(T.StringType()))
@@ -230,11 +221,20 @@ def _split(pattern: str, fragments: int):
     return run
 
 
-def _distinct(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    words = set()
-    for lengths, joined in zip(pdf["lengths"], pdf["words"]):
-        words.update(_unpack(lengths, joined))
-    return pd.DataFrame({"fragment": np.full(len(words), key[0], dtype=np.int64), "word": list(words)})
+def _distinct(ranks: dict[bytes, int]):
+    """The distinct words of a fragment; those too long for the fold with their ids."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        words = set()
+        for lengths, joined in zip(pdf["lengths"], pdf["words"]):
+            words.update(_unpack(lengths, joined))
+        words = list(words)
+        return pd.DataFrame({
+            "fragment": np.full(len(words), key[0], dtype=np.int64), "word": words,
+            "long_ids": [heaped_ids(w, ranks) if len(w) > FOLD_BYTES else None for w in words],
+        })
+
+    return run
 
 
 def _dictionary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,8 +291,11 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: s
     fragments = max(1, math.ceil((body.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / FRAGMENT_BYTES))
     parsed = store_bucketed(body.mapInPandas(_split(pattern, fragments), PARSED), "block")
     asked = parsed.where(F.col("kind") == QUESTION).select("fragment", "block", "lengths", "words")
-    words = asked.groupBy("fragment").applyInPandas(_distinct, "fragment long, word binary")
-    known = word_ids(words, ranks).mapInPandas(_dictionary, DICTIONARY)
+    # Stored between the steps: a task then runs one Python worker at a time.
+    words = asked.groupBy("fragment").applyInPandas(_distinct(ranks), "fragment long, word binary, long_ids array<int>")
+    folded = F.when(F.col("long_ids").isNull(), folded_ids(F.col("word"), ranks)).otherwise(F.col("long_ids"))
+    ids = materialise(words.select("fragment", "word", folded.alias("ids")), "ids")
+    known = ids.mapInPandas(_dictionary, DICTIONARY)
     answers = asked.groupBy("fragment").cogroup(known.groupBy("fragment")).applyInPandas(_answers, ANSWERED)
     texts = parsed.where(F.col("kind") != QUESTION).select("block", "kind", "doc_id", "numbers")
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_encoded, "doc_id long, ids array<int>")

@@ -43,7 +43,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query()
+@query(rf"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+    s AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))
+                                            WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w
+    ),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+    reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT y, root FROM reach JOIN links ON x = doc_id)
+    SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+""")
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
     return ngram_components(table(spark, sf_dir, "documents"))
@@ -195,7 +206,26 @@ def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_sample(table(spark, sf_dir, "documents"), wanted)
 
 
-@query()
+@query("""
+    WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS body, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+    strings AS (SELECT doc_id, i, md5(substring(body, 2 * i + 1, 800)) AS h FROM (SELECT doc_id, body, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
+    twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM strings) WHERE c > 1),
+    steps AS (
+        SELECT doc_id, i, lead(i) OVER own AS later, i > coalesce(lag(i) OVER own, -1000) + 400 AS opens FROM twice WINDOW own AS (PARTITION BY doc_id ORDER BY i)
+    ),
+    counted AS (SELECT doc_id, sum(least(400, coalesce(later - i, 400)))::BIGINT AS n_removed, count(*) FILTER (WHERE opens) AS n_spans FROM steps GROUP BY doc_id),
+    runs AS (
+        SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (
+            SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM steps
+        ) GROUP BY doc_id, run
+    ),
+    holes AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM runs UNION ALL SELECT doc_id, 0, min(a) FROM runs GROUP BY doc_id),
+    left_over AS (
+        SELECT h.doc_id, string_agg(substring(body, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS kept FROM holes h JOIN d USING (doc_id) GROUP BY h.doc_id
+    )
+    SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, body))) AS kept_sha256
+    FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN left_over USING (doc_id)
+""")
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left when strings of 400 bytes that occur more than once are removed."""
     out = suffix_dedup(table(spark, sf_dir, "documents"))
