@@ -172,3 +172,24 @@ def test_policies(spark):
     assert (numeric_policy(True), numeric_policy(False)) == ("identity", "noisy-quantile")
     with pytest.raises(ValueError):
         build_dataset(spark.createDataFrame([("train", 1.0)], "part string, x double"), Roles(num=["x"]), num_policy="none")
+
+
+def test_quantiles_of_crowded_and_odd_columns(spark):
+    """Equal steps, single values, a crowded step, infinities, nulls and empty columns give the same grid as sorting."""
+    rng = np.random.default_rng(8)
+    n = 4000
+    data = {
+        "even": rng.random(n), "ties": rng.integers(0, 5, n).astype(float), "far": np.where(rng.random(n) < 0.001, 1e12, rng.random(n)),
+        "one": np.full(n, 3.0), "gaps": np.where(rng.random(n) < 0.3, np.nan, rng.normal(size=n)), "endless": np.where(rng.random(n) < 0.01, np.inf, rng.random(n)),
+        "wide": np.where(rng.random(n) < 0.5, -1.5e308, 1.5e308),
+    }
+    names = list(data)
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in np.column_stack(list(data.values()))]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).withColumn("empty", F.lit(None).cast("double"))
+    for leaf in (100_000, 50):
+        got = quantile_grid(df, [*names, "empty"], 41, leaf_rows=leaf)
+        assert got["empty"] == [] and list(got["one"]) == [3.0] * 41
+        for c in ("even", "ties", "far", "gaps"):
+            x = data[c][~np.isnan(data[c])]
+            assert got[c] == pytest.approx(list(np.quantile(x, np.linspace(0, 1, 41))), rel=1e-12)
+        assert len(got["endless"]) == len(got["wide"]) == 41 and got["endless"][:40] == pytest.approx(list(np.quantile(data["endless"], np.linspace(0, 1, 41))[:40]))

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timetab.operators.ordering import prefix_totals
 
 
-def quantile_grid(df: DataFrame, columns: Sequence[str], points: int, exact: bool = True) -> dict[str, list[float]]:
+STEPS = 16_384
+MOST_STEPS = 1 << 20
+LEAF_ROWS = 100_000
+
+
+def quantile_grid(
+    df: DataFrame, columns: Sequence[str], points: int, exact: bool = True, leaf_rows: int = LEAF_ROWS
+) -> dict[str, list[float]]:
     """``points`` evenly spaced quantiles (0 to 1) per column, nulls and NaN left out.
 
-    Exact: rows are counted per (column, value), given their place by range-partitioned prefix sums, and each value
-    works out by whole-number arithmetic which grid points it serves. No column is ever gathered in one task; the
-    driver receives columns x points numbers. ``exact=False`` uses ``percentile_approx``.
+    Exact: all columns are counted in equal steps, map-side, and only the rows of steps that hold a grid point are ranked, each
+    step for itself. Columns with a crowded step (more than ``leaf_rows`` rows and values of its own) are ranked by prefix
+    sums over all their values instead. No column is ever gathered in one task; the driver receives a bounded number of
+    counts and columns x points numbers. ``exact=False`` uses ``percentile_approx``.
     """
     if not exact:
         shares = [i / (points - 1) for i in range(points)]
@@ -25,6 +34,73 @@ def quantile_grid(df: DataFrame, columns: Sequence[str], points: int, exact: boo
         ]).first()
         return {c: [float(v) for v in row[c] or []] for c in columns}
 
+    known = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    first = df.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(known.values()) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    bounds = {c: (first[f"n{i}"], first[f"lo{i}"], first[f"hi{i}"]) for i, c in enumerate(columns)}
+    even = [c for c, (n, lo, hi) in bounds.items() if n and lo < hi and math.isfinite(hi - lo)]
+    out: dict[str, list[float]] = {c: [] if not n else [lo] * points for c, (n, lo, hi) in bounds.items() if not n or lo == hi}
+    found = _by_steps(df.select(*[known[c].alias(c) for c in even]), even, bounds, points, leaf_rows) if even else {}
+    rest = [c for c in columns if c not in out and c not in found]
+    return {**out, **found, **(_by_prefix_sums(df, rest, points) if rest else {})}
+
+
+def _by_steps(df: DataFrame, columns: list[str], bounds: dict[str, tuple], points: int, leaf_rows: int) -> dict[str, list[float]]:
+    """Grids of the columns without a crowded step."""
+    steps = max(1, min(STEPS, MOST_STEPS // len(columns)))
+    cells = []
+    for i, c in enumerate(columns):
+        _, lo, hi = bounds[c]
+        step = F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(hi - lo) * steps), F.lit(steps - 1)).cast("int")
+        cells.append(F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("c"), step.alias("step"), F.col(c).alias("v"))))
+    long = df.select(F.explode(F.array_compact(F.array(*cells))).alias("e")).select("e.*")
+    counted = long.groupBy("c", "step").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+
+    values: dict[tuple[int, int], float] = {}
+    wanted, crowded = [], set()
+    places = {i: sorted({p for j in range(points) for p in _ends(j, bounds[c][0], points)}) for i, c in enumerate(columns)}
+    at = {i: 0 for i in places}
+    passed = {i: 0 for i in places}
+    for r in sorted(counted, key=lambda r: (r["c"], r["step"])):
+        i, end = r["c"], passed[r["c"]] + r["n"]
+        while at[i] < len(places[i]) and places[i][at[i]] < end:
+            place = places[i][at[i]]
+            if r["lo"] == r["hi"]:
+                values[i, place] = r["lo"]
+            elif r["n"] > leaf_rows:
+                crowded.add(i)
+            else:
+                wanted.append((i, r["step"], place, place - passed[i]))
+            at[i] += 1
+        passed[i] = end
+    wanted = [w for w in wanted if w[0] not in crowded]
+    if wanted:
+        spark = df.sparkSession
+        ask = spark.createDataFrame(wanted, "c int, step int, place long, inside long")
+        rows = long.join(ask.select("c", "step").distinct(), ["c", "step"], "left_semi").groupBy("c", "step", "v").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("c", "step").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        ranked = rows.withColumn("upto", upto).join(ask, ["c", "step"]).where("inside < upto AND inside >= upto - n")
+        values |= {(r["c"], r["place"]): r["v"] for r in ranked.select("c", "place", "v").collect()}
+    out = {}
+    for i, c in enumerate(columns):
+        if i in crowded:
+            continue
+        span, grid = bounds[c][0] - 1, points - 1
+        out[c] = []
+        for j in range(points):
+            low, high = (values[i, p] for p in _ends(j, span + 1, points))
+            out[c].append(low + (high - low) * ((j * span) % grid / grid))
+    return out
+
+
+def _ends(j: int, rows: int, points: int) -> tuple[int, int]:
+    """The places of the two values that grid point j lies between."""
+    low, rest = divmod(j * (rows - 1), points - 1)
+    return low, low + (rest > 0)
+
+
+def _by_prefix_sums(df: DataFrame, columns: Sequence[str], points: int) -> dict[str, list[float]]:
+    """Rows are counted per (column, value), given their place by range-partitioned prefix sums, and each value works out by
+    whole-number arithmetic which grid points it serves."""
     pairs = [F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]
     long = df.select(F.explode(F.array(*pairs)).alias("e")).select("e.c", "e.v")
     counts = long.where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
