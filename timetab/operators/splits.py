@@ -102,10 +102,13 @@ def _random(
     df: DataFrame, id_: str, train: int, size: int, seed: int,
     windows: list[tuple[Cutoff, Cutoff, Cutoff, Cutoff]], leaf_rows: int = LEAF_ROWS,
 ) -> tuple[DataFrame, list[tuple[str, Column]]]:
-    """Window i is cut at two places of its rows' hash order; all windows are searched together, one key range each."""
-    df = df.withColumns({
+    """Window i is cut at two places of its rows' hash order; all windows are searched together, one key range each.
+
+    The hashes are stored, since every round of the search and the split itself read them.
+    """
+    df = materialise(df.withColumns({
         f"_h{i}": F.lit(i * HASH_RANGE) + hash_order(seed, F.lit(i), id_) for i in range(len(windows))
-    })
+    }), "hashed")
     keys = ", ".join(f"IF({_inside(cuts)}, _h{i}, NULL)" for i, cuts in enumerate(windows))
     rows = df.select(F.explode(F.expr(f"array_compact(array({keys}))")).alias("key"), id_)
     total = train + 2 * size
@@ -133,6 +136,7 @@ def split_sliding(
 
 def split_random(df: DataFrame, id_: str, time: str, size: int | float, windows: int = 3, seed: int = 0, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """The same windows with their rows shuffled by a seeded hash, cut to the same sizes."""
+    df = df.select(time, id_)
     train, rows, cuts = _window_cutoffs(df, id_, time, size, windows, leaf_rows)
     hashed, named = _random(df, id_, train, rows, seed, cuts, leaf_rows)
     return _emit(hashed, id_, named)
@@ -143,7 +147,7 @@ def all_splits(
     leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """The default split, the sliding windows and their random twins as one (row_id, split, part) table."""
-    df = materialise(df.select(time, id_, default.alias("_default")), "timed")
+    df = df.select(time, id_, default.alias("_default"))
     train, rows, cuts = _window_cutoffs(df, id_, time, size, windows, leaf_rows)
     hashed, random = _random(df, id_, train, rows, seed, cuts, leaf_rows)
     return _emit(hashed, id_, [("default", F.col("_default")), *_sliding(cuts), *random])
