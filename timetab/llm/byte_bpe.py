@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from timetab.llm.blocks import FRAGMENT_BYTES
 from timetab.session import materialise, store_bucketed
 
-FACTOR = 40503
-BLOCK_CHARS = 10_000_000
+FACTOR = 4093
+BLOCK_CHARS = 20_000_000
 FOLD_BYTES = 1024  # longer words are merged with a heap: the fold's work grows with the square of a word's bytes
 PARSED = "block long, kind int, doc_id long, numbers binary, fragment long, lengths binary, words binary"
 DICTIONARY = "fragment long, lengths binary, words binary, sizes binary, ids binary"
@@ -91,8 +91,7 @@ def folded_ids(word: Column, ranks: dict[bytes, int]) -> Column:
         places = F.sequence(F.lit(1), F.size(ids) - 1)
         return F.when(F.size(ids) > 1, F.transform(places, lambda i: known.rank(F.get(ids, i - 1), F.get(ids, i)))).otherwise(none)
 
-    state = "struct<ids:array<int>,ranks:array<int>>"
-    start = let(F.when(n > 0, single).otherwise(none), lambda ids: F.struct(ids.alias("ids"), pairs(ids).alias("ranks")).cast(state))
+    start = let(F.when(n > 0, single).otherwise(none), lambda ids: F.struct(ids.alias("ids"), pairs(ids).alias("ranks")))
 
     def merged(acc: Column, p: Column) -> Column:
         ids, old = acc["ids"], acc["ranks"]
@@ -102,7 +101,7 @@ def folded_ids(word: Column, ranks: dict[bytes, int]) -> Column:
         return F.struct(
             F.flatten(F.array(F.slice(ids, 1, p - 1), F.array(new), F.slice(ids, p + 2, end))).alias("ids"),
             F.flatten(F.array(F.slice(old, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(old, p + 2, end))).alias("ranks"),
-        ).cast(state)
+        )
 
     def step(acc: Column, _: Column) -> Column:
         # Rank and place in one number: its minimum is the first of the least pairs.
@@ -136,8 +135,10 @@ def heaped_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     """The bytes (binary) of an array of ids: the pieces of a literal array, joined. Null gives null, no ids give no bytes."""
-    literal = _json(_hex_pieces(ranks), T.ArrayType(T.StringType()))
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""))
+    # Bytes as the letters of the same number, so that pieces join as text.
+    letters = [bytes.fromhex(p).decode("latin-1") for p in _hex_pieces(ranks)]
+    literal = _json(letters, T.ArrayType(T.StringType()))
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""), "ISO-8859-1")
 
 
 class _Numbers(dict):
