@@ -38,7 +38,7 @@ def _restored(rows: DataFrame, docs: DataFrame, text: Column, changed: dict[str,
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; cutoffs are learned from ``labels``."""
-    return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), joint=True)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

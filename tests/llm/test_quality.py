@@ -7,6 +7,7 @@ import random
 import zlib
 
 import brute
+import corpus_pipeline
 import numpy as np
 import pytest
 from made import frame, odd_rows, prose
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from timetab.llm.importance import bucket_counts, features, importance_sample, log_ratios
 from timetab.llm.language_id import CrossParser, identify_languages, phrases, suffix_automaton
-from timetab.llm.quality_rules import PLACE_BITS, binomial_tail, quality_filter, quality_verdicts, repeated_words, risk_cutoffs
+from timetab.llm.quality_rules import (
+    PLACE_BITS, _stricter_cutoffs, binomial_tail, joint_cutoffs, joint_levels, quality_filter, quality_verdicts, repeated_words, risk_cutoffs,
+)
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -70,6 +73,52 @@ def test_false_rejections_stay_in_bounds(spark):
     assert {x["doc_id"] for x in kept.collect()} == {i for i, k in out.items() if k} and kept.columns == frame(spark, []).columns
 
 
+def test_joint_cutoffs(spark):
+    """A stratum's own sequence has the whole risk; a small one takes the pool's setting if its own documents allow it."""
+    rules = {"r": ("v", [0.9, 0.5, 0.2, 0.1]), "q": ("w", [0.8, 0.4])}
+    assert joint_levels(rules) == [{"r": 0.9, "q": 0.8}, {"r": 0.5, "q": 0.8}, {"r": 0.2, "q": 0.4}, {"r": 0.1, "q": 0.4}]
+    # 4 strata and the pool: 459 documents without a loss are enough at one percent, 458 are not.
+    assert 0.99**459 <= 0.05 / 5 < 0.99**458
+    rows = [("a", 0.15, 0.0)] * 459 + [("b", 0.0, 0.0)] * 200 + [("c", 0.0, 0.5)] * 50 + [("d", 0.0, 0.0)] * 5000 + [("d", 0.15, 0.0)] * 10
+    got = {}
+    for s, rule, cutoff in joint_cutoffs(spark.createDataFrame(rows, "stratum string, v double, w double"), rules).collect():
+        got.setdefault(s, {})[rule] = cutoff
+    # The pool loses 50 of 5719 at (0.2, 0.4), too many to be proved, so it stops at (0.5, 0.8).
+    assert got == {"a": {"r": 0.2, "q": 0.4}, "b": {"r": 0.5, "q": 0.8}, "c": {"r": 0.5, "q": 0.8}, "d": {"r": 0.1, "q": 0.4}}
+    short = spark.createDataFrame([("a", 0.0, 0.0)] * 300, "stratum string, v double, w double")
+    assert joint_cutoffs(short, rules).count() == 0
+
+
+def test_joint_setting_spares_a_small_stratum(spark):
+    """The pool's setting is loosened for a stratum that would lose its own good documents, and not used where none is labelled."""
+    rules = {"r": ("v", [0.9, 0.5, 0.2, 0.1])}
+    rows = [("a", 0.0)] * 5000 + [("b", 0.3)] * 20 + [("c", 0.95)] * 5
+    got = joint_cutoffs(spark.createDataFrame(rows, "stratum string, v double"), rules).collect()
+    assert sorted(map(tuple, got)) == [("a", "r", 0.1), ("b", "r", 0.5)]
+
+
+def test_pipeline_rules_act_on_few_labels(spark, tmp_path):
+    """With the production parameters, languages of some 500 labelled documents and a smaller one lose their junk."""
+    sizes = {"en": 480, "fr": 480, "de": 480, "es": 120}
+    good = [(1000 * j + i, prose(1000 * j + i, 60, 3000), lang) for j, (lang, n) in enumerate(sizes.items()) for i in range(n)]
+    junk = [(9000 + i, " ".join("###" if k % 3 == 0 else f"w{(7 * i + k) % 3000}" for k in range(80)), lang) for i, lang in enumerate([*sizes, "xx"] * 5)]
+    docs = spark.createDataFrame(good + junk, "doc_id long, text string, lang string")
+    spark.createDataFrame([(d, 1, 0) for d, *_ in good] + [(d, 0, 0) for d, *_ in junk], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.rules(spark, docs, str(tmp_path)).collect()}
+    # No document of the language "xx" is labelled good, so nothing is known of it.
+    assert kept == {d for d, *_ in good} | {d for d, _, lang in junk if lang == "xx"}
+
+
+def test_joint_or_separate(spark):
+    """A stratum that the separate sequences serve better keeps their cutoffs."""
+    rules = {"r": ("v", [0.9, 0.1]), "q": ("w", [0.8, 0.4])}
+    good = [("a", 0.0, 0.5)] * 9000
+    measured = spark.createDataFrame([*good, *[("a", 0.3, 0.0)] * 40], "stratum string, v double, w double").withColumn("base_failed", F.lit(False))
+    holdout = spark.createDataFrame(good, "stratum string, v double, w double")
+    assert {tuple(r) for r in joint_cutoffs(holdout, rules).collect()} == {("a", "r", 0.9), ("a", "q", 0.8)}
+    assert [tuple(r) for r in _stricter_cutoffs(measured, holdout, rules, 0.01, 0.05).collect()] == [("a", 0.1, 0.8)]
+
+
 def test_automaton():
     text = " the cat sat on the mat "
     moves = suffix_automaton(text)

@@ -12,6 +12,8 @@ SYMBOLS = "[#*$%&|<>]+"
 PLACE_BITS = 20
 RISK = 0.01
 CONFIDENCE_LOSS = 0.05
+# Of the confidence loss, what the joint cutoffs leave to the separate ones.
+SEPARATE_SHARE = 0.1
 
 # Each rule's value (a large one is bad) and the cutoffs that are tried, from the loosest to the strictest.
 RULES = {
@@ -155,46 +157,113 @@ def risk_cutoffs(holdout: DataFrame, rules: dict = RULES, risk: float = RISK, lo
     return passed.where(F.col("p") <= loss / (strata * len(rules))).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
+def joint_levels(rules: dict) -> list[dict[str, float]]:
+    """Settings of all rules at once, from the loosest to the strictest: each rule goes evenly through its own cutoffs."""
+    steps = max(len(cutoffs) for _, cutoffs in rules.values())
+    return [{name: float(cutoffs[-(-(i + 1) * len(cutoffs) // steps) - 1]) for name, (_, cutoffs) in rules.items()} for i in range(steps)]
+
+
+def joint_cutoffs(holdout: DataFrame, rules: dict = RULES, risk: float = RISK, loss: float = CONFIDENCE_LOSS) -> DataFrame:
+    """``stratum, rule, cutoff``: per stratum the strictest setting of all rules together that is safe on ``holdout``.
+
+    Settings are nested, so a stratum is one fixed sequence whose tests have the whole ``risk``; Bonferroni over the strata and
+    the pool of all strata holds the chance of any unsafe setting below ``loss``. A stratum without a safe setting of its own
+    takes the pool's, or the strictest looser one that costs at most ``risk`` of its own documents: its bound then holds for the
+    strata together, not for each. A stratum that has no document in ``holdout`` gets no cutoff.
+    """
+    levels = joint_levels(rules)
+    # The number of settings that reject a document: they are nested, so those are the last ones.
+    lost = F.aggregate(
+        F.array(*[F.struct(F.expr(value).cast("double").alias("value"), F.array(*[F.lit(level[name]) for level in levels]).alias("cutoffs"))
+                  for name, (value, _) in rules.items()]),
+        F.lit(0), lambda acc, t: F.greatest(acc, F.size(F.filter(t["cutoffs"], lambda c: t["value"] > c))),
+    )
+    # The null stratum is the pool.
+    counted = holdout.select("stratum", lost.alias("lost")).groupBy("stratum", "lost").agg(F.count(F.lit(1)).alias("n")).select(
+        F.explode(F.array("stratum", F.lit(None).cast("string"))).alias("stratum"), "lost", "n"
+    )
+    every = counted.withColumn("all", F.sum("n").over(Window.partitionBy("stratum"))).withColumn(
+        "nth", F.explode(F.sequence(F.lit(0), F.lit(len(levels) - 1)))
+    )
+    tested = every.groupBy("stratum", "nth", "all").agg(F.sum(F.when(F.col("lost") >= len(levels) - F.col("nth"), F.col("n")).otherwise(0)).alias("k"))
+    tests = holdout.select("stratum").distinct().count() + 1
+    passed = materialise(tested.withColumn("safe", binomial_tail(F.col("k"), F.col("all"), risk) <= loss / tests), "settings")
+    pool = passed.where("stratum IS NULL AND safe").agg(F.max("nth").alias("pool"))
+    own = passed.where("stratum IS NOT NULL").crossJoin(F.broadcast(pool)).groupBy("stratum").agg(
+        F.coalesce(F.max(F.when(F.col("safe"), F.col("nth"))), F.max(F.when((F.col("nth") <= F.col("pool")) & (F.col("k") <= risk * F.col("all")), F.col("nth")))).alias("nth")
+    )
+    grid = F.array(*[
+        F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(cutoff).alias("cutoff")) for name, cutoff in level.items()]) for level in levels
+    ])
+    return own.where("nth IS NOT NULL").select("stratum", F.inline(F.get(grid, F.col("nth"))))
+
+
+def _wide(cutoffs: DataFrame, rules: dict, prefix: str) -> DataFrame:
+    wide = cutoffs.groupBy("stratum").pivot("rule", list(rules)).agg(F.min("cutoff"))
+    return wide.select("stratum", *[F.col(r).alias(f"{prefix}_{r}") for r in rules])
+
+
+def _beyond(rules: dict, prefix: str) -> Column:
+    out = F.lit(False)
+    for name, (value, _) in rules.items():
+        out = out | F.coalesce(F.expr(value) > F.col(f"{prefix}_{name}"), F.lit(False))
+    return out
+
+
+def _stricter_cutoffs(measured: DataFrame, holdout: DataFrame, rules: dict, risk: float, loss: float) -> DataFrame:
+    """Per stratum the joint or the separate cutoffs, whichever reject more documents; both are safe at once."""
+    joint = materialise(_wide(joint_cutoffs(holdout, rules, risk, loss * (1 - SEPARATE_SHARE)), rules, "joint"), "joint")
+    alone = materialise(_wide(risk_cutoffs(holdout, rules, risk, loss * SEPARATE_SHARE), rules, "alone"), "alone")
+    both = joint.join(alone, "stratum", "full")
+    rejected = measured.drop("row").where(~F.col("base_failed")).join(F.broadcast(both), "stratum").groupBy("stratum").agg(
+        *[F.count(F.when(_beyond(rules, p), 1)).alias(p) for p in ("joint", "alone")]
+    )
+    return both.join(rejected, "stratum").select(
+        "stratum", *[F.when(F.col("joint") >= F.col("alone"), F.col(f"joint_{r}")).otherwise(F.col(f"alone_{r}")).alias(f"cutoff_{r}") for r in rules]
+    )
+
+
 def _judged(
-    docs: DataFrame, labels: DataFrame, doc_id: str, text: str, stratum: str | None, rules: dict, risk: float, loss: float, whole_rows: bool
+    docs: DataFrame, labels: DataFrame, doc_id: str, text: str, stratum: str | None, rules: dict, risk: float, loss: float, joint: bool,
+    whole_rows: bool,
 ) -> DataFrame:
     measured = materialise(text_measures(docs, doc_id, text, stratum, whole_rows), "measures")
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("quality IS NOT NULL").groupBy("doc_id").agg(
         F.min("quality").alias("quality")
     ).where("quality = 1").select("doc_id")
     holdout = measured.drop("row").where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
-    safe = materialise(risk_cutoffs(holdout, rules, risk, loss), "cutoffs")
-    wide = safe.groupBy("stratum").pivot("rule", list(rules)).agg(F.min("cutoff"))
-    judged = measured.join(wide.select("stratum", *[F.col(r).alias(f"cutoff_{r}") for r in rules]), "stratum", "left")
-    beyond = F.lit(False)
-    for name, (value, _) in rules.items():
-        beyond = beyond | F.coalesce(F.expr(value) > F.col(f"cutoff_{name}"), F.lit(False))
+    if joint:
+        wide = materialise(_stricter_cutoffs(measured, holdout, rules, risk, loss), "cutoffs")
+    else:
+        wide = _wide(materialise(risk_cutoffs(holdout, rules, risk, loss), "cutoffs"), rules, "cutoff")
+    judged = measured.join(wide, "stratum", "left")
+    beyond = _beyond(rules, "cutoff")
     return judged.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(~beyond))
 
 
 def quality_verdicts(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str | None = "lang",
-    rules: dict = RULES, risk: float = RISK, loss: float = CONFIDENCE_LOSS,
+    rules: dict = RULES, risk: float = RISK, loss: float = CONFIDENCE_LOSS, joint: bool = False,
 ) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` per row.
 
     base_failed: under 50 words, or over half of them in three-word windows that occur twice or more. ``kept`` is false if
-    base_failed, or if a rule's value is beyond its cutoff in the document's stratum; see ``risk_cutoffs``. Cutoffs are
-    chosen on all labelled documents with quality 1 that pass the base rules. A document labelled more than once is good if
+    base_failed, or if a rule's value is beyond its cutoff in the document's stratum; see ``risk_cutoffs``, and with ``joint``
+    ``joint_cutoffs``, which need far fewer labelled documents. Cutoffs are chosen on all labelled documents with quality 1 that pass the base rules. A document labelled more than once is good if
     all its labels say so; null labels and ids say nothing.
 
     Null, empty and blank texts have no words and fail the base rules. A null stratum is one with the empty name. Rows that repeat a
     doc_id are judged each for itself. Without labels nothing beyond the base rules is rejected. Other columns are not read.
     """
-    return _judged(docs, labels, doc_id, text, stratum, rules, risk, loss, whole_rows=False).select(
+    return _judged(docs, labels, doc_id, text, stratum, rules, risk, loss, joint, whole_rows=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
 def quality_filter(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str | None = "lang",
-    rules: dict = RULES, risk: float = RISK, loss: float = CONFIDENCE_LOSS,
+    rules: dict = RULES, risk: float = RISK, loss: float = CONFIDENCE_LOSS, joint: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` that ``quality_verdicts`` keeps, with all their columns."""
-    judged = _judged(docs, labels, doc_id, text, stratum, rules, risk, loss, whole_rows=True)
+    judged = _judged(docs, labels, doc_id, text, stratum, rules, risk, loss, joint, whole_rows=True)
     return judged.where("kept").select("row.*")
