@@ -1,4 +1,5 @@
-"""MLlib baselines on whole tables, with features so plain that each model has a closed form to be checked against."""
+"""MLlib baselines on whole tables: with features so plain that each model has a closed form to be checked against, and as
+``*_whole`` with all features and real sizes, which SQL cannot repeat."""
 
 from __future__ import annotations
 
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from catalog.base import query, table
 from catalog.encoders import EVENT_SHARES_SQL
-from timetab.operators.scaling import assemble, fit_quantiles, scale_quantile
+from timetab.operators.encoding import encode_vocabulary, fit_vocabulary
+from timetab.operators.scaling import assemble, fit_quantiles, mean_and_std, scale_quantile, scale_standard
 from timetab.plans.leaderboard import ensemble_mean
 from timetab.plans.metrics import all_scores, regression_metrics
 from timetab.plans.models import draw, evaluate, fit, importances, over_seeds, predict, search
@@ -157,6 +159,84 @@ def quantile_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("part", F.round("score", 5).alias("score"))
 
 
+NUMERIC = ["l_quantity", "l_discount", "l_tax", "month"]
+
+
+def _numeric_lines(spark: SparkSession, sf_dir: str, y: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.monotonically_increasing_id().alias("row_id"), F.expr(_PART).alias("part"), "l_quantity", "l_discount", "l_tax",
+        F.month("l_shipdate").cast("double").alias("month"), "l_returnflag", F.expr(y).cast("double").alias("y"),
+    )
+
+
+def _whole_data(spark: SparkSession, sf_dir: str, task: str = "regression") -> DataFrame:
+    """Lines with scaled numbers and one-hot flags; the target is the price, or whether the line is dear."""
+    lines = _numeric_lines(spark, sf_dir, "l_extendedprice / 1000" if task == "regression" else "l_extendedprice > 40000")
+    train = lines.where("part = 'train'")
+    codes = fit_vocabulary(train, ["l_returnflag"])
+    scaled = scale_standard(encode_vocabulary(lines, codes), mean_and_std(train, NUMERIC))
+    return materialise(assemble(scaled, NUMERIC, codes=codes.sizes).select("row_id", "part", "y", "features"), "lines")
+
+
+def _whole_scores(spark: SparkSession, sf_dir: str, model: str, task: str, params: dict, score: str | None = None) -> DataFrame:
+    data = _whole_data(spark, sf_dir, task)
+    return evaluate(predict(fit(model, data, task, params), data, task), task, score)
+
+
+@query()
+def linear_elastic_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elastic-net logistic regression on all features, ROC-AUC per part."""
+    return _whole_scores(spark, sf_dir, "linear", "binclass", {"reg": 0.01, "l1_share": 0.5}, "roc-auc")
+
+
+@query()
+def forest_price_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random forest on the price, signed RMSE per part."""
+    return _whole_scores(spark, sf_dir, "forest", "regression", {"trees": 10, "depth": 5})
+
+
+@query()
+def boosted_price_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees that are cut on validation, signed RMSE per part."""
+    return _whole_scores(spark, sf_dir, "boosted", "regression", {"rounds": 5, "depth": 4})
+
+
+@query()
+def boosted_importance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importances of all features of a boosted model."""
+    model = fit("boosted", _whole_data(spark, sf_dir), "regression", {"rounds": 3, "depth": 4})
+    return importances(model, [*NUMERIC, "flag_0", "flag_1", "flag_2"])
+
+
+@query()
+def tuned_linear_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random search over the elastic net on all features, one row per trial with its validation score."""
+    space = {"reg": ["loguniform", 1e-4, 1.0], "l1_share": ["?uniform", 0.0, 0.0, 1.0], "max_iter": 50}
+    best, trials = search("linear", _whole_data(spark, sf_dir), "regression", space, trials=_TRIALS)
+    rows = [(t["trial"], t["params"]["reg"], float(t["params"]["l1_share"]), t["score"], t["params"] == best) for t in trials]
+    return spark.createDataFrame(rows, "trial int, reg double, l1_share double, score double, chosen boolean")
+
+
+@query()
+def seeds_and_ensemble_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest refitted over five seeds; RMSE of each seed and of their ensemble on every part."""
+    data = _whole_data(spark, sf_dir)
+    runs = materialise(over_seeds("forest", data, "regression", {"trees": 3, "depth": 4}, range(5), "lines"), "runs")
+    single = regression_metrics(runs, by=["seed", "part"]).select(F.col("seed").cast("string").alias("run"), "part", "rmse")
+    mean = ensemble_mean(runs, ["model", "dataset", "split", "part", "row_id", "y"])
+    both = regression_metrics(mean, by=["part"]).select(F.lit("ensemble").alias("run"), "part", "rmse")
+    return single.unionByName(both)
+
+
+@query()
+def quantile_linear_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear baseline on quantile-normalised features with noise, signed RMSE per part."""
+    lines = materialise(_numeric_lines(spark, sf_dir, "l_extendedprice / 1000"), "lines")
+    fitted = fit_quantiles(lines.where("part = 'train'"), NUMERIC, noise="fixed")
+    data = assemble(scale_quantile(lines, fitted), NUMERIC)
+    return evaluate(predict(fit("linear", data, "regression", {"reg": 0.001}), data, "regression"), "regression")
+
+
 def _tree_sql(classes: str, where: str) -> str:
     return f"p AS (SELECT b, {classes} FROM d WHERE {where} GROUP BY b)"
 
