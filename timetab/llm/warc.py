@@ -23,7 +23,7 @@ RECORDS = (
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MEMBER = b"\x1f\x8b\x08"
-_STEP = 1 << 16
+_STEP, _PIECE = 1 << 16, 1 << 8
 
 
 def payload_roles(pages: DataFrame, page_id: str, html: str, least_bytes: int) -> DataFrame:
@@ -100,6 +100,7 @@ def _segments(data: bytes) -> Iterator[tuple[int, int, bytes, str | None]]:
             member = zlib.decompressobj(31)
             try:
                 while not member.eof and end < len(data):
+                    before = member.copy()
                     out.append(member.decompress(data[end : end + _STEP]))
                     end += _STEP
                 out.append(member.flush())
@@ -107,6 +108,7 @@ def _segments(data: bytes) -> Iterator[tuple[int, int, bytes, str | None]]:
                 end = min(end, len(data)) - len(member.unused_data)
             except zlib.error as e:
                 fault = f"member broken: {e}"
+                out.extend(_up_to_fault(before, data[end : end + _STEP]))
         else:
             fault = "no member"
         if fault:
@@ -118,6 +120,25 @@ def _segments(data: bytes) -> Iterator[tuple[int, int, bytes, str | None]]:
         at = end
 
 
+def _up_to_fault(member, data: bytes) -> Iterator[bytes]:
+    """What a decompressor gives of a step that fails as a whole: small pieces, and the failing one byte by byte of its output."""
+    for at in range(0, len(data), _PIECE):
+        before = member.copy()
+        try:
+            yield member.decompress(data[at : at + _PIECE])
+        except zlib.error:
+            rest = data[at : at + _PIECE]
+            break
+    else:
+        return
+    try:
+        while got := before.decompress(rest, 1):
+            yield got
+            rest = before.unconsumed_tail
+    except zlib.error:
+        return
+
+
 def _inflates(data: bytes, at: int) -> bool:
     try:
         return bool(zlib.decompressobj(31).decompress(data[at : at + _STEP], 64))
