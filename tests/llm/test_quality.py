@@ -149,6 +149,14 @@ def test_automaton():
         assert phrases(moves, w) == parsed(w), w
 
 
+def test_rare_words_of_many_languages():
+    """Every word handed over is learned whole, however many languages there are."""
+    r = random.Random(3)
+    learned = {f"l{i:03}": sorted({"".join(r.choices("abcdefghijklmnop", k=8)) for _ in range(600)}) for i in range(256)}
+    parser = CrossParser(learned)
+    assert all(phrases(a, f" {words[-1]} ") == 1 for a, words in zip(parser.automata, learned.values()))
+
+
 def test_parser_bounds(monkeypatch):
     import timetab.llm.language_id as L
 

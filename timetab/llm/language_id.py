@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 SAMPLE_DOCUMENTS = 1000
 SAMPLE_WORDS = 4000
 LANGUAGES = 256
-REFERENCE = 1 << 20
 CACHE = 200_000
 SLICE = 100_000
 _LETTERS = regex.compile(r"\p{L}+")
@@ -98,8 +97,7 @@ class CrossParser:
 
     def __init__(self, learned: dict[str, list[str]]):
         self.names = list(learned)
-        budget = REFERENCE // max(1, len(learned))
-        self.automata = [suffix_automaton((" " + " ".join(words) + " ")[:budget]) for words in learned.values()]
+        self.automata = [suffix_automaton(" " + " ".join(words) + " ") for words in learned.values()]
         self.words: dict[str, list[int]] = {}
         self.chunks: dict[str, int] = {}
         self.table = np.zeros((CACHE, len(self.names) + 1), dtype=np.int64)
