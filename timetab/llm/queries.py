@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timetab.llm.byte_bpe import bpe_encode, decode, read_ranks
+from timetab.llm.code_compression import ENTRIES, PARTS, ROUNDS, compress, digest
 from timetab.llm.exact_dedup import exact_dedup
+from timetab.llm.filter_audit import filter_audit
 from timetab.llm.importance import importance_sample
 from timetab.llm.language_id import identify_languages
+from timetab.llm.max_score import top_k
 from timetab.llm.ngram_join import ngram_components
 from timetab.llm.packing import pack_documents
 from timetab.llm.quality_rules import CONFIDENCE_LOSS, RISK, RULES, quality_verdicts
@@ -232,3 +236,108 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+SOUND_SQL = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _codes_sql() -> str:
+    def coded(r: int) -> str:
+        return f"""
+        near{r} AS MATERIALIZED (
+            SELECT vec_id, part, entry, d FROM (
+                SELECT c.vec_id, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS d FROM cells c JOIN book{r} b USING (part, place) GROUP BY ALL
+            ) QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1
+        )"""
+
+    rounds = "".join(f"""{coded(r)},
+        book{r + 1} AS MATERIALIZED (
+            SELECT part, entry, place, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN (
+                SELECT part, entry, place, floor(sum(x) / count(*))::BIGINT AS x FROM cells JOIN near{r} USING (vec_id, part) GROUP BY ALL
+            ) m USING (part, entry, place)
+        ),""" for r in range(ROUNDS))
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {SOUND_SQL}
+        ),
+        cells AS MATERIALIZED (
+            SELECT vec_id, d // (len(v) // {PARTS}) AS part, d % (len(v) // {PARTS}) AS place, v[d + 1] AS x
+            FROM (SELECT vec_id, v, unnest(range(len(v))) AS d FROM kept)
+        ),
+        book0 AS MATERIALIZED (
+            SELECT part, entry, place, x FROM cells JOIN (
+                SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < {ENTRIES}
+            ) USING (vec_id)
+        ),{rounds}{coded(ROUNDS)},
+        codes AS (
+            SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+            FROM near{ROUNDS} JOIN kept USING (vec_id) GROUP BY vec_id, label
+        )
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+               (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, place)) FROM book{ROUNDS}) AS codebooks_sha256
+        FROM codes
+    """
+
+
+@query(_codes_sql())
+def op11_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors, their errors and the codebooks' digest."""
+    coded, book = compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(digest(book)).alias("codebooks_sha256"))
+
+
+@query(f"""
+    WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {SOUND_SQL}),
+    pairs AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+        FROM kept q JOIN kept c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+    )
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+    FROM pairs QUALIFY rank <= 20
+""")
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows, by integer inner product, of every twentieth vector."""
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def _audit_sql() -> str:
+    letters = "ABCDE"
+    orders = ", ".join(f"('{''.join(p)}')" for p in permutations(letters))
+    alone = " ".join(f"WHEN '{f}' THEN fails = {1 << i}" for i, f in enumerate(letters))
+    return rf"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body, {WORDS_SQL} AS words FROM documents),
+        flagged AS (
+            SELECT doc_id, part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+                   + 4 * (100 * (length(body) - length(regexp_replace(body, '[A-Z]', '', 'g'))) > 3 * length(body))::INT
+                   + 8 * regexp_matches(body, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY body))::INT AS fails
+            FROM d
+        ),
+        marked AS (
+            SELECT part, fails, l.good IS TRUE AS good, l.toxic IS TRUE AS toxic
+            FROM flagged LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)
+        ),
+        counted AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM marked GROUP BY ALL),
+        orders AS (SELECT * FROM (VALUES {orders}) t(filter_order)),
+        steps AS (
+            SELECT filter_order, step, filter_order[step] AS letter, 1 << (ascii(filter_order[step]) - 65) AS own,
+                   list_sum(list_transform(string_split(filter_order[1 : step - 1], ''), lambda c: CASE WHEN c = '' THEN 0 ELSE 1 << (ascii(c) - 65) END)) AS before
+            FROM orders, (SELECT unnest(range(1, 6))::INTEGER AS step)
+        ),
+        out AS (
+            SELECT part, filter_order, step, letter,
+                   coalesce(sum(n) FILTER (WHERE (fails & (before | own)) = 0), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER (WHERE (fails & before) = 0 AND (fails & own) > 0), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (WHERE (fails & before) > 0 AND (fails & own) > 0), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (WHERE CASE letter {alone} END), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(good) FILTER (WHERE (fails & before) = 0 AND (fails & own) > 0), 0)::BIGINT AS good_lost,
+                   coalesce(sum(toxic) FILTER (WHERE (fails & before) = 0 AND (fails & own) > 0), 0)::BIGINT AS toxic_lost
+            FROM steps, counted GROUP BY ALL
+        )
+        SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM out
+    """
+
+
+@query(_audit_sql())
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each language, in every order."""
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
