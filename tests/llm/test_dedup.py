@@ -12,7 +12,7 @@ from made import frame, odd_rows, prose
 
 from timetab.llm import blocks as B
 from timetab.llm.components import connected_components
-from timetab.llm.exact_dedup import exact_dedup, grow_directory
+from timetab.llm.exact_dedup import exact_dedup, exact_filter, grow_directory
 from timetab.llm.ngram_join import ngram_components
 from timetab.llm.substring_dedup import COVER, PERIOD, covers, substring_dedup
 from timetab.llm.suffix_dedup import suffix_dedup
@@ -104,11 +104,24 @@ def test_suffix_documents(documents):
     assert bag(suffix_dedup(documents).collect()) == bag(brute.stripped_bytes(pairs(documents)))
 
 
-@pytest.mark.parametrize("bits,capacity", [(64, 1 << 20), (64, 3), (3, 2), (1, 100)])
-def test_exact(spark, bits, capacity):
+@pytest.mark.parametrize("bits,capacity,task_rows", [(64, 256, 1 << 16), (64, 3, 2), (3, 2, 1), (1, 100, 3)])
+def test_exact(spark, bits, capacity, task_rows):
     rows = odd_rows()
-    got = exact_dedup(frame(spark, rows), hash_bits=bits, bucket_entries=capacity).collect()
-    assert bag(got) == bag(brute.exact_groups(rows))
+    options = {"hash_bits": bits, "bucket_entries": capacity, "task_rows": task_rows}
+    assert bag(exact_dedup(frame(spark, rows), **options).collect()) == bag(brute.exact_groups(rows))
+    filtered = exact_filter(frame(spark, rows), **options)
+    assert filtered.columns == frame(spark, rows).columns
+    kept = Counter((r["doc_id"], (r["text"] or "")) for r in filtered.collect())
+    groups = brute.exact_groups(rows)
+    assert sum(kept.values()) == sum(bool(g[3]) for g in groups) and set(kept.values()) == {1}
+    assert Counter(d for d, _ in kept) == Counter(g[0] for g in groups if g[3])
+
+
+def test_exact_hot_text(spark):
+    """A text in most rows is dealt out, and buckets of a few entries split."""
+    rows = [(i, "Hot text") for i in range(400)] + [(1000 + i, f"text {i % 300}") for i in range(450)]
+    got = exact_dedup(frame(spark, rows, 9), bucket_entries=8, task_rows=50)
+    assert bag(got.collect()) == bag(brute.exact_groups(rows))
 
 
 def test_directory(spark):

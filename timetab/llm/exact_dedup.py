@@ -7,9 +7,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timetab.operators.joins import in_table, not_in_table, salted_join
 from timetab.session import fresh_path, materialise
 
-BUCKET_ENTRIES = 1 << 20
+BUCKET_ENTRIES = 256
+SLOTS = 1 << 12  # buckets hold more entries where the directory would pass about so many slots
+TASK_ROWS = 1 << 16
 STEP_BITS = 8
 MOST_BITS = 20
 
@@ -82,65 +85,71 @@ def bucket_of(key: Column, directory: tuple[int, list[int]]) -> Column:
 
 
 def exact_groups(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_entries: int = BUCKET_ENTRIES, hash_bits: int = 64
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_entries: int = BUCKET_ENTRIES, hash_bits: int = 64,
+    row_key: str | None = None, task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256`` per row of ``docs``, dropped ones too.
+    """``doc_id, keep_id, group_size, kept, text_sha256, row_key`` per row of ``docs``, dropped ones too.
 
     Texts are equal when identical after A-Z are lowered; null counts as empty. Of equal texts the row with the largest
     doc_id is kept; of rows that repeat that doc_id, or where all doc_ids are null, one. keep_id is null only if no row of
-    the group has a doc_id. Other columns are not read; an empty table gives no rows.
+    the group has a doc_id. Other columns are not read; an empty table gives no rows. ``row_key`` names a stored column of
+    distinct longs, or rows are numbered here.
 
-    Distinct texts are found by grouping on hash and bytes, which combines copies before the shuffle, and go as entries
-    into an extendible-hash index: Parquet files of one bucket each, owned by key range. Rows look their hash up there. Where
-    entries chain, being different texts with one hash, their rows are compared byte by byte.
+    Tasks combine their rows of a hash into one entry; the entries go into an extendible-hash index, whose buckets lie sorted in
+    the files of the tasks that own them. Texts whose hash occurs again are compared byte by byte: where different ones share a
+    hash, its entry becomes a chain with one entry per text. Rows then look their hash up; a hash with more than ``task_rows``
+    rows is dealt out to as many tasks as it needs. Texts move only to be compared, once per task and distinct text.
     """
     if not 0 < hash_bits <= 64:
         raise ValueError("hash_bits must be 1 to 64")
     spark = docs.sparkSession
-    body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), lowered(F.col(text)).alias("body"))
+    number = F.monotonically_increasing_id() if row_key is None else F.col(row_key)
+    body = docs.select(number.alias("row_key"), F.col(doc_id).cast("long").alias("doc_id"), lowered(F.col(text)).alias("body"))
     keyed = body.withColumn("key", hash_key(F.col("body"), hash_bits))
-    sha = F.sha2("body", 256).alias("text_sha256")
-    rows = materialise(
-        keyed.select(F.monotonically_increasing_id().alias("row_key"), "doc_id", "key", sha), "rows"
-    )
-    group = [F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
-    entries = materialise(keyed.groupBy("key", "body").agg(*group).select("key", "keep_id", "group_size"), "entries")
+    rows = materialise(keyed.select("row_key", "doc_id", "key", F.sha2("body", 256).alias("text_sha256")), "rows")
+
+    def combined(rows: DataFrame, *by: str) -> DataFrame:
+        # A null doc_id is less than any other; of equal ones the least row counts.
+        last = F.max(F.struct("doc_id", (-F.col("row_key")).alias("back"))).alias("last")
+        return rows.groupBy(*by).agg(last, F.count(F.lit(1)).alias("group_size")).select(
+            *by, F.col("last.doc_id").alias("keep_id"), (-F.col("last.back")).alias("keep_row"), "group_size"
+        )
 
-    directory = grow_directory(entries, "key", bucket_entries, hash_bits)
+    entries = materialise(combined(rows, "key"), "entries")
+    directory = grow_directory(entries, "key", max(bucket_entries, -(-entries.count() // SLOTS)), hash_bits)
+    again = entries.where("group_size > 1").select("key")
+    texts = in_table(keyed.select("key", "body"), again, "key", task_rows=task_rows).distinct()
+    chains = materialise(texts.groupBy("key").count().where("count > 1").select("key"), "chains")
+    any_chain = chains.limit(1).count() > 0
+    index = entries.withColumn("chain_sha", F.lit(None).cast("string"))
+    if any_chain:
+        chained = combined(in_table(rows, chains, "key", task_rows=task_rows), "key", "text_sha256")
+        index = not_in_table(index, chains, "key").unionByName(chained.withColumnRenamed("text_sha256", "chain_sha"))
     index_path = fresh_path(spark, "index")
-    chained = entries.groupBy("key").agg(
-        F.count(F.lit(1)).alias("chain"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")
-    ).withColumn("bucket", bucket_of(F.col("key"), directory))
-    chained.repartition("bucket").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(index_path)
-    index = spark.read.schema(chained.schema).parquet(index_path)
-
-    # Chains are rare with a 64-bit hash; their number is counted before any text is moved for them.
-    found = rows.withColumn("bucket", bucket_of(F.col("key"), directory)).join(index, ["bucket", "key"]).select(
-        "row_key", "doc_id", "key", "text_sha256", "chain", "keep_id", "group_size"
+    index = index.withColumn("bucket", bucket_of(F.col("key"), directory))
+    index.repartition("bucket").sortWithinPartitions("bucket", "key").write.parquet(index_path)
+    index = spark.read.schema(index.schema).parquet(index_path)
+
+    asked = rows.withColumn("bucket", bucket_of(F.col("key"), directory))
+    hot = materialise(
+        entries.where(F.col("group_size") > task_rows).select("key", F.ceil(F.col("group_size") / task_rows).cast("int").alias("_salts")), "hot"
     )
-    settled = found.where("chain = 1").drop("chain", "key")
-    clashes = index.where("chain > 1").select("key")
-    if clashes.limit(1).count():
-        texts = keyed.join(clashes, "key", "left_semi")
-        equal = texts.groupBy("key", "body").agg(*group).select(sha, "keep_id", "group_size", F.col("body").alias("twin"), "key")
-        mine = texts.select(F.col("doc_id").alias("id"), "key", "body").distinct()
-        compared = mine.join(equal, (mine["key"] == equal["key"]) & (mine["body"] == equal["twin"])).select(
-            "id", "text_sha256", "keep_id", "group_size"
-        )
-        again = found.where("chain > 1").select("row_key", "doc_id", "text_sha256")
-        settled = settled.unionAll(
-            again.join(compared.withColumnRenamed("text_sha256", "sha"),
-                       F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_sha256") == F.col("sha")))
-            .select("row_key", "doc_id", "text_sha256", "keep_id", "group_size")
-        )
-    settled = materialise(settled, "groups")
-    # Of rows that share the kept id and the text, the first stays.
-    firsts = settled.where("doc_id <=> keep_id").groupBy("text_sha256").agg(F.min("row_key").alias("first"))
-    return settled.join(firsts, "text_sha256").select(
-        "doc_id", "keep_id", "group_size", (F.col("row_key") == F.col("first")).alias("kept"), "text_sha256", "row_key"
+    found = salted_join(asked, index, ["key", "bucket"], hot=hot)
+    if any_chain:
+        found = found.where("chain_sha IS NULL OR chain_sha = text_sha256")
+    return found.select(
+        "doc_id", "keep_id", "group_size", (F.col("row_key") == F.col("keep_row")).alias("kept"), "text_sha256", "row_key"
     )
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
     """``exact_groups`` without its row numbers."""
     return exact_groups(docs, doc_id, text, **options).drop("row_key")
+
+
+def exact_filter(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns: only numbers of dropped rows meet the stored rows."""
+    stored = materialise(docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct(*docs.columns).alias("row")), "numbered")
+    own = stored.select("row_key", F.col("row")[doc_id].alias("doc_id"), F.col("row")[text].alias("text"))
+    dropped = exact_groups(own, row_key="row_key", **options).where(~F.col("kept")).select("row_key")
+    return not_in_table(stored, dropped, "row_key").select("row.*")
