@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timetab.llm.blocks import store_blocks
-from timetab.llm.exact_dedup import exact_dedup, lowered
+from timetab.llm.exact_dedup import exact_filter
 from timetab.llm.ngram_join import one_of_each_group
 from timetab.llm.packing import pack_documents
 from timetab.llm.quality_rules import quality_filter
@@ -43,10 +43,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one with the largest doc_id, and one of rows that repeat it."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    keyed = docs.withColumn("own_sha", F.sha2(lowered(F.col("text")), 256))
-    own = keyed.join(kept, (F.col("own_sha") == F.col("kept_sha")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return own.dropDuplicates(["own_sha", "doc_id"]).select(*docs.columns)
+    return exact_filter(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
