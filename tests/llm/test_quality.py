@@ -17,6 +17,7 @@ from timetab.llm.importance import bucket_counts, features, importance_sample, l
 from timetab.llm.language_id import CrossParser, identify_languages, phrases, suffix_automaton
 from timetab.llm.quality_rules import (
     PLACE_BITS, _stricter_cutoffs, binomial_tail, joint_cutoffs, joint_levels, quality_filter, quality_verdicts, repeated_words, risk_cutoffs,
+    stepdown_cutoffs,
 )
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -109,6 +110,57 @@ def test_pipeline_rules_act_on_few_labels(spark, tmp_path):
     assert kept == {d for d, *_ in good} | {d for d, _, lang in junk if lang == "xx"}
 
 
+def brute_stepdown(rows, levels, risk, loss):
+    """rows: (stratum, lost), lost being the number of levels that reject the document."""
+    def tail(k, n):
+        return 1.0 if k >= n * risk else sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1))
+
+    size = {s: sum(x == s for x, _ in rows) for s in {s for s, _ in rows}}
+    family = sorted(size, key=lambda s: (size[s], s))
+    while family and any((1 - risk) ** size[s] > loss / r for r, s in enumerate(family, 1)):
+        family.pop(0)
+    chosen = {}
+    for nth in range(levels):
+        ps = sorted((tail(sum(x == s and lost >= levels - nth for x, lost in rows), size[s]), s) for s in family)
+        done = True
+        for i, (p, s) in enumerate(ps):
+            done = done and p <= loss / (len(ps) - i)
+            if done:
+                chosen[s] = nth
+        if not done:
+            break
+    return chosen
+
+
+def test_stepdown_cutoffs(spark):
+    """Holm within a setting, one setting after the other, and no stratum that cannot be proved safe."""
+    rules = {"r": ("v", [0.9, 0.5, 0.2, 0.1])}
+    value = [0.0, 0.15, 0.3, 0.7, 0.95]  # of a document that the last 0, 1, .. settings reject
+    r = random.Random(8)
+    cases = [
+        [("a", 0)] * 299, [("a", 0)] * 298, [("a", 0)] * 299 + [("b", 0)] * 299, [("a", 0)] * 299 + [("b", 0)] * 400 + [("c", 0)] * 20,
+        [("a", 0)] * 5000 + [("a", 1)] * 10 + [("b", 0)] * 600 + [("b", 2)] * 2, [("a", 4)] * 400 + [("b", 0)] * 900,
+    ]
+    cases += [[(s, r.choice([0] * 300 + [1, 2, 3, 4])) for s, n in zip("abcd", [r.randint(200, 2000) for _ in range(4)]) for _ in range(n)] for _ in range(3)]
+    for rows in cases:
+        holdout = spark.createDataFrame([(s, value[lost]) for s, lost in rows], "stratum string, v double")
+        got = {x["stratum"]: x["cutoff"] for x in stepdown_cutoffs(holdout, rules).collect()}
+        assert got == {s: rules["r"][1][nth] for s, nth in brute_stepdown(rows, 4, 0.01, 0.05).items()}
+    # Sizes alone decide who takes part: the smallest goes until all could pass.
+    assert brute_stepdown(cases[1], 4, 0.01, 0.05) == {} and brute_stepdown(cases[2], 4, 0.01, 0.05) == {"b": 3}
+
+
+def test_verdicts_of_the_query_act(spark):
+    """With the production parameters, languages of some hundred labelled documents lose their junk; where nothing is proved, none goes."""
+    sizes = {"en": 480, "fr": 480, "de": 400, "es": 310, "it": 120}
+    good = [(1000 * j + i, prose(1000 * j + i, 60, 3000), lang) for j, (lang, n) in enumerate(sizes.items()) for i in range(n)]
+    junk = [(9000 + i, " ".join("###" if k % 3 == 0 else f"w{(7 * i + k) % 3000}" for k in range(80)), lang) for i, lang in enumerate([*sizes, "xx"] * 5)]
+    docs = spark.createDataFrame(good + junk, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, 1, 0) for d, *_ in good] + [(d, 0, 0) for d, *_ in junk], LABELS)
+    lost = {r["doc_id"] for r in quality_verdicts(docs, labels).collect() if not r["kept"]}
+    assert lost == {d for d, _, lang in junk if lang in ("en", "fr", "de", "es")}
+
+
 def test_joint_or_separate(spark):
     """A stratum that the separate sequences serve better keeps their cutoffs."""
     rules = {"r": ("v", [0.9, 0.1]), "q": ("w", [0.8, 0.4])}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,39 +165,83 @@ def joint_levels(rules: dict) -> list[dict[str, float]]:
     return [{name: float(cutoffs[-(-(i + 1) * len(cutoffs) // steps) - 1]) for name, (_, cutoffs) in rules.items()} for i in range(steps)]
 
 
-def joint_cutoffs(holdout: DataFrame, rules: dict = RULES, risk: float = RISK, loss: float = CONFIDENCE_LOSS) -> DataFrame:
-    """``stratum, rule, cutoff``: per stratum the strictest setting of all rules together that is safe on ``holdout``.
-
-    Settings are nested, so a stratum is one fixed sequence whose tests have the whole ``risk``; Bonferroni over the strata and
-    the pool of all strata holds the chance of any unsafe setting below ``loss``. A stratum without a safe setting of its own
-    takes the pool's, or the strictest looser one that costs at most ``risk`` of its own documents: its bound then holds for the
-    strata together, not for each. A stratum that has no document in ``holdout`` gets no cutoff.
-    """
-    levels = joint_levels(rules)
+def _level_losses(holdout: DataFrame, rules: dict, levels: list[dict[str, float]], pool: bool) -> DataFrame:
+    """``stratum, nth, all, k``: of a stratum's documents, how many setting ``nth`` rejects; with ``pool`` also of all strata, under null."""
     # The number of settings that reject a document: they are nested, so those are the last ones.
     lost = F.aggregate(
         F.array(*[F.struct(F.expr(value).cast("double").alias("value"), F.array(*[F.lit(level[name]) for level in levels]).alias("cutoffs"))
                   for name, (value, _) in rules.items()]),
         F.lit(0), lambda acc, t: F.greatest(acc, F.size(F.filter(t["cutoffs"], lambda c: t["value"] > c))),
     )
-    # The null stratum is the pool.
-    counted = holdout.select("stratum", lost.alias("lost")).groupBy("stratum", "lost").agg(F.count(F.lit(1)).alias("n")).select(
-        F.explode(F.array("stratum", F.lit(None).cast("string"))).alias("stratum"), "lost", "n"
-    )
+    counted = holdout.select("stratum", lost.alias("lost")).groupBy("stratum", "lost").agg(F.count(F.lit(1)).alias("n"))
+    if pool:
+        counted = counted.select(F.explode(F.array("stratum", F.lit(None).cast("string"))).alias("stratum"), "lost", "n")
     every = counted.withColumn("all", F.sum("n").over(Window.partitionBy("stratum"))).withColumn(
         "nth", F.explode(F.sequence(F.lit(0), F.lit(len(levels) - 1)))
     )
-    tested = every.groupBy("stratum", "nth", "all").agg(F.sum(F.when(F.col("lost") >= len(levels) - F.col("nth"), F.col("n")).otherwise(0)).alias("k"))
+    return every.groupBy("stratum", "nth", "all").agg(F.sum(F.when(F.col("lost") >= len(levels) - F.col("nth"), F.col("n")).otherwise(0)).alias("k"))
+
+
+def _settings(chosen: DataFrame, levels: list[dict[str, float]]) -> DataFrame:
+    """``stratum, rule, cutoff`` of each stratum's setting ``nth``."""
+    grid = F.array(*[
+        F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(cutoff).alias("cutoff")) for rule, cutoff in level.items()]) for level in levels
+    ])
+    return chosen.where("nth IS NOT NULL").select("stratum", F.inline(F.get(grid, F.col("nth"))))
+
+
+def stepdown_cutoffs(holdout: DataFrame, rules: dict = RULES, risk: float = RISK, loss: float = CONFIDENCE_LOSS) -> DataFrame:
+    """``stratum, rule, cutoff``: per stratum the strictest setting of all rules together that is proved safe for that stratum.
+
+    A setting is safe if an exact binomial test rejects that it loses ``risk`` or more of the stratum's good documents. Settings are nested
+    and tested from loose to strict for all strata at once. Within a setting Holm's step-down holds: of m strata, the i-th least
+    p-value must be at most ``loss / (m - i + 1)``, and so must those before it. The next setting is tested only if every stratum passed, so
+    each family of tests has the whole ``loss``, and the chance that any stratum gets an unsafe setting is at most ``loss``.
+
+    Strata with too few documents to pass even without a single loss are left out beforehand, smallest first, by their sizes only; they
+    get no cutoff, since nothing can be proved for them. One stratum alone needs 299 documents at the default parameters.
+    """
+    levels = joint_levels(rules)
+    tested = materialise(
+        _level_losses(holdout, rules, levels, pool=False).withColumn("p", binomial_tail(F.col("k"), F.col("all"), risk)), "tested"
+    )
+    # What a stratum would need if it lost nothing: with r - 1 smaller ones in the family it is tested at loss / r.
+    by_size = Window.orderBy("all", "stratum")
+    sizes = tested.where("nth = 0").select("stratum", "all", F.row_number().over(by_size).alias("r"))
+    smallest = F.greatest(F.exp(F.col("all") * math.log1p(-risk)), F.lit(1e-300))
+    short = (F.col("r") - F.floor(F.least(F.lit(loss) / smallest, F.lit(1e9)))).alias("short")
+    worst = F.max("short").over(Window.orderBy("r").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    sizes = sizes.select("stratum", "r", short).withColumn("worst", worst)
+    first = sizes.where("worst <= r - 1").agg(F.min("r").alias("first"))
+    family = sizes.join(F.broadcast(first), F.col("r") >= F.col("first")).select("stratum")
+
+    own = tested.join(family, "stratum")
+    order, level = Window.partitionBy("nth").orderBy("p", "stratum"), Window.partitionBy("nth")
+    holm = F.col("p") <= F.lit(loss) / (F.count(F.lit(1)).over(level) - F.row_number().over(order) + 1)
+    passed = materialise(own.withColumn("holm", holm).withColumn("safe", F.bool_and("holm").over(order)), "settings")
+    # The last setting that is tested is the first that some stratum fails.
+    stop = passed.agg(F.coalesce(F.min(F.when(~F.col("safe"), F.col("nth"))), F.lit(len(levels))).alias("stop"))
+    chosen = passed.join(F.broadcast(stop), F.col("nth") <= F.col("stop")).where("safe").groupBy("stratum").agg(F.max("nth").alias("nth"))
+    return _settings(chosen, levels)
+
+
+def joint_cutoffs(holdout: DataFrame, rules: dict = RULES, risk: float = RISK, loss: float = CONFIDENCE_LOSS) -> DataFrame:
+    """``stratum, rule, cutoff``: per stratum the strictest setting of all rules together that is safe on ``holdout``.
+
+    Settings are nested, so a stratum is one fixed sequence whose tests have the whole ``risk``; Bonferroni over the strata and
+    the pool of all strata holds the chance of any unsafe setting below ``loss``. A stratum without a safe setting of its own
+    takes the pool's, or the strictest looser one that costs at most ``risk`` of its own documents in the sample. That is no bound for
+    the stratum: only the pool's loss is bounded, the stratum's is an estimate. A stratum that has no document in ``holdout`` gets no cutoff.
+    """
+    levels = joint_levels(rules)
+    tested = _level_losses(holdout, rules, levels, pool=True)
     tests = holdout.select("stratum").distinct().count() + 1
     passed = materialise(tested.withColumn("safe", binomial_tail(F.col("k"), F.col("all"), risk) <= loss / tests), "settings")
     pool = passed.where("stratum IS NULL AND safe").agg(F.max("nth").alias("pool"))
     own = passed.where("stratum IS NOT NULL").crossJoin(F.broadcast(pool)).groupBy("stratum").agg(
         F.coalesce(F.max(F.when(F.col("safe"), F.col("nth"))), F.max(F.when((F.col("nth") <= F.col("pool")) & (F.col("k") <= risk * F.col("all")), F.col("nth")))).alias("nth")
     )
-    grid = F.array(*[
-        F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(cutoff).alias("cutoff")) for name, cutoff in level.items()]) for level in levels
-    ])
-    return own.where("nth IS NOT NULL").select("stratum", F.inline(F.get(grid, F.col("nth"))))
+    return _settings(own, levels)
 
 
 def _wide(cutoffs: DataFrame, rules: dict, prefix: str) -> DataFrame:
@@ -235,7 +281,7 @@ def _judged(
     if joint:
         wide = materialise(_stricter_cutoffs(measured, holdout, rules, risk, loss), "cutoffs")
     else:
-        wide = _wide(materialise(risk_cutoffs(holdout, rules, risk, loss), "cutoffs"), rules, "cutoff")
+        wide = _wide(materialise(stepdown_cutoffs(holdout, rules, risk, loss), "cutoffs"), rules, "cutoff")
     judged = measured.join(wide, "stratum", "left")
     beyond = _beyond(rules, "cutoff")
     return judged.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(~beyond))
@@ -248,8 +294,8 @@ def quality_verdicts(
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` per row.
 
     base_failed: under 50 words, or over half of them in three-word windows that occur twice or more. ``kept`` is false if
-    base_failed, or if a rule's value is beyond its cutoff in the document's stratum; see ``risk_cutoffs``, and with ``joint``
-    ``joint_cutoffs``, which need far fewer labelled documents. Cutoffs are chosen on all labelled documents with quality 1 that pass the base rules. A document labelled more than once is good if
+    base_failed, or if a rule's value is beyond its cutoff in the document's stratum: see ``stepdown_cutoffs``, whose bound holds for each
+    stratum. With ``joint`` small strata borrow cutoffs (``joint_cutoffs``), or separate cutoffs are taken where they reject more. Cutoffs are chosen on all labelled documents with quality 1 that pass the base rules. A document labelled more than once is good if
     all its labels say so; null labels and ids say nothing.
 
     Null, empty and blank texts have no words and fail the base rules. A null stratum is one with the empty name. Rows that repeat a

@@ -17,7 +17,7 @@ from timetab.llm.language_id import identify_languages
 from timetab.llm.max_score import top_k
 from timetab.llm.ngram_join import ngram_components
 from timetab.llm.packing import pack_documents
-from timetab.llm.quality_rules import CONFIDENCE_LOSS, RISK, RULES, quality_verdicts
+from timetab.llm.quality_rules import CONFIDENCE_LOSS, RISK, RULES, joint_levels, quality_verdicts
 from timetab.llm.substring_dedup import substring_dedup
 from timetab.llm.suffix_dedup import suffix_dedup
 from timetab.llm.warc import page_of, read_warc, write_warc
@@ -141,11 +141,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quality_sql() -> str:
-    rules = " UNION ALL ".join(
-        f"SELECT '{name}' AS rule, {i} AS nth, {c!r}::DOUBLE AS cutoff" for name, (_, cuts) in RULES.items() for i, c in enumerate(cuts)
+    levels = " UNION ALL ".join(
+        f"SELECT {i} AS nth, " + ", ".join(f"{cut!r}::DOUBLE AS cut_{rule}" for rule, cut in level.items()) for i, level in enumerate(joint_levels(RULES))
     )
-    values = " UNION ALL ".join(f"SELECT *, '{name}' AS rule, ({value})::DOUBLE AS value FROM measured" for name, (value, _) in RULES.items())
-    p = RISK / len(RULES)
+    values = ", ".join(f"({value})::DOUBLE AS {rule}" for rule, (value, _) in RULES.items())
+    beyond = " OR ".join(f"coalesce({rule} > cut_{rule}, false)" for rule in RULES)
     return f"""
         WITH w AS (
             SELECT doc_id, lang AS stratum, coalesce(text, '') AS body, {WORDS_SQL} AS words,
@@ -166,22 +166,34 @@ def _quality_sql() -> str:
             FROM w LEFT JOIN again USING (doc_id)
         ),
         base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
-        measured AS (SELECT * FROM base WHERE NOT base_failed),
-        valued AS ({values}),
+        valued AS (SELECT *, {values} FROM base WHERE NOT base_failed),
+        levels AS ({levels}),
         good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-        holdout AS (SELECT * FROM valued WHERE doc_id IN (SELECT doc_id FROM good)),
-        strata AS (SELECT count(DISTINCT stratum) AS strata FROM holdout),
         tested AS (
-            SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE value > cutoff) AS k
-            FROM holdout JOIN ({rules}) USING (rule) GROUP BY ALL
+            SELECT stratum, nth, count(*) AS n, count(*) FILTER (WHERE {beyond}) AS k
+            FROM valued, levels WHERE doc_id IN (SELECT doc_id FROM good) GROUP BY ALL
         ),
         bounded AS (
-            SELECT stratum, rule, cutoff, strata, CASE WHEN k >= n * {p!r} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
-                exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}) + (n - i) * ln(1 - {p!r})))) END AS tail
-            FROM tested, strata
+            SELECT stratum, nth, n, CASE WHEN k >= n * {RISK!r} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+                exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK!r}) + (n - i) * ln(1 - {RISK!r})))) END AS p
+            FROM tested
         ),
-        safe AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM bounded WHERE tail <= {CONFIDENCE_LOSS!r} / (strata * {len(RULES)}) GROUP BY ALL),
-        out AS (SELECT DISTINCT v.doc_id FROM valued v JOIN safe s USING (stratum, rule) WHERE v.value > s.cutoff)
+        sizes AS (
+            SELECT stratum, r, r - floor(least({CONFIDENCE_LOSS!r} / greatest(pow(1 - {RISK!r}, n), 1e-300), 1e9)) AS short
+            FROM (SELECT stratum, n, row_number() OVER (ORDER BY n, stratum) AS r FROM bounded WHERE nth = 0)
+        ),
+        worst AS (SELECT stratum, r, max(short) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS short FROM sizes),
+        family AS (SELECT stratum FROM worst WHERE r >= (SELECT min(r) FROM worst WHERE short <= r - 1)),
+        holm AS (
+            SELECT *, p <= {CONFIDENCE_LOSS!r} / (count(*) OVER (PARTITION BY nth) - row_number() OVER (PARTITION BY nth ORDER BY p, stratum) + 1) AS ok
+            FROM bounded WHERE stratum IN (SELECT stratum FROM family)
+        ),
+        passed AS (SELECT *, bool_and(ok) OVER (PARTITION BY nth ORDER BY p, stratum) AS safe FROM holm),
+        chosen AS (
+            SELECT stratum, max(nth) AS nth FROM passed
+            WHERE safe AND nth <= (SELECT coalesce(min(nth) FILTER (WHERE NOT safe), 1000) FROM passed) GROUP BY stratum
+        ),
+        out AS (SELECT DISTINCT doc_id FROM valued JOIN chosen USING (stratum) JOIN levels USING (nth) WHERE {beyond})
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM out) AS kept
         FROM base
