@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+BUCKET_BYTES = 256 * 1024 * 1024
 MAX_BUCKETS = 100_000  # Spark's own limit
 _LOCAL_FOLDERS: dict[str, str] = {}
 _MADE: list[str] = []
@@ -68,11 +69,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def store_bucketed(rows: DataFrame, key: str) -> DataFrame:
-    """Store a table in the shared folder, bucketed by ``key``: grouping it by the key, or joining on it, moves none of its rows."""
+def store_bucketed(rows: DataFrame, key: str, size: int = 0) -> DataFrame:
+    """Store a table in the shared folder, bucketed by ``key``: grouping it by the key, or joining on it, moves none of its rows.
+
+    ``size``: its bytes, where they are known; a bucket then holds about ``BUCKET_BYTES`` at most.
+    """
     spark = rows.sparkSession
     # At least the session's number of shuffle partitions: with fewer, Spark would shuffle the table in a join.
-    buckets = min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
     name = f"timetab_{uuid.uuid4().hex}"
     rows.write.bucketBy(buckets, key).option("path", fresh_path(spark, "bucketed")).option("compression", "zstd").saveAsTable(name)
     table = spark.table(name)
