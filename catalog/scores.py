@@ -11,6 +11,7 @@ from timetab.plans.metrics import (
     all_finite, binary_cross_entropy, classification_report, guarded_score, multiclass_cross_entropy, regression_metrics,
     roc_auc, signed_score,
 )
+from timetab.plans.models import evaluate
 
 
 def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,3 +186,45 @@ def returns_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_discount") * 100 + F.col("l_tax")).alias("score")
     )
     return roc_auc(rows, by=["l_linestatus"]).select("l_linestatus", F.round("roc_auc", 8).alias("roc_auc"))
+
+
+_PARTS_SQL = """
+    r AS (
+        SELECT nullif(l_linenumber, 3) AS part, (l_returnflag = 'R')::BIGINT AS y,
+               CASE WHEN l_linenumber = 5 AND l_quantity = 50 THEN 'nan'::DOUBLE ELSE l_discount * 10 END AS p,
+               CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS c, l_discount * 10 AS x, l_tax * 10 AS z
+        FROM lineitem
+    ),
+    failed AS (SELECT part, NOT bool_and(isfinite(p)) AS bad FROM r GROUP BY part),
+    ranked AS (SELECT part, y, rank() OVER (PARTITION BY part ORDER BY p) + (count(*) OVER (PARTITION BY part, p) - 1) / 2.0 AS k FROM r),
+    auc AS (
+        SELECT part, (sum(k) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
+                     / (count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 0))::DOUBLE) AS v
+        FROM ranked GROUP BY part
+    ),
+    many AS (
+        SELECT part, avg((CASE WHEN a[1] >= a[2] AND a[1] >= a[3] THEN 0 WHEN a[2] >= a[3] THEN 1 ELSE 2 END = c)::INT) AS v
+        FROM (SELECT part, c, [x, z, 1.5 - x - z] AS a FROM r) GROUP BY part
+    )
+"""
+
+
+@query(f"""
+    WITH {_PARTS_SQL}
+    SELECT 'binclass' AS task, auc.part, CASE WHEN bad THEN -999999.0 ELSE round(v, 8) END AS score
+    FROM auc JOIN failed ON auc.part IS NOT DISTINCT FROM failed.part
+    UNION ALL SELECT 'regression', part, CASE WHEN NOT bool_and(isfinite(p)) THEN -999999.0 ELSE -round(avg(abs(y - p)), 8) END FROM r GROUP BY part
+    UNION ALL SELECT 'multiclass', part, round(v, 8) FROM many
+""")
+def scores_of_all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of three tasks per part: rows without a part are one, and a prediction that is no number fails its part."""
+    lines = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_returnflag", "l_quantity", "l_discount", "l_tax")
+    part = F.when(F.col("l_linenumber") != 3, F.col("l_linenumber")).alias("part")
+    broken = (F.col("l_linenumber") == 5) & (F.col("l_quantity") == 50)
+    x, z = F.col("l_discount").cast("double") * 10, F.col("l_tax").cast("double") * 10
+    one = lines.select(part, (F.col("l_returnflag") == "R").cast("long").alias("y"), F.when(broken, F.lit(float("nan"))).otherwise(x).alias("prediction"))
+    code = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    many = lines.select(part, code.cast("long").alias("y"), F.array(x, z, 1.5 - x - z).alias("prediction"))
+    found = [("binclass", one, "roc-auc"), ("regression", one, "mae"), ("multiclass", many, "accuracy")]
+    out = [evaluate(rows, task, score).select(F.lit(task).alias("task"), "part", F.round("score", 8).alias("score")) for task, rows, score in found]
+    return out[0].unionByName(out[1]).unionByName(out[2])

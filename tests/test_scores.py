@@ -10,8 +10,9 @@ from timetab.plans.leaderboard import (
 )
 from timetab.plans.leaderboard import tested_rank as rank_by_test
 from timetab.plans.metrics import (
-    FAILED_SCORE, classification_report, guarded_score, multiclass_cross_entropy, regression_metrics, roc_auc,
+    FAILED_SCORE, all_scores, classification_report, guarded_score, multiclass_cross_entropy, regression_metrics, roc_auc,
 )
+from timetab.plans.models import evaluate
 
 
 def test_regression(spark):
@@ -58,6 +59,34 @@ def test_guard(spark):
     assert got == {"a": 0.5, "b": FAILED_SCORE, "c": FAILED_SCORE, "d": FAILED_SCORE}
 
 
+def test_groups_without_a_name(spark):
+    """Rows whose group is null are a group in every score."""
+    rows = [(g, i % 2, (i * 7 % 10) / 10) for g in ("a", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "part string, y long, prediction double")
+    for task in ("binclass", "regression"):
+        got = {r["part"]: tuple(r)[1:] for r in all_scores(df, task, ["part"]).collect()}
+        assert set(got) == {"a", None} and got["a"] == got[None]
+    assert {r["part"] for r in roc_auc(df, "y", "prediction", ["part"]).collect()} == {"a", None}
+    many = df.withColumn("prediction", F.array(1 - F.col("prediction"), "prediction"))
+    got = {r["part"]: tuple(r)[1:] for r in all_scores(many, "multiclass", ["part"]).collect()}
+    assert set(got) == {"a", None} and got["a"] == got[None]
+
+
+@pytest.mark.parametrize("task", ["binclass", "multiclass", "regression"])
+def test_broken_predictions(spark, task):
+    """A part with a prediction that is not finite gets the fixed low score; the others keep theirs."""
+    odd = {"nan": float("nan"), "inf": float("inf"), "low": float("-inf"), "null": None}
+    rows = [(part, i % 2, 0.25 + i % 2 * 0.5) for part in ("good", None, *odd) for i in range(4)] + [(k, 1, v) for k, v in odd.items()]
+    df = spark.createDataFrame(rows, "part string, y long, prediction double")
+    if task == "multiclass":
+        df = df.withColumn("prediction", F.array(F.lit(1.0) - F.col("prediction"), "prediction"))
+        df = df.union(spark.sql("SELECT 'whole', 1L, CAST(NULL AS array<double>)"))
+    got = {r["part"]: r["score"] for r in evaluate(df, task).collect()}
+    bad = {*odd, *(["whole"] if task == "multiclass" else [])}
+    assert {k for k, v in got.items() if v == FAILED_SCORE} == bad and set(got) == {"good", None, *bad}
+    assert got["good"] == got[None] == (-0.25 if task == "regression" else 1.0)
+
+
 def stats(spark, rows):
     return spark.createDataFrame(rows, "dataset string, model string, n long, mean double, std double")
 

@@ -59,6 +59,16 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which a null key meets a null key; the keys of ``left`` stay."""
+    names = {c: f"_right_{c}" for c in on}
+    condition = None
+    for c, other in names.items():
+        same = F.col(f"`{c}`").eqNullSafe(F.col(f"`{other}`"))
+        condition = same if condition is None else condition & same
+    return left.join(right.withColumnsRenamed(names), condition, how).drop(*names.values())
+
+
 def chain_left_joins(base: DataFrame, tables: Sequence[DataFrame], key: str) -> DataFrame:
     """Left-join feature tables, each unique on ``key``, one after the other.
 

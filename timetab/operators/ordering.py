@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timetab.operators.joins import null_safe_join
 from timetab.session import materialise, store_bucketed
 
 LEAF_ROWS = 250_000
@@ -69,7 +70,7 @@ def prefix_totals(
     """Add, per entry of ``totals`` (new name -> column), the sum of that column over all rows before this one.
 
     ``order`` must be unique: pre-aggregate first, which also takes the weight off hot keys. ``within`` names leading
-    order columns; sums then start anew in each of their groups, and ``<new name>_total`` is the sum of the group.
+    order columns; sums then start anew in each of their groups (nulls are a group), and ``<new name>_total`` is the sum of the group.
     """
     within, rest = list(within), list(order)[len(within) :]
     if list(order)[: len(within)] != within:
@@ -87,7 +88,7 @@ def prefix_totals(
             *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).cast(kinds[n]).alias(f"start_{n}") for n in totals],
             *[F.sum(n).over(Window.partitionBy(*within)).alias(f"{n}_total") for n in totals],
         )
-        placed = table.join(starts, ["pid", *within])
+        placed = null_safe_join(table, starts, ["pid", *within])
     else:
         schema = "pid int, " + ", ".join(f"`start_{n}` {kinds[n]}" for n in totals)
         placed = table.join(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timetab.operators.joins import null_safe_join
 from timetab.operators.ordering import prefix_totals
 
 # Metric names, which of them grow with quality, the default score per task, and the score of a failed run.
@@ -109,10 +110,11 @@ SCORES = {
 
 
 def all_scores(df: DataFrame, task: str, by: Sequence[str] = (), y: str = "y", prediction: str = "prediction") -> DataFrame:
-    """All scores of the task per group, named as in ``SCORES``.
+    """All scores of the task per group, named as in ``SCORES``; nulls are a group.
 
     Predictions are values, the probability of class 1, or arrays of one probability per class; of equal probabilities the
-    lower class is guessed, and a probability of one half is class 0.
+    lower class is guessed, and a probability of one half is class 0. A prediction that is not finite guesses no class, so it is
+    wrong; ``evaluate`` gives such a group ``FAILED_SCORE``.
     """
     if task == "regression":
         return regression_metrics(df, y, prediction, by)
@@ -121,17 +123,17 @@ def all_scores(df: DataFrame, task: str, by: Sequence[str] = (), y: str = "y", p
     by = list(by)
     t = F.col(y).cast("bigint")
     if task == "binclass":
-        guess = F.rint(F.col(prediction).cast("double")).cast("bigint")
+        guess = F.when(finite(F.col(prediction), task), F.rint(F.col(prediction).cast("double")).cast("bigint"))
         loss = binary_cross_entropy(df, y, prediction, by)
     else:
-        guess = F.array_position(F.col(prediction), F.array_max(prediction)) - 1
+        guess = F.when(finite(F.col(prediction), task), F.array_position(F.col(prediction), F.array_max(prediction)) - 1)
         loss = multiclass_cross_entropy(df, y, prediction, by)
-    right = df.groupBy(*by).agg(F.avg((t == guess).cast("double")).alias("accuracy"))
+    right = df.groupBy(*by).agg(F.avg(F.coalesce((t == guess), t.isNull() & F.lit(None)).cast("double")).alias("accuracy"))
     loss = loss.withColumnRenamed("cross_entropy", "cross-entropy")
     parts = [right, loss] if task == "multiclass" else [right, loss, roc_auc(df, y, prediction, by).withColumnRenamed("roc_auc", "roc-auc")]
     out = parts[0]
     for p in parts[1:]:
-        out = out.join(p, by)
+        out = null_safe_join(out, p, by)
     return out
 
 
@@ -141,12 +143,19 @@ def signed_score(metric: str, value: str | Column) -> Column:
     return v if HIGHER_IS_BETTER[metric] else -v
 
 
-def all_finite(prediction: str) -> Column:
-    """Aggregate: whether every prediction is a finite number."""
-    p = F.col(prediction).cast("double")
-    return F.bool_and(p.isNotNull() & ~F.isnan(p) & (F.abs(p) < F.lit(float("inf"))))
+def finite(value: Column, task: str = "regression") -> Column:
+    """Whether a prediction is a finite number, or an array of such for several classes; false for null."""
+    def number(x: Column) -> Column:
+        return x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf")))
 
+    return number(value) if task != "multiclass" else F.coalesce(F.forall(value, number), F.lit(False))
 
-def guarded_score(score: Column, prediction: str) -> Column:
+
+def all_finite(prediction: str, task: str = "regression") -> Column:
+    """Aggregate: whether every prediction is finite."""
+    return F.bool_and(finite(F.col(prediction), task))
+
+
+def guarded_score(score: Column, prediction: str, task: str = "regression") -> Column:
     """Aggregate: the score, or ``FAILED_SCORE`` if any prediction is not finite."""
-    return F.when(all_finite(prediction), score).otherwise(F.lit(FAILED_SCORE))
+    return F.when(all_finite(prediction, task), score).otherwise(F.lit(FAILED_SCORE))

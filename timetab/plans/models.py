@@ -16,8 +16,9 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timetab.operators.joins import null_safe_join
 from timetab.plans.leaderboard import ensemble_mean
-from timetab.plans.metrics import DEFAULT_SCORE, SCORES, all_scores, signed_score
+from timetab.plans.metrics import DEFAULT_SCORE, FAILED_SCORE, SCORES, all_finite, all_scores, signed_score
 from timetab.sources.runs import load_predictions, save_predictions
 
 
@@ -143,7 +144,7 @@ def predict(model: Model, data: DataFrame, task: str) -> DataFrame:
 
 
 def evaluate(predictions: DataFrame, task: str, score: str | None = None) -> DataFrame:
-    """Signed score per part: the one named, or the task's own."""
+    """Signed score per part: the one named, or the task's own; ``FAILED_SCORE`` for a part with a prediction that is not finite."""
     return _scored(predictions, task, score, ["part"])
 
 
@@ -151,7 +152,9 @@ def _scored(predictions: DataFrame, task: str, score: str | None, by: Sequence[s
     score = score or DEFAULT_SCORE[task]
     if score not in SCORES[task]:
         raise ValueError(f"{task} has no score {score}; it has {', '.join(SCORES[task])}")
-    return all_scores(predictions, task, by).select(*by, signed_score(score, F.col(f"`{score}`")).alias("score"))
+    sound = predictions.groupBy(*by).agg(all_finite("prediction", task).alias("_sound"))
+    value = F.when(F.col("_sound"), signed_score(score, F.col(f"`{score}`"))).otherwise(F.lit(FAILED_SCORE))
+    return null_safe_join(all_scores(predictions, task, by), sound, by).select(*by, value.alias("score"))
 
 
 def importances(model: Model, names: Sequence[str]) -> DataFrame:
