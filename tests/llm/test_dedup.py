@@ -9,6 +9,7 @@ import brute
 import numpy as np
 import pytest
 from made import frame, odd_rows, prose
+from pyspark.sql import functions as F
 
 from timetab.llm import blocks as B
 from timetab.llm.components import connected_components
@@ -18,6 +19,17 @@ from timetab.llm.substring_dedup import COVER, PERIOD, covers, substring_dedup
 from timetab.llm.suffix_dedup import suffix_dedup
 
 
+def test_blocks_by_bytes(spark):
+    """Blocks hold a bounded number of bytes, whatever one partition unpacks to; a row is in one block."""
+    rows = [(i, "same words " * 50) for i in range(500)] + [(1000, "x" * 50_000), (1001, None), (None, "")]
+    df = B.store_blocks(frame(spark, rows, 2), carry=["label"], block_bytes=10_000)
+    sizes = {r["block"]: (r["n"], r["most"]) for r in df.selectExpr("block", "octet_length(text) AS n").groupBy("block").agg(
+        F.sum("n").alias("n"), F.max("n").alias("most")).collect()}
+    assert len(sizes) >= 27 and all((n or 0) < 10_000 + (most or 0) for n, most in sizes.values())
+    assert df.count() == len(rows) == df.select("row_key").distinct().count()
+    assert bag((d, None if t is None else bytes(t).decode()) for d, t in df.select("doc_id", "text").collect()) == bag(rows)
+
+
 def pairs(df):
     return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
 

@@ -10,16 +10,20 @@ rounds meet their answers without moving the texts again.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timetab.session import store_bucketed
 
 U = np.uint64
-BLOCKS_PER_PARTITION = 4
+BLOCK_BYTES = 4 << 20
 FRAGMENT_BYTES = 16 << 20
 QUESTION = "fragment long, block long, keys binary, extra binary"
 ANSWER = "stage int, block long, fragment long, levels binary"
@@ -27,21 +31,35 @@ _A, _B = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
 
 def store_blocks(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None,
-    per_partition: int = BLOCKS_PER_PARTITION,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """Store ``row_key, block, doc_id, text`` (as bytes) in the shared folder, bucketed by block, without a shuffle.
 
-    ``row_key`` tells rows apart that repeat a doc_id. Each input partition becomes ``per_partition`` blocks. The columns
-    in ``carry`` go along as JSON in ``carried``.
+    ``row_key`` tells rows apart that repeat a doc_id. A block ends with the text that brings it to ``block_bytes`` or more, however
+    many bytes a partition unpacks to; so only a block of one longer text has more than twice as many. The columns in ``carry`` go along
+    as JSON in ``carried``.
     """
-    key = F.monotonically_increasing_id()
-    block = F.spark_partition_id().cast("long") * per_partition + F.pmod(key, F.lit(per_partition))
     taken = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")]
     if carry is not None:
         taken.append(F.to_json(F.struct(*carry)).alias("carried"))
-    rows = docs.select(*taken).select(key.alias("row_key"), block.alias("block"), "*")
-    return store_bucketed(rows, "block")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, rows, block, filled = TaskContext.get().partitionId() << 32, 0, 0, 0
+        for batch in batches:
+            own = []
+            for n in pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist():
+                own.append(base + block)
+                filled += n
+                if filled >= block_bytes:
+                    block, filled = block + 1, 0
+            keys = pa.array(range(base + rows, base + rows + len(own)), pa.int64())
+            rows += len(own)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(own, pa.int64()), *batch.columns], names=["row_key", "block", *batch.schema.names])
+
+    narrow = docs.select(*taken)
+    total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    schema = "row_key long, block long, doc_id long, text binary" + (", carried string" if carry is not None else "")
+    return store_bucketed(narrow.mapInArrow(deal, schema), "block", total)
 
 
 def fragments_for(blocks: DataFrame, share: float = 1.0) -> int:

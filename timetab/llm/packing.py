@@ -86,9 +86,6 @@ class WordEncoder:
         return b"".join([self.encode(c) if _ODD(c) else self.latin(c) for c in _BLANK(text)])
 
 
-_ENCODERS: dict[int, WordEncoder] = {}
-
-
 def tokenised_pieces(docs: DataFrame, spec: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, part, nth``: each document's ids and ``end_id``, cut at ``capacity``.
 
@@ -97,8 +94,7 @@ def tokenised_pieces(docs: DataFrame, spec: str, capacity: int, end_id: int, doc
     shared = docs.sparkSession.sparkContext.broadcast(spec)  # the vocabulary file, about 2 MB at any size of the corpus
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = zlib.crc32(shared.value.encode())
-        encoder = _ENCODERS.get(key) or _ENCODERS.setdefault(key, WordEncoder(shared.value))
+        encoder = WordEncoder(shared.value)  # it goes with the task: an idle worker holds no words
         end = np.array([end_id], dtype="<u4").tobytes()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         part = TaskContext.get().partitionId()

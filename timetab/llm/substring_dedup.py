@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,13 +25,13 @@ def covers(cover: Sequence[int], period: int) -> bool:
 
 
 class _Words:
-    """The words of one block's texts laid end to end."""
+    """The hashes of the words of one block's texts laid end to end; the words themselves are cut anew where they are needed."""
 
     def __init__(self, pdf: pd.DataFrame, width: int, cover: Sequence[int], period: int):
         self.width, self.period = width, period
-        self.words = [words_of(t, lower=False) for t in pdf["text"]]
-        self.lengths = np.array([len(w) for w in self.words], dtype=np.int64)
-        self.hashes = word_hashes(list(chain.from_iterable(self.words)))
+        hashes = [word_hashes(words_of(t, lower=False)) for t in pdf["text"]]
+        self.lengths = np.array([len(h) for h in hashes], dtype=np.int64)
+        self.hashes = np.concatenate([np.empty(0, dtype=np.uint64), *hashes])
         self.place, self.left = places(self.lengths)
         anchor = width - period + 1
         every = window_hashes(self.hashes, anchor)
@@ -92,14 +91,13 @@ def strip_repeated(
         gone = w.removed(answered(answers, 2, w.windows, window_fragments) > 0)
         ends = np.cumsum(w.lengths)
         counts, kept = [], []
-        for text, words, end, n in zip(pdf["text"], w.words, ends, w.lengths):
+        for text, end, n in zip(pdf["text"], ends, w.lengths):
             lost = gone[end - n : end]
             counts.append(int(lost.sum()))
-            if counts[-1]:
-                words = [x for x, out in zip(words, lost.tolist()) if not out]
-            elif keep_unchanged:
+            if keep_unchanged and not counts[-1]:
                 kept.append(text)
                 continue
+            words = [x for x, out in zip(words_of(text, lower=False), lost.tolist()) if not out]
             kept.append(b" ".join(words))
         return pd.DataFrame({
             "row_key": pdf["row_key"], "doc_id": pdf["doc_id"].astype("Int64"), "n_words": w.lengths, "n_removed": counts,
