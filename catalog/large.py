@@ -17,7 +17,7 @@ from timetab.operators.splits import all_splits, part_by_bounds, split_random, s
 
 LEAF = 20  # rows that the search for a position may rank
 HOT = 30  # rows of a key that one task may get
-CELL, PIVOTS, ROUND = 8, 16, 4
+CELL, PIVOTS, ROUND, LANE = 8, 16, 4, 8
 
 
 @query(ORACLES["quarter_sample"])
@@ -67,14 +67,14 @@ def recent_share_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neighbours_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest other vectors with small cells, few pivots and several widening rounds."""
     v = table(spark, sf_dir, "embeddings")
-    return _shown(nearest(v, v, K, exclude_self=True, cell_rows=CELL, pivots=PIVOTS, widen=ROUND))
+    return _shown(nearest(v, v, K, exclude_self=True, cell_rows=CELL, pivots=PIVOTS, widen=ROUND, lane_packs=LANE))
 
 
 @query(ORACLES["neighbours_causal"])
 def neighbours_causal_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest older vectors on the same path."""
     v = table(spark, sf_dir, "embeddings")
-    return _shown(nearest(v, v, K, time="vec_id", exclude_self=True, cell_rows=CELL, pivots=PIVOTS, widen=ROUND))
+    return _shown(nearest(v, v, K, time="vec_id", exclude_self=True, cell_rows=CELL, pivots=PIVOTS, widen=ROUND, lane_packs=LANE))
 
 
 @query(ORACLES["dimension_join"])

@@ -50,10 +50,10 @@ def crowded():
 @pytest.mark.parametrize("causal, exclude_self", [(False, False), (False, True), (True, True), (True, False)])
 def test_brute_force(spark, crowded, monkeypatch, causal, exclude_self):
     """Small cells and packs, so that pruning, packing and merging all happen."""
-    for name, value in (("PACK_CANDIDATES", 8), ("PACK_QUERIES", 8), ("QUERY_PACKS_PER_TASK", 2)):
+    for name, value in (("PACK_CANDIDATES", 8), ("PACK_QUERIES", 8)):
         monkeypatch.setattr(nb, name, value)
     df = frame(spark, crowded)
-    pairs = nb.nearest(df, df, 7, time="t" if causal else None, exclude_self=exclude_self, cell_rows=16)
+    pairs = nb.nearest(df, df, 7, time="t" if causal else None, exclude_self=exclude_self, cell_rows=16, lane_packs=4)
     same(result(pairs), brute(crowded, crowded, 7, causal, exclude_self))
 
 
@@ -67,6 +67,55 @@ def test_widening_rounds(spark, crowded, monkeypatch, causal):
     same(result(pairs), brute(crowded, crowded, 5, causal, True))
 
 
+def clusters(n, seed):
+    """Well parted groups of vectors, so that most packs have no business with each other."""
+    rng = np.random.default_rng(seed)
+    return [(i, 0, [float(x) for x in rng.normal(size=3) * 0.05 + 10 * (i % 12)]) for i in range(n)]
+
+
+def test_packs_are_copied_on_demand(spark, monkeypatch):
+    """A pack goes to the lanes that ask for it, and what each side asks for is there."""
+    for name, value in (("PACK_CANDIDATES", 8), ("PACK_QUERIES", 8)):
+        monkeypatch.setattr(nb, name, value)
+    calls, routed = [], nb._routed
+    monkeypatch.setattr(nb, "_routed", lambda *a: calls.append(routed(*a)) or calls[-1])
+    rows = clusters(400, 1)
+    df = frame(spark, rows)
+    pairs = nb.nearest(df, df, 3, cell_rows=16, lane_packs=2)
+    same(result(pairs), brute(rows, rows, 3))
+    asked, held = (x.collect() for x in calls[-1])
+    lanes = len({r["lane"] for r in asked})
+    packs = {(r["cell"], r["slice"], r["salt"]) for r in held}
+    assert lanes >= 10 and len(held) < 0.5 * len(packs) * lanes
+    there = {(r["for_lane"], r["in_lane"], r["cell"], r["slice"], r["salt"]) for r in held}
+    wanted = {(r["lane"], r["target_lane"], *t) for r in asked for t in r["wanted"]}
+    assert there <= wanted and len(there) == len(held) and {w[2:] for w in wanted} >= packs
+
+
+def test_cell_tree(monkeypatch):
+    """Rows meet the leads and the centres of one lead only, in matrices of bounded size."""
+    from timetab.operators import cells
+
+    rng = np.random.default_rng(2)
+    centres = np.unique(rng.normal(size=(3000, 5)), axis=0)
+    tree = cells.CellTree.of(centres)
+    assert sorted(map(tuple, tree.centres)) == sorted(map(tuple, centres)) and len(tree.leads) <= 60
+    x = rng.normal(size=(500, 5))
+    lead, cell = tree.locate(x)
+    d = ((x[:, None] - tree.leads) ** 2).sum(2)
+    assert (d.argmin(1) == lead).all()
+    for row, g, c in zip(x, lead, cell):
+        own = tree.centres[tree.starts[g] : tree.starts[g + 1]]
+        assert tree.starts[g] + ((row - own) ** 2).sum(1).argmin() == c
+    monkeypatch.setattr(cells, "MATRIX_CELLS", 1000)
+    assert (cells.nearest_of(x, tree.leads) == lead).all()
+    # The border bound is one: no member of a lead is nearer to a row than it says.
+    bound = cells.border_bounds(cells.distances(x[:50], tree.leads), tree.leads)
+    for i in range(50):
+        for j in range(500):
+            assert bound[i, lead[j]] <= np.sqrt(((x[i] - x[j]) ** 2).sum()) + 1e-9
+
+
 def test_fewer_candidates_than_wanted(spark, crowded):
     df, few = frame(spark, crowded[:20]), crowded[20:23]
     pairs = nb.nearest(df, frame(spark, few), 5)

@@ -1,9 +1,9 @@
 """Exact nearest neighbours under squared Euclidean distance, optionally only among rows that are not newer.
 
-Candidates are split into cells around pivot vectors. The distances from a query to the pivots bound its k-th neighbour
-distance, and the triangle inequality rules out cells that cannot hold a nearer one; only the cells left are compared,
-through an equi-join on the cell. Cells and groups of queries are cut into packs of bounded size, so a crowded region
-is spread over many tasks.
+Candidates are split into the cells of a two-level tree of pivot vectors. The distances from a query to pivots bound its k-th
+neighbour distance, and the triangle inequality rules out leads and cells that cannot hold a nearer one. Cells and groups of
+queries are cut into packs of bounded size, so a crowded region is spread over many tasks. Packs of both sides are dealt to
+lanes; pairs of packs are first made as ids, and a pack is copied only to the lanes that a pair asks for.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timetab.operators.cells import CellTree, border_bounds, distances
 from timetab.operators.ordering import hash_order, order_cutoffs
 from timetab.session import materialise
 
@@ -24,7 +25,7 @@ CELLS_PER_ROOT = 4
 MAX_CELLS = 1 << 16
 PACK_CANDIDATES = 2048
 PACK_QUERIES = 1024
-QUERY_PACKS_PER_TASK = 64
+LANE_PACKS = 16
 WIDEN = 64
 TIME_SLICES = 16
 
@@ -42,7 +43,7 @@ def _sides(df: DataFrame, tag: str, id_: str, vector: str, time: str | None) ->
 
 
 def _pivots(candidates: DataFrame, n: int, most: int, cell_rows: int):
-    """Candidates picked by hash: at most ``most`` pivots as (ids, times, vectors), and the cell centres.
+    """Candidates picked by hash: at most ``most`` pivots as (ids, times, vectors), and the tree of cells.
 
     The pivots bound the neighbour distances. Cells get ``cell_rows`` rows or more, so small tables have few of them, and
     their number grows with the root of the table: ``CELLS_PER_ROOT`` times it, up to ``MAX_CELLS``, which is what the
@@ -53,31 +54,30 @@ def _pivots(candidates: DataFrame, n: int, most: int, cell_rows: int):
     import numpy as np
 
     cells = max(1, min(n // cell_rows, int(CELLS_PER_ROOT * math.sqrt(n)), MAX_CELLS))
-    rows = candidates.orderBy(F.xxhash64("c_id"), "c_id").limit(max(most, cells)).collect()
-    vectors = np.array([r["c_v"] for r in rows], dtype="float64")
-    centres = np.unique(vectors[:cells], axis=0)
-    first = rows[:most]
-    return np.array([r["c_id"] for r in first]), np.array([r["c_t"] for r in first]), vectors[:most], centres
+    rows = candidates.orderBy(F.xxhash64("c_id"), "c_id").limit(max(most, cells)).toArrow()
+    vectors = rows["c_v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(rows.num_rows, -1)
+    ids, times = (rows[c].to_numpy()[:most] for c in ("c_id", "c_t"))
+    return ids, times, vectors[:most], CellTree.of(np.unique(vectors[:cells], axis=0))
 
 
-def _to_cells(centres):
-    """Arrow batches of candidates, each with its nearest centre and the distance to it."""
+def _to_cells(tree: CellTree):
+    """Arrow batches of candidates, each with its cell, the distance to the cell's centre and to the cell's lead."""
 
     def run(batches):
         import numpy as np
 
-        norms = (centres**2).sum(1)
         for pdf in batches:
             if len(pdf):
                 x = np.stack(pdf["c_v"].to_numpy()).astype("float64")
-                cell = (norms[None, :] - 2.0 * x @ centres.T).argmin(1)
-                gap = np.sqrt(((x - centres[cell]) ** 2).sum(1))
-                yield pdf.assign(cell=cell.astype("int32"), gap=gap)
+                lead, cell = tree.locate(x)
+                gap = np.sqrt(((x - tree.centres[cell]) ** 2).sum(1))
+                lead_gap = np.sqrt(((x - tree.leads[lead]) ** 2).sum(1))
+                yield pdf.assign(cell=cell.astype("int32"), gap=gap, lead_gap=lead_gap)
 
     return run
 
 
-def _query_bounds(centres, pivots, k: int, causal: bool, exclude_self: bool):
+def _query_bounds(tree: CellTree, pivots, k: int, causal: bool, exclude_self: bool):
     """Arrow batches of queries with their home cell and an upper bound of their k-th squared distance."""
     ids, times, vectors, _ = pivots
 
@@ -89,7 +89,7 @@ def _query_bounds(centres, pivots, k: int, causal: bool, exclude_self: bool):
                 continue
             x = np.stack(pdf["q_v"].to_numpy()).astype("float64")
             square = (x**2).sum(1)[:, None]
-            home = ((centres**2).sum(1)[None, :] - 2.0 * x @ centres.T).argmin(1)
+            home = tree.locate(x)[1]
             d2 = square + (vectors**2).sum(1)[None, :] - 2.0 * x @ vectors.T
             if causal:
                 d2[times[None, :] > pdf["q_t"].to_numpy()[:, None]] = np.inf
@@ -104,76 +104,103 @@ def _query_bounds(centres, pivots, k: int, causal: bool, exclude_self: bool):
     return run
 
 
-def _targets(centres, cells, causal: bool):
+def _targets(tree: CellTree, cells, causal: bool):
     """Per pack of queries, the cell slices that can hold a neighbour of any of them, as ids only.
 
-    A member c of the cell around centre p is no nearer than |q,p| - radius, and no nearer than the border plane between
-    p and the home centre of q.
+    A member c of the cell around centre p is no nearer than |q,p| - radius, nor than the border plane between p and the centre of
+    the same lead that is nearest to q. The same holds for the leads, which are ruled out first with all their cells.
     """
-    index, slices, radius, oldest, packs = cells
+    index, slices, radius, lead_radius, oldest, packs = cells
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
+        first = np.searchsorted(index, tree.starts)  # the slices are in order of their cell
+        held = [g for g in range(len(tree.leads)) if first[g] < first[g + 1]]
+        reach_of = np.array([lead_radius[first[g] : first[g + 1]].max() for g in held])
+        since = np.array([oldest[first[g] : first[g + 1]].min() for g in held])
+
+        def near(low, reach, d):
+            return low <= reach[:, None] * (1.0 + 1e-9) + 1e-9 * (1.0 + d)
+
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 times = np.asarray(row.q_ts)
                 x = np.asarray(row.q_flat, dtype="float64").reshape(len(times), -1)
-                reach = np.sqrt(np.asarray(row.bounds, dtype="float64"))[:, None]
-                d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (centres**2).sum(1)[None, :] - 2.0 * x @ centres.T, 0.0))
-                apart = np.sqrt(((centres - centres[row.home]) ** 2).sum(1))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = (d**2 - d[:, [row.home]] ** 2) / (2.0 * apart[None, :])
-                plane = np.where(apart[None, :] > 0, plane, 0.0)
-                low = np.maximum(d[:, index] - radius[None, :], plane[:, index])
-                near = low <= reach * (1.0 + 1e-9) + 1e-9 * (1.0 + d[:, index])
+                reach = np.sqrt(np.asarray(row.bounds, dtype="float64"))
+                d = distances(x, tree.leads)
+                low = np.maximum(d[:, held] - reach_of[None, :], border_bounds(d, tree.leads)[:, held])
+                open_ = near(low, reach, d[:, held])
                 if causal:
-                    near &= oldest[None, :] <= times[:, None]
-                hit = np.flatnonzero(near.any(0))
+                    open_ &= since[None, :] <= times[:, None]
+                hits = []
+                for j in np.flatnonzero(open_.any(0)):
+                    g, own = held[j], np.flatnonzero(open_[:, j])
+                    centres, span = tree.centres[tree.starts[g] : tree.starts[g + 1]], slice(first[g], first[g + 1])
+                    inside = distances(x[own], centres)
+                    at = index[span] - tree.starts[g]
+                    low_cell = np.maximum(inside[:, at] - radius[span][None, :], border_bounds(inside, centres)[:, at])
+                    found = near(low_cell, reach[own], inside[:, at])
+                    if causal:
+                        found &= oldest[span][None, :] <= times[own][:, None]
+                    hits.append(first[g] + np.flatnonzero(found.any(0)))
+                hit = np.concatenate([np.empty(0, dtype=np.int64), *hits])
                 yield pd.DataFrame({"pack_id": row.pack_id, "cell": index[hit], "slice": slices[hit], "packs": packs[hit]})
 
     return run
 
 
-def _nearest_in_pair(k: int, causal: bool, exclude_self: bool):
-    """Per (query pack, candidate pack): the k nearest of the pack for every query, by (distance, time, id).
+def _nearest_in_lanes(k: int, causal: bool, exclude_self: bool):
+    """One lane of query packs against one lane of candidate packs: the k nearest of the packs that each query pack asked for, by
+    (distance, time, id).
 
     One float64 matrix product screens the pairs; those near the border are measured again by plain differences, so
-    exact copies have distance 0 and ties are broken by id.
+    exact copies have distance 0 and ties are broken by id. The border of a query falls with each pack it meets.
     """
 
-    def run(batches):
+    def run(asked, held):
         import numpy as np
         import pandas as pd
 
-        for pdf in batches:
-            parts = [[np.empty(0, kind)] for kind in ("int64", "int64", "int64", "float64")]
-            for row in pdf.itertuples(index=False):
-                qi, qt, ci, ct = (np.asarray(v) for v in (row.q_ids, row.q_ts, row.c_ids, row.c_ts))
-                q = np.asarray(row.q_flat, dtype="float64").reshape(len(qi), -1)
-                c = np.asarray(row.c_flat, dtype="float64").reshape(len(ci), -1)
-                qq, cc = (q**2).sum(1), (c**2).sum(1)
+        known = {}
+        for row in held.itertuples(index=False):
+            c = np.asarray(row.c_flat, dtype="float64").reshape(len(row.c_ids), -1)
+            known[row.cell, row.slice, row.salt] = np.asarray(row.c_ids), np.asarray(row.c_ts), c, (c**2).sum(1)
+        parts = [[np.empty(0, kind)] for kind in ("int64", "int64", "int64", "float64")]
+        for row in asked.itertuples(index=False):
+            qi, qt = np.asarray(row.q_ids), np.asarray(row.q_ts)
+            q = np.asarray(row.q_flat, dtype="float64").reshape(len(qi), -1)
+            qq, limit, found = (q**2).sum(1), np.asarray(row.bounds, dtype="float64"), []
+            for target in row.wanted:
+                pack = known.get((target["cell"], target["slice"], target["salt"]))
+                if pack is None:  # no row of the slice fell to this salt
+                    continue
+                ci, ct, c, cc = pack
                 d2 = qq[:, None] + cc[None, :] - 2.0 * q @ c.T
                 if causal:
                     d2[ct[None, :] > qt[:, None]] = np.inf
                 if exclude_self:
                     d2[ci[None, :] == qi[:, None]] = np.inf
-                limit = np.asarray(row.bounds, dtype="float64")
+                slack = 1e-9 * (qq + cc.max())
                 if len(ci) > k:
-                    limit = np.minimum(limit, np.partition(d2, k - 1, axis=1)[:, k - 1])
-                a, b = np.nonzero((d2 <= (limit + 1e-9 * (qq + cc.max()))[:, None]) & np.isfinite(d2))
+                    limit = np.minimum(limit, np.partition(d2, k - 1, axis=1)[:, k - 1] + slack)
+                a, b = np.nonzero((d2 <= (limit + slack)[:, None]) & np.isfinite(d2))
                 exact = np.empty(len(a))
                 for s in range(0, len(a), 65536):
                     exact[s : s + 65536] = ((q[a[s : s + 65536]] - c[b[s : s + 65536]]) ** 2).sum(1)
-                order = np.lexsort((ci[b], ct[b], exact, a))
-                a, b, exact = a[order], b[order], exact[order]
-                first = np.searchsorted(a, a, side="left")
-                top = np.arange(len(a)) - first < k
-                for list_, values in zip(parts, (qi[a[top]], ci[b[top]], ct[b[top]], exact[top])):
-                    list_.append(values)
-            names = ("query_id", "candidate_id", "candidate_t", "distance")
-            yield pd.DataFrame({n: np.concatenate(v) for n, v in zip(names, parts)})
+                found.append((a, ci[b], ct[b], exact))
+            if not found:
+                continue
+            a, ids, when, exact = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((ids, when, exact, a))
+            a = a[order]
+            top = order[np.arange(len(a)) - np.searchsorted(a, a, side="left") < k]
+            a = a[np.arange(len(a)) - np.searchsorted(a, a, side="left") < k]
+            for list_, values in zip(parts, (qi[a], ids[top], when[top], exact[top])):
+                list_.append(values)
+        names = ("query_id", "candidate_id", "candidate_t", "distance")
+        return pd.DataFrame({n: np.concatenate(v) for n, v in zip(names, parts)})
 
     return run
 
@@ -185,26 +212,35 @@ def _pack_count(n: Column, size: int) -> Column:
 _RESULT = "query_id bigint, candidate_id bigint, distance double, rank int"
 
 
-def _search(queries: DataFrame, cells: DataFrame, centres, n: int, k: int, causal: bool, exclude_self: bool) -> DataFrame:
-    """Top k per query among the rows of ``cells``, given queries with home cell and distance bound."""
+def _lanes_of(packs: int, lane_packs: int) -> int:
+    return max(1, -(-packs // lane_packs))
+
+
+def _routed(
+    queries: DataFrame, cells: DataFrame, tree: CellTree, n: int, causal: bool, lane_packs: int
+) -> tuple[DataFrame, DataFrame]:
+    """``(query packs, candidate packs)``, each copied to the pairs of lanes in which one asks for the other.
+
+    Query packs carry the list ``wanted`` of candidate packs that they ask for there. Which packs meet is worked out on ids.
+    """
     import numpy as np
 
-    spark = queries.sparkSession
     part = F.lit(0)
-    slices = max(1, min(TIME_SLICES, n // (len(centres) * PACK_CANDIDATES)))
+    slices = max(1, min(TIME_SLICES, n // (len(tree.centres) * PACK_CANDIDATES)))
     if causal and slices > 1:
         marks = cells.agg(F.percentile_approx("c_t", [i / slices for i in range(1, slices)], 1000)).first()[0]
         for m in marks or []:
             part = part + (F.col("c_t") > m).cast("int")
     sliced = cells.withColumn("slice", part)
-    stats = sliced.groupBy("cell", "slice").agg(
-        F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius"), F.min("c_t").alias("oldest")
-    ).withColumn("packs", _pack_count(F.col("n"), PACK_CANDIDATES))
-    known = stats.collect()  # at most MAX_CELLS * TIME_SLICES rows
+    stats = materialise(sliced.groupBy("cell", "slice").agg(
+        F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius"), F.max("lead_gap").alias("lead_radius"), F.min("c_t").alias("oldest")
+    ).withColumn("packs", _pack_count(F.col("n"), PACK_CANDIDATES)), "slices")
+    known = stats.orderBy("cell", "slice").toArrow()  # at most MAX_CELLS * TIME_SLICES rows of six numbers
     table = tuple(
-        np.array([r[f] for r in known], dtype=t)
-        for f, t in (("cell", "int32"), ("slice", "int32"), ("radius", "float64"), ("oldest", "int64"), ("packs", "int32"))
+        known[f].to_numpy().astype(t) for f, t in
+        (("cell", "int32"), ("slice", "int32"), ("radius", "float64"), ("lead_radius", "float64"), ("oldest", "int64"), ("packs", "int32"))
     )
+    target_lanes = _lanes_of(int(np.sum(table[5])), lane_packs)
     packed = (
         sliced.join(F.broadcast(stats.select("cell", "slice", "packs")), ["cell", "slice"])
         .withColumn("salt", F.pmod(F.xxhash64("c_id"), F.col("packs")).cast("int"))
@@ -217,32 +253,40 @@ def _search(queries: DataFrame, cells: DataFrame, centres, n: int, k: int, causa
     )
 
     homes = queries.groupBy("home").agg(F.count(F.lit(1)).alias("n")).withColumn("q_packs", _pack_count(F.col("n"), PACK_QUERIES))
-    total_packs = homes.agg(F.sum("q_packs")).first()[0] or 0
-    lanes = max(1, -(-total_packs // QUERY_PACKS_PER_TASK))
     query_packs = materialise(
         queries.join(F.broadcast(homes.select("home", "q_packs")), "home")
         .withColumn("q_salt", F.pmod(F.xxhash64("q_id"), F.col("q_packs")).cast("int"))
         .groupBy("home", "q_salt")
         .agg(F.collect_list(F.struct("q_id", "q_t", "q_v", "bound")).alias("g"))
         .select(
-            F.concat_ws("/", "home", "q_salt").alias("pack_id"), "home", F.col("g.q_id").alias("q_ids"),
+            F.concat_ws("/", "home", "q_salt").alias("pack_id"), F.col("g.q_id").alias("q_ids"),
             F.col("g.q_t").alias("q_ts"), F.flatten("g.q_v").alias("q_flat"), F.col("g.bound").alias("bounds"),
         ),
         "query-packs",
     )
-    # A pack meets many cells: only ids are routed, and the vectors join in afterwards, on both sides by key.
-    routes = (
-        query_packs.mapInPandas(_targets(centres, table, causal), "pack_id string, cell int, slice int, packs int")
+    lanes = _lanes_of(homes.agg(F.sum("q_packs")).first()[0] or 0, lane_packs)
+    target = ["cell", "slice", "salt"]
+    routes = materialise(
+        query_packs.mapInPandas(_targets(tree, table, causal), "pack_id string, cell int, slice int, packs int")
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)))
-        .withColumn("lane", F.pmod(F.xxhash64("pack_id"), F.lit(lanes)).cast("int"))
-    )
-    pairs = (
-        routes.join(query_packs.drop("home"), "pack_id")
-        .join(packed.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))), ["cell", "slice", "salt", "lane"])
-        .select("q_ids", "q_ts", "q_flat", "bounds", "c_ids", "c_ts", "c_flat")
+        .select(
+            "pack_id", *target, F.pmod(F.xxhash64("pack_id"), F.lit(lanes)).cast("int").alias("lane"),
+            F.pmod(F.xxhash64(*target), F.lit(target_lanes)).cast("int").alias("target_lane"),
+        ),
+        "routes",
     )
-    partial = pairs.mapInPandas(
-        _nearest_in_pair(k, causal, exclude_self),
+    wanted = routes.groupBy("pack_id", "lane", "target_lane").agg(F.collect_list(F.struct(*target)).alias("wanted"))
+    copies = routes.select(*target, F.col("lane").alias("for_lane"), F.col("target_lane").alias("in_lane")).distinct()
+    return wanted.join(query_packs, "pack_id"), packed.join(copies, target)
+
+
+def _search(
+    queries: DataFrame, cells: DataFrame, tree: CellTree, n: int, k: int, causal: bool, exclude_self: bool, lane_packs: int
+) -> DataFrame:
+    """Top k per query among the rows of ``cells``, given queries with home cell and distance bound."""
+    asked, held = _routed(queries, cells, tree, n, causal, lane_packs)
+    partial = asked.groupBy("lane", "target_lane").cogroup(held.groupBy("for_lane", "in_lane")).applyInPandas(
+        _nearest_in_lanes(k, causal, exclude_self),
         "query_id bigint, candidate_id bigint, candidate_t bigint, distance double",
     )
     # Each task keeps k rows per query before the shuffle.
@@ -263,6 +307,7 @@ def nearest(
     pivots: int = MAX_PIVOTS,
     cell_rows: int = CELL_ROWS,
     widen: int = WIDEN,
+    lane_packs: int = LANE_PACKS,
 ) -> DataFrame:
     """(query_id, candidate_id, distance, rank) of the k nearest candidates per query, as a stored table.
 
@@ -272,6 +317,7 @@ def nearest(
 
     Large tables are searched in widening rounds: the k-th distance within a hashed share of the candidates bounds the
     next round, so that no round hands on more than about ``widen`` * k rows per query. The last round sees all rows.
+    ``lane_packs`` is the number of packs that a task holds of either side.
     """
     causal = time is not None
     cand, qry = _sides(candidates, "c", id_, vector, time), _sides(queries, "q", id_, vector, time)
@@ -279,7 +325,7 @@ def nearest(
     if n == 0:
         return queries.sparkSession.createDataFrame([], _RESULT)
     found_pivots = _pivots(cand, n, pivots, cell_rows)
-    centres = found_pivots[3]
+    tree = found_pivots[3]
 
     # Of equal vectors, no query can need more than the k (and itself) that come first by time and id.
     keep = k + int(exclude_self)
@@ -287,11 +333,11 @@ def nearest(
     useful = cand.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= keep).drop("copy")
     kind = cand.schema["c_v"].dataType.simpleString()
     cells = materialise(
-        useful.mapInPandas(_to_cells(centres), f"c_id bigint, c_t bigint, c_v {kind}, cell int, gap double"), "cells"
+        useful.mapInPandas(_to_cells(tree), f"c_id bigint, c_t bigint, c_v {kind}, cell int, gap double, lead_gap double"), "cells"
     )
     bounded = materialise(
         qry.mapInPandas(
-            _query_bounds(centres, found_pivots, k, causal, exclude_self), f"q_id bigint, q_t bigint, q_v {kind}, home int, bound double"
+            _query_bounds(tree, found_pivots, k, causal, exclude_self), f"q_id bigint, q_t bigint, q_v {kind}, home int, bound double"
         ),
         "queries",
     )
@@ -299,12 +345,12 @@ def nearest(
     while size * widen < n:
         size *= widen
         share = cells.where(F.pmod(F.xxhash64("c_id"), F.lit(-(-n // size))) == 0)
-        found = _search(bounded, share, centres, size, k, causal, exclude_self)
+        found = _search(bounded, share, tree, size, k, causal, exclude_self, lane_packs)
         tighter = found.where(F.col("rank") == k).select(F.col("query_id").alias("q_id"), (F.col("distance") * (1.0 + 1e-9)).alias("kth"))
         bounded = materialise(
             bounded.join(tighter, "q_id", "left").withColumn("bound", F.least("bound", "kth")).drop("kth"), "queries"
         )
-    return _search(bounded, cells, centres, n, k, causal, exclude_self)
+    return _search(bounded, cells, tree, n, k, causal, exclude_self, lane_packs)
 
 
 def context_misses(queries: DataFrame, neighbours: DataFrame, k: int, id_: str = "vec_id") -> DataFrame:
