@@ -273,3 +273,33 @@ def scores_three_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = materialise(predict(fit("forest", data, "multiclass", _TREE), data, "multiclass"), "predictions")
     out = all_scores(stored, "multiclass", ["part"])
     return out.select("part", F.round("accuracy", 6).alias("accuracy"), F.round("cross-entropy", 6).alias("cross_entropy"))
+
+
+@query(f"""
+    WITH {_LINES_SQL},
+    sums AS (SELECT b, k, count(*) AS n, count(*) FILTER (WHERE c = k) AS own FROM d, range(3) r(k) WHERE part = 'train' GROUP BY b, k),
+    leaf AS (SELECT b, k, (own - n / 3.0::DOUBLE) / (n * 2 / 9.0::DOUBLE + 1) AS m FROM sums),
+    shares AS (SELECT b, k, exp(m) / sum(exp(m)) OVER (PARTITION BY b) AS p FROM leaf)
+    SELECT part, round(avg(ln(p)), 8) AS score FROM d JOIN shares ON d.b = shares.b AND d.c = shares.k GROUP BY part
+""")
+def boosted_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of boosting for three classes, a tree with one split each; signed cross-entropy per part."""
+    data = _line_data(spark, sf_dir, ["b"], "CASE WHEN l_extendedprice > 70000 THEN 2 WHEN l_quantity > 25 THEN 1 ELSE 0 END")
+    model = fit("boosted", data, "multiclass", {"rounds": 1, "depth": 1, "rate": 1.0, "l2": 1.0})
+    return evaluate(predict(model, data, "multiclass"), "multiclass", "cross-entropy").select("part", F.round("score", 8).alias("score"))
+
+
+@query()
+def boosted_early_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees from histograms on all features, stopped where validation no longer gains; signed RMSE per part."""
+    return _whole_scores(spark, sf_dir, "histogram", "regression", {"rounds": 100, "depth": 4, "rate": 0.5, "patience": 2})
+
+
+@query()
+def boosted_classes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the three return flags, accuracy per part."""
+    lines = _numeric_lines(spark, sf_dir, "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END")
+    scaled = scale_standard(lines, mean_and_std(lines.where("part = 'train'"), NUMERIC))
+    data = materialise(assemble(scaled, NUMERIC).select("row_id", "part", "y", "features"), "lines")
+    model = fit("histogram", data, "multiclass", {"rounds": 100, "depth": 3, "rate": 0.5, "patience": 1, "bins": 32})
+    return evaluate(predict(model, data, "multiclass"), "multiclass")

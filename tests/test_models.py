@@ -87,3 +87,18 @@ def test_linear_models(spark, lines):
     quantile = by_part(spark, "quantile_linear_whole")
     # Least squares on all features is the least on the training part, and the mean alone the most.
     assert floor["train"] < -quantile["train"] < rmse(y[part == "train"], y[part == "train"].mean())
+
+
+def test_early_stop(spark, lines):
+    """Far fewer rounds are fitted than asked for, and the scores are those of the rounds kept."""
+    part, y, _ = lines
+    data = models._whole_data(spark, SF_DIR)
+    model = fit("histogram", data, "regression", {"rounds": 100, "depth": 4, "rate": 0.5, "patience": 2})
+    assert model.getNumTrees <= model.fitted - 2 and model.fitted < 30
+    got = by_part(spark, "boosted_early_whole")
+    assert got["val"] == pytest.approx(-np.sqrt(model.losses[model.getNumTrees])) and model.losses[0] >= min(model.losses)
+    assert 0 > got["train"] > by_part(spark, "forest_price")["train"]
+    for p in ("val", "test"):
+        assert -got[p] < 1.1 * rmse(y[part == p], y[part == p].mean())
+    classes = by_part(spark, "boosted_classes_whole")
+    assert set(classes) == {"train", "val", "test"} and all(0 < v <= 1 for v in classes.values())

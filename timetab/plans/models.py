@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timetab.operators.joins import null_safe_join
+from timetab.plans.boosting import fit_histogram
 from timetab.plans.leaderboard import ensemble_mean
 from timetab.plans.metrics import DEFAULT_SCORE, FAILED_SCORE, SCORES, all_finite, all_scores, signed_score
 from timetab.sources.runs import load_predictions, save_predictions
@@ -43,10 +44,11 @@ def fit_boosted(train: DataFrame, task: str, params: dict, seed: int = 0, val: D
     """Boosted trees, cut after the round with the lowest loss on ``val``.
 
     All rounds are fitted once. The first trees of a run are those of a shorter run, so the model of the best round is made
-    of the first trees and their weights.
+    of the first trees and their weights. MLlib's boosted trees tell two classes apart; for more, and to stop early, trees are
+    grown from histograms (``fit_histogram``).
     """
-    if task == "multiclass":
-        raise ValueError("MLlib's boosted trees tell two classes apart; take a forest or a linear model")
+    if task == "multiclass" or "patience" in params:
+        return fit_histogram(train, task, params, seed, val)
     kind = GBTRegressor if task == "regression" else GBTClassifier
     model = kind(
         featuresCol="features", labelCol="y", maxIter=params.get("rounds", 20), maxDepth=params.get("depth", 5),
@@ -95,6 +97,7 @@ class FirstTrees:
 
 
 FITTERS: dict[str, Callable[..., Model]] = {"linear": fit_linear, "forest": fit_forest}
+WATCHED: dict[str, Callable[..., Model]] = {"boosted": fit_boosted, "histogram": fit_histogram}  # these look at part val
 
 
 def training_rows(data: DataFrame, part: str) -> DataFrame:
@@ -110,7 +113,7 @@ def training_rows(data: DataFrame, part: str) -> DataFrame:
 def kept_rows(data: DataFrame, model: str):
     """``(train, val)`` for any number of fits; boosted trees also watch part val."""
     train = training_rows(data, "train")
-    val = training_rows(data, "val") if model == "boosted" else None
+    val = training_rows(data, "val") if model in WATCHED else None
     try:
         yield train, val
     finally:
@@ -120,8 +123,8 @@ def kept_rows(data: DataFrame, model: str):
 
 
 def _fit_on(model: str, rows: tuple[DataFrame, DataFrame | None], task: str, params: dict, seed: int) -> Model:
-    if model == "boosted":
-        return fit_boosted(rows[0], task, params, seed, rows[1])
+    if model in WATCHED:
+        return WATCHED[model](rows[0], task, params, seed, rows[1])
     return FITTERS[model](rows[0], task, params, seed)
 
 
