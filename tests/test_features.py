@@ -1,6 +1,7 @@
 from datetime import date
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from timetab.functions.columns import (
     Roles, cast_by_name, decimal_comma, finite, mapped, pick, presence, sentinel_to_null,
 )
 from timetab.operators.aggregates import entity_features, histogram, list_mean
-from timetab.operators.drift import centred_sums, covariance, covariance_gap
+from timetab.operators.drift import block_sums, centred_sums, covariance, covariance_gap
 from timetab.operators.profiling import (
     drop_uninformative, narrowed_types, profile, profile_of_few, two_valued_columns, value_counts,
 )
@@ -220,6 +221,22 @@ def test_covariance_with_gaps(spark):
     assert {r["cov"] for r in empty.collect()} == {None}
 
 
+def test_covariance_of_many_columns(spark):
+    """500 columns travel as a few blocks of sums per task, not as a row per pair."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 500))
+    x[rng.random(x.shape) < 0.05] = np.nan
+    names = [f"c{i}" for i in range(500)]
+    df = spark.createDataFrame(x.tolist(), ", ".join(f"{c} double" for c in names)).repartition(3)
+    blocks, width = block_sums(df, names)
+    assert blocks.count() == -(-500 // width) <= 4
+    got = np.zeros((500, 500))
+    for r in centred_sums(df, names).selectExpr("i", "j", "(sum_ij - sum_i * sum_j / n) / (n - 1) AS cov").toArrow().to_pylist():
+        got[r["i"], r["j"]] = r["cov"]
+    want = np.array(pd.DataFrame(x).cov())
+    assert np.allclose(np.triu(got), np.triu(want))
+
+
 def test_covariance(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(200, 4)) @ rng.normal(size=(4, 4)) + 1000

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from timetab.operators.ordering import prefix_totals
 
-
 STEPS = 16_384
 MOST_STEPS = 1 << 20
 LEAF_ROWS = 100_000
+MERGE_TASKS = 16
 
 
 def quantile_grid(
@@ -21,10 +21,9 @@ def quantile_grid(
 ) -> dict[str, list[float]]:
     """``points`` evenly spaced quantiles (0 to 1) per column, nulls and NaN left out.
 
-    Exact: all columns are counted in equal steps, map-side, and only the rows of steps that hold a grid point are ranked, each
+    Exact: each task counts all columns in equal steps, as one matrix; only the values of steps that hold a grid point are ranked, each
     step for itself. Columns with a crowded step (more than ``leaf_rows`` rows and values of its own) are ranked by prefix
-    sums over all their values instead. No column is ever gathered in one task; the driver receives a bounded number of
-    counts and columns x points numbers. ``exact=False`` uses ``percentile_approx``.
+    sums over all their values instead. No column is ever gathered in one task; the driver receives columns x points numbers. ``exact=False`` uses ``percentile_approx``.
     """
     if not exact:
         shares = [i / (points - 1) for i in range(points)]
@@ -44,41 +43,99 @@ def quantile_grid(
     return {**out, **found, **(_by_prefix_sums(df, rest, points) if rest else {})}
 
 
+def _step_of(x, bounds: tuple, steps: int):
+    """The equal step between the bounds that each value lies in."""
+    import numpy as np
+
+    _, lo, hi = bounds
+    return np.minimum(np.floor((x - lo) / (hi - lo) * steps), steps - 1).astype(np.int64)
+
+
+def _merged(pdf):
+    """Counts, least and largest values of a column's steps, added up."""
+    import numpy as np
+    import pandas as pd
+
+    cells = np.stack([np.frombuffer(s).reshape(3, -1) for s in pdf["cells"]])
+    total = np.stack([cells[:, 0].sum(axis=0), cells[:, 1].min(axis=0), cells[:, 2].max(axis=0)])
+    return pd.DataFrame({"c": pdf["c"].iloc[:1], "bunch": pdf["bunch"].iloc[:1], "cells": [total.tobytes()]})
+
+
 def _by_steps(df: DataFrame, columns: list[str], bounds: dict[str, tuple], points: int, leaf_rows: int) -> dict[str, list[float]]:
     """Grids of the columns without a crowded step."""
     steps = max(1, min(STEPS, MOST_STEPS // len(columns)))
-    cells = []
-    for i, c in enumerate(columns):
-        _, lo, hi = bounds[c]
-        step = F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(hi - lo) * steps), F.lit(steps - 1)).cast("int")
-        cells.append(F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("c"), step.alias("step"), F.col(c).alias("v"))))
-    long = df.select(F.explode(F.array_compact(F.array(*cells))).alias("e")).select("e.*")
-    counted = long.groupBy("c", "step").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-
-    values: dict[tuple[int, int], float] = {}
-    wanted, crowded = [], set()
-    places = {i: sorted({p for j in range(points) for p in _ends(j, bounds[c][0], points)}) for i, c in enumerate(columns)}
-    at = {i: 0 for i in places}
-    passed = {i: 0 for i in places}
-    for r in sorted(counted, key=lambda r: (r["c"], r["step"])):
-        i, end = r["c"], passed[r["c"]] + r["n"]
-        while at[i] < len(places[i]) and places[i][at[i]] < end:
-            place = places[i][at[i]]
-            if r["lo"] == r["hi"]:
-                values[i, place] = r["lo"]
-            elif r["n"] > leaf_rows:
-                crowded.add(i)
-            else:
-                wanted.append((i, r["step"], place, place - passed[i]))
-            at[i] += 1
-        passed[i] = end
-    wanted = [w for w in wanted if w[0] not in crowded]
-    if wanted:
-        spark = df.sparkSession
-        ask = spark.createDataFrame(wanted, "c int, step int, place long, inside long")
-        rows = long.join(ask.select("c", "step").distinct(), ["c", "step"], "left_semi").groupBy("c", "step", "v").agg(F.count(F.lit(1)).alias("n"))
+    ends = [bounds[c] for c in columns]
+    rows = df.select(*[F.col(c).alias(f"v{i}") for i, c in enumerate(columns)])
+
+    def values_of(batch):
+        import numpy as np
+
+        for i, column in enumerate(batch.columns):
+            x = column.to_numpy(zero_copy_only=False)
+            yield i, x[~np.isnan(x)]
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        n, lo, hi = np.zeros((len(ends), steps)), np.full((len(ends), steps), np.inf), np.full((len(ends), steps), -np.inf)
+        for batch in batches:
+            for i, x in values_of(batch):
+                at = _step_of(x, ends[i], steps)
+                n[i] += np.bincount(at, minlength=steps)
+                np.minimum.at(lo[i], at, x)
+                np.maximum.at(hi[i], at, x)
+        bunch = TaskContext.get().partitionId() // MERGE_TASKS
+        cells = [np.stack([n[i], lo[i], hi[i]]).tobytes() for i in range(len(ends))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(ends)), pa.int32()), pa.array([bunch] * len(ends), pa.int32()), pa.array(cells, pa.binary())], names=["c", "bunch", "cells"])
+
+    def choose(key, pdf):
+        """Where each wanted place of the column lies: its value, or its step and its place in there."""
+        import numpy as np
+        import pandas as pd
+
+        n, lo, hi = np.frombuffer(_merged(pdf)["cells"].iloc[0]).reshape(3, -1)
+        upto = np.cumsum(n.astype(np.int64))
+        places = np.array(sorted({p for j in range(points) for p in _ends(j, ends[key[0]][0], points)}))
+        step = np.searchsorted(upto, places, side="right")
+        single = lo[step] == hi[step]
+        return pd.DataFrame({
+            "c": key[0], "place": places, "step": step, "inside": places - np.append(0, upto)[step], "v": np.where(single, lo[step], np.nan),
+            "known": single, "crowded": ~single & (n[step] > leaf_rows),
+        })
+
+    cells = "c int, bunch int, cells binary"
+    # One row per task and column, merged in two steps; a row per wanted place reaches the driver.
+    counted = rows.mapInArrow(count, cells).groupBy("c", "bunch").applyInPandas(_merged, cells)
+    placed = counted.groupBy("c").applyInPandas(
+        choose, "c int, place long, step int, inside long, v double, known boolean, crowded boolean").toPandas()
+    crowded = set(placed["c"][placed["crowded"]].tolist())
+    placed = placed[~placed["c"].isin(crowded)]
+    values = {(c, p): v for c, p, v in placed[placed["known"]][["c", "place", "v"]].itertuples(index=False)}
+    asked = placed[~placed["known"]][["c", "step", "place", "inside"]]
+    if len(asked):
+        open_steps = {c: sorted(set(own["step"])) for c, own in asked.groupby("c")}
+
+        def inside(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            wanted = {c: np.isin(np.arange(steps), at) for c, at in open_steps.items()}
+            for batch in batches:
+                for i, x in values_of(batch):
+                    if i in wanted:
+                        at = _step_of(x, ends[i], steps)
+                        v, n = np.unique(x[wanted[i][at]], return_counts=True)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(v), i, dtype=np.int32)), pa.array(_step_of(v, ends[i], steps).astype(np.int32)), pa.array(v), pa.array(n)],
+                            names=["c", "step", "v", "n"])
+
+        ask = df.sparkSession.createDataFrame(list(map(tuple, asked.to_numpy().tolist())), "c int, step int, place long, inside long")
+        found = rows.mapInArrow(inside, "c int, step int, v double, n long").groupBy("c", "step", "v").agg(F.sum("n").alias("n"))
         upto = F.sum("n").over(Window.partitionBy("c", "step").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-        ranked = rows.withColumn("upto", upto).join(ask, ["c", "step"]).where("inside < upto AND inside >= upto - n")
+        ranked = found.withColumn("upto", upto).join(ask, ["c", "step"]).where("inside < upto AND inside >= upto - n")
         values |= {(r["c"], r["place"]): r["v"] for r in ranked.select("c", "place", "v").collect()}
     out = {}
     for i, c in enumerate(columns):
