@@ -104,9 +104,8 @@ def folded_ids(word: Column, ranks: dict[bytes, int]) -> Column:
         )
 
     def step(acc: Column, _: Column) -> Column:
-        # Rank and place in one number: its minimum is the first of the least pairs.
-        least = F.array_min(F.transform(acc["ranks"], lambda r, i: r.cast("long") * FOLD_BYTES + i))
-        place = (F.pmod(least, F.lit(FOLD_BYTES)) + 1).cast("int")
+        # The first of the least pairs; null, and nothing changes any more, if no pair merges.
+        place = F.array_position(acc["ranks"], F.array_min(acc["ranks"])).cast("int")
         return let(place, lambda p: F.when(p.isNull(), acc).otherwise(merged(acc, p)))
 
     steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(none)
