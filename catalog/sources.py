@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from catalog.base import query, table
 from catalog.boards import RUNS_SQL, runs
 from timetab.functions.columns import Roles, decimal_comma as parse_comma
+from timetab.operators.joins import null_safe_join
 from timetab.operators.splits import split_by_dates
+from timetab.plans.metrics import roc_auc
 from timetab.session import fresh_path
 from timetab.sources.bundles import cached, load_bundle, load_task, save_bundle
-from timetab.sources.runs import read_reports
+from timetab.sources.runs import flatten_reports, read_reports
 from timetab.sources.tables import read_csv, read_tables
 
 
@@ -124,3 +126,33 @@ def cached_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     arguments = {"query": "quantity per supplier", "data": sf_dir, "run": fresh_path(spark, "run")}
     cached(spark, arguments, build)
     return cached(spark, arguments, lambda: build().limit(0))
+
+
+@query("""
+    WITH q AS (
+        SELECT lang, quality AS y, n_chars AS s, (n_chars > 900)::INT AS guess FROM labels JOIN documents USING (doc_id)
+    ),
+    ranked AS (SELECT lang, y, guess, rank() OVER (PARTITION BY lang ORDER BY s) + (count(*) OVER (PARTITION BY lang, s) - 1) / 2.0 AS r FROM q),
+    sums AS (SELECT lang, count(*) AS n, avg((y = guess)::INT) AS a, sum(r) FILTER (WHERE y = 1) AS rs, count(*) FILTER (WHERE y = 1) AS p,
+                    count(*) FILTER (WHERE y = 0) AS m FROM ranked GROUP BY lang)
+    SELECT lang, round(a, 8) AS accuracy, round((rs - p * (p + 1) / 2.0) / (p * m::DOUBLE), 8) AS roc_auc, n AS support, 0.0::DOUBLE AS loss FROM sums
+""")
+def any_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classification reports per language, written as nested JSON, flattened without a schema; a missing number is 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    rows = table(spark, sf_dir, "labels").join(docs, "doc_id").withColumn("guess", (F.col("n_chars") > 900).cast("int"))
+    auc = roc_auc(rows, "quality", "n_chars", by=["lang"])
+    shares = rows.groupBy("lang").agg(F.avg((F.col("quality") == F.col("guess")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    score = F.struct("accuracy", F.col("roc_auc").alias("roc-auc"), F.lit(None).cast("double").alias("loss"))
+    report = F.struct("lang", F.struct(F.struct(score.alias("scores"), F.array("n").alias("support")).alias("test")).alias("metrics"))
+    path = fresh_path(spark, "json")
+    texts = null_safe_join(shares, auc, ["lang"]).select("lang", F.to_json(report, {"ignoreNullFields": "false"}).alias("value"))
+    texts.withColumn("of", F.col("lang")).drop("lang").repartition("of").write.partitionBy("of").text(path)
+    leaves = flatten_reports(spark, f"{path}/*/*.txt")
+    wide = leaves.groupBy("file").agg(
+        F.max(F.when(F.col("path") == "lang", F.col("value"))).alias("lang"),
+        *[F.max(F.when(F.col("path") == p, F.col("number"))).alias(n) for n, p in (
+            ("accuracy", "metrics.test.scores.accuracy"), ("roc_auc", "metrics.test.scores.roc-auc"), ("support", "metrics.test.support.0"),
+            ("loss", "metrics.test.scores.loss"))],
+    )
+    return wide.select("lang", F.round("accuracy", 8).alias("accuracy"), F.round("roc_auc", 8).alias("roc_auc"), F.col("support").cast("bigint").alias("support"), "loss")

@@ -7,7 +7,8 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 
 from catalog import ORACLES, QUERIES, models
-from timetab.plans.models import fit, predict
+from timetab.plans import models as plans_models
+from timetab.plans.models import fit, over_seeds, predict, search
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -102,3 +103,27 @@ def test_early_stop(spark, lines):
         assert -got[p] < 1.1 * rmse(y[part == p], y[part == p].mean())
     classes = by_part(spark, "boosted_classes_whole")
     assert set(classes) == {"train", "val", "test"} and all(0 < v <= 1 for v in classes.values())
+
+
+def test_seeds_side_by_side(spark):
+    """Fifteen seeds at once give what one after the other gives, in order."""
+    data = models._whole_data(spark, SF_DIR).where("row_id % 5 = 0")
+    params, seeds = {"trees": 2, "depth": 3}, range(15)
+    both = [over_seeds("forest", data, "regression", params, seeds, "lines", at_once=n).groupBy("seed").sum("prediction").collect() for n in (8, 1)]
+    serial, parallel = ({r[0]: r[1] for r in rows} for rows in both)
+    assert serial == pytest.approx(parallel) and len(serial) == 15 and len({round(v, 6) for v in serial.values()}) > 10
+    space = {"reg": ["loguniform", 1e-3, 1.0]}
+    assert search("linear", data, "regression", space, 4, at_once=4) == search("linear", data, "regression", space, 4, at_once=1)
+
+
+def test_search_passes_over_failed_trials(spark, monkeypatch):
+    data = models._whole_data(spark, SF_DIR).where("row_id % 50 = 0")
+    scores = iter([float("nan"), -2.0, None, -1.0])
+
+    class Row:
+        def first(self):
+            return {"score": next(scores)}
+
+    monkeypatch.setattr(plans_models, "evaluate", lambda *_: Row())
+    best, trials = search("linear", data, "regression", {"reg": ["uniform", 0.1, 1.0]}, 4, at_once=1)
+    assert best == trials[3]["params"]

@@ -20,6 +20,7 @@ from timetab.operators.joins import null_safe_join
 from timetab.plans.boosting import fit_histogram
 from timetab.plans.leaderboard import ensemble_mean
 from timetab.plans.metrics import DEFAULT_SCORE, FAILED_SCORE, SCORES, all_finite, all_scores, signed_score
+from timetab.session import JOBS_AT_ONCE, side_by_side
 from timetab.sources.runs import load_predictions, save_predictions
 
 
@@ -206,30 +207,39 @@ def draw(space: dict[str, Any], rng: random.Random) -> dict:
 
 
 def search(
-    model: str, data: DataFrame, task: str, space: dict, trials: int, seed: int = 0, score: str | None = None
+    model: str, data: DataFrame, task: str, space: dict, trials: int, seed: int = 0, score: str | None = None,
+    at_once: int = JOBS_AT_ONCE,
 ) -> tuple[dict, list[dict]]:
-    """Random search: the configuration with the best validation score, and all trials."""
-    rng, done = random.Random(seed), []
+    """Random search: the configuration with the best validation score, and all trials. Trials run side by side on rows kept once.
+
+    A trial whose score is no number is never the best; of equal scores the first trial is.
+    """
+    rng = random.Random(seed)
+    drawn = [draw(space, rng) for _ in range(trials)]
     with kept_rows(data, model) as rows:
-        for number in range(trials):
-            params = draw(space, rng)
+        def run(params: dict) -> float:
             held_out = predict(_fit_on(model, rows, task, params, seed), data.where(F.col("part") == "val"), task)
-            done.append({"trial": number, "params": params, "score": evaluate(held_out, task, score).first()["score"]})
-    return max(done, key=lambda t: t["score"])["params"], done
+            return evaluate(held_out, task, score).first()["score"]
+
+        scores = side_by_side(data.sparkSession, [lambda p=p: run(p) for p in drawn], at_once)
+    done = [{"trial": i, "params": p, "score": s} for i, (p, s) in enumerate(zip(drawn, scores))]
+    return max(done, key=lambda t: t["score"] if t["score"] is not None and math.isfinite(t["score"]) else -math.inf)["params"], done
 
 
 def over_seeds(
-    model: str, data: DataFrame, task: str, params: dict, seeds: Sequence[int], dataset: str, split: str = "default"
+    model: str, data: DataFrame, task: str, params: dict, seeds: Sequence[int], dataset: str, split: str = "default",
+    at_once: int = JOBS_AT_ONCE,
 ) -> DataFrame:
-    """Predictions of the configuration refitted per seed, in the layout of the predictions table."""
+    """Predictions of the configuration refitted per seed, side by side, in the layout of the predictions table."""
     out = None
     with kept_rows(data, model) as kept:
-        for s in seeds:
-            rows = predict(_fit_on(model, kept, task, params, s), data, task).select(
-                F.lit(model).alias("model"), F.lit(dataset).alias("dataset"), F.lit(split).alias("split"),
-                F.lit(s).alias("seed"), "part", "row_id", "y", "prediction",
-            )
-            out = rows if out is None else out.unionByName(rows)
+        fitted = side_by_side(data.sparkSession, [lambda s=s: _fit_on(model, kept, task, params, s) for s in seeds], at_once)
+    for s, one in zip(seeds, fitted):
+        rows = predict(one, data, task).select(
+            F.lit(model).alias("model"), F.lit(dataset).alias("dataset"), F.lit(split).alias("split"),
+            F.lit(s).alias("seed"), "part", "row_id", "y", "prediction",
+        )
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 

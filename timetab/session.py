@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +17,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 * 1024 * 1024
 BUCKET_BYTES = 256 * 1024 * 1024
 MAX_BUCKETS = 100_000  # Spark's own limit
+JOBS_AT_ONCE = 8
+POOL = "timetab-side-by-side"
 _LOCAL_FOLDERS: dict[str, str] = {}
 _MADE: list[str] = []
 
@@ -65,7 +71,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -107,3 +113,17 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> tuple[Dat
     if measured_bytes(df) <= limit:
         return F.broadcast(df), True
     return df, False
+
+
+def side_by_side(spark: SparkSession, calls: Sequence[Callable[[], Any]], most: int = JOBS_AT_ONCE) -> list[Any]:
+    """The results of ``calls`` in their order, at most ``most`` running at a time.
+
+    Each runs in a thread with the caller's job properties, in one scheduler pool; with ``spark.scheduler.mode`` FAIR the jobs share the
+    executors evenly, and otherwise a job takes what the ones before it leave free.
+    """
+    def pooled(call: Callable[[], Any]) -> Any:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", POOL)
+        return call()
+
+    with ThreadPoolExecutor(max(1, min(most, len(calls)))) as threads:
+        return [f.result() for f in [threads.submit(inheritable_thread_target(pooled), c) for c in calls]]

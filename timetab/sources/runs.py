@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timetab.session import materialise
+
 # The report fields that are read; the three logged variants have different subsets of them.
 REPORT_SCHEMA = """
     function string, gpus array<string>, single_model_function string, prediction_type string, time double,
@@ -39,6 +41,31 @@ def read_reports(spark: SparkSession, glob: str, layout: str = REPORT_LAYOUT) ->
     )
 
 
+def flatten_reports(spark: SparkSession, glob: str) -> DataFrame:
+    """``(file, path, value, number)`` of every leaf of any JSON report, one file each, without a schema.
+
+    ``path`` joins the keys with dots, places of arrays are numbers; ``value`` is the leaf as text and ``number`` as a double, 0 where it is
+    null. Empty objects and arrays have no leaf. Each level of nesting is one narrow step, and no file is read twice.
+    """
+    read = spark.read.option("wholetext", True).text(glob).select(
+        F.input_file_name().alias("file"), F.lit("").alias("path"), F.parse_json("value").alias("v")
+    )
+    nested = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
+    level, leaves = materialise(read, "reports"), None
+    while True:
+        flat = level.where(~nested).select(
+            "file", "path", F.variant_get("v", "$", "string").alias("value"),
+            F.coalesce(F.try_variant_get("v", "$", "double"), F.when(F.is_variant_null("v"), F.lit(0.0))).alias("number"),
+        )
+        leaves = flat if leaves is None else leaves.unionAll(flat)
+        deeper = level.where(nested)
+        if not deeper.limit(1).count():
+            return leaves
+        inner = deeper.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(
+            F.coalesce("key", F.col("pos").cast("string")).alias("step"), F.col("value").alias("inner")))
+        level = materialise(inner.select("file", F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), "step").alias("path"), F.col("inner").alias("v")), "reports")
+
+
 PREDICTION_COLUMNS = ["model", "dataset", "split", "seed", "part", "row_id", "prediction"]
 
 
