@@ -299,3 +299,48 @@ def built_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
         orders, Roles(num=["price"], cat=["month"], target="y"), num_policy="standard", cat_policy="ordinal", scale_label=True
     )
     return built.data.select("row_id", "part", F.round("price", 6).alias("price"), "month", F.round("y", 6).alias("y"))
+
+
+def _event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by day; values of sign-ups are missing."""
+    part = F.when(F.col("ts") < F.lit(_EVENT_TRAIN_END).cast("timestamp_ntz"), "train").otherwise("test")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), part.alias("part"), "value", "event_type")
+
+
+_NOISY_TRAIN_SQL = f"""
+    SELECT event_id, value + 1e-5 * (sqrt(-2.0 * ln({_unit_sql(0)})) * cos(2.0 * pi() * {_unit_sql(1)})) AS v
+    FROM events WHERE ts < TIMESTAMP '{_EVENT_TRAIN_END}'
+"""
+
+
+@query(f"""
+    WITH {_shares_sql(_NOISY_TRAIN_SQL)}, clipped AS (SELECT event_id, greatest(least(p, 1 - 1e-7), 1e-7)::DOUBLE AS p FROM share),
+    kinds AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS code
+              FROM (SELECT DISTINCT event_type FROM events WHERE ts < TIMESTAMP '{_EVENT_TRAIN_END}'))
+    SELECT event_id AS row_id, CASE WHEN ts < TIMESTAMP '{_EVENT_TRAIN_END}' THEN 'train' ELSE 'test' END AS part, round({_normal_sql("p")}, 6) AS value,
+           array_to_string(list_transform(range((SELECT count(*) FROM kinds)), lambda i: CASE WHEN i = kinds.code THEN '1' ELSE '0' END), '') AS kind
+    FROM clipped JOIN events USING (event_id) LEFT JOIN kinds USING (event_type)
+""")
+def built_noisy_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of noisy training values and one-hot kinds."""
+    built = build_dataset(_event_rows(spark, sf_dir), Roles(num=["value"], cat=["event_type"]), num_policy="noisy-quantile", cat_policy="one-hot")
+    hot = F.array_join(F.transform("event_type", lambda x: x.cast("int").cast("string")), "")
+    return built.data.select("row_id", "part", F.round("value", 6).alias("value"), hot.alias("kind"))
+
+
+@query(f"""
+    WITH kinds AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS code
+                   FROM (SELECT DISTINCT event_type FROM events WHERE ts < TIMESTAMP '{_EVENT_TRAIN_END}'))
+    SELECT event_id AS row_id, CASE WHEN ts < TIMESTAMP '{_EVENT_TRAIN_END}' THEN 'train' ELSE 'test' END AS part,
+           CASE WHEN event_type = 'signup' THEN 0 ELSE round(value, 6) END AS value,
+           coalesce(CASE WHEN ts < TIMESTAMP '{_EVENT_TRAIN_END}' OR event_type <> 'error' THEN kinds.code END, (SELECT count(*) FROM kinds)) AS kind
+    FROM events LEFT JOIN kinds USING (event_type)
+""")
+def built_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values left as they are but for missing ones, and ordinal kinds; one kind is missing outside training."""
+    rows = _event_rows(spark, sf_dir).withColumns({
+        "value": F.when(F.col("event_type") != "signup", F.col("value")),
+        "kind": F.when((F.col("part") == "train") | (F.col("event_type") != "error"), F.col("event_type")),
+    })
+    built = build_dataset(rows, Roles(num=["value"], cat=["kind"]), num_policy="identity", cat_policy="ordinal")
+    return built.data.select("row_id", "part", F.round("value", 6).alias("value"), "kind")

@@ -12,6 +12,7 @@ from catalog.base import query, table
 from catalog.encoders import EVENT_SHARES_SQL
 from timetab.operators.encoding import encode_vocabulary, fit_vocabulary
 from timetab.operators.scaling import assemble, fit_quantiles, mean_and_std, scale_quantile, scale_standard
+from timetab.plans.boosting import fit_histogram
 from timetab.plans.leaderboard import ensemble_mean
 from timetab.plans.metrics import all_scores, regression_metrics
 from timetab.plans.models import draw, evaluate, fit, importances, over_seeds, predict, search
@@ -303,3 +304,24 @@ def boosted_classes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = materialise(assemble(scaled, NUMERIC).select("row_id", "part", "y", "features"), "lines")
     model = fit("histogram", data, "multiclass", {"rounds": 100, "depth": 3, "rate": 0.5, "patience": 1, "bins": 32})
     return evaluate(predict(model, data, "multiclass"), "multiclass")
+
+
+@query("""
+    WITH d AS (SELECT (l_quantity > 25)::INT AS a, (l_discount > 0.05)::INT AS b, l_extendedprice / 1000 AS y FROM lineitem
+               WHERE l_shipdate < TIMESTAMP '1999-01-01'),
+    c AS (SELECT a, b, sum(m - y) AS g, count(*)::DOUBLE AS n FROM d, (SELECT avg(y) AS m FROM d) GROUP BY a, b),
+    one AS (SELECT sum(pow(g, 2) / n) AS v FROM c),
+    by_a AS (SELECT a, sum(g) AS g, sum(n) AS n FROM c GROUP BY a), by_b AS (SELECT b, sum(g) AS g, sum(n) AS n FROM c GROUP BY b),
+    gains AS (SELECT (SELECT sum(pow(g, 2) / n) FROM by_a) AS ga, (SELECT sum(pow(g, 2) / n) FROM by_b) AS gb, v FROM one)
+    SELECT 'large' AS feature, round(CASE WHEN ga >= gb THEN ga / v ELSE (v - gb) / v END, 8) AS importance FROM gains
+    UNION ALL SELECT 'cheap', round(CASE WHEN ga >= gb THEN (v - ga) / v ELSE gb / v END, 8) FROM gains
+""")
+def gain_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each feature's share in the variance that a boosted tree of depth two explains."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.monotonically_increasing_id().alias("row_id"), F.expr(_PART).alias("part"), (F.col("l_quantity") > 25).cast("double").alias("a"),
+        (F.col("l_discount") > 0.05).cast("double").alias("b"), (F.col("l_extendedprice") / 1000).cast("double").alias("y"),
+    )
+    data = materialise(assemble(lines, ["a", "b"]).select("row_id", "part", "y", "features"), "lines")
+    model = fit_histogram(data.where("part = 'train'"), "regression", {"rounds": 1, "depth": 2, "rate": 1.0, "l2": 0.0})
+    return importances(model, ["large", "cheap"]).withColumn("importance", F.round("importance", 8))

@@ -52,6 +52,24 @@ def test_large_vocabulary_is_not_broadcast(spark):
     assert a.exceptAll(b.select(*a.columns)).count() == 0 and b.count() == 400
 
 
+def test_many_columns_are_one_look_up(spark):
+    """A hundred columns need no join where their codes fit together, and one long join where they do not."""
+    names = [f"c{i}" for i in range(100)]
+    df = spark.range(60).select("id", *[F.when(F.col("id") % 7 != 0, F.concat(F.lit("v"), F.col("id") % (i + 2))).alias(c) for i, c in enumerate(names)])
+    codes = fit_vocabulary(df, names)
+    plans = []
+    for limit in (1 << 20, sum(codes.bytes.values()) // 2, 0):
+        out = encode_vocabulary(df, codes, limit=limit, task_rows=10)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        plans.append(plan.count("Join "))
+        assert out.columns == df.columns
+        for r in out.collect():
+            for i, c in enumerate(names):
+                seen = sorted({f"v{k % (i + 2)}" for k in range(60) if k % 7 != 0})
+                assert r[c] == (seen.index(f"v{r['id'] % (i + 2)}") if r["id"] % 7 != 0 else len(seen))
+    assert plans[0] == 0 and max(plans[1:]) <= 8
+
+
 def test_dense_codes(spark):
     df = spark.createDataFrame([(5.0,), (1.5,), (None,), (5.0,), (10.0,)], "x double")
     assert [r["x_code"] for r in dense_codes(df, ["x"]).orderBy("x").collect()] == [None, 0, 1, 1, 2]

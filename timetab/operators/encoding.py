@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 from timetab.operators.joins import TASK_ROWS, salted_join
 from timetab.operators.ordering import global_position
 from timetab.operators.profiling import value_counts
-from timetab.session import BROADCAST_BYTES
+from timetab.session import BROADCAST_BYTES, materialise
 
 
 @dataclass(frozen=True)
@@ -99,20 +101,54 @@ def encode_vocabulary(
 ) -> DataFrame:
     """Replace categories by their code (or add ``<column><suffix>``); unseen and missing ones get the next free code.
 
-    Each column's codes are broadcast if they fit ``limit``, else joined with salts. Which values are hot is known from
+    Columns whose codes fit ``limit`` together, the smallest first, are looked up in one packed dictionary, without a join or
+    shuffle. The others meet their codes in one long join, however many they are. Which values are hot is known from
     the counts of the training rows, so the rows are not read again to find out.
     """
-    for c, size in vocabulary.sizes.items():
-        known = vocabulary.table.where(F.col("column") == c).select(F.col("value").alias("_text"), F.col("code").alias("_code"), "n")
-        codes = known.drop("n")
-        keyed = df.withColumn("_text", F.col(c).cast("string"))
-        if vocabulary.bytes[c] <= limit:
-            joined = keyed.join(F.broadcast(codes), "_text", "left")
-        else:
-            hot = known.where(F.col("n") > task_rows).select("_text", F.ceil(F.col("n") / F.lit(task_rows)).cast("int").alias("_salts"))
-            joined = salted_join(keyed, codes, ["_text"], "left", hot=hot)
-        df = joined.withColumn(c + suffix, F.coalesce("_code", F.lit(size))).drop("_text", "_code")
-    return df
+    packed, room = [], limit
+    for c in sorted(vocabulary.sizes, key=lambda c: vocabulary.bytes[c]):
+        if vocabulary.bytes[c] <= room:
+            packed.append(c)
+            room -= vocabulary.bytes[c]
+    long = [c for c in vocabulary.sizes if c not in packed]
+    out = df
+    if packed:
+        out = out.withColumn("_codes", _packed_codes(vocabulary, packed)(*[F.col(c).cast("string") for c in packed]))
+    if long:
+        out = _long_codes(out, vocabulary, long, task_rows)
+    codes = {c: F.col("_codes")[c] for c in packed} | {c: F.col("_long")[c] for c in long}
+    return out.withColumns({c + suffix: F.coalesce(codes[c], F.lit(size).cast("bigint")) for c, size in vocabulary.sizes.items()}).drop("_codes", "_long")
+
+
+def _packed_codes(vocabulary: Vocabulary, columns: list[str]):
+    """A function from the columns' texts to a struct of their codes; its dictionary was measured against the limit."""
+    rows = vocabulary.table.where(F.col("column").isin(columns)).select("column", "value", "code").toArrow().to_pandas()
+    known = {c: own.sort_values("code")["value"].tolist() for c, own in rows.groupby("column")}
+    shared = vocabulary.table.sparkSession.sparkContext.broadcast({c: known.get(c, []) for c in columns})
+
+    def look_up(*texts: pa.Array) -> pa.Array:
+        # Codes are places in the sorted values.
+        found = [pc.index_in(t.cast(pa.string()), value_set=pa.array(shared.value[c], pa.string())) for c, t in zip(columns, texts)]
+        return pa.StructArray.from_arrays([x.cast(pa.int64()) for x in found], names=columns)
+
+    return F.arrow_udf(look_up, T.StructType([T.StructField(c, T.LongType()) for c in columns]))
+
+
+def _long_codes(df: DataFrame, vocabulary: Vocabulary, columns: list[str], task_rows: int) -> DataFrame:
+    """``df`` with a struct ``_long`` of the columns' codes: one join of (column, text) pairs, then one back to the rows."""
+    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    pairs = F.array(*[F.struct(F.lit(i).alias("_nth"), F.col(c).cast("string").alias("_text")) for i, c in enumerate(columns)])
+    long = rows.select("_row", F.explode(pairs).alias("_pair")).select("_row", "_pair.*").where(F.col("_text").isNotNull())
+    number = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
+    known = vocabulary.table.where(F.col("column").isin(columns)).select(
+        F.to_json(F.struct(number[F.col("column")].alias("n"), F.col("value").alias("t"))).alias("_key"), F.col("code").alias("_code"), "n"
+    )
+    keyed = long.select("_row", "_nth", F.to_json(F.struct(F.col("_nth").alias("n"), F.col("_text").alias("t"))).alias("_key"))
+    hot = known.where(F.col("n") > task_rows).select("_key", F.ceil(F.col("n") / F.lit(task_rows)).cast("int").alias("_salts"))
+    found = salted_join(keyed, known.drop("n"), ["_key"], hot=hot).groupBy("_row").agg(
+        F.struct(*[F.max(F.when(F.col("_nth") == i, F.col("_code"))).alias(c) for i, c in enumerate(columns)]).alias("_long")
+    )
+    return rows.join(found, "_row", "left").drop("_row")
 
 
 def dense_codes(df: DataFrame, columns: Sequence[str], suffix: str = "_code") -> DataFrame:
