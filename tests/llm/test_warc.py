@@ -52,6 +52,21 @@ def test_round_trip(spark, compression):
     assert back == sorted(want, key=lambda x: tuple(str(y) for y in x)) or sorted(back, key=str) == sorted(want, key=str)
 
 
+def test_files_are_bounded_by_bytes(spark):
+    """Large pages are fewer to a file, the largest alone; copies are found across sizes of files."""
+    rows = [(i, "u", f"{i} " + "s" * 50, "d", "b", "r") for i in range(60)] + [(100 + i, "u", f"{i} " + "m" * 900, "d", "b", "r") for i in range(40)]
+    rows += [(200 + i, "u", f"{i % 3} " + "l" * 30_000, "d", "b", "r") for i in range(6)]
+    path = fresh_path(spark, "warc")
+    write_warc(spark.createDataFrame(rows, SCHEMA).repartition(2), path, compression="none", records_per_file=40, file_bytes=4000)
+    got = read_warc(spark, path).where("status = 'record'").collect()
+    assert sorted(int(r["record_id"].split(":")[-1][:-1]) for r in got) == [r[0] for r in rows]
+    files = {}
+    for r in got:
+        files.setdefault(r["file"], []).append(r["payload_bytes"])
+    assert all(len(n) == 1 or sum(n) <= 4000 for n in files.values()) and max(map(len, files.values())) == 30
+    assert sum(r["type"] == "revisit" for r in got) == 3
+
+
 def test_pages_table(spark):
     df = spark.read.parquet(f"{SF_DIR}/pages.parquet")
     path = fresh_path(spark, "warc")

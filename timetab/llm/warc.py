@@ -24,6 +24,7 @@ _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MEMBER = b"\x1f\x8b\x08"
 _STEP, _PIECE = 1 << 16, 1 << 8
+FILE_BYTES = 128 << 20
 
 
 def payload_roles(pages: DataFrame, page_id: str, html: str, least_bytes: int) -> DataFrame:
@@ -42,9 +43,14 @@ def _heads(*lines: tuple[str, Column]) -> Column:
     return F.concat_ws("\r\n", *[F.concat(F.lit(f"{name}: "), value) for name, value in lines])
 
 
-def warc_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 1000) -> DataFrame:
-    """One column ``record``: a response or revisit record per row, without its closing line ends."""
-    roles = materialise(payload_roles(pages, page_id, html, least_bytes), "roles")
+def warc_records(
+    pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 1000, roles: DataFrame | None = None
+) -> DataFrame:
+    """One column ``record``: a response or revisit record per row, without its closing line ends.
+
+    ``roles``: what ``payload_roles`` gives, where ``pages`` is only a part of the rows.
+    """
+    roles = materialise(payload_roles(pages, page_id, html, least_bytes), "roles") if roles is None else roles
     body = F.coalesce(F.col(html), F.lit(""))
     taken = pages.select(F.col(page_id).alias("page"), F.col(url).alias("url"), body.alias("body")).withColumn(
         # Small payloads look nothing up, and their rows must not meet in one task.
@@ -73,16 +79,32 @@ def warc_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     return known.select(F.concat(head, F.lit(END), F.col("block")).alias("record"))
 
 
-def write_warc(pages: DataFrame, path: str, records_per_file: int = 2000, compression: str = "gzip", **columns: str) -> None:
+def write_warc(
+    pages: DataFrame, path: str, records_per_file: int = 2000, compression: str = "gzip", file_bytes: int = FILE_BYTES, page_id: str = "page_id",
+    url: str = "url", html: str = "html", least_bytes: int = 1000,
+) -> None:
     """Write archives of at most ``records_per_file`` records to a folder that Spark can reach.
 
     The payload of a record is the html in UTF-8. Of equal payloads of ``least_bytes`` or more, rows with the largest page_id
     are responses and others revisit them; if no such row has a page_id, all are responses.
+
+    Pages are written by size, large ones fewer to a file, so that a file holds ``file_bytes`` besides its heads, or one page that
+    is longer: the reader takes a file as one value.
     """
-    # The text writer ends each value with the separator, which is just how a record ends.
-    warc_records(pages, **columns).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option(
-        "compression", compression
-    ).text(path)
+    roles = materialise(payload_roles(pages, page_id, html, least_bytes), "roles")
+    size = F.coalesce(F.octet_length(html), F.lit(0)) + F.coalesce(F.octet_length(url), F.lit(0))
+    room = max(1, file_bytes // records_per_file)
+    # A class has pages of up to 16 times the bytes of the one before, and a 16th of their number to a file.
+    steps = [room * 16**i for i in range(len(f"{records_per_file:x}"))]
+    nth = sum(((size > s).cast("int") for s in steps), F.lit(0))
+    present = sorted(r[0] for r in pages.groupBy(nth).count().collect()) or [0]
+    for i in present:
+        mode = "errorifexists" if i == present[0] else "append"
+        records = warc_records(pages.where(nth == i), page_id, url, html, least_bytes, roles)
+        # The text writer ends each value with the separator, which is just how a record ends.
+        records.write.mode(mode).option("lineSep", END).option("maxRecordsPerFile", max(1, records_per_file // 16**i)).option(
+            "compression", compression
+        ).text(path)
 
 
 def _segments(data: bytes) -> Iterator[tuple[int, int, bytes, str | None]]:
