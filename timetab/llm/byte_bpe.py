@@ -69,7 +69,6 @@ class RankMap:
                     buckets[at][pieces[b]] = rank
         self.buckets = _json(buckets, T.ArrayType(T.MapType(T.StringType(), T.IntegerType())))
         self.pieces = _json(pieces, T.ArrayType(T.StringType()))
-        self.bytes = _json([ranks[bytes([i])] for i in range(256)], T.ArrayType(T.IntegerType()))
 
     def rank(self, a: Column, b: Column) -> Column:
         """The rank, which is the id, of what the parts make together; null if they do not merge."""
@@ -77,21 +76,26 @@ class RankMap:
 
 
 def folded_ids(word: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids of a word of bytes: its single bytes, folded by merging the adjacent pair of least rank, the first of equals, until none has one."""
-    known = RankMap(ranks)
-    letters, n = F.decode(word, "ISO-8859-1"), F.octet_length(word)
+    """Ids of a word of bytes, with Spark's functions alone; see ``fold_merges``."""
+    single = _json([ranks[bytes([i])] for i in range(256)], T.ArrayType(T.IntegerType()))
+    known, letters, n = RankMap(ranks), F.decode(word, "ISO-8859-1"), F.octet_length(word)
     none = F.array().cast("array<int>")
+    first = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(single, F.ascii(F.substring(letters, i, F.lit(1)))))
 
-    def let(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), 0)
+    def whole(ids: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: known.rank(F.get(ids, i - 1), F.get(ids, i)))
+        return fold_merges(ids, F.when(n > 1, pairs).otherwise(none), ranks)
 
-    single = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(known.bytes, F.ascii(F.substring(letters, i, F.lit(1)))))
+    return F.get(F.transform(F.array(F.when(n > 0, first).otherwise(none)), whole), 0)
 
-    def pairs(ids: Column) -> Column:
-        places = F.sequence(F.lit(1), F.size(ids) - 1)
-        return F.when(F.size(ids) > 1, F.transform(places, lambda i: known.rank(F.get(ids, i - 1), F.get(ids, i)))).otherwise(none)
 
-    start = let(F.when(n > 0, single).otherwise(none), lambda ids: F.struct(ids.alias("ids"), pairs(ids).alias("ranks")))
+def fold_merges(ids: Column, merges: Column, ranks: dict[bytes, int]) -> Column:
+    """Ids of a word: its single bytes, folded by merging the adjacent pair of least rank, the first of equals, until none has one.
+
+    ``ids`` has the ids of the bytes and ``merges`` the rank of each adjacent pair, null where it does not merge; see ``first_ids``.
+    """
+    known = RankMap(ranks)
+    none = F.array().cast("array<int>")
 
     def merged(acc: Column, p: Column) -> Column:
         ids, old = acc["ids"], acc["ranks"]
@@ -99,17 +103,28 @@ def folded_ids(word: Column, ranks: dict[bytes, int]) -> Column:
         left = F.when(p > 1, F.array(known.rank(F.get(ids, p - 2), new))).otherwise(none)
         right = F.when(p + 1 < end, F.array(known.rank(new, F.get(ids, p + 1)))).otherwise(none)
         return F.struct(
-            F.flatten(F.array(F.slice(ids, 1, p - 1), F.array(new), F.slice(ids, p + 2, end))).alias("ids"),
-            F.flatten(F.array(F.slice(old, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(old, p + 2, end))).alias("ranks"),
+            F.concat(F.slice(ids, 1, p - 1), F.array(new), F.slice(ids, p + 2, end)).alias("ids"),
+            F.concat(F.slice(old, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(old, p + 2, end)).alias("ranks"),
         )
 
     def step(acc: Column, _: Column) -> Column:
         # The first of the least pairs; null, and nothing changes any more, if no pair merges.
         place = F.array_position(acc["ranks"], F.array_min(acc["ranks"])).cast("int")
-        return let(place, lambda p: F.when(p.isNull(), acc).otherwise(merged(acc, p)))
+        return F.get(F.transform(F.array(place), lambda p: F.when(p.isNull(), acc).otherwise(merged(acc, p))), 0)
+
+    steps = F.when(F.size(ids) > 1, F.sequence(F.lit(2), F.size(ids))).otherwise(none)
+    return F.aggregate(steps, F.struct(ids.alias("ids"), merges.alias("ranks")), step, lambda acc: acc["ids"])
+
 
-    steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(none)
-    return F.aggregate(steps, start, step, lambda acc: acc["ids"])
+def first_ids(words: list[bytes], ranks: dict[bytes, int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each word the ids of its bytes, and the ranks of its adjacent pairs of bytes (-1: the pair does not merge)."""
+    single = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+    double = np.array([ranks.get(bytes([i, j]), -1) for i in range(256) for j in range(256)], dtype=np.int32)
+    data = np.frombuffer(b"".join(words), dtype=np.uint8)
+    ends = np.cumsum([len(w) for w in words]).tolist()
+    starts = [0, *ends[:-1]]
+    ids, pairs = single[data], double[data[:-1].astype(np.int64) * 256 + data[1:]]
+    return [ids[a:b] for a, b in zip(starts, ends)], [pairs[a : max(a, b - 1)] for a, b in zip(starts, ends)]
 
 
 def heaped_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -222,15 +237,16 @@ def _split(pattern: str, fragments: int):
 
 
 def _distinct(ranks: dict[bytes, int]):
-    """The distinct words of a fragment; those too long for the fold with their ids."""
+    """The distinct words of a fragment as a fold starts with them; those too long for the fold with their ids."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         words = set()
         for lengths, joined in zip(pdf["lengths"], pdf["words"]):
             words.update(_unpack(lengths, joined))
         words = list(words)
+        first, merges = first_ids([w if len(w) <= FOLD_BYTES else b"" for w in words], ranks)
         return pd.DataFrame({
-            "fragment": np.full(len(words), key[0], dtype=np.int64), "word": words,
+            "fragment": np.full(len(words), key[0], dtype=np.int64), "word": words, "first": first, "merges": merges,
             "long_ids": [heaped_ids(w, ranks) if len(w) > FOLD_BYTES else None for w in words],
         })
 
@@ -292,8 +308,9 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: s
     parsed = store_bucketed(body.mapInPandas(_split(pattern, fragments), PARSED), "block")
     asked = parsed.where(F.col("kind") == QUESTION).select("fragment", "block", "lengths", "words")
     # Stored between the steps: a task then runs one Python worker at a time.
-    words = asked.groupBy("fragment").applyInPandas(_distinct(ranks), "fragment long, word binary, long_ids array<int>")
-    folded = F.when(F.col("long_ids").isNull(), folded_ids(F.col("word"), ranks)).otherwise(F.col("long_ids"))
+    words = asked.groupBy("fragment").applyInPandas(_distinct(ranks), "fragment long, word binary, first array<int>, merges array<int>, long_ids array<int>")
+    merges = F.transform("merges", lambda r: F.when(r >= 0, r))
+    folded = F.when(F.col("long_ids").isNull(), fold_merges(F.col("first"), merges, ranks)).otherwise(F.col("long_ids"))
     ids = materialise(words.select("fragment", "word", folded.alias("ids")), "ids")
     known = ids.mapInPandas(_dictionary, DICTIONARY)
     answers = asked.groupBy("fragment").cogroup(known.groupBy("fragment")).applyInPandas(_answers, ANSWERED)
