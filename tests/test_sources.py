@@ -10,7 +10,7 @@ from timetab.functions.columns import Roles
 from timetab.plans.models import draw, ensemble_runs, evaluate, fit, fit_boosted, over_seeds, predict, search
 from timetab.session import materialise, scratch, shared_folder
 from timetab.sources.bundles import cached, load_bundle, load_task, save_bundle
-from timetab.sources.runs import load_predictions, read_reports, save_predictions
+from timetab.sources.runs import flatten_reports, load_predictions, read_reports, save_predictions
 from timetab.sources.tables import read_csv, read_tables
 
 
@@ -228,3 +228,15 @@ def test_search_and_predict(toy):
     for model in ("linear", "forest", "boosted"):
         p = predict(fit(model, labelled, "binclass", {"rounds": 2, "trees": 3}), labelled, "binclass")
         assert p.where("prediction < 0 OR prediction > 1").count() == 0
+
+
+def test_any_report_is_flattened(spark, tmp_path):
+    """Every leaf of any nesting is a row; missing numbers are 0, empty objects have no leaf."""
+    reports = [{"a": {"b": [1, {"c": 2.5}], "d": None, "e": {}}, "f": "text", "g": True, "h.i": -3}, {"a": 7}, {"deep": {"x": {"y": {"z": [[1], []]}}}}]
+    for i, report in enumerate(reports):
+        (tmp_path / f"{i}.json").write_text(json.dumps(report))
+    got = {(r["file"].rsplit("/", 1)[1], r["path"]): (r["value"], r["number"]) for r in flatten_reports(spark, f"{tmp_path}/*.json").collect()}
+    assert got == {
+        ("0.json", "a.b.0"): ("1", 1.0), ("0.json", "a.b.1.c"): ("2.5", 2.5), ("0.json", "a.d"): (None, 0.0), ("0.json", "f"): ("text", None),
+        ("0.json", "g"): ("true", 1.0), ("0.json", "h.i"): ("-3", -3.0), ("1.json", "a"): ("7", 7.0), ("2.json", "deep.x.y.z.0.0"): ("1", 1.0),
+    }
