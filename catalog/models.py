@@ -286,7 +286,7 @@ def scores_three_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boosted_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One round of boosting for three classes, a tree with one split each; signed cross-entropy per part."""
     data = _line_data(spark, sf_dir, ["b"], "CASE WHEN l_extendedprice > 70000 THEN 2 WHEN l_quantity > 25 THEN 1 ELSE 0 END")
-    model = fit("boosted", data, "multiclass", {"rounds": 1, "depth": 1, "rate": 1.0, "l2": 1.0})
+    model = fit("histogram", data, "multiclass", {"rounds": 1, "depth": 1, "rate": 1.0, "l2": 1.0})
     return evaluate(predict(model, data, "multiclass"), "multiclass", "cross-entropy").select("part", F.round("score", 8).alias("score"))
 
 

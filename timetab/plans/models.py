@@ -45,11 +45,10 @@ def fit_boosted(train: DataFrame, task: str, params: dict, seed: int = 0, val: D
     """Boosted trees, cut after the round with the lowest loss on ``val``.
 
     All rounds are fitted once. The first trees of a run are those of a shorter run, so the model of the best round is made
-    of the first trees and their weights. MLlib's boosted trees tell two classes apart; for more, and to stop early, trees are
-    grown from histograms (``fit_histogram``).
+    of the first trees and their weights. The model ``histogram`` stops early instead and knows several classes.
     """
-    if task == "multiclass" or "patience" in params:
-        return fit_histogram(train, task, params, seed, val)
+    if task == "multiclass":
+        raise ValueError("MLlib's boosted trees tell two classes apart; take histogram, a forest or a linear model")
     kind = GBTRegressor if task == "regression" else GBTClassifier
     model = kind(
         featuresCol="features", labelCol="y", maxIter=params.get("rounds", 20), maxDepth=params.get("depth", 5),

@@ -126,4 +126,4 @@ def side_by_side(spark: SparkSession, calls: Sequence[Callable[[], Any]], most:
         return call()
 
     with ThreadPoolExecutor(max(1, min(most, len(calls)))) as threads:
-        return [f.result() for f in [threads.submit(inheritable_thread_target(pooled), c) for c in calls]]
+        return [f.result() for f in [threads.submit(inheritable_thread_target(spark)(pooled), c) for c in calls]]
