@@ -1,10 +1,9 @@
-"""Removal of byte strings that occur more than once, by prefix-free parsing.
+"""Removal of byte strings that occur more than once, through the phrases of a prefix-free parse.
 
-A rolling hash over ``WINDOW`` bytes cuts each text at trigger windows, so equal strings are cut alike wherever they stand.
-A suffix of the corpus is then a piece of a dictionary phrase followed by a suffix of the parse. Suffixes are put
-in order by (phrases inside the first ``width`` bytes, the bytes around them): all suffixes that start in one stretch of a
-text and hold the same phrases stand next to each other in that order, and are compared together. The order is by
-fingerprint, not alphabetical: only equality over the first ``width`` bytes decides what is removed.
+A rolling hash over ``WINDOW`` bytes cuts each text at trigger windows, so equal strings are cut alike wherever they stand. The places of
+a text fall into stretches whose strings of ``width`` bytes hold the same phrases. Stretches are grouped by a hash of these phrases: if all
+stretches of a group have equal bytes around them, their strings are settled together, else each string is hashed and counted for
+itself. No suffix array and no order of suffixes is built: only equality of ``width`` bytes decides what is removed.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 
-
 from timetab.llm.blocks import (
     answer_fragments, answer_rows, answered, ask, ask_blocks, fragments_for, store_blocks, tally, _borders,
 )
