@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from catalog.base import query, table
 from timetab.operators.neighbours import (
-    candidate_step, context_misses, distinct_neighbours, nearest, neighbour_mean, with_candidates,
+    FEISTEL_PRIME, candidate_step, context_misses, distinct_neighbours, feistel_keys, nearest, neighbour_mean, permuted_step, with_candidates,
 )
+from timetab.operators.ordering import global_position
+from timetab.session import materialise
 
 K = 10
 
@@ -119,3 +121,36 @@ def neighbours_reused(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidates_of_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidates of the fourth step with three tenths of the rows each: it ends in the second permutation."""
     return candidate_step(_vectors(spark, sf_dir), "vec_id", 0.3, 3).select("vec_id", F.col("pass").cast("bigint").alias("pass"))
+
+
+def _permuted_sql(turns: int, walks: int) -> str:
+    """Places of all rows in the first permutations, step by step: the rounds of each, and the walk back inside."""
+    tables, last = [], "start"
+    for walk in range(walks):
+        for i in range(len(feistel_keys(0, 0))):
+            p, q = (f"CASE turn {' '.join(f'WHEN {t} THEN {feistel_keys(0, t)[i][side]}' for t in range(turns))} END" for side in (0, 1))
+            moved, still, base = ("high", "low", "a") if i % 2 == 0 else ("low", "high", "b")
+            new = f"({moved} + (({still} + {p}) * ({still} + {q})) % {FEISTEL_PRIME}) % {base}"
+            both = f"CASE WHEN inside THEN {moved} ELSE {new} END AS {moved}, {still}"
+            tables.append(f"w{walk}_{i} AS (SELECT vec_id, turn, n, a, b, inside, {both} FROM {last})")
+            last = f"w{walk}_{i}"
+        tables.append(f"w{walk} AS (SELECT vec_id, turn, n, a, b, high, low, high * b + low < n AS inside FROM {last})")
+        last = f"w{walk}"
+    return f"""
+        sizes AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a, ceil(count(*) / ceil(sqrt(count(*))))::BIGINT AS b FROM embeddings),
+        start AS (
+            SELECT vec_id, turn, n, a, b, false AS inside, place // b AS high, place % b AS low
+            FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings), sizes, range({turns}) r(turn)
+        ),
+        {", ".join(tables)}, seq AS (SELECT vec_id, turn, n, floor(0.3 * n)::BIGINT AS size, turn * n + high * b + low AS place FROM {last})
+    """
+
+
+@query(f"""
+    WITH {_permuted_sql(2, 8)} SELECT vec_id, turn::BIGINT AS "pass" FROM seq WHERE place >= 3 * size AND place < 4 * size
+""")
+def candidates_by_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same step from a keyed permutation of places: no search, each row knows its place by arithmetic."""
+    placed = materialise(global_position(_vectors(spark, sf_dir).select("vec_id"), ["vec_id"], "place"), "placed")
+    n = placed.count()
+    return permuted_step(placed, n, int(0.3 * n), 3).select("vec_id", F.col("pass").cast("bigint").alias("pass"))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from timetab.operators import neighbours as nb
 
@@ -156,3 +157,25 @@ def test_candidate_steps_cover_a_permutation(spark):
     assert sorted(first) == list(range(100))
     with pytest.raises(ValueError):
         nb.candidate_step(df, "vec_id", 100, 0)
+
+
+@pytest.mark.parametrize("n", [2, 3, 7, 100, 101, 1000])
+def test_keyed_permutation(spark, n):
+    df = spark.range(n).withColumnRenamed("id", "place")
+    turns = [[r[0] for r in df.orderBy("place").select(nb.permuted_place(F.col("place"), n, "s", t)).collect()] for t in range(3)]
+    assert all(sorted(t) == list(range(n)) for t in turns)
+    if n >= 100:
+        # Different keys give different orders, and neighbours are parted.
+        assert len({tuple(t) for t in turns}) == 3
+        assert all(abs(np.corrcoef(t, range(n))[0, 1]) < 0.4 for t in turns)
+
+
+def test_permuted_steps_cover_all_rows(spark):
+    df = spark.range(100).select(F.col("id").alias("place"), (F.col("id") * 3).alias("vec_id"))
+    steps = [[(r["pass"], r["vec_id"]) for r in nb.permuted_step(df, 100, 30, s).collect()] for s in range(4)]
+    assert [len(s) for s in steps] == [30] * 4
+    assert sorted(v for s in steps for p, v in s if p == 0) == list(range(0, 300, 3))
+    plan = nb.permuted_step(df, 100, 30, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    with pytest.raises(ValueError):
+        nb.permuted_step(df, 100, 100, 0)

@@ -28,6 +28,7 @@ PACK_QUERIES = 1024
 LANE_PACKS = 16
 WIDEN = 64
 TIME_SLICES = 16
+FEISTEL_ROUNDS, FEISTEL_WALK, FEISTEL_PRIME = 6, 64, (1 << 61) - 1
 
 
 def _sides(df: DataFrame, tag: str, id_: str, vector: str, time: str | None) -> DataFrame:
@@ -399,6 +400,66 @@ def candidate_step(df: DataFrame, id_: str, size: int | float, step: int, seed:
     return out
 
 
+def _rounds(n: int, keys: Sequence[tuple[int, int]], x: Column) -> Column:
+    """Rounds of a Feistel network over the two digits of a place below ``a * b``, b being the second digit's base: each adds a keyed
+    function of one digit to the other, so that the whole is a permutation."""
+    a, b = _digits(n)
+    high, low = F.floor(x / F.lit(b)).cast("long"), F.pmod(x, F.lit(b))
+    for i, (p, q) in enumerate(keys):
+        moved, still, base = (high, low, a) if i % 2 == 0 else (low, high, b)
+        moved = F.pmod(moved + F.pmod((still + p) * (still + q), F.lit(FEISTEL_PRIME)), F.lit(base))
+        high, low = (moved, still) if i % 2 == 0 else (still, moved)
+    return high * b + low
+
+
+def _digits(n: int) -> tuple[int, int]:
+    import math
+
+    a = math.isqrt(n - 1) + 1
+    return a, -(-n // a)
+
+
+def feistel_keys(seed: Any, turn: int) -> list[tuple[int, int]]:
+    """Two numbers below 2**30 per round."""
+    import hashlib
+
+    def number(i: int, side: int) -> int:
+        return int(hashlib.md5(f"{seed}/{turn}/{i}/{side}".encode()).hexdigest()[:15], 16) % (1 << 30)
+
+    return [(number(i, 0), number(i, 1)) for i in range(FEISTEL_ROUNDS)]
+
+
+def permuted_place(place: Column, n: int, seed: Any, turn: int) -> Column:
+    """The place of a row in a keyed permutation of ``n`` rows (below 2**60), from its own place alone.
+
+    The network permutes a few more places than there are; a row that lands past the end walks on until it is inside.
+    """
+    a, b = _digits(n)
+    keys = feistel_keys(seed, turn)
+    first = _rounds(n, keys, place.cast("long"))
+    if a * b == n:
+        return first
+    # No walk is longer than the places past the end; that one is longer than FEISTEL_WALK has a chance below 2**-384.
+    steps = F.sequence(F.lit(1), F.lit(min(a * b - n, FEISTEL_WALK)))
+    return F.aggregate(steps, first, lambda y, _: F.when(y < n, y).otherwise(_rounds(n, keys, y)))
+
+
+def permuted_step(placed: DataFrame, n: int, size: int, step: int, seed: Any = 0, place: str = "place") -> DataFrame:
+    """As ``candidate_step``, of rows whose dense ``place`` (0 to ``n`` - 1) is stored: one narrow scan, and each row knows by
+    arithmetic whether it takes part. Places are made once for all steps (``global_position``)."""
+    if not 0 < size < n:
+        raise ValueError(f"a step needs between 1 and {n - 1} candidates")
+    start, out = step * size, None
+    while size > 0:
+        turn, at = divmod(start, n)
+        take = min(size, n - at)
+        drawn = permuted_place(F.col(place), n, seed, turn)
+        rows = placed.where((drawn >= at) & (drawn < at + take)).withColumn("pass", F.lit(turn))
+        out = rows if out is None else out.unionByName(rows)
+        start, size = start + take, size - take
+    return out
+
+
 def distinct_neighbours(neighbours: DataFrame) -> DataFrame:
     """Each candidate that is a neighbour of any query, with how many queries use it."""
     return neighbours.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n_queries"))
