@@ -26,6 +26,7 @@ from timetab.session import materialise, store_bucketed
 FACTOR = 4093
 BLOCK_CHARS = 20_000_000
 FOLD_BYTES = 1024  # longer words are merged with a heap: the fold's work grows with the square of a word's bytes
+NO_RANK = 2**31 - 1  # of a pair that does not merge
 PARSED = "block long, kind int, doc_id long, numbers binary, fragment long, lengths binary, words binary"
 DICTIONARY = "fragment long, lengths binary, words binary, sizes binary, ids binary"
 ANSWERED = "block long, fragment long, sizes binary, ids binary"
@@ -92,7 +93,8 @@ def folded_ids(word: Column, ranks: dict[bytes, int]) -> Column:
 def fold_merges(ids: Column, merges: Column, ranks: dict[bytes, int]) -> Column:
     """Ids of a word: its single bytes, folded by merging the adjacent pair of least rank, the first of equals, until none has one.
 
-    ``ids`` has the ids of the bytes and ``merges`` the rank of each adjacent pair, null where it does not merge; see ``first_ids``.
+    ``ids`` has the ids of the bytes and ``merges`` the rank of each adjacent pair, ``NO_RANK`` or null where it does not merge; see
+    ``first_ids``.
     """
     known = RankMap(ranks)
     none = F.array().cast("array<int>")
@@ -109,7 +111,8 @@ def fold_merges(ids: Column, merges: Column, ranks: dict[bytes, int]) -> Column:
 
     def step(acc: Column, _: Column) -> Column:
         # The first of the least pairs; null, and nothing changes any more, if no pair merges.
-        place = F.array_position(acc["ranks"], F.array_min(acc["ranks"])).cast("int")
+        least = F.array_min(acc["ranks"])
+        place = F.when(least < NO_RANK, F.array_position(acc["ranks"], least).cast("int"))
         return F.get(F.transform(F.array(place), lambda p: F.when(p.isNull(), acc).otherwise(merged(acc, p))), 0)
 
     steps = F.when(F.size(ids) > 1, F.sequence(F.lit(2), F.size(ids))).otherwise(none)
@@ -117,9 +120,9 @@ def fold_merges(ids: Column, merges: Column, ranks: dict[bytes, int]) -> Column:
 
 
 def first_ids(words: list[bytes], ranks: dict[bytes, int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of each word the ids of its bytes, and the ranks of its adjacent pairs of bytes (-1: the pair does not merge)."""
+    """Of each word the ids of its bytes, and the ranks of its adjacent pairs of bytes."""
     single = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-    double = np.array([ranks.get(bytes([i, j]), -1) for i in range(256) for j in range(256)], dtype=np.int32)
+    double = np.array([ranks.get(bytes([i, j]), NO_RANK) for i in range(256) for j in range(256)], dtype=np.int32)
     data = np.frombuffer(b"".join(words), dtype=np.uint8)
     ends = np.cumsum([len(w) for w in words]).tolist()
     starts = [0, *ends[:-1]]
@@ -309,8 +312,7 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: s
     asked = parsed.where(F.col("kind") == QUESTION).select("fragment", "block", "lengths", "words")
     # Stored between the steps: a task then runs one Python worker at a time.
     words = asked.groupBy("fragment").applyInPandas(_distinct(ranks), "fragment long, word binary, first array<int>, merges array<int>, long_ids array<int>")
-    merges = F.transform("merges", lambda r: F.when(r >= 0, r))
-    folded = F.when(F.col("long_ids").isNull(), fold_merges(F.col("first"), merges, ranks)).otherwise(F.col("long_ids"))
+    folded = F.when(F.col("long_ids").isNull(), fold_merges(F.col("first"), F.col("merges"), ranks)).otherwise(F.col("long_ids"))
     ids = materialise(words.select("fragment", "word", folded.alias("ids")), "ids")
     known = ids.mapInPandas(_dictionary, DICTIONARY)
     answers = asked.groupBy("fragment").cogroup(known.groupBy("fragment")).applyInPandas(_answers, ANSWERED)
