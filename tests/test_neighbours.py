@@ -93,6 +93,21 @@ def test_packs_are_copied_on_demand(spark, monkeypatch):
     assert there <= wanted and len(there) == len(held) and {w[2:] for w in wanted} >= packs
 
 
+def test_small_packs_do_not_multiply_lanes(spark, monkeypatch):
+    """Vectors without clusters in many small cells: each pack is copied once per lane of many rows, not once per few packs."""
+    calls, routed = [], nb._routed
+    monkeypatch.setattr(nb, "_routed", lambda *a: calls.append(routed(*a)) or calls[-1])
+    rng = np.random.default_rng(3)
+    rows = [(i, 0, [float(x) for x in rng.normal(size=16)]) for i in range(600)]
+    df = frame(spark, rows)
+    same(result(nb.nearest(df, df, 3, cell_rows=4, lane_packs=2)), brute(rows, rows, 3))
+    asked, held = (x.collect() for x in calls[-1])
+    packs = {(r["cell"], r["slice"], r["salt"]) for r in held}
+    assert len(packs) > 50 and len(held) == len(packs)
+    # Further lanes are made of more rows, as long as these fit.
+    assert nb._lanes_of(10**6, 8192, 64) == nb.LANES and nb._lanes_of(10**8, 8192, 64) * nb.LANE_BYTES >= 10**8 * 64 * 8
+
+
 def test_cell_tree(monkeypatch):
     """Rows meet the leads and the centres of one lead only, in matrices of bounded size."""
     from timetab.operators import cells

@@ -3,7 +3,8 @@
 Candidates are split into the cells of a two-level tree of pivot vectors. The distances from a query to pivots bound its k-th
 neighbour distance, and the triangle inequality rules out leads and cells that cannot hold a nearer one. Cells and groups of
 queries are cut into packs of bounded size, so a crowded region is spread over many tasks. Packs of both sides are dealt to
-lanes; pairs of packs are first made as ids, and a pack is copied only to the lanes that a pair asks for.
+lanes of many rows, so small packs do not multiply the copies; pairs of packs are first made as ids, and a pack is copied only
+to the lanes that a pair asks for.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ MAX_CELLS = 1 << 16
 PACK_CANDIDATES = 2048
 PACK_QUERIES = 1024
 LANE_PACKS = 16
+LANES = 16  # of either side, as long as a lane's vectors fit LANE_BYTES
+LANE_BYTES = 64 << 20
+BLOCK_QUERIES, BLOCK_CANDIDATES = 512, 2048
+MANY_HITS = 8  # times k per query of a block; beyond, the border is tightened first
 WIDEN = 64
 TIME_SLICES = 16
 FEISTEL_ROUNDS, FEISTEL_WALK, FEISTEL_PRIME = 6, 64, (1 << 61) - 1
@@ -105,8 +110,8 @@ def _query_bounds(tree: CellTree, pivots, k: int, causal: bool, exclude_self: bo
     return run
 
 
-def _targets(tree: CellTree, cells, causal: bool):
-    """Per pack of queries, the cell slices that can hold a neighbour of any of them, as ids only.
+def _targets(tree: CellTree, cells, lanes: int, causal: bool):
+    """Per pack of queries and lane of candidate packs, the packs there that can hold a neighbour of any of the queries, as ids only.
 
     A member c of the cell around centre p is no nearer than |q,p| - radius, nor than the border plane between p and the centre of
     the same lead that is nearest to q. The same holds for the leads, which are ruled out first with all their cells.
@@ -118,6 +123,7 @@ def _targets(tree: CellTree, cells, causal: bool):
         import pandas as pd
 
         first = np.searchsorted(index, tree.starts)  # the slices are in order of their cell
+        before = np.cumsum(packs) - packs  # packs are dealt to the lanes in their order
         held = [g for g in range(len(tree.leads)) if first[g] < first[g + 1]]
         reach_of = np.array([lead_radius[first[g] : first[g + 1]].max() for g in held])
         since = np.array([oldest[first[g] : first[g + 1]].min() for g in held])
@@ -147,60 +153,131 @@ def _targets(tree: CellTree, cells, causal: bool):
                         found &= oldest[span][None, :] <= times[own][:, None]
                     hits.append(first[g] + np.flatnonzero(found.any(0)))
                 hit = np.concatenate([np.empty(0, dtype=np.int64), *hits])
-                yield pd.DataFrame({"pack_id": row.pack_id, "cell": index[hit], "slice": slices[hit], "packs": packs[hit]})
+                salt = np.arange(packs[hit].sum()) - np.repeat(np.cumsum(packs[hit]) - packs[hit], packs[hit])
+                hit = np.repeat(hit, packs[hit])
+                lane = (before[hit] + salt) % lanes
+                at = [np.flatnonzero(lane == i) for i in np.unique(lane)]
+                yield pd.DataFrame({
+                    "pack_id": row.pack_id, "target_lane": np.unique(lane).astype("int32"), "cell": [index[hit[i]] for i in at],
+                    "slice": [slices[hit[i]] for i in at], "salt": [salt[i].astype("int32") for i in at],
+                })
 
     return run
 
 
+def _top(found: list, k: int) -> tuple:
+    """Of hits as (place of the query, id, time, distance), the k nearest of each query by (distance, time, id)."""
+    import numpy as np
+
+    a, ids, when, exact = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((ids, when, exact, a))
+    a = a[order]
+    kept = np.arange(len(a)) - np.searchsorted(a, a, side="left") < k
+    top = order[kept]
+    return a[kept], ids[top], when[top], exact[top]
+
+
+def _nearest_in_block(queries, candidates, k: int, causal: bool, exclude_self: bool) -> tuple:
+    """The k nearest candidates of each query of a block. Both come as (ids, times, vectors), queries with their bounds besides.
+
+    One float64 matrix product screens a chunk of candidates; those near the border are measured again by plain differences, so
+    exact copies have distance 0 and ties are broken by id. The border of a query falls with what was found.
+    """
+    import numpy as np
+
+    qi, qt, q, limit = queries
+    ci, ct, c = candidates
+    qq, cc, limit = (q**2).sum(1), (c**2).sum(1), limit.copy()
+    wide = np.concatenate([q, np.ones((len(q), 1))], axis=1)  # times (c, -cc/2): the squared distance is qq - 2 * product
+    kinds = [np.empty(0, kind) for kind in ("int64", "int64", "int64", "float64")]
+    best, fresh, waiting = tuple(kinds), [], 0
+
+    def settled() -> tuple:
+        top = _top([best, *fresh], k) if fresh else best
+        a, _, _, exact = top
+        full = np.flatnonzero(np.bincount(a, minlength=len(q)) == k)
+        limit[full] = np.minimum(limit[full], exact[np.searchsorted(a, full, side="right") - 1])
+        return top
+
+    for start in range(0, len(c), BLOCK_CANDIDATES):
+        ids, when, x = (v[start : start + BLOCK_CANDIDATES] for v in (ci, ct, c))
+        half = cc[start : start + BLOCK_CANDIDATES]
+        slack = 1e-9 * (qq + half.max())
+        product = wide @ np.concatenate([x, -0.5 * half[:, None]], axis=1).T
+        near = product >= (0.5 * (qq - limit - slack))[:, None]
+        if len(x) > k and np.count_nonzero(near) > MANY_HITS * k * len(q):
+            if causal:
+                product[when[None, :] > qt[:, None]] = -np.inf
+            if exclude_self:
+                product[ids[None, :] == qi[:, None]] = -np.inf
+            border = np.partition(product, len(x) - k, axis=1)[:, len(x) - k]
+            np.minimum(limit, qq - 2.0 * border + slack, out=limit, where=np.isfinite(border))
+            near = product >= (0.5 * (qq - limit - slack))[:, None]
+        place = np.flatnonzero(near)
+        a, b = np.divmod(place, len(x))
+        sound = np.isfinite(product.ravel()[place])
+        if causal:
+            sound &= when[b] <= qt[a]
+        if exclude_self:
+            sound &= ids[b] != qi[a]
+        a, b = a[sound], b[sound]
+        if not len(a):
+            continue
+        exact = np.empty(len(a))
+        for s in range(0, len(a), 65536):
+            exact[s : s + 65536] = ((q[a[s : s + 65536]] - x[b[s : s + 65536]]) ** 2).sum(1)
+        fresh.append((a, ids[b], when[b], exact))
+        waiting += len(a)
+        if waiting > len(q):
+            best, fresh, waiting = settled(), [], 0
+    a, ids, when, exact = settled()
+    return qi[a], ids, when, exact
+
+
 def _nearest_in_lanes(k: int, causal: bool, exclude_self: bool):
     """One lane of query packs against one lane of candidate packs: the k nearest of the packs that each query pack asked for, by
     (distance, time, id).
 
-    One float64 matrix product screens the pairs; those near the border are measured again by plain differences, so
-    exact copies have distance 0 and ties are broken by id. The border of a query falls with each pack it meets.
+    Query packs that ask for the same candidate packs are searched together. With time both sides are in order of it, and a block of
+    queries meets only the candidates that are not newer than its last one.
     """
 
     def run(asked, held):
         import numpy as np
         import pandas as pd
 
-        known = {}
-        for row in held.itertuples(index=False):
-            c = np.asarray(row.c_flat, dtype="float64").reshape(len(row.c_ids), -1)
-            known[row.cell, row.slice, row.salt] = np.asarray(row.c_ids), np.asarray(row.c_ts), c, (c**2).sum(1)
         parts = [[np.empty(0, kind)] for kind in ("int64", "int64", "int64", "float64")]
-        for row in asked.itertuples(index=False):
-            qi, qt = np.asarray(row.q_ids), np.asarray(row.q_ts)
-            q = np.asarray(row.q_flat, dtype="float64").reshape(len(qi), -1)
-            qq, limit, found = (q**2).sum(1), np.asarray(row.bounds, dtype="float64"), []
-            for target in row.wanted:
-                pack = known.get((target["cell"], target["slice"], target["salt"]))
-                if pack is None:  # no row of the slice fell to this salt
-                    continue
-                ci, ct, c, cc = pack
-                d2 = qq[:, None] + cc[None, :] - 2.0 * q @ c.T
-                if causal:
-                    d2[ct[None, :] > qt[:, None]] = np.inf
-                if exclude_self:
-                    d2[ci[None, :] == qi[:, None]] = np.inf
-                slack = 1e-9 * (qq + cc.max())
-                if len(ci) > k:
-                    limit = np.minimum(limit, np.partition(d2, k - 1, axis=1)[:, k - 1] + slack)
-                a, b = np.nonzero((d2 <= (limit + slack)[:, None]) & np.isfinite(d2))
-                exact = np.empty(len(a))
-                for s in range(0, len(a), 65536):
-                    exact[s : s + 65536] = ((q[a[s : s + 65536]] - c[b[s : s + 65536]]) ** 2).sum(1)
-                found.append((a, ci[b], ct[b], exact))
-            if not found:
-                continue
-            a, ids, when, exact = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((ids, when, exact, a))
-            a = a[order]
-            top = order[np.arange(len(a)) - np.searchsorted(a, a, side="left") < k]
-            a = a[np.arange(len(a)) - np.searchsorted(a, a, side="left") < k]
-            for list_, values in zip(parts, (qi[a], ids[top], when[top], exact[top])):
-                list_.append(values)
         names = ("query_id", "candidate_id", "candidate_t", "distance")
+        if len(asked) and len(held):
+            places = {key: i for i, key in enumerate(zip(held["cell"], held["slice"], held["salt"]))}
+            ci, ct = (np.concatenate(held[c].to_numpy()) for c in ("c_ids", "c_ts"))
+            c = np.concatenate(held["c_flat"].to_numpy()).astype("float64").reshape(len(ci), -1)
+            pack = np.repeat(np.arange(len(held)), [len(ids) for ids in held["c_ids"]])
+            if causal:
+                order = np.argsort(ct, kind="stable")
+                ci, ct, c, pack = ci[order], ct[order], c[order], pack[order]
+            together: dict[bytes, list[int]] = {}
+            for i, wanted in enumerate(asked["wanted"]):
+                found = (places.get((w["cell"], w["slice"], w["salt"])) for w in wanted)
+                # No row of a slice may have fallen to a salt.
+                at = np.zeros(len(held), dtype=bool)
+                at[[p for p in found if p is not None]] = True
+                together.setdefault(at.tobytes(), []).append(i)
+            for wanted, packs in together.items():
+                own = asked.iloc[packs]
+                rows = np.flatnonzero(np.frombuffer(wanted, dtype=bool)[pack])
+                qi, qt, bound = (np.concatenate(own[f].to_numpy()) for f in ("q_ids", "q_ts", "bounds"))
+                q = np.concatenate(own["q_flat"].to_numpy()).astype("float64").reshape(len(qi), -1)
+                whole = len(rows) == len(ci)
+                vi, vt, v = (ci, ct, c) if whole else (ci[rows], ct[rows], c[rows])
+                if causal:
+                    order = np.argsort(qt, kind="stable")
+                    qi, qt, q, bound = qi[order], qt[order], q[order], bound[order]
+                for s in range(0, len(qi), BLOCK_QUERIES):
+                    block = tuple(x[s : s + BLOCK_QUERIES] for x in (qi, qt, q, bound))
+                    upto = np.searchsorted(vt, block[1][-1], side="right") if causal else len(vi)
+                    for list_, values in zip(parts, _nearest_in_block(block, (vi[:upto], vt[:upto], v[:upto]), k, causal, exclude_self)):
+                        list_.append(values)
         return pd.DataFrame({n: np.concatenate(v) for n, v in zip(names, parts)})
 
     return run
@@ -213,8 +290,9 @@ def _pack_count(n: Column, size: int) -> Column:
 _RESULT = "query_id bigint, candidate_id bigint, distance double, rank int"
 
 
-def _lanes_of(packs: int, lane_packs: int) -> int:
-    return max(1, -(-packs // lane_packs))
+def _lanes_of(rows: int, least: int, width: int) -> int:
+    """Lanes of a side: at least ``least`` rows to each, and more rather than further lanes, since the other side is copied to each."""
+    return max(1, -(-rows // max(least, min(-(-rows // LANES), LANE_BYTES // (8 * width)))))
 
 
 def _routed(
@@ -241,7 +319,8 @@ def _routed(
         known[f].to_numpy().astype(t) for f, t in
         (("cell", "int32"), ("slice", "int32"), ("radius", "float64"), ("lead_radius", "float64"), ("oldest", "int64"), ("packs", "int32"))
     )
-    target_lanes = _lanes_of(int(np.sum(table[5])), lane_packs)
+    rows, width = int(np.sum(known["n"].to_numpy())), tree.centres.shape[1]
+    target_lanes = _lanes_of(rows, lane_packs * PACK_CANDIDATES, width)
     packed = (
         sliced.join(F.broadcast(stats.select("cell", "slice", "packs")), ["cell", "slice"])
         .withColumn("salt", F.pmod(F.xxhash64("c_id"), F.col("packs")).cast("int"))
@@ -265,19 +344,16 @@ def _routed(
         ),
         "query-packs",
     )
-    lanes = _lanes_of(homes.agg(F.sum("q_packs")).first()[0] or 0, lane_packs)
+    lanes = _lanes_of(homes.agg(F.sum("n")).first()[0] or 0, lane_packs * PACK_QUERIES, width)
     target = ["cell", "slice", "salt"]
-    routes = materialise(
-        query_packs.mapInPandas(_targets(tree, table, causal), "pack_id string, cell int, slice int, packs int")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)))
-        .select(
-            "pack_id", *target, F.pmod(F.xxhash64("pack_id"), F.lit(lanes)).cast("int").alias("lane"),
-            F.pmod(F.xxhash64(*target), F.lit(target_lanes)).cast("int").alias("target_lane"),
-        ),
+    wanted = materialise(
+        query_packs.mapInPandas(
+            _targets(tree, table, target_lanes, causal), "pack_id string, target_lane int, cell array<int>, slice array<int>, salt array<int>"
+        ).select("pack_id", F.pmod(F.xxhash64("pack_id"), F.lit(lanes)).cast("int").alias("lane"), "target_lane", F.arrays_zip(*target).alias("wanted")),
         "routes",
     )
-    wanted = routes.groupBy("pack_id", "lane", "target_lane").agg(F.collect_list(F.struct(*target)).alias("wanted"))
-    copies = routes.select(*target, F.col("lane").alias("for_lane"), F.col("target_lane").alias("in_lane")).distinct()
+    routes = wanted.select(F.col("lane").alias("for_lane"), F.col("target_lane").alias("in_lane"), F.explode("wanted").alias("w"))
+    copies = routes.select(*[f"w.{t}" for t in target], "for_lane", "in_lane").distinct()
     return wanted.join(query_packs, "pack_id"), packed.join(copies, target)
 
 
@@ -318,7 +394,8 @@ def nearest(
 
     Large tables are searched in widening rounds: the k-th distance within a hashed share of the candidates bounds the
     next round, so that no round hands on more than about ``widen`` * k rows per query. The last round sees all rows.
-    ``lane_packs`` is the number of packs that a task holds of either side.
+    ``lane_packs`` is the number of full packs that a task holds of either side at least; on larger tables it holds a
+    ``LANES``-th of either side, up to ``LANE_BYTES`` of vectors.
     """
     causal = time is not None
     cand, qry = _sides(candidates, "c", id_, vector, time), _sides(queries, "q", id_, vector, time)
