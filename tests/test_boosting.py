@@ -136,3 +136,32 @@ def test_gains():
     assert gains.shape == (1, 2, 1) and gains[0, 0, 0] == pytest.approx(9 / 2 + 16 - 1 / 3) and left_g[0, 1, 0] == 2.0
     assert first_of_best(np.array([1.0, 3.0, 3.0 + 1e-12])) == 1
     assert not np.isfinite(split_gains(sums, 0.0, 3)[0]).any()
+
+
+def test_blocks_reach_python_a_few_at_once(spark, monkeypatch):
+    """An Arrow batch of blocks is bounded by bytes, not by Spark's number of rows."""
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(boosting, "BATCH_BYTES", 2 * 50 * (2 * 2 + 8 + 8))
+    sums = boosting._sums
+
+    def checked(*given):
+        inner = sums(*given)
+
+        def run(batches):
+            def few():
+                for batch in batches:
+                    assert batch.num_rows <= 2
+                    yield batch
+
+            yield from inner(few())
+
+        return run
+
+    monkeypatch.setattr(boosting, "_sums", checked)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1000, 2))
+    rows = [(v.tolist(), float(v[0] > 0)) for v in x]
+    train = spark.createDataFrame(rows, "x array<double>, y double").coalesce(1).select(array_to_vector("x").alias("features"), "y")
+    model = fit_histogram(train, "regression", {"rounds": 2, "depth": 2})
+    assert model.featureImportances.toArray()[0] > 0.9
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"

@@ -7,6 +7,7 @@ feature, bin) over its rows, the sums are merged per feature, and only the best
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,12 +17,13 @@ import pyarrow.compute as pc
 from pyspark import StorageLevel, TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timetab.session import materialise
 
 BLOCK_ROWS = 1 << 16
+BATCH_BYTES = 16 << 20  # of blocks that a Python task holds at once
 STORE_ROUNDS = 8  # margins are stored anew after so many rounds
 MERGE_TASKS = 16
 QUANTILE_ACCURACY = 10_000
@@ -203,6 +205,18 @@ def _store(rows: DataFrame, edges: list[np.ndarray], base: np.ndarray) -> DataFr
     return rows.mapInArrow(run, _BLOCK)
 
 
+@contextmanager
+def _few_at_once(spark: SparkSession, features: int, outputs: int) -> Iterator[None]:
+    """Blocks reach Python in batches of ``BATCH_BYTES``: Spark counts a block as one row, and would send thousands of them together."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(1, BATCH_BYTES // (BLOCK_ROWS * (2 * features + 8 + 8 * outputs)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _opened(block: dict, features: int, outputs: int, rounds: list[list[Tree]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes, labels and present margins of a stored block, ``rounds`` being those after it was stored."""
     codes = np.frombuffer(block["codes"], dtype=np.uint16).reshape(features, block["n"])
@@ -301,7 +315,7 @@ def fit_histogram(train: DataFrame, task: str, params: dict, seed: int = 0, val:
     def taken(rows: DataFrame, val: bool) -> DataFrame:
         return rows.select(vector_to_array("features").alias("x"), F.col("y").cast("double").alias("y"), F.lit(val).alias("val"))
 
-    rows = taken(train, False)
+    spark, rows = train.sparkSession, taken(train, False)
     known = rows.agg(F.max(F.size("x")).alias("features"), F.avg("y").alias("mean"), F.max("y").alias("most")).first()
     if known["features"] is None:
         raise ValueError("no training rows")
@@ -319,7 +333,8 @@ def fit_histogram(train: DataFrame, task: str, params: dict, seed: int = 0, val:
     try:
         while len(done) < rounds or (val is not None and len(losses) <= len(done)):
             if len(done) - stored >= STORE_ROUNDS:
-                older, blocks = blocks, _restored(blocks, features, outputs, done[stored:]).persist(StorageLevel.MEMORY_AND_DISK)
+                with _few_at_once(spark, features, outputs):
+                    older, blocks = blocks, _restored(blocks, features, outputs, done[stored:]).persist(StorageLevel.MEMORY_AND_DISK)
                 older.unpersist()
                 stored = len(done)
             trees, active = [Tree() for _ in range(outputs)], [[0] for _ in range(outputs)]
@@ -328,7 +343,9 @@ def fit_histogram(train: DataFrame, task: str, params: dict, seed: int = 0, val:
                 partial = blocks.mapInArrow(_sums(task, features, outputs, widths, done[stored:], trees, active, with_loss), _SUMS)
                 partial = partial.groupBy("feature", "bunch").applyInPandas(_added, _SUMS)
                 # Rows: nodes of the level times features.
-                found = partial.groupBy("feature").applyInPandas(_best_splits(widths, active, l2, leaf_rows), _BEST).toPandas()
+                splits = partial.groupBy("feature").applyInPandas(_best_splits(widths, active, l2, leaf_rows), _BEST)
+                with _few_at_once(spark, features, outputs):
+                    found = splits.toPandas()
                 if with_loss:
                     held = found["held"].max()
                     losses.append(float(found["loss"].max()) / held if held else np.inf)
