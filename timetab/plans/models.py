@@ -100,13 +100,26 @@ FITTERS: dict[str, Callable[..., Model]] = {"linear": fit_linear, "forest": fit_
 WATCHED: dict[str, Callable[..., Model]] = {"boosted": fit_boosted, "histogram": fit_histogram}  # these look at part val
 
 
+TASK_VALUES = 1 << 23  # numbers of training rows in one task, ROW_VALUES being what a row costs besides its features
+ROW_VALUES = 8
+
+
 def training_rows(data: DataFrame, part: str) -> DataFrame:
-    """Rows of a part, dealt out to all cores and kept while models are fitted.
+    """Rows of a part, dealt out to all cores, in tasks of ``TASK_VALUES`` numbers at most, and kept while models are fitted.
 
     Persisted rows of a lost executor are read again from the input.
     """
     rows = data.where(F.col("part") == part).select("features", "y")
-    return rows.repartition(data.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    first = rows.first()
+    width = ROW_VALUES + (first["features"].size if first is not None and first["features"] is not None else 0)
+    tasks = max(data.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * width // TASK_VALUES))
+    return rows.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def fits_at_once(train: DataFrame, most: int) -> int:
+    """How many fits run side by side: ``most`` where one leaves cores idle between its steps, fewer as its tasks fill the cores by
+    themselves, since each fit keeps a copy of the rows."""
+    return max(1, min(most, most * train.sparkSession.sparkContext.defaultParallelism // train.rdd.getNumPartitions()))
 
 
 @contextmanager
