@@ -234,7 +234,7 @@ def quantile_linear_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linear baseline on quantile-normalised features with noise, signed RMSE per part."""
     lines = materialise(_numeric_lines(spark, sf_dir, "l_extendedprice / 1000"), "lines")
     fitted = fit_quantiles(lines.where("part = 'train'"), NUMERIC, noise="fixed")
-    data = assemble(scale_quantile(lines, fitted), NUMERIC)
+    data = materialise(assemble(scale_quantile(lines, fitted), NUMERIC).select("row_id", "part", "y", "features"), "scaled")
     return evaluate(predict(fit("linear", data, "regression", {"reg": 0.001}), data, "regression"), "regression")
 
 

@@ -16,6 +16,7 @@ from timetab.functions.columns import finite
 from timetab.functions.probability import inverse_normal
 from timetab.operators.ordering import HASH_RANGE, hash_order
 from timetab.operators.quantiles import quantile_grid
+from timetab.session import materialise
 
 # Quantile scaling clips this close to 0 and 1; fewest and most grid points, rows per point; noise sizes.
 EDGE = 1e-7
@@ -69,6 +70,8 @@ def fit_quantiles(
         train = train.withColumns({
             c: F.col(c).cast("double") + size[c] * normal_noise(seed, row_id, c) for c in columns
         })
+        # The grid takes several passes; the noise is worked out once.
+        train = materialise(train.select(*columns), "noised")
     return quantile_grid(train, columns, points, exact)
 
 

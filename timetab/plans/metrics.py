@@ -24,13 +24,15 @@ FAILED_SCORE = -999999.0
 DOUBLE_STEP = 2.220446049250313e-16
 
 
-def regression_metrics(df: DataFrame, y: str = "y", prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
-    """RMSE, MAE and R² per group."""
+def regression_metrics(
+    df: DataFrame, y: str = "y", prediction: str = "prediction", by: Sequence[str] = (), more: Sequence[Column] = ()
+) -> DataFrame:
+    """RMSE, MAE and R² per group, and ``more`` aggregates of the same rows."""
     t, p = F.col(y).cast("double"), F.col(prediction).cast("double")
     sse, spread = F.sum((t - p) * (t - p)), F.count(F.lit(1)) * F.var_pop(t)
     r2 = F.when(spread > 0, 1.0 - sse / spread).when(sse == 0, 1.0).otherwise(0.0)
     return df.groupBy(*by).agg(
-        F.sqrt(sse / F.count(F.lit(1))).alias("rmse"), F.avg(F.abs(t - p)).alias("mae"), r2.alias("r2")
+        F.sqrt(sse / F.count(F.lit(1))).alias("rmse"), F.avg(F.abs(t - p)).alias("mae"), r2.alias("r2"), *more
     )
 
 

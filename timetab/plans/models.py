@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from timetab.operators.joins import null_safe_join
 from timetab.plans.boosting import fit_histogram
 from timetab.plans.leaderboard import ensemble_mean
-from timetab.plans.metrics import DEFAULT_SCORE, FAILED_SCORE, SCORES, all_finite, all_scores, signed_score
+from timetab.plans.metrics import DEFAULT_SCORE, FAILED_SCORE, SCORES, all_finite, all_scores, regression_metrics, signed_score
 from timetab.session import JOBS_AT_ONCE, side_by_side
 from timetab.sources.runs import load_predictions, save_predictions
 
@@ -168,9 +168,13 @@ def _scored(predictions: DataFrame, task: str, score: str | None, by: Sequence[s
     score = score or DEFAULT_SCORE[task]
     if score not in SCORES[task]:
         raise ValueError(f"{task} has no score {score}; it has {', '.join(SCORES[task])}")
-    sound = predictions.groupBy(*by).agg(all_finite("prediction", task).alias("_sound"))
+    sound = all_finite("prediction", task).alias("_sound")
     value = F.when(F.col("_sound"), signed_score(score, F.col(f"`{score}`"))).otherwise(F.lit(FAILED_SCORE))
-    return null_safe_join(all_scores(predictions, task, by), sound, by).select(*by, value.alias("score"))
+    if task == "regression":  # one aggregate, so the predictions are made once
+        scores = regression_metrics(predictions, by=by, more=[sound])
+    else:
+        scores = null_safe_join(all_scores(predictions, task, by), predictions.groupBy(*by).agg(sound), by)
+    return scores.select(*by, value.alias("score"))
 
 
 def importances(model: Model, names: Sequence[str]) -> DataFrame:
