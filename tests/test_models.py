@@ -7,8 +7,10 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 
 from catalog import ORACLES, QUERIES, models
+from timetab.operators import scaling
 from timetab.plans import models as plans_models
-from timetab.plans.models import fit, over_seeds, predict, search
+from timetab.plans.leaderboard import ensemble_mean
+from timetab.plans.models import evaluate, fit, over_seeds, predict, search
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -127,3 +129,44 @@ def test_search_passes_over_failed_trials(spark, monkeypatch):
     monkeypatch.setattr(plans_models, "evaluate", lambda *_: Row())
     best, trials = search("linear", data, "regression", {"reg": ["uniform", 0.1, 1.0]}, 4, at_once=1)
     assert best == trials[3]["params"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_training_rows_come_in_bounded_tasks(spark, monkeypatch):
+    """A larger table makes more tasks, not larger ones, and then fewer fits keep copies of it at once."""
+    data = models._whole_data(spark, SF_DIR)
+    n = data.where("part = 'train'").count()
+    monkeypatch.setattr(plans_models, "TASK_VALUES", 20 * (7 + plans_models.ROW_VALUES))
+    rows = plans_models.training_rows(data, "train")
+    assert rows.rdd.getNumPartitions() == -(-n // 20) > 8 and rows.count() == n
+    assert plans_models.fits_at_once(rows, 8) == max(1, 64 // -(-n // 20)) < 8
+    rows.unpersist()
+
+
+def test_seeds_read_the_data_once(spark):
+    """All seeds predict in one pass, and seeds are counted in numbers of fixed width."""
+    data = models._whole_data(spark, SF_DIR)
+    runs = over_seeds("linear", data, "regression", {}, range(3), "lines")
+    assert plan_of(runs).count("FileScan parquet") == 1
+    got = {(r["seed"], r["part"]): r["count"] for r in runs.groupBy("seed", "part").count().collect()}
+    sizes = {r["part"]: r["count"] for r in data.groupBy("part").count().collect()}
+    assert got == {(s, p): n for s in range(3) for p, n in sizes.items()}
+    keys = ["part", "row_id"]
+    mean = ensemble_mean(runs, keys, size=3)
+    assert "ObjectHashAggregate" not in plan_of(mean) and mean.count() == sum(sizes.values())
+    wide = runs.withColumn("seed", runs["seed"].cast("double"))
+    assert sorted(map(tuple, ensemble_mean(wide, keys, size=3).collect())) == sorted(map(tuple, mean.collect()))
+
+
+def test_scores_and_noise_take_one_pass(spark, monkeypatch):
+    """A regression's scores make its predictions once; noise is stored before the passes of the grid."""
+    data = models._whole_data(spark, SF_DIR)
+    scored = evaluate(predict(fit("linear", data, "regression", {}), data, "regression"), "regression")
+    assert plan_of(scored).count("FileScan parquet") == 1
+    stored, store = [], scaling.materialise
+    monkeypatch.setattr(scaling, "materialise", lambda df, label: stored.append(label) or store(df, label))
+    rows = models._numeric_lines(spark, SF_DIR, "1")
+    assert len(scaling.fit_quantiles(rows, ["l_tax"], noise="fixed")["l_tax"]) >= 10 and stored == ["noised"]

@@ -203,9 +203,14 @@ def ensemble_mean(
         mean = F.avg("prediction")
     else:
         mean = F.array(*[F.avg(F.get("prediction", F.lit(i))) for i in range(classes)])
+    if isinstance(predictions.schema["seed"].dataType, T.IntegralType) and size < 64:
+        # A bit per seed: numbers of fixed width, which each task adds up before the shuffle.
+        seeds = F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("seed", F.lit(size)).cast("int"))))
+    else:
+        seeds = F.size(F.collect_set("seed"))
     return (
         numbered.groupBy(*keys, "ensemble")
-        .agg(F.count(F.lit(1)).alias("_rows"), F.size(F.collect_set("seed")).alias("_seeds"), mean.alias("prediction"))
+        .agg(F.count(F.lit(1)).alias("_rows"), seeds.alias("_seeds"), mean.alias("prediction"))
         .withColumn("_seeds", F.when(F.col("_rows") == F.col("_seeds"), F.col("_seeds")).otherwise(
             F.raise_error(F.lit("a seed stands twice in an ensemble")).cast("int")))
         .where(F.col("_seeds") == size).drop("_seeds", "_rows")

@@ -13,7 +13,7 @@ from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timetab.operators.joins import null_safe_join
@@ -150,13 +150,16 @@ def fit(model: str, data: DataFrame, task: str, params: dict, seed: int = 0) ->
 def predict(model: Model, data: DataFrame, task: str) -> DataFrame:
     """(row_id, part, y, prediction): the value for regression, the probability of class 1 for two classes, the array of
     probabilities for more."""
-    out = model.transform(data)
-    value = {
+    return model.transform(data).select("row_id", "part", "y", _value(task).alias("prediction"))
+
+
+def _value(task: str) -> Column:
+    """A prediction in the columns that a model adds."""
+    return {
         "regression": lambda: F.col("prediction"),
         "binclass": lambda: vector_to_array("probability")[1],
         "multiclass": lambda: vector_to_array("probability"),
     }[task]()
-    return out.select("row_id", "part", "y", value.alias("prediction"))
 
 
 def evaluate(predictions: DataFrame, task: str, score: str | None = None) -> DataFrame:
@@ -237,7 +240,7 @@ def search(
             held_out = predict(_fit_on(model, rows, task, params, seed), data.where(F.col("part") == "val"), task)
             return evaluate(held_out, task, score).first()["score"]
 
-        scores = side_by_side(data.sparkSession, [lambda p=p: run(p) for p in drawn], at_once)
+        scores = side_by_side(data.sparkSession, [lambda p=p: run(p) for p in drawn], fits_at_once(rows[0], at_once))
     done = [{"trial": i, "params": p, "score": s} for i, (p, s) in enumerate(zip(drawn, scores))]
     return max(done, key=lambda t: t["score"] if t["score"] is not None and math.isfinite(t["score"]) else -math.inf)["params"], done
 
@@ -246,17 +249,21 @@ def over_seeds(
     model: str, data: DataFrame, task: str, params: dict, seeds: Sequence[int], dataset: str, split: str = "default",
     at_once: int = JOBS_AT_ONCE,
 ) -> DataFrame:
-    """Predictions of the configuration refitted per seed, side by side, in the layout of the predictions table."""
-    out = None
+    """Predictions of the configuration refitted per seed, in the layout of the predictions table.
+
+    Fits run side by side. The data are read once for all seeds, and the predictions of a row stand together.
+    """
     with kept_rows(data, model) as kept:
-        fitted = side_by_side(data.sparkSession, [lambda s=s: _fit_on(model, kept, task, params, s) for s in seeds], at_once)
-    for s, one in zip(seeds, fitted):
-        rows = predict(one, data, task).select(
-            F.lit(model).alias("model"), F.lit(dataset).alias("dataset"), F.lit(split).alias("split"),
-            F.lit(s).alias("seed"), "part", "row_id", "y", "prediction",
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        fits = [lambda s=s: _fit_on(model, kept, task, params, s) for s in seeds]
+        fitted = side_by_side(data.sparkSession, fits, fits_at_once(kept[0], at_once))
+    out = data.select("row_id", "part", "y", "features")
+    for i, one in enumerate(fitted):
+        out = one.transform(out).select(*out.columns, _value(task).alias(f"_prediction_{i}"))
+    runs = F.array(*[F.struct(F.lit(s).alias("seed"), F.col(f"_prediction_{i}").alias("prediction")) for i, s in enumerate(seeds)])
+    return out.select("part", "row_id", "y", F.explode(runs).alias("r")).select(
+        F.lit(model).alias("model"), F.lit(dataset).alias("dataset"), F.lit(split).alias("split"),
+        "r.seed", "part", "row_id", "y", "r.prediction",
+    )
 
 
 def ensemble_runs(
