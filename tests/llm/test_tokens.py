@@ -15,7 +15,7 @@ from made import frame, odd_rows, prose
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from timetab.llm.byte_bpe import bpe_encode, decode, folded_ids, heaped_ids, read_ranks
+from timetab.llm.byte_bpe import _numbers, _pack, _planes, _unpack, bpe_encode, decode, folded_ids, heaped_ids, read_ranks
 from timetab.llm.packing import WordEncoder, best_fit_plan, pack_documents
 
 RANKS = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -48,6 +48,24 @@ def test_fold_equals_heap(spark):
     assert {bytes(x["w"]): x["ids"] for x in df.collect()} == {w: heaped_ids(w, RANKS) for w in words}
 
 
+def test_fold_holds_its_ranks_once(spark):
+    assert str(folded_ids(F.col("w"), RANKS)).count("[188, 189, 190") == 1  # ids of the first single bytes: one copy of the table
+    odd = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"aa": 257, b"aab": 300, b"aaa": 299, b"aabaa": 301}
+    words = [bytes(random.Random(i).choices(b"ab", k=i % 14)) for i in range(200)]
+    df = spark.createDataFrame([(bytearray(w),) for w in words] + [(None,)], "w binary").select("w", folded_ids(F.col("w"), odd).alias("ids"))
+    assert {bytes(x["w"] or b""): x["ids"] for x in df.collect()} == {w: heaped_ids(w, odd) for w in words}
+
+
+def test_packed_numbers():
+    r = np.random.default_rng(5)
+    for n in (0, 1, 1000):
+        numbers = np.minimum(r.zipf(1.2, n), 1 << 31).astype(np.uint32)
+        assert _numbers(_planes(numbers.tobytes())).tolist() == numbers.tolist()
+    parts = [r.integers(0, 50000, k).astype(np.uint32).tobytes() for k in r.integers(0, 9, 5000)]
+    assert _unpack(*_pack(parts, True), True) == parts and _unpack(*_pack(parts)) == parts
+    assert sum(map(len, _pack(parts, True))) < 0.8 * sum(map(len, _pack(parts)))
+
+
 def test_bpe_empty(spark):
     assert bpe_encode(frame(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
     with pytest.raises(ValueError):

@@ -52,64 +52,90 @@ def _hex_pieces(ranks: dict[bytes, int]) -> list[str]:
     return pieces
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, as the end of a fold over nothing: around an array's item Spark derives the type of the whole
+    body again for every word."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, body)
+
+
 class RankMap:
-    """The ranks of merged pairs as a literal map, by the ids of the two parts."""
+    """The ranks of merged pairs as a literal map, by the ids of the two parts.
+
+    A part of a word is one long: the rank of what it makes with the next part (``none`` if they do not merge), its first byte's
+    place in the word, its id. So the least part is the one to merge, the first of equals. ``known``, the literal, is meant to stand in a query
+    once, bound to a variable: each place where it stands costs the driver and every task a copy.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
-        pieces = _hex_pieces(ranks)
-        self.size = 1 << (len(pieces) - 1).bit_length()
+        self.bits = max(ranks.values()).bit_length()
+        self.shift = 61 - self.bits
+        if self.shift - self.bits < FOLD_BYTES.bit_length():
+            raise ValueError("the ranks are too large to fold")
+        self.none = 1 << 61
+        pairs = [(a, b, rank) for piece, rank in ranks.items() for a, b in self._parts(piece, ranks)]
         # An odd factor makes the left part follow from the bucket and the right part, so the right part is key enough.
-        buckets: list[dict[str, int] | None] = [None] * self.size
-        for piece, rank in ranks.items():
-            for cut in range(1, len(piece)):
-                a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
-                if a is not None and b is not None:
-                    at = (a * FACTOR + b) % self.size
-                    buckets[at] = buckets[at] or {}
-                    buckets[at][pieces[b]] = rank
-        self.buckets = _json(buckets, T.ArrayType(T.MapType(T.StringType(), T.IntegerType())))
-        self.pieces = _json(pieces, T.ArrayType(T.StringType()))
-        self.bytes = _json([ranks[bytes([i])] for i in range(256)], T.ArrayType(T.IntegerType()))
-
-    def rank(self, a: Column, b: Column) -> Column:
-        """The rank, which is the id, of what the parts make together; null if they do not merge."""
-        return F.element_at(F.get(self.buckets, F.pmod(a * FACTOR + b, F.lit(self.size))), F.get(self.pieces, b))
+        self.size = 1 << max(self.bits, len(pairs).bit_length())
+        buckets: list[dict[int, int] | None] = [None] * self.size
+        for a, b, rank in pairs:
+            at = (a * FACTOR + b) % self.size
+            buckets[at] = buckets[at] or {}
+            buckets[at][b] = rank << self.shift
+        found = _json(buckets, T.ArrayType(T.MapType(T.StringType(), T.LongType()))).cast("array<map<bigint,bigint>>")
+        single = _json([ranks[bytes([i])] for i in range(256)], T.ArrayType(T.LongType()))
+        self.known = F.struct(found.alias("found"), single.alias("single"))
+
+    @staticmethod
+    def _parts(piece: bytes, ranks: dict[bytes, int]) -> Iterator[tuple[int, int]]:
+        for cut in range(1, len(piece)):
+            a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if a is not None and b is not None:
+                yield a, b
+
+    def id(self, part: Column) -> Column:
+        return part.bitwiseAND(F.lit((1 << self.bits) - 1))
+
+    def place(self, part: Column) -> Column:
+        return part.bitwiseAND(F.lit((1 << self.shift) - (1 << self.bits)))
+
+    def part(self, known: Column, id_: Column, place: Column, after: Column) -> Column:
+        """A part, given its id and the next one's; the rank of the two is the id of what they make together."""
+        at = (id_ * F.lit(FACTOR).cast("long") + after).bitwiseAND(F.lit(self.size - 1).cast("long"))
+        rank = F.coalesce(F.element_at(F.get(known["found"], at), after), F.lit(self.none))
+        return rank.bitwiseOR(place).bitwiseOR(id_)
 
 
 def folded_ids(word: Column, ranks: dict[bytes, int]) -> Column:
     """Ids of a word of bytes: its single bytes, folded by merging the adjacent pair of least rank, the first of equals, until none has one."""
-    known = RankMap(ranks)
-    letters, n = F.decode(word, "ISO-8859-1"), F.octet_length(word)
-    none = F.array().cast("array<int>")
+    own = RankMap(ranks)
+    n, none = F.octet_length(word), F.array().cast("array<int>")
 
-    def let(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), 0)
+    def singles(known: Column, letters: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), n), lambda i: F.get(known["single"], F.ascii(F.substring(letters, i, F.lit(1)))))
 
-    single = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(known.bytes, F.ascii(F.substring(letters, i, F.lit(1)))))
+    def merged(known: Column, acc: Column, least: Column, before: Column) -> Column:
+        new, left = F.shiftright(least, own.shift), F.get(acc, before - 1)
+        made = own.part(known, new, own.place(least), own.id(F.get(acc, before + 2)))
+        rest = F.slice(acc, before + 3, n)
+        begun = F.array(own.part(known, own.id(left), own.place(left), new), made)
+        return F.when(before > 0, F.concat(F.slice(acc, F.lit(1), before - 1), begun, rest)).otherwise(F.concat(F.array(made), rest))
 
-    def pairs(ids: Column) -> Column:
-        places = F.sequence(F.lit(1), F.size(ids) - 1)
-        return F.when(F.size(ids) > 1, F.transform(places, lambda i: known.rank(F.get(ids, i - 1), F.get(ids, i)))).otherwise(none)
+    def fold(known: Column, letters: Column) -> Column:
+        def begin(ids: Column) -> Column:
+            return F.transform(ids, lambda a, i: own.part(known, a, F.shiftleft(i.cast("long"), own.bits), F.get(ids, i + 1)))
 
-    start = let(F.when(n > 0, single).otherwise(none), lambda ids: F.struct(ids.alias("ids"), pairs(ids).alias("ranks")))
+        def step(acc: Column, _: Column) -> Column:
+            def merge(least: Column) -> Column:
+                # Not array_position: it leaves its loop by an exception.
+                before = F.size(F.filter(acc, lambda x: own.place(x) < own.place(least)))
+                return F.when(least >= own.none, acc).otherwise(_let(before, lambda b: merged(known, acc, least, b)))
 
-    def merged(acc: Column, p: Column) -> Column:
-        ids, old = acc["ids"], acc["ranks"]
-        end, new = F.size(ids), F.get(old, p - 1)
-        left = F.when(p > 1, F.array(known.rank(F.get(ids, p - 2), new))).otherwise(none)
-        right = F.when(p + 1 < end, F.array(known.rank(new, F.get(ids, p + 1)))).otherwise(none)
-        return F.struct(
-            F.flatten(F.array(F.slice(ids, 1, p - 1), F.array(new), F.slice(ids, p + 2, end))).alias("ids"),
-            F.flatten(F.array(F.slice(old, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(old, p + 2, end))).alias("ranks"),
-        )
+            return _let(F.array_min(acc), merge)
 
-    def step(acc: Column, _: Column) -> Column:
-        # The first of the least pairs; null, and nothing changes any more, if no pair merges.
-        place = F.array_position(acc["ranks"], F.array_min(acc["ranks"])).cast("int")
-        return let(place, lambda p: F.when(p.isNull(), acc).otherwise(merged(acc, p)))
+        steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(none)
+        return F.aggregate(steps, _let(singles(known, letters), begin), step, lambda acc: F.transform(acc, lambda x: own.id(x).cast("int")))
 
-    steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(none)
-    return F.aggregate(steps, start, step, lambda acc: acc["ids"])
+    ids = _let(own.known, lambda known: _let(F.decode(word, "ISO-8859-1"), lambda letters: fold(known, letters)))
+    return F.when(n > 0, ids).otherwise(none)
 
 
 def heaped_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -160,14 +186,25 @@ def latin_pattern(pattern: str) -> str | None:
     return "".join(out)
 
 
-def _pack(parts: list[bytes]) -> tuple[bytes, bytes]:
-    lengths = np.array([len(x) for x in parts], dtype=np.uint32)
-    return zlib.compress(lengths.tobytes(), 1), zlib.compress(b"".join(parts), 1)
+def _planes(numbers: bytes) -> bytes:
+    """32-bit numbers as their first bytes, then their second ones and so on: small numbers compress better so."""
+    return np.frombuffer(numbers, dtype=np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+
+
+def _pack(parts: list[bytes], numbers: bool = False) -> tuple[bytes, bytes]:
+    """Lengths of the parts, and the parts joined; ``numbers``: they hold 32-bit numbers."""
+    lengths, joined = np.array([len(x) for x in parts], dtype=np.uint32), b"".join(parts)
+    return zlib.compress(_planes(lengths.tobytes()), 1), zlib.compress(_planes(joined) if numbers else joined, 1)
 
 
-def _unpack(lengths: bytes, joined: bytes) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(zlib.decompress(lengths), dtype=np.uint32), dtype=np.int64).tolist()
+def _unpack(lengths: bytes, joined: bytes, numbers: bool = False) -> list[bytes]:
+    ends = np.cumsum(_numbers(zlib.decompress(lengths)), dtype=np.int64).tolist()
     joined = zlib.decompress(joined)
+    joined = _numbers(joined).tobytes() if numbers else joined
     return [joined[a:b] for a, b in zip([0, *ends], ends)]
 
 
@@ -194,7 +231,7 @@ def _split(pattern: str, fragments: int):
         own = [w.encode() for w in numbers]
         dealt = np.fromiter((xxhash.xxh3_64_intdigest(w) % fragments for w in own), dtype=np.int64, count=len(own))
         order = np.argsort(dealt, kind="stable")
-        yield _rows(block, ORDER, numbers=[zlib.compress(order.astype(np.uint32).tobytes(), 1)])
+        yield _rows(block, ORDER, numbers=[zlib.compress(_planes(order.astype(np.uint32).tobytes()), 1)])
         ids, at = np.unique(dealt[order], return_index=True)
         packed = [_pack([own[k] for k in x.tolist()]) for x in np.split(order, at[1:])] if len(own) else []
         yield _rows(block, QUESTION, fragments=ids, lengths=[p[0] for p in packed], words=[p[1] for p in packed])
@@ -207,7 +244,7 @@ def _split(pattern: str, fragments: int):
             numbers, doc_ids, coded, size = _Numbers(), [], [], 0
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 words = [] if not text else plain(text) if plain and not ODD(text) else find(text)
-                coded.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words)).tobytes())
+                coded.append(_planes(np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words)).tobytes()))
                 doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
                 size += len(text or "")
                 if size >= BLOCK_CHARS:
@@ -242,16 +279,16 @@ def _dictionary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for fragment, own in pdf.groupby("fragment"):
-            rows.append((fragment, *_pack(list(own["word"])), *_pack([np.asarray(i, dtype=np.uint32).tobytes() for i in own["ids"]])))
+            rows.append((fragment, *_pack(list(own["word"])), *_pack([np.asarray(i, dtype=np.uint32).tobytes() for i in own["ids"]], True)))
         yield pd.DataFrame(rows, columns=["fragment", "lengths", "words", "sizes", "ids"])
 
 
 def _answers(key: tuple, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     ids = {}
     for lengths, words, sizes, codes in zip(known["lengths"], known["words"], known["sizes"], known["ids"]):
-        ids.update(zip(_unpack(lengths, words), _unpack(sizes, codes)))
+        ids.update(zip(_unpack(lengths, words), _unpack(sizes, codes, True)))
     rows = [
-        (block, key[0], *_pack([ids[w] for w in _unpack(lengths, words)]))
+        (block, key[0], *_pack([ids[w] for w in _unpack(lengths, words)], True))
         for block, lengths, words in zip(asked["block"], asked["lengths"], asked["words"])
     ]
     return pd.DataFrame(rows, columns=["block", "fragment", "sizes", "ids"])
@@ -259,17 +296,17 @@ def _answers(key: tuple, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFra
 
 def _encoded(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     """The ids of a block's texts from those of its words, which come by fragment and number."""
-    order = np.frombuffer(zlib.decompress(pdf["numbers"][pdf["kind"] == ORDER].iloc[0]), dtype=np.uint32)
+    order = _numbers(zlib.decompress(pdf["numbers"][pdf["kind"] == ORDER].iloc[0]))
     texts, got = pdf[pdf["kind"] == TEXT], answers.sort_values("fragment")
-    lengths = [np.frombuffer(zlib.decompress(x), dtype=np.uint32) // 4 for x in got["sizes"]]
-    codes = [np.frombuffer(zlib.decompress(x), dtype=np.uint32) for x in got["ids"]]
+    lengths = [_numbers(zlib.decompress(x)) // 4 for x in got["sizes"]]
+    codes = [_numbers(zlib.decompress(x)) for x in got["ids"]]
     none = [np.empty(0, dtype=np.uint32)]
     by_order, codes = np.concatenate(lengths or none).astype(np.int64), np.concatenate(codes or none).astype(np.int32)
     size, start = np.empty(len(order), dtype=np.int64), np.empty(len(order), dtype=np.int64)
     size[order], start[order] = by_order, np.cumsum(by_order) - by_order
     ids = []
     for data in texts["numbers"]:
-        words = np.frombuffer(data, dtype=np.uint32)
+        words = _numbers(data)
         n = size[words]
         ids.append(codes[np.repeat(start[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
     return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "ids": ids})
