@@ -49,7 +49,7 @@ def test_fold_equals_heap(spark):
 
 
 def test_fold_holds_its_ranks_once(spark):
-    assert str(folded_ids(F.col("w"), RANKS)).count("[188, 189, 190") == 1  # ids of the first single bytes: one copy of the table
+    assert str(folded_ids(F.col("w"), RANKS)).count("from_json(") == 2  # the pairs and the single bytes, no copies
     odd = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"aa": 257, b"aab": 300, b"aaa": 299, b"aabaa": 301}
     words = [bytes(random.Random(i).choices(b"ab", k=i % 14)) for i in range(200)]
     df = spark.createDataFrame([(bytearray(w),) for w in words] + [(None,)], "w binary").select("w", folded_ids(F.col("w"), odd).alias("ids"))
